@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import ranking, setjoin, topn
+from panelforge.llm import encode, packing, ranking, setjoin, splitting, topn
 from panelforge.llm._candidates import read
 
 
@@ -36,8 +36,20 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.class_links(setjoin.descriptor_sets(read(spark, sf_dir, "candidates")), "candidate_id", "values", setjoin.THRESHOLD)
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode_texts(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "token_budgets"))
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "token_budgets"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p2_found, p2_classes, p5_found, p5_positions, p6_found, p6_ranking]
+    named = [p2_found, p2_classes, p5_found, p5_positions, p6_found, p6_ranking, p8_ids, p9_containers, p10_pieces]
     return {f.__name__: f for f in named}
 
 
