@@ -7,10 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import encode, packing, ranking, setjoin, splitting, topn
+from panelforge.llm import encode, knn, linkage, packing, ranking, setjoin, splitting, subset, topn
 from panelforge.llm._candidates import read
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, pairs = linkage.link_history(read(spark, sf_dir, "excluded_history"), read(spark, sf_dir, "measured_proposals"))
+    scored = index.scored(pairs)
+    exact = F.col("same_fp") | (F.col("similarity") >= linkage.THRESHOLD)
+    return scored.filter(exact).select("earlier_id", F.col("later_id").alias("proposal_id"))
+
+
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, pairs = linkage.link_history(read(spark, sf_dir, "excluded_history"), read(spark, sf_dir, "measured_proposals"))
+    return index.scored(pairs).select("earlier_id", F.col("later_id").alias("proposal_id"), "fingerprint", "terms", "root", F.round("similarity", 6).alias("similarity"), "weight")
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, pairs = linkage.link_history(read(spark, sf_dir, "excluded_history"), read(spark, sf_dir, "measured_proposals"), clusters=True)
+    return linkage.membership(index, pairs)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = knn.nearest_records(knn.usable_vectors(read(spark, sf_dir, "feedback_records"), read(spark, sf_dir, "feedback_datasets")))
+    return near.select(F.least("query", "neighbor").alias("record_a"), F.greatest("query", "neighbor").alias("record_b")).distinct()
+
+
+def p3_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = knn.nearest_records(knn.usable_vectors(read(spark, sf_dir, "feedback_records"), read(spark, sf_dir, "feedback_datasets")))
+    return near.select(F.col("part").alias("dataset_id"), F.col("query").alias("record_id"), F.col("neighbor").alias("neighbor_id"), F.round("distance", 6).alias("distance"), "place")
+
+
+def p4_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subset.diverse_subsets(read(spark, sf_dir, "candidates"), read(spark, sf_dir, "selection_requests"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_candidates(read(spark, sf_dir, "candidates")).select("run_id", "root_family", "candidate_id")
 
@@ -49,7 +80,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p2_found, p2_classes, p5_found, p5_positions, p6_found, p6_ranking, p8_ids, p9_containers, p10_pieces]
+    named = [p1_found, p1_links, p1_clusters, p3_found, p3_neighbors, p4_subsets, p2_found, p2_classes, p5_found, p5_positions, p6_found, p6_ranking, p8_ids, p9_containers, p10_pieces]
     return {f.__name__: f for f in named}
 
 
@@ -81,8 +112,37 @@ _P2 = f"""WITH {_CURRENT}, vals AS (SELECT DISTINCT candidate_id, lower(trim(v))
 
 def oracle_sql() -> dict[str, str]:
     return {
+        **_more_sql(),
         "p5_found": f"{_P5} SELECT run_id, root_family, candidate_id FROM placed WHERE position <= 3",
         "p5_positions": f"{_P5} SELECT run_id, root_family, candidate_id, round(structural_score, 6) AS structural_score, position FROM placed WHERE position <= 3",
         "p6_found": f"{_P6_LONG} SELECT run_id, candidate_id FROM placed WHERE 20 * above < usable GROUP BY 1, 2 HAVING count(*) = 4",
         "p2_found": f"{_P2} SELECT x AS candidate_a, y AS candidate_b FROM over WHERE o >= 0.85 * (nx + ny - o) - 1e-9",
     }
+
+
+_P1 = """WITH src AS (SELECT DISTINCT entry_id AS id, entries AS f, expression AS e, false AS proposal FROM excluded_history WHERE entry_id IS NOT NULL
+  UNION ALL SELECT DISTINCT proposal_id, semantic_fingerprint, expression, true FROM measured_proposals WHERE proposal_id IS NOT NULL),
+  keyed AS (SELECT id, proposal, lower(regexp_replace(regexp_replace(f, '^[^:]*:', ''), '[^0-9a-fA-F]', '', 'g')) AS fp,
+    regexp_extract_all(lower(coalesce(e, '')), '[\\p{L}\\p{N}_.]+') AS t FROM src),
+  grams AS (SELECT DISTINCT id, proposal, unnest(list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS g FROM keyed),
+  sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY 1),
+  over AS (SELECT a.id AS x, b.id AS y, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id AND b.proposal GROUP BY 1, 2),
+  linked AS (SELECT x, y FROM over JOIN sizes s ON s.id = x JOIN sizes r ON r.id = y WHERE o >= 0.6 * (s.n + r.n - o) - 1e-9
+    UNION SELECT a.id, b.id FROM keyed a JOIN keyed b ON a.fp = b.fp AND length(a.fp) = 64 AND a.id < b.id AND b.proposal)"""
+
+_P3 = """WITH scale AS (SELECT dataset_id, neighbors, e.key AS k, e.value AS s FROM (SELECT dataset_id, neighbors, unnest(map_entries(feature_scales)) AS e FROM feedback_datasets)),
+  kv AS (SELECT dataset_id, record_id, e.key AS k, e.value AS v FROM (SELECT dataset_id, record_id, unnest(map_entries(features)) AS e FROM (SELECT DISTINCT dataset_id, record_id, features FROM feedback_records))),
+  usable AS (SELECT r.dataset_id, r.record_id FROM kv r LEFT JOIN scale s ON r.dataset_id = s.dataset_id AND r.k = s.k GROUP BY 1, 2
+    HAVING count(*) = (SELECT count(*) FROM scale c WHERE c.dataset_id = r.dataset_id) AND count(s.k) = count(*) AND count(v) = count(*) AND bool_and(isfinite(v))),
+  num AS (SELECT kv.* FROM kv JOIN usable USING (dataset_id, record_id)),
+  dist AS (SELECT a.dataset_id, a.record_id AS a, b.record_id AS b, any_value(s.neighbors) AS k, avg(least(abs(a.v - b.v) / s.s, 1)) AS d FROM num a JOIN num b ON a.dataset_id = b.dataset_id AND a.k = b.k AND a.record_id <> b.record_id
+    JOIN scale s ON s.dataset_id = a.dataset_id AND s.k = a.k GROUP BY 1, 2, 3),
+  near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, a ORDER BY d, b) AS place FROM dist) WHERE place <= k)"""
+
+
+def _more_sql() -> dict[str, str]:
+    return {
+        "p1_found": f"{_P1} SELECT x AS earlier_id, y AS proposal_id FROM linked",
+        "p3_found": f"{_P3} SELECT DISTINCT least(a, b) AS record_a, greatest(a, b) AS record_b FROM near",
+        "p3_neighbors": f"{_P3} SELECT dataset_id, a AS record_id, b AS neighbor_id, round(d, 6) AS distance, place FROM near",
+    }
