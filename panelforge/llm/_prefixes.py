@@ -34,16 +34,15 @@ def least_overlap(threshold: float, n: int) -> int:
     return max(1, math.ceil(round(threshold * n, 9)))
 
 
-PREFIX = T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("salts", T.IntegerType())]))
-
-
 def with_prefixes(df: DataFrame, tokens: str, counts: np.ndarray, threshold: float, list_rows: int = LIST_ROWS) -> DataFrame:
-    """Sorts ``tokens`` by (count, token), rarest first, and adds ``prefix``: the tokens by which a similar set must be met.
+    """Sorts ``tokens`` by (count, token), rarest first, and adds ``salts``, ``b1`` and ``b2``.
 
-    Two sets with Jaccard of at least the threshold share a token of their prefixes, of n - ceil(threshold n) + 1 tokens.
-    ``salts`` is into how many parts the list of that token is to be split.
+    Two sets with Jaccard of at least the threshold share a token of their prefixes, the first n - ceil(threshold n) + 1
+    tokens. ``salts`` has an element for each of these: into how many parts the list of that token is to be split.
+    (b1, b2) have a bit set for each token, by its hash: two sets differ in at least as many tokens as their bits do.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("prefix", PREFIX)])
+    added = [T.StructField("salts", T.ArrayType(T.IntegerType())), T.StructField("b1", T.LongType()), T.StructField("b2", T.LongType())]
+    schema = T.StructType([*df.schema.fields, *added])
     at = df.columns.index(tokens)
     size = len(counts)
     shared = df.sparkSession.sparkContext.broadcast(counts)  # fixed size, see COUNTERS
@@ -63,26 +62,41 @@ def with_prefixes(df: DataFrame, tokens: str, counts: np.ndarray, threshold: flo
             starts = np.concatenate(([0], np.cumsum(lengths)))
             place = np.arange(len(flat)) - np.repeat(starts[:-1], lengths)
             inside = place < np.repeat(take, lengths)
-            salts = np.maximum(1, -(-freq[inside] // list_rows)).astype(np.int32)
-            items = pa.StructArray.from_arrays([pa.array(flat[inside]), pa.array(place[inside].astype(np.int32)), pa.array(salts)], ["token", "place", "salts"])
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))).astype(np.int32)), items)
+            parts = np.maximum(1, -(-freq[inside] // list_rows)).astype(np.int32)
+            salts = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))).astype(np.int32)), pa.array(parts))
+            bit = (flat >> 32) & 127
+            bits = np.zeros((2, batch.num_rows), np.uint64)
+            np.bitwise_or.at(bits, (bit >> 6, row), np.uint64(1) << (bit & 63).astype(np.uint64))
             sorted_ = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
             columns = [sorted_ if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, prefix], names=[*batch.schema.names, "prefix"])
+            yield pa.RecordBatch.from_arrays([*columns, salts, *(pa.array(b.view(np.int64)) for b in bits)], names=[*batch.schema.names, "salts", "b1", "b2"])
 
     return df.mapInArrow(run, schema)
 
 
-def similar(a: str, b: str, threshold: float) -> Column:
-    """Length and positional filters, then the exact overlap, between rows aliased ``a`` and ``b`` met by one token.
+def key_rows(df: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """One narrow row per token of each prefix: k1, k2, n, b1, b2, token, place, salts."""
+    rows = df.select("k1", "k2", "n", "b1", "b2", tokens, F.posexplode("salts").alias("place", "salts"))
+    return rows.select("k1", "k2", "n", "b1", "b2", F.get(tokens, F.col("place")).alias("token"), "place", "salts")
+
+
+def possible(threshold: float) -> Column:
+    """Length, positional and bit filters between key rows aliased ``a`` and ``b`` that have met by one token.
 
-    Needs n (size), place (of the token met) and tokens on both. The filters come first: CASE stops at the first that
-    fails, so whole sets are compared for few pairs.
+    overlap >= t * union is overlap >= t / (1 + t) * (na + nb): the sizes must not be too far apart, the tokens from the
+    one met on must be enough, and the bits must not differ in more places than the sets may differ in tokens.
     """
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    small, large = F.least(na, nb), F.greatest(na, nb)
-    # overlap >= t * |union|  <=>  overlap >= t / (1 + t) * (na + nb)
+    na, nb = F.col("a.n"), F.col("b.n")
     need = F.ceil(F.round(F.lit(threshold / (1 + threshold)) * (na + nb), 9))
-    at_most = F.lit(1) + F.least(na - F.col(f"{a}.place") - 1, nb - F.col(f"{b}.place") - 1)
-    overlap = F.size(F.array_intersect(f"{a}.tokens", f"{b}.tokens"))
-    return F.when(small < F.round(F.lit(threshold) * large, 9), False).when(at_most < need, False).otherwise(overlap >= need)
+    at_most = F.lit(1) + F.least(na - F.col("a.place") - 1, nb - F.col("b.place") - 1)
+    apart = F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1"))) + F.bit_count(F.col("a.b2").bitwiseXOR(F.col("b.b2")))
+    return (F.least(na, nb) >= F.round(F.lit(threshold) * F.greatest(na, nb), 9)) & (at_most >= need) & (apart <= na + nb - 2 * need)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a1, a2, b1, b2, similarity of those pairs of sets whose exact overlap is enough; ``sets``: k1, k2, n, tokens."""
+    a = sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    b = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+    overlap = F.size(F.array_intersect("ta", "tb"))
+    return both.select("a1", "a2", "b1", "b2", (overlap / (F.col("na") + F.col("nb") - overlap)).alias("similarity")).filter(F.round("similarity", 12) >= threshold)

@@ -64,7 +64,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setjoin.class_links(setjoin.descriptor_sets(read(spark, sf_dir, "candidates")), "candidate_id", "values", setjoin.THRESHOLD)
+    return setjoin.class_links(setjoin.descriptor_sets(read(spark, sf_dir, "candidates")), "candidate_id", "tokens", setjoin.THRESHOLD)
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from panelforge.llm._prefixes import rarity_counts, with_prefixes
+from panelforge.llm._prefixes import key_rows, possible, rarity_counts, verified, with_prefixes
 from panelforge.llm.components import components
 from panelforge.plans.lineage import cut, new_table_path
 
@@ -49,7 +49,7 @@ class LinkIndex:
     """Blocking-key tables of everything accepted so far, kept in the shared folder and only ever appended to.
 
     ``records`` (id, fp, root, k1, k2): one row per accepted content; ``sets`` (k1, k2, n, tokens): one row per distinct
-    set of shingles; ``keys`` (token, place, n, k1, k2): the prefixes by which a similar set must be met; ``clusters``
+    set of shingles; ``keys`` (token, place, n, k1, k2, b1, b2): the prefixes by which a similar set must be met; ``clusters``
     (id, rep, version): changes of the representative mapping, the latest version of an id counts. A new batch is
     prepared once, meets ``records`` by equal fingerprints and ``keys`` by equal prefix tokens; no expression of the
     history is read, cut into terms or compared again. Rarity is counted over all the first rows added; the order of
@@ -87,7 +87,7 @@ class LinkIndex:
     def _store(self, batch: DataFrame, sets: DataFrame) -> None:
         self._append("records", batch.select("id", "fp", "root", "k1", "k2"))
         self._append("sets", sets.select("k1", "k2", "n", "tokens"))
-        self._append("keys", sets.select("k1", "k2", "n", F.explode("prefix").alias("p")).select("p.token", "p.place", "n", "k1", "k2"))
+        self._append("keys", key_rows(sets).drop("salts"))
         self._parts += 1
 
     def add(self, rows: DataFrame, item: str, fingerprint: str, expression: str) -> None:
@@ -115,16 +115,13 @@ class LinkIndex:
         # shingles: the sets of the batch, new to the index or not, against all sets, each met once
         mine = cut(batch.filter("k1 is not null").select("k1", "k2").distinct())
         known = sets.join(mine, ["k1", "k2"]) if old else fresh.select("k1", "k2", "n", "tokens")
-        probe = with_prefixes(cut(known), "tokens", self.counts, self.threshold)
-        left = probe.select("k1", "k2", "n", "tokens", F.explode("prefix").alias("p")).select("k1", "k2", "n", "tokens", F.col("p.token").alias("token"), F.col("p.place").alias("place")).alias("a")
-        right = keys.alias("b")
+        probe = cut(with_prefixes(known, "tokens", self.counts, self.threshold))
+        left, right = key_rows(probe).alias("a"), keys.alias("b")
         other = (F.col("a.k1") != F.col("b.k1")) | (F.col("a.k2") != F.col("b.k2"))
-        met = left.join(right, (F.col("a.token") == F.col("b.token")) & other & self._possible())
-        pairs = met.select(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("a.n").alias("na"), F.col("a.tokens").alias("ta"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2")).dropDuplicates(["a1", "a2", "b1", "b2"])
-        verified = pairs.join(sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("n").alias("nb"), F.col("tokens").alias("tb")).dropDuplicates(["b1", "b2"]), ["b1", "b2"])
-        overlap = F.size(F.array_intersect("ta", "tb"))
-        verified = verified.withColumn("similarity", overlap / (F.col("na") + F.col("nb") - overlap)).filter(F.round(F.col("similarity"), 12) >= self.threshold)
-        classes = verified.select("a1", "a2", "b1", "b2", "similarity").unionByName(mine.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.lit(1.0).alias("similarity")))
+        met = left.join(right, (F.col("a.token") == F.col("b.token")) & other & possible(self.threshold))
+        pairs = met.select(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2")).dropDuplicates()
+        alike = verified(pairs, sets, self.threshold)
+        classes = alike.select("a1", "a2", "b1", "b2", "similarity").unionByName(mine.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.lit(1.0).alias("similarity")))
         x = batch.select(F.col("id").alias("x"), F.col("k1").alias("a1"), F.col("k2").alias("a2")).distinct()
         y = records.filter("k1 is not null").select(F.col("id").alias("y"), F.col("k1").alias("b1"), F.col("k2").alias("b2"))
         wide = classes.join(x, ["a1", "a2"]).join(y, ["b1", "b2"])
@@ -134,13 +131,6 @@ class LinkIndex:
         merged = found.groupBy("earlier_id", "later_id").agg(F.max("same_fp").alias("same_fp"), F.max("similarity").alias("similarity"))
         return cut(merged)
 
-    def _possible(self) -> Column:
-        """Length and positional filters of ``similar``, without the overlap: the index's keys don't hold whole sets."""
-        na, nb = F.col("a.n"), F.col("b.n")
-        need = F.ceil(F.round(F.lit(self.threshold / (1 + self.threshold)) * (na + nb), 9))
-        at_most = F.lit(1) + F.least(na - F.col("a.place") - 1, nb - F.col("b.place") - 1)
-        return (F.least(na, nb) >= F.round(F.lit(self.threshold) * F.greatest(na, nb), 9)) & (at_most >= need)
-
     def scored(self, pairs: DataFrame) -> DataFrame:
         """Adds the level of each comparison field and ``weight``, the sum of the fields' learned weights.
 
