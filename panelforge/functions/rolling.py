@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-_BY = Window.partitionBy("ai").orderBy("t")
+
+def _by():
+    return Window.partitionBy("ai").orderBy("t")
 
 
 def _frame(w: int):
-    return _BY.rowsBetween(-(w - 1), 0)
+    return _by().rowsBetween(-(w - 1), 0)
 
 
 def _full(x: Column, w: int, value: Column) -> Column:
@@ -29,11 +31,11 @@ def _values(x: Column, w: int) -> Column:
 
 
 def delay(x: Column, d: int) -> Column:
-    return F.lag(x, d).over(_BY)
+    return F.lag(x, d).over(_by())
 
 
 def delta(x: Column, d: int) -> Column:
-    return x - F.lag(x, d).over(_BY)
+    return x - F.lag(x, d).over(_by())
 
 
 total = _over(F.sum)

@@ -1 +1 @@
-
+"""Search over formulas: deduplication, scoring, guidance, generation, sessions."""
