@@ -35,27 +35,41 @@ class ScoreWeights:
 COMPONENTS = tuple(f.name for f in fields(ScoreWeights))
 
 
-_SETS = ("operator_shingles", "ordered_paths", "fields", "field_families", "groups", "lineage_parents")
+_SETS = ("operator_shingles", "fields", "field_families", "groups")
 _COUNTS = ("operator_histogram", "window_buckets")
 _MASK_WEIGHTS = tuple(PARTS[n] for n in (*_SETS, *_COUNTS))
 
 
 class Mask:
-    """A descriptor as integers, so that distances are a few bit counts: a bit for each value, n bits for a count of n."""
+    """A descriptor as integers, so that distances are a few bit counts: a bit for each value, n bits for a count of n.
 
-    __slots__ = ("flags", "parts")
-    _bits: dict[tuple, int] = {}
+    Paths and parents have too many values for that and stay sets.
+    """
+
+    __slots__ = ("flags", "parents", "parts", "paths")
+    _bits: dict[str, dict[tuple, int]] = {}
+
+    def _bit(self, value: tuple) -> int:
+        own = self._bits.setdefault(value[0], {})
+        return own.setdefault(value, len(own))
 
     def __init__(self, d: Descriptor):
         sets = [[(n, v) for v in getattr(d, n)] for n in _SETS]
         counts = [[(n, k, i) for k, c in getattr(d, n).items() for i in range(c)] for n in _COUNTS]
-        self.parts = tuple(sum(1 << self._bits.setdefault(v, len(self._bits)) for v in values) for values in (*map(dict.fromkeys, sets), *counts))
+        self.parts = tuple(sum(1 << self._bit(v) for v in set(values)) for values in (*sets, *counts))
+        self.paths, self.parents = frozenset(d.ordered_paths), frozenset(d.lineage_parents)
         self.flags = d.nonlinear | d.conditional << 1
 
 
 def mask_distance(a: Mask, b: Mask) -> float:
     """The same as ``descriptor.distance``: what differs over what there is, for sets and counts alike."""
     out = PARTS["flags"] * (a.flags ^ b.flags).bit_count() / 2
+    both = len(a.paths & b.paths)
+    union = len(a.paths) + len(b.paths) - both
+    if union:
+        out += PARTS["ordered_paths"] * (1 - both / union)
+    if a.parents != b.parents:
+        out += PARTS["lineage_parents"] * (1 - len(a.parents & b.parents) / len(a.parents | b.parents))
     for w, x, y in zip(_MASK_WEIGHTS, a.parts, b.parts):
         if x != y:
             out += w * (x ^ y).bit_count() / (x | y).bit_count()
