@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm._candidates import current_candidates
-from panelforge.llm._prefixes import key_rows, possible, rarity_counts, verified, with_prefixes
+from panelforge.llm._prefixes import LIST_ROWS, key_rows, possible, rarity_counts, verified, with_prefixes
 from panelforge.plans.lineage import cut
 
 
@@ -25,18 +25,18 @@ def set_classes(df: DataFrame, item: str, tokens: str) -> DataFrame:
     return rows.select("item", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), F.reverse("tokens")).alias("k2"), F.size("tokens").alias("n"), "tokens")
 
 
-def similar_classes(members: DataFrame, threshold: float) -> DataFrame:
+def similar_classes(members: DataFrame, threshold: float, list_rows: int = LIST_ROWS) -> DataFrame:
     """a1, a2, b1, b2, similarity: pairs of different classes of ``members`` that are similar.
 
     Prefix-filtered join: one row stands for all equal sets; tokens are ordered by rarity over all rows; only the
     prefixes that the threshold asks for are indexed, as narrow rows; length, positional and bit filters are part of the
     join's own condition, so few pairs leave it, and only those are held against each other token by token. Lists of
-    frequent tokens are split over salts.
+    frequent tokens are split over salts, ``list_rows`` rows in each.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     classes = members.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    indexed = cut(with_prefixes(classes, "tokens", rarity_counts(members, "tokens"), threshold))
+    indexed = cut(with_prefixes(classes, "tokens", rarity_counts(members, "tokens"), threshold, list_rows))
     keys = key_rows(indexed)
     left = keys.withColumn("salt", F.pmod("k1", F.col("salts")).cast("int")).drop("salts").alias("a")
     right = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").alias("b")
@@ -46,7 +46,7 @@ def similar_classes(members: DataFrame, threshold: float) -> DataFrame:
     return verified(pairs, indexed.select("k1", "k2", "n", "tokens"), threshold)
 
 
-def similar_pairs(df: DataFrame, item: str, tokens: str, threshold: float) -> DataFrame:
+def similar_pairs(df: DataFrame, item: str, tokens: str, threshold: float, list_rows: int = LIST_ROWS) -> DataFrame:
     """item_a < item_b, similarity: every pair of items whose sets have Jaccard of at least ``threshold``.
 
     ``df[tokens]`` are the hashes of ``value_tokens``; repeated rows of one item add nothing; null items, null and empty
@@ -56,7 +56,7 @@ def similar_pairs(df: DataFrame, item: str, tokens: str, threshold: float) -> Da
     """
     members = cut(set_classes(df, item, tokens))
     narrow = members.select("item", "k1", "k2")
-    pairs = similar_classes(members, threshold)
+    pairs = similar_classes(members, threshold, list_rows)
     many = narrow.groupBy("k1", "k2").agg(F.count("*").alias("rows")).filter(F.col("rows") > 1)
     own = many.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.lit(1.0).alias("similarity"))
     links = own.unionByName(pairs)

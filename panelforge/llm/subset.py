@@ -185,11 +185,10 @@ def diverse_subsets(candidates: DataFrame, requests: DataFrame, how: str = "sqrt
     if not asked:
         return empty
     base, table = new_table_path(spark, "described"), new_table_path(spark, "pool")
-    described(candidates).write.parquet(base)
-    rows = spark.read.parquet(base)
+    rows = _written(described(candidates), base)
     alike = rows.groupBy("sig").agg(F.min(F.struct("draw", "candidate_id")).alias("one"), F.first("family").alias("family"), F.first("slots").alias("slots"))
-    alike.select(F.col("one.candidate_id").alias("candidate_id"), F.col("one.draw").alias("draw"), "family", "slots", F.pmod("one.draw", F.lit(BATCHES)).alias("bucket")).write.partitionBy("bucket").parquet(table)
-    pool = spark.read.parquet(table)
+    one = alike.select(F.col("one.candidate_id").alias("candidate_id"), F.col("one.draw").alias("draw"), "family", "slots", F.pmod("one.draw", F.lit(BATCHES)).alias("bucket"))
+    pool = _written(one, table, "bucket")
     model = MiniBatchKMeans(pool, asked)
     for _ in range(passes):
         for bucket in range(BATCHES):
@@ -209,6 +208,12 @@ def diverse_subsets(candidates: DataFrame, requests: DataFrame, how: str = "sqrt
     return out.unionByName(_copies(rows, missing)) if missing else out
 
 
+def _written(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """``df`` as a table in the shared folder; the schema is given, as an empty table has no file to read it from."""
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _copies(rows: DataFrame, missing: list[tuple[int, str | None, int]]) -> DataFrame:
     """For requests with too few different descriptions: further copies, the second of each description first."""
     short = rows.sparkSession.createDataFrame(missing, "request_id int, wanted string, lacking int")  # no more than the requests
