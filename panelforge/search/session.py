@@ -258,6 +258,13 @@ class Session:
         except json.JSONDecodeError as e:
             raise SessionError(f"not a checkpoint: {e}") from e
         _require(isinstance(d, dict) and d.get("schema") in (1, 2, 3), "unsupported checkpoint schema")
+        try:
+            return Session._rebuilt(d, config, catalog, history)
+        except (KeyError, TypeError, AttributeError) as e:
+            raise SessionError(f"the checkpoint is corrupt: {e}") from e
+
+    @staticmethod
+    def _rebuilt(d: dict, config: SessionConfig, catalog: Catalog | None, history: ExcludedHistory | None) -> Session:
         s = Session(config, catalog)
         _require(d["config"] == json.loads(json.dumps(dataclasses.asdict(config))) and d["catalog"] == s.catalog.checksum, "config or catalog differs from the checkpoint's")
         for name in ("attempted", "emitted", "measured", "screened_out", "imported"):
