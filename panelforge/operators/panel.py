@@ -71,6 +71,7 @@ def densified(observed: DataFrame, fields: list[str], groups: list[str] | None =
     Each asset is written out over all times, which is what a dense panel is; then the cells are joined by key.
     """
     groups = groups or []
+    observed = cut(observed)  # read several times below
     times = cut(numbered(observed.select("ts").filter("ts is not null").distinct(), "ts", "t"))
     names = numbered(observed.select("asset").filter("asset is not null").distinct(), "asset", "ai")
     if groups:
