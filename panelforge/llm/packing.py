@@ -73,41 +73,47 @@ def pack(items: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
     An item above the capacity is cut into full pieces and a rest; others stay whole (piece_no 1). Null, zero and
     negative sizes need no room: they are spread evenly over the containers (container 0 if there are none). Repeated
     rows are items of their own; an empty table gives no rows. ``item`` needs an order; null items are allowed.
+    """
+    return pack_all(items, item, size, {0: capacity}).drop("budget_id")
+
+
+def pack_all(items: DataFrame, item: str, size: str, capacities: dict[int, int]) -> DataFrame:
+    """``pack`` for several capacities at once, by budget_id.
 
     Only how many items there are of each size is gathered, at most ``capacity`` numbers; the plan made of them says
     which places of each size lie in which container. Items get their places within their size by one global sort.
     """
-    if capacity < 1:
-        raise ValueError("capacity must be at least 1")
+    if not capacities or min(capacities.values()) < 1:
+        raise ValueError("capacities must be at least 1")
     spark = items.sparkSession
     whole = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
-    cuts = items.select(F.col(item).alias("item"), whole.alias("n"))
-    pieces = F.sequence(F.lit(1), F.greatest(F.ceil(F.col("n") / F.lit(capacity)), F.lit(1)).cast("int"))
-    rows = cuts.select("item", "n", F.explode(pieces).alias("piece_no"))
-    rows = cut(rows.select("item", "piece_no", F.least(F.lit(capacity), F.col("n") - (F.col("piece_no") - 1) * F.lit(capacity)).cast("int").alias("n_tokens")))
-    histogram = {r["n_tokens"]: r["c"] for r in rows.groupBy("n_tokens").agg(F.count("*").alias("c")).collect()}
-    histogram.pop(0, None)
-    plan = fill_plan(histogram, capacity)
-    containers = sum(times for _, times, _ in plan)
-    spans, used = [], dict.fromkeys(histogram, 0)
-    for first, times, pattern in plan:
-        for length, each in pattern.items():
-            spans.append((length, used[length] + 1, used[length] + each * times, each, first))
-            used[length] += each * times
-    placed = positions(rows, ["n_tokens"], [F.col("item").asc_nulls_first(), F.col("piece_no").asc()], "place")
-    if not spans:
-        return placed.select(F.col("item").alias(item), "piece_no", "n_tokens", F.lit(0).cast("long").alias("container_id"))
-    # lists of one entry a span, found by length: their size follows the capacity, not the items
-    by_length: dict[int, list[tuple[int, int, int]]] = {}
-    for length, a, _, each, first in spans:
-        by_length.setdefault(length, []).append((a, each, first))
-    table = spark.createDataFrame([(k, [x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for k, v in by_length.items()], "n_tokens int, starts array<long>, eachs array<long>, firsts array<long>")
-    joined = placed.join(F.broadcast(table), "n_tokens", "left")
-    # the last start at or below the place, by halving
-    found = joined.withColumn("k", F.when(F.col("starts").isNotNull(), _last_at_most("starts", "place")))
+    budgets = F.explode(F.array(*(F.struct(F.lit(b).alias("budget_id"), F.lit(c).alias("capacity")) for b, c in capacities.items()))).alias("b")
+    cuts = items.select(F.col(item).alias("item"), whole.alias("n"), budgets).select("item", "n", "b.*")
+    pieces = F.sequence(F.lit(1), F.greatest(F.ceil(F.col("n") / F.col("capacity")), F.lit(1)).cast("int"))
+    rows = cuts.select("budget_id", "capacity", "item", "n", F.explode(pieces).alias("piece_no"))
+    rows = cut(rows.select("budget_id", "item", "piece_no", F.least(F.col("capacity"), F.col("n") - (F.col("piece_no") - 1) * F.col("capacity")).cast("int").alias("n_tokens")))
+    histograms: dict[int, dict[int, int]] = {b: {} for b in capacities}
+    for r in rows.filter("n_tokens > 0").groupBy("budget_id", "n_tokens").agg(F.count("*").alias("c")).collect():  # at most the capacities
+        histograms[r["budget_id"]][r["n_tokens"]] = r["c"]
+    # one entry a pattern and length: their number follows the capacity, not the items
+    table = []
+    for b, capacity in capacities.items():
+        lists: dict[int, tuple[list, list, list]] = {0: ([], [], [])}
+        used = dict.fromkeys(histograms[b], 0)
+        containers = 0
+        for first, times, pattern in fill_plan(histograms[b], capacity):
+            containers = first + times - 1
+            for length, each in pattern.items():
+                for values, x in zip(lists.setdefault(length, ([], [], [])), (used[length] + 1, each, first)):
+                    values.append(x)
+                used[length] += each * times
+        table += [(b, length, containers, *values) for length, values in lists.items()]
+    spans = spark.createDataFrame(table, "budget_id int, n_tokens int, containers long, starts array<long>, eachs array<long>, firsts array<long>")
+    placed = positions(rows, ["budget_id", "n_tokens"], [F.col("item").asc_nulls_first(), F.col("piece_no").asc()], "place")
+    found = placed.join(F.broadcast(spans), ["budget_id", "n_tokens"]).withColumn("k", _last_at_most("starts", "place"))
     container = F.get("firsts", F.col("k")) + F.floor((F.col("place") - F.get("starts", F.col("k"))) / F.get("eachs", F.col("k")))
-    empty = F.pmod(F.col("place") - 1, F.lit(containers)) + 1
-    return found.select(F.col("item").alias(item), "piece_no", "n_tokens", F.when(F.col("n_tokens") == 0, empty).otherwise(container).cast("long").alias("container_id"))
+    empty = F.when(F.col("containers") > 0, F.pmod(F.col("place") - 1, F.col("containers")) + 1).otherwise(F.lit(0))
+    return found.select("budget_id", F.col("item").alias(item), "piece_no", "n_tokens", F.when(F.col("n_tokens") == 0, empty).otherwise(container).cast("long").alias("container_id"))
 
 
 def _last_at_most(starts: str, value: str):
@@ -119,11 +125,7 @@ def _last_at_most(starts: str, value: str):
 
 def pack_documents(documents: DataFrame, budgets: DataFrame) -> DataFrame:
     """budget_id, doc_id, piece_no, n_tokens, container_id for each budget of purpose pack (a table of a few rows)."""
-    sizes = cut(count_tokens(documents, "doc_id", "text"))
-    out = None
-    for b in budgets.filter((F.lower("purpose") == "pack") & (F.col("max_tokens") > 0)).orderBy("budget_id").collect():  # 6 rows at any scale
-        one = pack(sizes, "doc_id", "n_tokens", b["max_tokens"]).select(F.lit(b["budget_id"]).alias("budget_id"), "doc_id", "piece_no", "n_tokens", "container_id")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    capacities = {b["budget_id"]: b["max_tokens"] for b in budgets.filter("lower(purpose) = 'pack' and max_tokens > 0").orderBy("budget_id").collect()}  # 6 rows at any scale
+    if not capacities:
         return documents.sparkSession.createDataFrame([], "budget_id int, doc_id long, piece_no int, n_tokens int, container_id long")
-    return out
+    return pack_all(count_tokens(documents, "doc_id", "text"), "doc_id", "n_tokens", capacities)
