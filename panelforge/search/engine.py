@@ -10,6 +10,7 @@ from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 
@@ -21,6 +22,7 @@ from panelforge.expr.descriptor import Descriptor, describe
 from panelforge.expr.parser import parse
 from panelforge.search import transform
 from panelforge.search.artifacts import SCHEMA, ArtifactError, write_json
+from panelforge.search.feedback import FeedbackConfig, FeedbackDataset, PolicyConfig, features
 from panelforge.search.scoring import Mask, ScoreWeights, components, mask_distance, score
 from panelforge.search.transform import COVERS, Limits, Provenance
 
@@ -40,6 +42,9 @@ class SearchSpec:
     limits: Limits = field(default_factory=Limits)
     weights: ScoreWeights = field(default_factory=ScoreWeights)
     cover: str = "fixed"
+    seed_from_archive: bool = False  # the archive is the first population; its formulas don't come out
+    freeze_parents: bool = False  # parents stay those of the archive
+    feedback_elites: int = 0  # places among the parents for the best measured or guided
     seconds: float | None = None
     pause_after: int | None = None  # generations, for checkpoints
 
@@ -52,6 +57,10 @@ class SearchSpec:
                 raise ValueError(f"{name} must be between 1 and {most}")
         if self.cover not in ("fixed", "seeded_diverse", "motif_diverse"):
             raise ValueError(f"unknown cover policy `{self.cover}`")
+        if self.freeze_parents and not self.seed_from_archive:
+            raise ValueError("frozen parents need seeding from the archive")
+        if not 0 <= self.feedback_elites <= self.parents:
+            raise ValueError("feedback_elites must be between 0 and the number of parents")
         return self
 
     @property
@@ -102,6 +111,72 @@ def in_turns(drafts: list[Draft], limit: int) -> list[Draft]:
     return out
 
 
+@dataclass(frozen=True)
+class ActionPolicy:
+    """How often to mutate or cross, and by which classes, as whole weights."""
+
+    mutation: int = 1
+    crossover: int = 2
+    classes: tuple[tuple[str, int], ...] = tuple((c, 1) for c in transform.MUTATIONS)
+
+
+def action_policy(archive: list[dict], dataset: FeedbackDataset, config: PolicyConfig | None = None) -> ActionPolicy:
+    """Weights moved by the measured outcomes of the archive's formulas, by how they were made.
+
+    An action with enough measured formulas is multiplied by 1 + strength x (20 x (its mean outcome less the overall
+    mean), within -1 and 1), within the policy's bounds; outcomes are weighted by confidence.
+    """
+    config = (config or PolicyConfig()).checked()
+    known = {r.semantic_fingerprint: (r.outcome, r.confidence) for r in dataset.checked().records if r.semantic_fingerprint}
+    if not known:
+        raise ValueError("the dataset has no fingerprints")
+    mean = lambda xs: sum(o * c for o, c in xs) / sum(c for _, c in xs)
+    overall = mean(list(known.values()))
+
+    def weight(base: int, made: Callable[[dict], bool]) -> int:
+        measured = [known[r["semantic_fingerprint"]] for r in archive if r["semantic_fingerprint"] in known and made(r["provenance"])]
+        share = min(max(20 * (mean(measured) - overall), -1.0), 1.0) if len(measured) >= config.minimum_support else 0.0
+        multiplier = min(max(1 + config.strength * share, config.exploration_floor), config.maximum_multiplier)
+        return int(min(max(base * config.weight_scale * multiplier + 0.5, 1), 65535))
+
+    classes = tuple((c, weight(1, lambda p, o=o: p["kind"] == "mutation" and p["operation"] == o)) for c, o in transform.MUTATIONS.items())
+    return ActionPolicy(weight(1, lambda p: p["kind"] == "mutation"), weight(2, lambda p: p["kind"] == "crossover"), classes)
+
+
+def neighbour_guidance(dataset: FeedbackDataset, config: FeedbackConfig) -> Callable[[Draft], float | None]:
+    """The conservative outcome of a draft by its nearest measured records, or its own; None without enough of them.
+
+    For the few hundred drafts of a generation; ``feedback.guided`` does the same for tables.
+    """
+    dataset.checked(), config.checked()
+    keys = sorted(dataset.feature_scales)
+    scales = np.array(dataset.scales)
+    vec = np.array([[r.features[k] for k in keys] for r in dataset.records])
+    outcome, confidence = (np.array([getattr(r, n) for r in dataset.records]) for n in ("outcome", "confidence"))
+    order = np.argsort(np.argsort([r.record_id for r in dataset.records]))
+    own = {r.semantic_fingerprint: r.outcome for r in dataset.records if r.semantic_fingerprint}
+    known: dict[str, float | None] = {}
+
+    def guide(d: Draft) -> float | None:
+        if d.semantic in own:
+            return own[d.semantic]
+        if d.semantic not in known:
+            f = features(d.descriptor, d.pool["root_family"], d.node.node_count, d.node.depth)
+            far = np.minimum(np.abs(vec - np.array([f[k] for k in keys])) / scales, 1.0).mean(1)
+            near = np.flatnonzero(far <= config.maximum_distance)
+            near = near[np.lexsort((order[near], far[near]))][: config.neighbors]
+            value = None
+            if len(near) >= config.minimum_neighbors:
+                w = np.maximum(1 - far[near], 1e-9) ** 2 * confidence[near]
+                m = float((w * outcome[near]).sum() / w.sum())
+                spread = float(np.sqrt(max((w * outcome[near] ** 2).sum() / w.sum() - m * m, 0.0)))
+                value = min(1.0, max(-1.0, m - spread / np.sqrt(len(near))))
+            known[d.semantic] = value
+        return known[d.semantic]
+
+    return guide
+
+
 def compatible(catalog: Catalog) -> Catalog:
     """A search catalog has only built-in operators of the same grammar; windows may be narrower, variadics fixed."""
     for o in catalog.operators:
@@ -143,21 +218,33 @@ class Search:
     same. They are merged in the order of their slots.
     """
 
-    def __init__(self, spec: SearchSpec, catalog: Catalog | None = None, archive: list[str] | None = None, spark: SparkSession | None = None, guidance: Callable[[Draft], float | None] | None = None, spread_from: int = 2048):
+    def __init__(self, spec: SearchSpec, catalog: Catalog | None = None, archive: list[str] | None = None, spark: SparkSession | None = None, guidance: Callable[[Draft], float | None] | None = None, spread_from: int = 2048, policy: ActionPolicy | None = None):
         self.spec, self.catalog = spec.checked(), compatible(catalog or builtin())
+        if spec.feedback_elites and guidance is None:
+            raise ValueError("feedback elites need guidance")
+        if policy is not None and guidance is None:
+            raise ValueError("an action policy needs guidance")
+        if (spec.seed_from_archive or policy is not None) and not archive:
+            raise ValueError("seeding and action policies need an archive")
+        self.policy = policy or ActionPolicy()
+        self.given_policy = policy is not None
         self.spark, self.guidance, self.spread_from = spark, guidance, spread_from
         self.weights = spec.weights.normalized()
         self.archive: list[Mask] = []
         self.seen = _Seen(spec.semantic_ids)
-        ids = []
+        ids, texts = [], []
         for text in archive or []:
             node = parse(text, self.catalog)
             a = analyze(node)
             if a.rejection_reason is None and self.seen.add(a.semantic_fingerprint):
                 ids.append(a.semantic_fingerprint)
                 self.archive.append(Mask(describe(node, (), self.catalog)))
+                texts.append(canonical(node))
         self.archive_checksum = hashlib.sha256("\n".join(sorted(ids)).encode()).hexdigest()
-        self.run_id = hashlib.sha256(json.dumps([spec.identity, self.catalog.checksum, self.archive_checksum], sort_keys=True).encode()).hexdigest()
+        self.archive_texts = texts
+        if spec.seed_from_archive and not texts:
+            raise ValueError("the archive has no usable formula")
+        self.run_id = hashlib.sha256(json.dumps([spec.identity, self.catalog.checksum, self.archive_checksum, dataclasses.asdict(self.policy) if policy else None, guidance is not None], sort_keys=True).encode()).hexdigest()
         self.population: list[Draft] = []
         self.elites: dict[str, Draft] = {}
         self.counts = dict.fromkeys(("attempted", "accepted", "duplicates", "trivial", "invalid", "generations"), 0)
@@ -181,18 +268,18 @@ class Search:
         return Draft(node, text, identity, provenance, d, self.counts["attempted"], pool)
 
     def _offspring(self, generation: int, slots: range, parents: list[str]) -> Iterator[tuple[str, str | None, str | None, Provenance]]:
-        spec, catalog = self.spec, self.catalog
+        spec, catalog, policy = self.spec, self.catalog, self.policy if self.given_policy else None
         if self.spark is None or len(slots) < self.spread_from:
             nodes = [parse(p, catalog) for p in parents]
             for slot in slots:
-                yield _make(spec.seed, generation, slot, nodes, spec.limits, catalog)
+                yield _make(spec.seed, generation, slot, nodes, spec.limits, catalog, policy)
             return
         seed, limits = spec.seed, spec.limits
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             nodes = [parse(p, catalog) for p in parents]
             for batch in batches:
-                rows = [(s, *_make(seed, generation, int(s), nodes, limits, catalog)) for s in batch["id"]]
+                rows = [(s, *_make(seed, generation, int(s), nodes, limits, catalog, policy)) for s in batch["id"]]
                 yield pd.DataFrame([(s, t, i, r, json.dumps(p.to_dict())) for s, t, i, r, p in rows], columns=["slot", "text", "identity", "reason", "provenance"])
 
         made = self.spark.range(slots.start, slots.stop).mapInPandas(run, "slot long, text string, identity string, reason string, provenance string")
@@ -244,7 +331,7 @@ class Search:
                 write_json(checkpoint, self.state())
             self._score()
             self._keep()
-            parents = [d.text for d in in_turns(self._ordered(self.population), spec.parents)] or [f.name for f in self.catalog.fields]
+            parents = self._parents()
             n = min(spec.batch, spec.max_candidates - self.counts["attempted"])
             generation = self.counts["generations"] + 1
             for text, identity, why, provenance in self._offspring(generation, range(n), parents):
@@ -264,7 +351,21 @@ class Search:
         }
         return [self.record(d) for d in chosen], manifest
 
+    def _parents(self) -> list[str]:
+        """Feedback elites first, then the population in turns; the archive's formulas where they seed or stay."""
+        spec = self.spec
+        if spec.freeze_parents:
+            return self.archive_texts[: spec.parents]
+        ordered = self._ordered(self.population)
+        measured = [d for d in ordered if self.guidance is not None and self.guidance(d) is not None][: spec.feedback_elites]
+        texts = [d.text for d in (*measured, *in_turns(ordered, spec.parents))]
+        if spec.seed_from_archive and len(texts) < spec.parents:
+            texts += self.archive_texts
+        return list(dict.fromkeys(texts))[: spec.parents] or [f.name for f in self.catalog.fields]
+
     def _initial(self) -> Iterator[tuple[Node, Provenance]]:
+        if self.spec.seed_from_archive:
+            return
         made = transform.cover(self.spec.cover, self.spec.seed, self.spec.limits, self.catalog)
         for i in range(min(INITIAL, self.spec.max_candidates)):
             yield made[i] if i < len(made) else transform.sample(self.spec.seed, i, self.spec.limits, self.catalog)
@@ -299,12 +400,17 @@ class Search:
         self.population = [self.elites.get(d.semantic, d) for d in map(unpack, state["population"])]
 
 
-def _make(seed: int, generation: int, slot: int, parents: list[Node], limits: Limits, catalog: Catalog) -> tuple[str, str | None, str | None, Provenance]:
+def _make(seed: int, generation: int, slot: int, parents: list[Node], limits: Limits, catalog: Catalog, policy: ActionPolicy | None = None) -> tuple[str, str | None, str | None, Provenance]:
     index = (generation << 32) | slot
     rng = transform.rng_for("offspring", seed, generation, slot)
     left = parents[rng.randrange(len(parents))]
-    if slot % 3 == 0 or len(parents) < 2:
-        node, provenance = transform.mutate(left, seed, index, limits, catalog)
+    cls = None
+    mutation = slot % 3 == 0
+    if policy is not None:
+        mutation = rng.random() * (policy.mutation + policy.crossover) < policy.mutation
+        cls = rng.choices([c for c, _ in policy.classes], [w for _, w in policy.classes])[0]
+    if mutation or len(parents) < 2:
+        node, provenance = transform.mutate(left, seed, index, limits, catalog, cls)
     else:
         node, provenance = transform.crossover(left, parents[rng.randrange(len(parents))], seed, index, limits, catalog)
     return (*prepare(node, provenance, limits, catalog), provenance)

@@ -33,6 +33,24 @@ def test_search_is_repeatable_resumes_and_spreads(spark, tmp_path):
         engine.SearchSpec(shortlist=0).checked()
 
 
+def test_guided_and_seeded_search():
+    spec = engine.SearchSpec(seed=2, max_candidates=300, shortlist=12)
+    first, _ = engine.Search(spec).run()
+    archive = [r["expression"] for r in first]
+    records = tuple(feedback.Record(str(i), {"depth": float(r["depth"]), "nodes": float(r["nodes"])}, 0.9 if r["provenance"]["kind"] == "mutation" else -0.9, 1.0, r["semantic_fingerprint"]) for i, r in enumerate(first))
+    data = feedback.FeedbackDataset("d", "c", "o", SCALES, records)
+    guide = engine.neighbour_guidance(data, feedback.FeedbackConfig(3, 1))
+    policy = engine.action_policy(first, data, feedback.PolicyConfig(minimum_support=1))
+    assert policy.mutation == 15 and policy.crossover <= 20
+    seeded = engine.SearchSpec(seed=2, max_candidates=300, shortlist=12, seed_from_archive=True, freeze_parents=True, feedback_elites=4)
+    run = lambda: engine.Search(seeded, archive=archive, guidance=guide, policy=policy).run()[0]
+    out = run()
+    assert out == run() and not {r["expression"] for r in out} & set(archive) and all(r["provenance"]["kind"] != "initial" for r in out)
+    for bad in ({"guidance": None, "archive": archive}, {"guidance": guide, "archive": None}):
+        with pytest.raises(ValueError):
+            engine.Search(seeded, policy=policy, **bad)
+
+
 def test_publication_and_reading(spark, tmp_path):
     records, manifest = engine.Search(engine.SearchSpec(seed=1, max_candidates=200, shortlist=10)).run()
     out = str(tmp_path / "c.jsonl")
