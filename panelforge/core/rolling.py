@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.plans.current import latest
+from panelforge.plans.lineage import cut
 
 
 def day_of(ts: Column, unit: Column) -> Column:
@@ -78,6 +79,7 @@ def panel_daily(rows: DataFrame, datasets: DataFrame) -> tuple[DataFrame, DataFr
     now = latest(dated, ["dataset_id", "asset", "day", "ts", "bar_no"], [F.col("ingested_at").desc_nulls_last(), F.col("row_id").desc_nulls_last()])
     volume = F.greatest(_clean("fld_volume"), F.lit(0.0))
     daily = now.groupBy("dataset_id", "asset", "day").agg(F.sum(volume).alias("fld_volume"), F.sum(_clean("realized_returns")).alias("realized_returns"), F.min("last_day").alias("last_day"))
+    daily = cut(daily)  # for the calendar and the totals
     calendar = daily.groupBy("dataset_id", "asset").agg(F.min("day").alias("first_day"), F.min("last_day").alias("last_day"))
     return daily.drop("last_day"), calendar
 
