@@ -140,8 +140,35 @@ _P3 = """WITH scale AS (SELECT dataset_id, neighbors, e.key AS k, e.value AS s F
   near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, a ORDER BY d, b) AS place FROM dist) WHERE place <= k)"""
 
 
+def _quantile_sql(p: str) -> str:
+    """The same rational functions as ``ranking.inverse_normal``."""
+
+    def poly(coefficients: list[float], x: str) -> str:
+        out = repr(coefficients[-1])
+        for c in reversed(coefficients[:-1]):
+            out = f"({out} * {x} + CAST({c!r} AS DOUBLE))"
+        return out
+
+    q, tail = f"({p} - 0.5)", f"sqrt(-ln(CASE WHEN {p} < 0.5 THEN {p} ELSE 1 - {p} END))"
+    centre = f"(0.180625 - {q} * {q})"
+    near = f"{poly(ranking._C, f'({tail} - 1.6)')} / {poly(ranking._D, f'({tail} - 1.6)')}"
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {poly(ranking._A, centre)} / {poly(ranking._B, centre)} WHEN {q} < 0 THEN -({near}) ELSE {near} END"
+
+
 def _more_sql() -> dict[str, str]:
+    ranked = f"""{_P6_LONG}, pct AS (SELECT run_id, candidate_id, (rank() OVER (PARTITION BY run_id, s ORDER BY v) - 1 + count(*) OVER (PARTITION BY run_id, s, v) / 2.0) / usable AS p FROM placed),
+  z AS (SELECT run_id, candidate_id, count(*) AS n_scores, round(avg({_quantile_sql("CAST(p AS DOUBLE)")}), 9) AS combined FROM pct GROUP BY 1, 2),
+  items AS (SELECT cur.run_id, cur.candidate_id, coalesce(n_scores, 0) AS n_scores, combined FROM cur LEFT JOIN z ON z.candidate_id = cur.candidate_id AND z.run_id IS NOT DISTINCT FROM cur.run_id)"""
+    classes = f"""{_P2}, sets AS (SELECT candidate_id, string_agg(v, chr(1) ORDER BY v) AS key FROM vals GROUP BY 1), eq AS (SELECT *, min(candidate_id) OVER (PARTITION BY key) AS class_id, count(*) OVER (PARTITION BY key) AS n_equal FROM sets),
+  good AS (SELECT x, y FROM over WHERE o >= 0.85 * (nx + ny - o) - 1e-9), ends AS (SELECT x AS a, y AS b FROM good UNION ALL SELECT y, x FROM good),
+  cnt AS (SELECT a, count(*) AS n FROM ends JOIN sets s ON s.candidate_id = a JOIN sets r ON r.candidate_id = b WHERE s.key <> r.key GROUP BY 1)"""
+    clusters = f"""{_P1.replace("WITH ", "WITH RECURSIVE ", 1)}, duo AS (SELECT x AS a, y AS b FROM linked UNION SELECT y, x FROM linked),
+  reach AS (SELECT a, b FROM duo UNION SELECT reach.a, duo.b FROM reach JOIN duo ON duo.a = reach.b), rep AS (SELECT a AS id, min(least(a, b)) AS class_id FROM reach GROUP BY 1),
+  n AS (SELECT a AS id, count(*) AS n FROM duo GROUP BY 1), ids AS (SELECT DISTINCT id FROM src)"""
     return {
+        "p1_clusters": f"{clusters} SELECT id, coalesce(class_id, id) AS class_id, coalesce(n, 0) AS n_links FROM ids LEFT JOIN rep USING (id) LEFT JOIN n USING (id)",
+        "p2_classes": f"{classes} SELECT candidate_id, class_id, n_equal, coalesce(n, 0) AS n_links FROM eq LEFT JOIN cnt ON a = candidate_id",
+        "p6_ranking": f"{ranked} SELECT run_id, candidate_id, n_scores, round(combined, 6) AS combined, row_number() OVER (PARTITION BY run_id ORDER BY combined DESC NULLS LAST, candidate_id) AS position FROM items",
         "p1_found": f"{_P1} SELECT x AS earlier_id, y AS proposal_id FROM linked",
         "p3_found": f"{_P3} SELECT DISTINCT least(a, b) AS record_a, greatest(a, b) AS record_b FROM near",
         "p3_neighbors": f"{_P3} SELECT dataset_id, a AS record_id, b AS neighbor_id, round(d, 6) AS distance, place FROM near",
