@@ -196,4 +196,37 @@ def oracle_sql() -> dict[str, str]:
     out["field_diversity"] = f"""WITH c AS (SELECT candidate_id, array_to_string(list_sort(list_distinct(coalesce(d.fields, []))), ',') AS f FROM ({_CUR})), k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY candidate_id) AS rn FROM c),
   s AS (SELECT *, sum(CASE WHEN rn <= 2 THEN 1 ELSE 0 END) OVER (ORDER BY candidate_id ROWS UNBOUNDED PRECEDING) AS taken FROM k)
   SELECT candidate_id, CASE WHEN taken - CASE WHEN rn <= 2 THEN 1 ELSE 0 END >= 200 THEN 'remaining' WHEN rn > 2 THEN 'deferred' ELSE 'selected' END AS status FROM s"""
+    out["dedup_partition"] = """WITH e AS (SELECT event_id AS position, event_id % 3 AS kind, list_extract(['close', 'open', 'high', 'low', 'volume'], CAST(user_id % 5 + 1 AS BIGINT)) AS f, CAST(event_id % 7 + 2 AS VARCHAR) AS w, event_id % 11 = 0 AS own FROM events),
+  o AS (SELECT *, CASE WHEN own THEN f ELSE 'open' END AS g FROM e),
+  i AS (SELECT position, kind = 2 AND g = f AS zero, CASE WHEN kind = 0 THEN 'm' || f || w WHEN kind = 1 AND g = f THEN f WHEN kind = 1 THEN 'a' || least(f, g) || greatest(f, g) ELSE 's' || g || f END AS identity FROM o),
+  k AS (SELECT *, min(position) OVER (PARTITION BY identity) AS first FROM i)
+  SELECT position, CASE WHEN zero THEN 'rejected' WHEN position = first THEN 'accepted' ELSE 'duplicate' END AS status, CASE WHEN zero THEN 'provably_zero' END AS reason, CASE WHEN NOT zero AND position <> first THEN first END AS duplicate_of FROM k"""
+    sets = ["operator_shingles", "ordered_paths", "fields", "field_families", "groups", "lineage_parents"]
+    weights = {"operator_shingles": 0.24, "ordered_paths": 0.16, "fields": 0.08, "field_families": 0.10, "groups": 0.05, "lineage_parents": 0.05, "operator_histogram": 0.14, "window_buckets": 0.08}
+    clean = lambda c: f"list_distinct(list_filter(coalesce({c}, []), lambda v: v IS NOT NULL))"
+    part = lambda n: f"{weights[n]} * CASE WHEN len(list_distinct(list_concat(x.{n}, y.{n}))) = 0 THEN 0 ELSE 1 - len(list_intersect(x.{n}, y.{n})) / len(list_distinct(list_concat(x.{n}, y.{n}))) END"
+    hist = lambda n: f"""{n}_d AS (SELECT c, sum(abs(l - r)) / nullif(sum(greatest(l, r)), 0) AS d FROM (SELECT c, k, sum(l) AS l, sum(r) AS r FROM (
+    SELECT x.candidate_id AS c, e.key AS k, e.value AS l, 0 AS r FROM (SELECT candidate_id, unnest(map_entries(d.{n})) AS e FROM c) x UNION ALL
+    SELECT x.candidate_id, e.key, 0, e.value FROM (SELECT c.candidate_id, unnest(map_entries(f.d.{n})) AS e FROM c JOIN f USING (run_id)) x) GROUP BY 1, 2) GROUP BY 1)"""
+    out["descriptor_distance"] = f"""WITH c AS (SELECT candidate_id, any_value(run_id) AS run_id, any_value(structural_descriptor) AS d FROM candidates WHERE structural_descriptor IS NOT NULL GROUP BY 1),
+  f AS (SELECT run_id, arg_min(d, candidate_id) AS d FROM c GROUP BY 1),
+  x AS (SELECT candidate_id, run_id, d.nonlinear AS nl, d.conditional AS co, {", ".join(f"{clean('d.' + n)} AS {n}" for n in sets)} FROM c),
+  y AS (SELECT run_id, d.nonlinear AS nl, d.conditional AS co, {", ".join(f"{clean('d.' + n)} AS {n}" for n in sets)} FROM f),
+  {hist("operator_histogram")}, {hist("window_buckets")}
+  SELECT x.candidate_id, round({" + ".join(map(part, sets))} + 0.14 * coalesce(o.d, 0) + 0.08 * coalesce(w.d, 0) + 0.10 * (CAST(coalesce(x.nl, false) <> coalesce(y.nl, false) AS INTEGER) + CAST(coalesce(x.co, false) <> coalesce(y.co, false) AS INTEGER)) / 2, 6) + 0.0 AS d
+  FROM x JOIN y USING (run_id) LEFT JOIN operator_histogram_d o ON o.c = x.candidate_id LEFT JOIN window_buckets_d w ON w.c = x.candidate_id"""
+    count = lambda names: " + ".join(f"coalesce(d.operator_histogram['{n}'], 0)" for n in names)
+    from panelforge.search.feedback import FAMILIES
+
+    byte = lambda t: f"CAST('0x' || substr(sha256({t}), 1, 2) AS INTEGER)"
+    out["feedback_features"] = f"""WITH c AS (SELECT row_number() OVER () AS i, candidate_id, root_family, nodes, depth, structural_descriptor AS d FROM candidates WHERE structural_descriptor IS NOT NULL),
+  fl AS (SELECT DISTINCT i, unnest(d.fields) AS f FROM c), sh AS (SELECT DISTINCT i, unnest(d.operator_shingles) AS s FROM c), op AS (SELECT i, e.key AS k, e.value AS n FROM (SELECT i, unnest(map_entries(d.operator_histogram)) AS e FROM c)),
+  wi AS (SELECT i, e.key AS k, e.value AS n FROM (SELECT i, unnest(map_entries(d.window_buckets)) AS e FROM c)),
+  tok AS (SELECT i, 'root_field:' || coalesce(root_family, '') || ':' || f AS t, 1 AS n FROM fl JOIN c USING (i) WHERE f IS NOT NULL UNION ALL SELECT i, 'operator_field:' || k || ':' || f, n FROM fl JOIN op USING (i) WHERE f IS NOT NULL
+    UNION ALL SELECT op.i, 'operator_window:' || op.k || ':' || wi.k, op.n * wi.n FROM op JOIN wi ON op.i = wi.i UNION ALL SELECT i, 'operator_shingle:' || s, 1 FROM sh WHERE s IS NOT NULL),
+  b AS (SELECT i, sum(n) AS n FROM tok WHERE {byte("t")} % 32 = 3 GROUP BY 1), g AS (SELECT i, count(*) AS n FROM fl WHERE f IS NOT NULL AND {byte("f")} % 16 = 5 GROUP BY 1)
+  SELECT candidate_id, CAST(len({clean("d.fields")}) AS DOUBLE) AS field_count, CAST(len({clean("d.groups")}) AS DOUBLE) AS group_count, CAST(nodes AS DOUBLE) AS nodes, CAST(depth AS DOUBLE) AS depth,
+    CAST(coalesce(list_sum(map_values(d.operator_histogram)), 0) AS DOUBLE) AS operator_count, CAST({count(FAMILIES["time_series"])} AS DOUBLE) AS operator_time_series_count, CAST({count(["rank"])} AS DOUBLE) AS operator_rank_count,
+    CAST(coalesce(list_sum(map_values(d.window_buckets)), 0) AS DOUBLE) AS window_total_count, CAST(coalesce(b.n, 0) AS DOUBLE) AS interaction_32_bucket_3_count, CAST(coalesce(g.n, 0) AS DOUBLE) AS field_16_bucket_5_count
+  FROM c LEFT JOIN b USING (i) LEFT JOIN g USING (i)"""
     return out
