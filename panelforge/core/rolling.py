@@ -71,11 +71,12 @@ def panel_daily(rows: DataFrame, datasets: DataFrame) -> tuple[DataFrame, DataFr
     Only the current row of each (dataset_id, asset, ts, bar_no) counts: latest ingested_at, then highest row_id. Null,
     non-finite and negative volumes, and null and non-finite returns, count as 0. The calendar runs from the asset's
     first day with a row to its dataset's last_day. Rows with a null key, an unknown dataset or an impossible time are
-    left out. Rows are shuffled once, by asset and day, for both the versions and the totals.
+    left out. Versions and totals are both reduced in each task before their shuffle, so copies of one row, or one day of
+    one asset, may be any share of the rows.
     """
     known = datasets.select("dataset_id", F.col("ts_unit").alias("unit"), F.try_to_timestamp(F.col("last_day").cast("string"), F.lit("yyyyMMdd")).cast("date").alias("last_day")).dropDuplicates(["dataset_id"])
     narrow = rows.select("dataset_id", "asset", "ts", "bar_no", "row_id", "ingested_at", "fld_volume", "realized_returns").join(known, "dataset_id")
-    dated = narrow.withColumn("day", day_of(F.col("ts"), F.col("unit"))).filter(F.col("day").isNotNull()).repartition("dataset_id", "asset", "day")
+    dated = narrow.withColumn("day", day_of(F.col("ts"), F.col("unit"))).filter(F.col("day").isNotNull())
     now = latest(dated, ["dataset_id", "asset", "day", "ts", "bar_no"], [F.col("ingested_at").desc_nulls_last(), F.col("row_id").desc_nulls_last()])
     volume = F.greatest(_clean("fld_volume"), F.lit(0.0))
     daily = now.groupBy("dataset_id", "asset", "day").agg(F.sum(volume).alias("fld_volume"), F.sum(_clean("realized_returns")).alias("realized_returns"), F.min("last_day").alias("last_day"))
