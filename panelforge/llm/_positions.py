@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.plans.lineage import cut
+from panelforge.plans.workers import ship
 
 PID, ORD, SEQ, SUM = "__pf_pid", "__pf_group", "__pf_seq", "__pf_sum"
 
@@ -69,6 +70,7 @@ def positions(df: DataFrame, group: list[str], order: list[Column], out: str, we
     by = [*(F.col(g).asc() for g in group), *order]
     schema = T.StructType([*df.schema.fields, T.StructField(PID, T.IntegerType()), T.StructField(ORD, T.LongType()), T.StructField(SEQ, T.LongType()), T.StructField(SUM, T.LongType())])
     sorted_ = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    ship(df.sparkSession)
     rows = cut(sorted_.mapInArrow(_walker(group, weight, keep), schema))
     head = F.struct(SEQ, SUM, ORD, F.struct(*group).alias("g"))
     ends = sorted(rows.groupBy(PID).agg(F.min(head).alias("first"), F.max(head).alias("last")).collect(), key=lambda r: r[PID])  # one row a partition

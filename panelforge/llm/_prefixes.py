@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelforge.plans.workers import ship
+
 #: Counters of the rarity table. Every token of every row is counted, in the counter that its hash falls into, so the
 #: table has a fixed size (8 MB) at any data size. Sharing a counter can only make a token look more frequent, which
 #: changes the order of tokens and so the speed, never the result: any one order of all tokens is right.
@@ -71,6 +73,7 @@ def with_prefixes(df: DataFrame, tokens: str, counts: np.ndarray, threshold: flo
             columns = [sorted_ if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays([*columns, salts, *(pa.array(b.view(np.int64)) for b in bits)], names=[*batch.schema.names, "salts", "b1", "b2"])
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from panelforge.plans.workers import ship
+
 #: Folder of the public vocabularies; a parameter of every operator here.
 TOKENIZERS = os.environ.get("PANELFORGE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -147,6 +149,7 @@ def encode_texts(df: DataFrame, item: str, text: str, folder: str = TOKENIZERS,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[name.name, "ids"])
 
     schema = T.StructType([T.StructField(name.name, name.dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    ship(df.sparkSession)
     return df.select(item, text).mapInArrow(run, schema)
 
 
@@ -160,6 +163,7 @@ def decode_ids(df: DataFrame, item: str, ids: str, folder: str = TOKENIZERS, voc
             texts = [enc.decode(x.as_py() or []) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[name.name, "text"])
 
+    ship(df.sparkSession)
     return df.select(item, ids).mapInArrow(run, T.StructType([T.StructField(name.name, name.dataType), T.StructField("text", T.StringType())]))
 
 
@@ -173,4 +177,5 @@ def count_tokens(df: DataFrame, item: str, text: str, folder: str = TOKENIZERS,
             n = [len(enc.encode(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=[name.name, "n_tokens"])
 
+    ship(df.sparkSession)
     return df.select(item, text).mapInArrow(run, T.StructType([T.StructField(name.name, name.dataType), T.StructField("n_tokens", T.LongType())]))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from panelforge.plans.current import latest
 from panelforge.plans.lineage import cut
+from panelforge.plans.workers import ship
 
 #: Dimensions of the rotated space, one bit each.
 BITS = 512
@@ -180,6 +181,7 @@ def indexed(classes: DataFrame) -> DataFrame:
                     codes[r] = p.tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary()), pa.array(corrections)], names=[*batch.schema.names, "code", "correction"])
 
+    ship(classes.sparkSession)
     return classes.mapInArrow(run, T.StructType([*classes.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("correction", T.FloatType())]))
 
 
@@ -210,6 +212,7 @@ def nearest_records(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     memory, so a part of any size spreads over all executors.
     """
     same = F.struct("part", "vec")
+    ship(vectors.sparkSession)
     keyed = cut(vectors.select("part", "item", "vec", "scales", "k", F.xxhash64(same).alias("k1"), F.hash(F.lit(3), "part", F.reverse("vec")).alias("k2")))
     classes = keyed.groupBy("part", "k1", "k2").agg(F.min("item").alias("item"), F.first("vec").alias("vec"), F.first("scales").alias("scales"), F.first("k").alias("k"))
     index = cut(indexed(classes))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from panelforge.llm.encode import TOKENIZERS, VOCABULARY, encoder
+from panelforge.plans.workers import ship
 
 #: Strength of the places to cut at; a place inside a character can't be one.
 BROKEN, INSIDE, WORD, SENTENCE, LINE, PARAGRAPH = -1, 0, 1, 2, 3, 4
@@ -254,6 +255,7 @@ def split_texts(df: DataFrame, item: str, text: str, budgets: list[tuple[int, in
             if took:
                 yield from rows(batch, took, texts, ids, enc)
 
+    ship(df.sparkSession)
     return df.select(item, text).mapInArrow(run, schema)
 
 

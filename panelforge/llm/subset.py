@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from panelforge.llm._candidates import current_candidates, tidy
 from panelforge.llm._positions import positions
 from panelforge.plans.lineage import new_table_path
+from panelforge.plans.workers import ship
 
 #: Dimensions that fields, operators and root family are hashed into, and the weight of each part.
-PARTS = {"fields": (40, 1.0), "operators": (32, 1.0), "root": (16, 0.7)}
+PARTS = {"fields": (128, 1.0), "operators": (48, 1.0), "root": (64, 1.3)}
 DIMS = sum(d for d, _ in PARTS.values())
 
 #: Mini-batches of one pass over all rows.
@@ -27,7 +28,7 @@ CLUSTERS = 64
 
 
 def clusters_of(size: int) -> int:
-    return max(1, min(CLUSTERS, math.ceil(size / 2)))
+    return max(1, min(CLUSTERS, size))
 
 
 def _hashed(values: Column, first: int, dims: int, factor: Column) -> Column:
@@ -184,6 +185,7 @@ def diverse_subsets(candidates: DataFrame, requests: DataFrame, how: str = "sqrt
     empty = spark.createDataFrame([], "request_id int, candidate_id long")
     if not asked:
         return empty
+    ship(spark)
     base, table = new_table_path(spark, "described"), new_table_path(spark, "pool")
     rows = _written(described(candidates), base)
     alike = rows.groupBy("sig").agg(F.min(F.struct("draw", "candidate_id")).alias("one"), F.first("family").alias("family"), F.first("slots").alias("slots"))
