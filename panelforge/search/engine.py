@@ -20,6 +20,7 @@ from panelforge.expr.canonical import canonical, fingerprint
 from panelforge.expr.catalog import Catalog, builtin
 from panelforge.expr.descriptor import Descriptor, describe
 from panelforge.expr.parser import parse
+from panelforge.plans.workers import ship
 from panelforge.search import transform
 from panelforge.search.artifacts import SCHEMA, ArtifactError, write_json
 from panelforge.search.feedback import FeedbackConfig, FeedbackDataset, PolicyConfig, features
@@ -282,6 +283,7 @@ class Search:
                 rows = [(s, *_make(seed, generation, int(s), nodes, limits, catalog, policy)) for s in batch["id"]]
                 yield pd.DataFrame([(s, t, i, r, json.dumps(p.to_dict())) for s, t, i, r, p in rows], columns=["slot", "text", "identity", "reason", "provenance"])
 
+        ship(self.spark)
         made = self.spark.range(slots.start, slots.stop).mapInPandas(run, "slot long, text string, identity string, reason string, provenance string")
         for r in made.orderBy("slot").toLocalIterator():  # one batch, its size a parameter
             p = json.loads(r["provenance"])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from panelforge.expr.catalog import Catalog
 from panelforge.expr.descriptor import Descriptor
+from panelforge.plans.workers import ship
 
 # Operators counted by feature, and bucket numbers of the hashed features.
 COUNTED = "abs add divide multiply rank sign subtract ts_corr ts_cov ts_delay ts_delta ts_ema ts_kurt ts_mad ts_max ts_mean ts_min ts_rank ts_skew ts_std_dev ts_sum ts_var ts_wma".split()
@@ -180,6 +181,7 @@ def neighbours(queries: DataFrame, records: DataFrame, scales: list[float], conf
     of each of its queries, and the best k of all blocks remain. ``leave_one_out`` leaves out the record of the same id.
     """
     config = config.checked()
+    ship(queries.sparkSession)
     n, m = queries.count(), records.count()
     a, b = max(1, -(-n // block)), max(1, -(-m // block))
     none = F.lit(None).cast("double")
