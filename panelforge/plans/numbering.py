@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.plans.lineage import cut
@@ -25,3 +25,20 @@ def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
     joined = placed.withColumn("__pf_part", part).join(F.broadcast(table), "__pf_part")  # one row a partition
     local = F.col("__pf_id") - F.shiftleft(F.col("__pf_part"), 33)
     return joined.withColumn(out, (local + F.col("__pf_before")).cast("int")).drop("__pf_id", "__pf_part", "__pf_before")
+
+
+def running_sum(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over all rows before, in ascending order of the column (distinct values).
+
+    Rows are range-partitioned, summed up within each partition, and given the total of the partitions before.
+    """
+    placed = cut(df.repartitionByRange(order).withColumn("__pf_part", F.spark_partition_id()))
+    totals = sorted((r["p"], r["n"]) for r in placed.groupBy(F.col("__pf_part").alias("p")).agg(F.sum(value).alias("n")).collect())  # one row a partition
+    before, offsets = 0, []
+    for p, n in totals:
+        offsets.append((p, before))
+        before += n or 0
+    table = df.sparkSession.createDataFrame(offsets, f"__pf_part int, __pf_before {dict(df.dtypes)[value]}")
+    within = Window.partitionBy("__pf_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return local.join(F.broadcast(table), "__pf_part").withColumn(out, F.col(out) + F.col("__pf_before")).drop("__pf_part", "__pf_before")  # one row a partition

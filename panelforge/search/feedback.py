@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from panelforge.expr.catalog import Catalog
 from panelforge.expr.descriptor import Descriptor
+from panelforge.plans.numbering import running_sum
 from panelforge.plans.workers import ship
 
 # Operators counted by feature, and bucket numbers of the hashed features.
@@ -264,13 +265,12 @@ def screened(guided_rows: DataFrame, threshold: float) -> DataFrame:
 def rank_auc(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
     """One row ``auc``: the chance that a positive outcome is predicted above a negative one, ties counting half.
 
-    Predictions are counted by value first, then ranked by a running sum over the distinct values; null unless both signs
-    occur. Zero outcomes count as not positive.
+    Predictions are counted by value first, then ranked by a running sum over the distinct values, in range partitions; null
+    unless both signs occur. Zero outcomes count as not positive.
     """
     positive = F.col(actual) > 0
     by_value = rows.groupBy(F.col(predicted).alias("p")).agg(F.count(F.when(positive, 1)).alias("pos"), F.count(F.when(~positive, 1)).alias("neg"))
-    upto = F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
-    won = by_value.withColumn("below", F.coalesce(upto, F.lit(0)))
+    won = running_sum(by_value, "p", "neg", "below")
     sums = won.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return sums.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("u") / (F.col("pos") * F.col("neg"))).alias("auc"))
 

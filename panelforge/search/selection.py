@@ -46,7 +46,8 @@ def round_robin(df: DataFrame, bucket: list[str], order: list[Column], limit: in
     """
     w = Window.partitionBy(*bucket).orderBy(*order)
     ranked = df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= limit)
-    heads = ranked.filter("__rn = 1").withColumn("__head", F.row_number().over(Window.orderBy(*order))).select(*(F.col(b).alias(f"__b{i}") for i, b in enumerate(bucket)), "__head")  # one row a bucket
+    first = ranked.filter("__rn = 1").orderBy(*order).limit(limit)  # more buckets than places get no turn
+    heads = first.withColumn("__head", F.row_number().over(Window.orderBy(*order))).select(*(F.col(b).alias(f"__b{i}") for i, b in enumerate(bucket)), "__head")  # at most ``limit`` rows
     on = F.lit(True)
     for i, b in enumerate(bucket):
         on = on & F.col(b).eqNullSafe(F.col(f"__b{i}"))
