@@ -19,6 +19,13 @@ def scalar_text(value: float) -> str:
 
 def canonical(node: Node) -> str:
     """Keywords sorted by name, arguments of commutative built-in operators by their text."""
+    text = node.__dict__.get("_canonical")
+    if text is None:
+        text = node.__dict__["_canonical"] = _written(node)  # trees never change, and are shared between formulas
+    return text
+
+
+def _written(node: Node) -> str:
     if node.tag == "number":
         return scalar_text(node.value)
     if node.tag == "bool":

@@ -279,4 +279,12 @@ def build_call(catalog: Catalog, name: str, args: list[Node] | tuple[Node, ...],
             raise ValidationError(f"operator `{name}` needs both keywords `{a}` and `{b}`")
         if kwargs[a].value >= kwargs[b].value:
             raise ValidationError(f"operator `{name}` requires {a} < {b}")
-    return Node("call", name, None, tuple(args), tuple(sorted(kwargs.items())), op.output, op.shape)
+    node = Node("call", name, None, tuple(args), tuple(sorted(kwargs.items())), op.output, op.shape)
+    if all(is_checked(a, catalog) for a in args):
+        node.__dict__["_checked_by"] = catalog
+    return node
+
+
+def is_checked(node: Node, catalog: Catalog) -> bool:
+    """Whether all calls of the tree were built under this very catalog."""
+    return node.tag != "call" or node.__dict__.get("_checked_by") is catalog

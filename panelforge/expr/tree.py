@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from panelforge.expr.ast import BINARY, SCALAR, UNARY, Node
-from panelforge.expr.catalog import Catalog, ValidationError, build_call, builtin
+from panelforge.expr.catalog import Catalog, ValidationError, build_call, builtin, is_checked
 
 #: A path is a tuple of steps: the number of an argument, or the name of a keyword.
 Path = tuple[int | str, ...]
@@ -103,7 +103,7 @@ def replace_subtree(root: Node, path: Path, new: Node, catalog: Catalog | None =
 
 
 def revalidated(node: Node, catalog: Catalog) -> Node:
-    """The same tree, every call checked again against the catalog."""
-    if node.tag != "call":
+    """The same tree, every call that wasn't built under this catalog checked against it."""
+    if is_checked(node, catalog):
         return node
     return build_call(catalog, node.name, [revalidated(a, catalog) for a in node.args], {k: revalidated(v, catalog) for k, v in node.kwargs})

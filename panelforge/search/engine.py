@@ -243,6 +243,7 @@ class Search:
                 texts.append(canonical(node))
         self.archive_checksum = hashlib.sha256("\n".join(sorted(ids)).encode()).hexdigest()
         self.archive_texts = texts
+        self._trees: dict[str, Node] = {}
         if spec.seed_from_archive and not texts:
             raise ValueError("the archive has no usable formula")
         self.run_id = hashlib.sha256(json.dumps([spec.identity, self.catalog.checksum, self.archive_checksum, dataclasses.asdict(self.policy) if policy else None, guidance is not None], sort_keys=True).encode()).hexdigest()
@@ -251,7 +252,7 @@ class Search:
         self.counts = dict.fromkeys(("attempted", "accepted", "duplicates", "trivial", "invalid", "generations"), 0)
 
     # making candidates
-    def _admit(self, text: str, identity: str | None, reason: str | None, provenance: Provenance) -> Draft | None:
+    def _admit(self, text: str, identity: str | None, reason: str | None, provenance: Provenance, node: Node | None = None) -> Draft | None:
         self.counts["attempted"] += 1
         if reason == "limits" or identity is None:
             self.counts["invalid"] += 1
@@ -263,15 +264,19 @@ class Search:
             self.counts["duplicates"] += 1
             return None
         self.counts["accepted"] += 1
-        node = parse(text, self.catalog)
+        node = node if node is not None else self._parsed(text)
         d = describe(node, provenance.parent_fingerprints, self.catalog)
         pool = {"mask": Mask(d), "root_family": node.operator or "field", "operator_count": node.operator_count, "nodes": node.node_count, "parents": provenance.parent_fingerprints, "kind": provenance.kind}
         return Draft(node, text, identity, provenance, d, self.counts["attempted"], pool)
 
-    def _offspring(self, generation: int, slots: range, parents: list[str]) -> Iterator[tuple[str, str | None, str | None, Provenance]]:
+    def _parsed(self, text: str) -> Node:
+        """The tree of a text in its written order of arguments, as it is read everywhere."""
+        return parse(text, self.catalog)
+
+    def _offspring(self, generation: int, slots: range, parents: list[str]) -> Iterator[tuple[str, str | None, str | None, Provenance, Node | None]]:
         spec, catalog, policy = self.spec, self.catalog, self.policy if self.given_policy else None
         if self.spark is None or len(slots) < self.spread_from:
-            nodes = [parse(p, catalog) for p in parents]
+            nodes = [self._known(p) for p in parents]
             for slot in slots:
                 yield _make(spec.seed, generation, slot, nodes, spec.limits, catalog, policy)
             return
@@ -280,14 +285,22 @@ class Search:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             nodes = [parse(p, catalog) for p in parents]
             for batch in batches:
-                rows = [(s, *_make(seed, generation, int(s), nodes, limits, catalog, policy)) for s in batch["id"]]
+                rows = [(s, *_make(seed, generation, int(s), nodes, limits, catalog, policy)[:4]) for s in batch["id"]]
                 yield pd.DataFrame([(s, t, i, r, json.dumps(p.to_dict())) for s, t, i, r, p in rows], columns=["slot", "text", "identity", "reason", "provenance"])
 
         ship(self.spark)
         made = self.spark.range(slots.start, slots.stop).mapInPandas(run, "slot long, text string, identity string, reason string, provenance string")
         for r in made.orderBy("slot").toLocalIterator():  # one batch, its size a parameter
             p = json.loads(r["provenance"])
-            yield r["text"], r["identity"], r["reason"], Provenance(**{**p, "parent_fingerprints": tuple(p["parent_fingerprints"])})
+            yield r["text"], r["identity"], r["reason"], Provenance(**{**p, "parent_fingerprints": tuple(p["parent_fingerprints"])}), None
+
+    def _known(self, text: str) -> Node:
+        """Parents stay for many generations; their trees are kept."""
+        if text not in self._trees:
+            if len(self._trees) > 4 * self.spec.parents:
+                self._trees.clear()
+            self._trees[text] = self._parsed(text)
+        return self._trees[text]
 
     # scoring and keeping
     def _score(self) -> None:
@@ -336,8 +349,8 @@ class Search:
             parents = self._parents()
             n = min(spec.batch, spec.max_candidates - self.counts["attempted"])
             generation = self.counts["generations"] + 1
-            for text, identity, why, provenance in self._offspring(generation, range(n), parents):
-                draft = self._admit(text, identity, why, provenance)
+            for text, identity, why, provenance, node in self._offspring(generation, range(n), parents):
+                draft = self._admit(text, identity, why, provenance, node)
                 if draft:
                     self.population.append(draft)
             self.counts["generations"] = generation
@@ -402,7 +415,7 @@ class Search:
         self.population = [self.elites.get(d.semantic, d) for d in map(unpack, state["population"])]
 
 
-def _make(seed: int, generation: int, slot: int, parents: list[Node], limits: Limits, catalog: Catalog, policy: ActionPolicy | None = None) -> tuple[str, str | None, str | None, Provenance]:
+def _make(seed: int, generation: int, slot: int, parents: list[Node], limits: Limits, catalog: Catalog, policy: ActionPolicy | None = None) -> tuple[str, str | None, str | None, Provenance, Node]:
     index = (generation << 32) | slot
     rng = transform.rng_for("offspring", seed, generation, slot)
     left = parents[rng.randrange(len(parents))]
@@ -415,7 +428,8 @@ def _make(seed: int, generation: int, slot: int, parents: list[Node], limits: Li
         node, provenance = transform.mutate(left, seed, index, limits, catalog, cls)
     else:
         node, provenance = transform.crossover(left, parents[rng.randrange(len(parents))], seed, index, limits, catalog)
-    return (*prepare(node, provenance, limits, catalog), provenance)
+    node = parse(canonical(node), catalog)  # as it will be read again
+    return (*prepare(node, provenance, limits, catalog), provenance, node)
 
 
 def shortlist(ordered: list[Draft], limit: int, guidance: Callable[[Draft], float | None] | None = None, hurried: bool = False) -> list[Draft]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import asdict, dataclass, fields
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,63 +37,82 @@ class ScoreWeights:
 COMPONENTS = tuple(f.name for f in fields(ScoreWeights))
 
 
-_SETS = ("operator_shingles", "fields", "field_families", "groups")
+_SETS = ("operator_shingles", "ordered_paths", "fields", "field_families", "groups", "lineage_parents")
 _COUNTS = ("operator_histogram", "window_buckets")
-_MASK_WEIGHTS = tuple(PARTS[n] for n in (*_SETS, *_COUNTS))
+_PART_WEIGHTS = tuple(PARTS[n] for n in (*_SETS, *_COUNTS))
 
 
 class Mask:
-    """A descriptor as integers, so that distances are a few bit counts: a bit for each value, n bits for a count of n.
+    """A descriptor as sets of small numbers, one for each value and n for a count of n: all parts compare alike."""
 
-    Paths and parents have too many values for that and stay sets.
-    """
-
-    __slots__ = ("flags", "parents", "parts", "paths")
-    _bits: dict[str, dict[tuple, int]] = {}
-
-    def _bit(self, value: tuple) -> int:
-        own = self._bits.setdefault(value[0], {})
-        return own.setdefault(value, len(own))
+    __slots__ = ("flags", "parts")
+    _numbers: dict[tuple, int] = {}
 
     def __init__(self, d: Descriptor):
-        sets = [[(n, v) for v in getattr(d, n)] for n in _SETS]
-        counts = [[(n, k, i) for k, c in getattr(d, n).items() for i in range(c)] for n in _COUNTS]
-        self.parts = tuple(sum(1 << self._bit(v) for v in set(values)) for values in (*sets, *counts))
-        self.paths, self.parents = frozenset(d.ordered_paths), frozenset(d.lineage_parents)
+        number = lambda v: self._numbers.setdefault(v, len(self._numbers))
+        sets = [frozenset(number((n, v)) for v in getattr(d, n)) for n in _SETS]
+        counts = [frozenset(number((n, k, i)) for k, c in getattr(d, n).items() for i in range(c)) for n in _COUNTS]
+        self.parts = (*sets, *counts)
         self.flags = d.nonlinear | d.conditional << 1
 
 
 def mask_distance(a: Mask, b: Mask) -> float:
     """The same as ``descriptor.distance``: what differs over what there is, for sets and counts alike."""
     out = PARTS["flags"] * (a.flags ^ b.flags).bit_count() / 2
-    both = len(a.paths & b.paths)
-    union = len(a.paths) + len(b.paths) - both
-    if union:
-        out += PARTS["ordered_paths"] * (1 - both / union)
-    if a.parents != b.parents:
-        out += PARTS["lineage_parents"] * (1 - len(a.parents & b.parents) / len(a.parents | b.parents))
-    for w, x, y in zip(_MASK_WEIGHTS, a.parts, b.parts):
-        if x != y:
-            out += w * (x ^ y).bit_count() / (x | y).bit_count()
+    for w, x, y in zip(_PART_WEIGHTS, a.parts, b.parts):
+        both = len(x & y)
+        union = len(x) + len(y) - both
+        if union:
+            out += w * (1 - both / union)
     return out if out < 1.0 else 1.0
 
 
+def nearest_distances(masks: list[Mask], pairs: np.ndarray) -> np.ndarray:
+    """For each mask the least distance to those it is paired with (rows of two positions); 1 without a pair.
+
+    Each part is a matrix of bits over the values that occur, so all pairs take a few vector operations.
+    """
+    n = len(masks)
+    i, j = pairs[:, 0], pairs[:, 1]
+    flags = np.array([m.flags for m in masks], np.uint8)
+    total = PARTS["flags"] * np.bitwise_count(flags[i] ^ flags[j]) / 2
+    for p, w in enumerate(_PART_WEIGHTS):
+        sizes = np.array([len(m.parts[p]) for m in masks])
+        flat = np.fromiter((v for m in masks for v in m.parts[p]), np.int64, int(sizes.sum()))
+        values, column = np.unique(flat, return_inverse=True)
+        bits = np.zeros((n, -(-max(len(values), 1) // 64) * 64), bool)
+        bits[np.repeat(np.arange(n), sizes), column] = True
+        words = np.packbits(bits, axis=1).view(np.uint64)
+        both = np.bitwise_count(words[i] & words[j]).sum(1, dtype=np.int64)
+        union = sizes[i] + sizes[j] - both
+        total = total + w * np.where(union > 0, 1 - both / np.maximum(union, 1), 0.0)
+    out = np.ones(n)
+    np.minimum.at(out, i, np.minimum(total, 1.0))
+    return out
+
+
 def peers(i: int, n: int) -> list[int]:
     """Up to 16 others, evenly strided."""
     others = [j for j in range(0, n - 1, max(1, (n - 1) // PEERS))][:PEERS]
     return [j if j < i else j + 1 for j in others]
 
 
+@lru_cache(maxsize=256)
+def peer_pairs(n: int) -> np.ndarray:
+    return np.array([(i, j) for i in range(n) for j in peers(i, n)], np.int64).reshape(-1, 2)
+
+
 def components(pool: list[dict], archive: list[Mask]) -> list[dict[str, float]]:
     """The six components of each of a pool of dicts with mask, root_family, operator_count, nodes, parents, kind."""
     families, kinds = Counter(p["root_family"] for p in pool), Counter(p["kind"] for p in pool)
     near, out = archive[:ARCHIVE_PEERS], []
+    novelty = nearest_distances([p["mask"] for p in pool], peer_pairs(len(pool))).tolist() if pool else []
     for i, p in enumerate(pool):
         if "archive_novelty" not in p:
             p["archive_novelty"] = min((mask_distance(p["mask"], a) for a in near), default=1.0)
         out.append({
             "simplicity": 1 / (1 + p["operator_count"] + p["nodes"] / 10), "archive_novelty": p["archive_novelty"], "family_diversity": 1 / math.sqrt(families[p["root_family"]]), "lineage_diversity": min(len(set(p["parents"])) / 2, 1.0),
-            "structural_novelty": min((mask_distance(p["mask"], pool[j]["mask"]) for j in peers(i, len(pool))), default=1.0), "transform_diversity": 1 / math.sqrt(kinds[p["kind"]]),
+            "structural_novelty": round(novelty[i], 12), "transform_diversity": 1 / math.sqrt(kinds[p["kind"]]),
         })
     return out
 

@@ -110,11 +110,15 @@ def valid(node: Node, limits: Limits, catalog: Catalog) -> bool:
     """A signal within the limits whose text reads back as the same formula."""
     if node.kind != SIGNAL or not limits.accepts(node, catalog):
         return False
-    try:
-        text = canonical(node)
-        return canonical(parse(text, catalog)) == text
-    except ValueError:
-        return False
+    text = canonical(node)
+    if node.__dict__.get("_reads_back") is not catalog:
+        try:
+            if canonical(parse(text, catalog)) != text:
+                return False
+        except ValueError:
+            return False
+        node.__dict__["_reads_back"] = catalog
+    return True
 
 
 class Sampler:
