@@ -226,7 +226,7 @@ def nearest_records(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     # a fixed number of partitions: these are few bytes but much work, which merging small partitions would serialise
     tasks = sent.repartition(int(min(max(pairs, 24), 4000)), "part", "bi", "bj")
     local = tasks.groupBy("part", "bi", "bj").applyInArrow(_block_pair("k"), "part string, query string, neighbor string, distance double")
-    best = int(vectors.agg(F.max("k")).first()[0])
+    best = int(index.agg(F.max("k")).first()[0])
     ks = sizes.select("part").join(index.groupBy("part").agg(F.first("k").alias("k")), "part")
     w = Window.partitionBy("part", "query").orderBy("distance", "neighbor")
     merged = local.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= best).join(ks, "part").filter(F.col("rn") <= F.col("k")).drop("rn", "k")
