@@ -57,8 +57,14 @@ class Entry:
 
 
 def paths(root: Node, catalog: Catalog | None = None) -> list[Entry]:
-    """Every subtree with the kinds its place accepts: the root's own kind, an argument's kinds, scalar for keywords."""
+    """Every subtree with the kinds its place accepts: the root's own kind, an argument's kinds, scalar for keywords.
+
+    The list is kept with the tree, which never changes; don't alter it.
+    """
     catalog = catalog or builtin()
+    known = root.__dict__.get("_paths")
+    if known is not None and known[0] is catalog:
+        return known[1]
     out: list[Entry] = []
 
     def visit(node: Node, path: Path, allowed: frozenset[str]) -> None:
@@ -72,6 +78,7 @@ def paths(root: Node, catalog: Catalog | None = None) -> list[Entry]:
             visit(v, (*path, k), frozenset([SCALAR]))
 
     visit(root, (), frozenset([root.kind]))
+    root.__dict__["_paths"] = (catalog, out)
     return out
 
 

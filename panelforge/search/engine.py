@@ -428,7 +428,7 @@ def _make(seed: int, generation: int, slot: int, parents: list[Node], limits: Li
         node, provenance = transform.mutate(left, seed, index, limits, catalog, cls)
     else:
         node, provenance = transform.crossover(left, parents[rng.randrange(len(parents))], seed, index, limits, catalog)
-    node = parse(canonical(node), catalog)  # as it will be read again
+    node = transform.read_back(node, catalog)
     return (*prepare(node, provenance, limits, catalog), provenance, node)
 
 

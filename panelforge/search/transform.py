@@ -110,15 +110,18 @@ def valid(node: Node, limits: Limits, catalog: Catalog) -> bool:
     """A signal within the limits whose text reads back as the same formula."""
     if node.kind != SIGNAL or not limits.accepts(node, catalog):
         return False
-    text = canonical(node)
-    if node.__dict__.get("_reads_back") is not catalog:
-        try:
-            if canonical(parse(text, catalog)) != text:
-                return False
-        except ValueError:
-            return False
-        node.__dict__["_reads_back"] = catalog
-    return True
+    try:
+        return canonical(read_back(node, catalog)) == canonical(node)
+    except ValueError:
+        return False
+
+
+def read_back(node: Node, catalog: Catalog) -> Node:
+    """The tree of the formula's canonical text, as it will be read from files; read once."""
+    known = node.__dict__.get("_read_back")
+    if known is None or known[0] is not catalog:
+        known = node.__dict__["_read_back"] = (catalog, parse(canonical(node), catalog))
+    return known[1]
 
 
 class Sampler:
