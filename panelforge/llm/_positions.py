@@ -67,6 +67,8 @@ def positions(df: DataFrame, group: list[str], order: list[Column], out: str, we
     position leave in the first pass. ``order`` must be total for the same answer every time. Nulls in group columns
     are one group of their own.
     """
+    if out in df.columns:
+        raise ValueError(f"the table already has a column `{out}`")
     by = [*(F.col(g).asc() for g in group), *order]
     schema = T.StructType([*df.schema.fields, T.StructField(PID, T.IntegerType()), T.StructField(ORD, T.LongType()), T.StructField(SEQ, T.LongType()), T.StructField(SUM, T.LongType())])
     sorted_ = df.repartitionByRange(*by).sortWithinPartitions(*by)

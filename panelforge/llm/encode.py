@@ -27,6 +27,9 @@ CUT = r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\S)(?=\s)"
 #: Characters in a leaf of the tree; a text within one leaf is encoded at once.
 LEAF = 8192
 
+#: Tokens after which a batch of results is passed on.
+FLUSH = 2_000_000
+
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -132,7 +135,12 @@ def encoder(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Encoder:
     return _LOADED[path]
 
 
-def encode_texts(df: DataFrame, item: str, text: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.uint32)]).astype(np.int32)))
+
+
+def encode_texts(df: DataFrame, item: str, text: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, leaf: int = LEAF, flush: int = FLUSH) -> DataFrame:
     """item, ids (array<int>) of every row of ``df``, without special tokens; what looks like one is ordinary text.
 
     Null and empty texts have an empty list. Rows keep their number: repeated and null items come out as they are. Each
@@ -143,10 +151,13 @@ def encode_texts(df: DataFrame, item: str, text: str, folder: str = TOKENIZERS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, vocabulary)
         for batch in batches:
-            ids = [enc.encode(t.as_py(), leaf) for t in batch.column(1)]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            flat = np.concatenate([*ids, np.empty(0, np.uint32)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[name.name, "ids"])
+            done, ids, size = 0, [], 0
+            for i, t in enumerate(batch.column(1), 1):
+                ids.append(enc.encode(t.as_py(), leaf))
+                size += len(ids[-1])
+                if size > flush or i == batch.num_rows:  # long texts leave in smaller batches
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(ids)), _lists(ids)], names=[name.name, "ids"])
+                    done, ids, size = i, [], 0
 
     schema = T.StructType([T.StructField(name.name, name.dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
     ship(df.sparkSession)

@@ -68,6 +68,9 @@ def test_encoding_agrees_with_another_library(spark):
     rows = list(enumerate(texts)) + [(None, "x"), (0, texts[0])]
     df = spark.createDataFrame([(i, x, "clash") for i, x in rows], "doc_id long, text string, ids string")
     got = encode.encode_texts(df, "doc_id", "text")
+    small = encode.encode_texts(df.coalesce(1), "doc_id", "text", leaf=100, flush=10)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["ids"])
+    assert sorted(got.collect(), key=key) == sorted(small.collect(), key=key)
     for r in got.collect():
         if r["doc_id"] is not None:
             x = texts[r["doc_id"]]
