@@ -2,25 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.plans.current import latest
-
-
-def tidy(c: Column | str) -> Column:
-    """Trimmed of all white space and lower-cased."""
-    return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
-
-
-def current_candidates(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """The current row of each candidate_id (latest written_at), with the named columns.
-
-    Equal written_at: the higher structural_score, then the greater fingerprint, counts. Rows without an id are dropped.
-    """
-    narrow = df.select("candidate_id", "written_at", F.col("structural_score").alias("__pf_tie1"), F.col("fingerprint").alias("__pf_tie2"), *(c.alias(n) for n, c in columns.items() if n != "candidate_id"))
-    by = [F.col("written_at").desc_nulls_last(), F.col("__pf_tie1").desc_nulls_last(), F.col("__pf_tie2").desc_nulls_last()]
-    return latest(narrow, ["candidate_id"], by).drop("written_at", "__pf_tie1", "__pf_tie2")
+from panelforge.plans.current import current_candidates, tidy  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

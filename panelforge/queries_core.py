@@ -13,6 +13,8 @@ from panelforge.expr.parser import parse
 from panelforge.operators import evaluation
 from panelforge.operators.panel import Panel
 from panelforge.plans.compiler import compile_signals
+from panelforge.plans.current import current_candidates, tidy
+from panelforge.plans.numbering import numbered
 from panelforge.search import feedback
 from panelforge.sources import panels, universe
 
@@ -126,28 +128,65 @@ def prep_realized_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.select("ts", "asset", six("close"), six("open"), six("volume"), six("returns"), six("realized_returns"))
 
 
-def _feedback(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float], feedback.FeedbackConfig]:
-    """The records of the first dataset with outcomes, as a guidance set."""
-    d = spark.read.parquet(f"{sf_dir}/feedback_datasets.parquet").orderBy("dataset_id").first()
-    scales = d["feature_scales"]
-    keys = sorted(scales)
-    r = spark.read.parquet(f"{sf_dir}/feedback_records.parquet").filter(F.col("dataset_id") == d["dataset_id"]).dropDuplicates(["record_id"])
-    good = r.filter(F.col("outcome").between(-1, 1) & (F.col("confidence") > 0) & (F.col("confidence") <= 1) & (F.size("features") == len(keys)))
-    vec = F.array(*(F.try_element_at("features", F.lit(k)) for k in keys))
-    rows = good.select(F.col("record_id").alias("id"), F.col("semantic_fingerprint").alias("fingerprint"), vec.alias("vec"), "outcome", "confidence").filter(F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))))
-    return rows, [scales[k] for k in keys], feedback.FeedbackConfig(d["neighbors"], d["minimum_neighbors"], d["maximum_distance"])
+def _feedback(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, feedback.Guides, DataFrame]:
+    """The usable records of every dataset, the scales and config of each, and the names of its features."""
+    read = spark.read.parquet(f"{sf_dir}/feedback_datasets.parquet").filter("dataset_id is not null").collect()  # one row a dataset
+    keys = {d["dataset_id"]: sorted(d["feature_scales"]) for d in read}
+    guides = {d["dataset_id"]: ([d["feature_scales"][k] for k in keys[d["dataset_id"]]], feedback.FeedbackConfig(d["neighbors"], d["minimum_neighbors"], d["maximum_distance"])) for d in read}
+    names = spark.createDataFrame(list(keys.items()), "dataset_id string, keys array<string>")
+    r = spark.read.parquet(f"{sf_dir}/feedback_records.parquet").join(F.broadcast(names), "dataset_id").dropDuplicates(["dataset_id", "record_id"])
+    good = r.filter(F.col("outcome").between(-1, 1) & (F.col("confidence") > 0) & (F.col("confidence") <= 1) & (F.size("features") == F.size("keys")))
+    vec = F.transform("keys", lambda k: F.try_element_at("features", k))
+    rows = good.select("dataset_id", F.col("record_id").alias("id"), F.col("semantic_fingerprint").alias("fingerprint"), vec.alias("vec"), "outcome", "confidence").filter(_finite("vec"))
+    return rows, guides, names
+
+
+def _finite(vec: str):
+    return F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+
+
+_ESTIMATE = ["mean_distance", "weighted_outcome", "dispersion", "conservative_outcome"]
+
+
+def _left_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The records of every dataset, and the estimate of each from the others of its dataset."""
+    rows, guides, _ = _feedback(spark, sf_dir)
+    return rows, feedback.estimates_by_dataset(feedback.neighbours_by_dataset(rows.select("dataset_id", "id", "vec"), rows, guides, leave_one_out=True), guides)
 
 
 def feedback_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, scales, config = _feedback(spark, sf_dir)
-    near = feedback.neighbours(rows.select("id", "vec"), rows, scales, config, leave_one_out=True)
-    return feedback.estimates(near, config).select("query", "neighbors", *map(six, ["mean_distance", "weighted_outcome", "dispersion", "conservative_outcome"]))
+    return _left_out(spark, sf_dir)[1].select("dataset_id", "query", "neighbors", *map(six, _ESTIMATE))
 
 
 def feedback_loo_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, scales, config = _feedback(spark, sf_dir)
-    m = feedback.audit_metrics(feedback.leave_one_out(rows, scales, config))
-    return m.select("records", "predicted", *map(six, ["coverage", "mae", "rmse", "sign_accuracy", "balanced_accuracy"]))
+    rows, guides, _ = _feedback(spark, sf_dir)
+    m = feedback.audit_metrics(feedback.leave_one_out_by_dataset(rows, guides), ("dataset_id",))
+    return m.select("dataset_id", "records", "predicted", *map(six, ["coverage", "mae", "rmse", "sign_accuracy", "balanced_accuracy"]))
+
+
+def _guidable(spark: SparkSession, sf_dir: str, names: DataFrame) -> DataFrame:
+    """Every current candidate for every dataset, with the dataset's features of it; vec is null without a descriptor."""
+    tidied = F.col("structural_descriptor")
+    for n in ("operator_shingles", "fields", "field_families", "groups", "lineage_parents"):
+        tidied = tidied.withField(n, F.transform(F.col(f"structural_descriptor.{n}"), tidy))
+    c = spark.read.parquet(f"{sf_dir}/candidates.parquet")
+    cur = current_candidates(c, {"fingerprint": F.col("semantic_fingerprint"), "score": F.nanvl("structural_score", F.lit(None).cast("double")), "d": tidied, "family": tidy("root_family"), "nodes": F.col("nodes"), "depth": F.col("depth")})
+    order = sorted(feedback.FEATURES)  # the entries of the map, sorted
+    mapped = cur.withColumn("m", F.when(F.col("d").isNotNull(), feedback.feature_map("d", "family", "nodes", "depth")))
+    flat = mapped.select(F.col("candidate_id").cast("string").alias("id"), "candidate_id", "fingerprint", F.col("score").alias("structural_score"), F.transform(F.array_sort(F.map_entries("m")), lambda e: e["value"]).alias("all"), F.col("d").isNotNull().alias("described"))
+    at = names.select("dataset_id", F.transform("keys", lambda k: F.array_position(F.lit(order), k).cast("int") - 1).alias("at"))
+    vec = flat.crossJoin(F.broadcast(at)).withColumn("vec", F.transform("at", lambda i: F.get("all", i))).drop("all", "at")  # one row a dataset
+    return vec.withColumn("vec", F.when(F.col("described") & _finite("vec"), F.col("vec"))).drop("described")
+
+
+def feedback_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All current candidates, guided by every dataset: the estimate, the place in the dataset's order of guidance from 0, and whether it passes the screen at 0."""
+    rows, guides, names = _feedback(spark, sf_dir)
+    met = feedback.screened(feedback.guided_by_dataset(_guidable(spark, sf_dir, names), rows, guides), 0.0)
+    down = [c for n in ("conservative_outcome", "weighted_outcome", "structural_score") for c in (F.col(n).isNull().alias(f"no_{n}"), (-F.col(n)).alias(n))]
+    placed = numbered(met.withColumn("k", F.struct("dataset_id", *down, "fingerprint", "candidate_id")), "k", "place")
+    first = placed.groupBy("dataset_id").agg(F.min("place").alias("first"))
+    return placed.join(F.broadcast(first), "dataset_id").select("dataset_id", "candidate_id", (F.col("place") - F.col("first")).alias("place"), "exact", "neighbors", *map(six, _ESTIMATE), "eligible")  # one row a dataset
 
 
 def feedback_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,9 +210,8 @@ def feedback_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, scales, config = _feedback(spark, sf_dir)
-    est = feedback.estimates(feedback.neighbours(rows.select("id", "vec"), rows, scales, config, leave_one_out=True), config)
-    return feedback.screened(rows.select("id").join(est.withColumnRenamed("query", "id"), "id", "left"), 0.0).select("id", "eligible")
+    rows, est = _left_out(spark, sf_dir)
+    return feedback.screened(rows.select("dataset_id", "id").join(est.withColumnRenamed("query", "id"), ["dataset_id", "id"], "left"), 0.0).select("dataset_id", "id", "eligible")
 
 
 def descriptor_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +256,7 @@ QUERIES: dict[str, Query] = {
     "flagship": flagship, **{f"op_{n}": operator_query(f) for n, f in OPERATORS.items()}, "op_signal_decay": operator_query(PRICE, 5), "op_nested_batch": nested_batch,
     **{f.__name__: f for f in (
         eval_future_return, eval_positions, eval_positions_truncated, eval_daily_pnl, eval_split_metrics, eval_proxy, prep_universe_topn, prep_realized_returns, feedback_knn, feedback_loo_audit, feedback_auc,
-        feedback_operator_outcomes, feedback_features, feedback_screen, descriptor_distance, field_diversity, transform_counts, elite_round_robin, dedup_partition,
+        feedback_operator_outcomes, feedback_features, feedback_screen, feedback_guided, descriptor_distance, field_diversity, transform_counts, elite_round_robin, dedup_partition,
     )},
 }
 

@@ -174,70 +174,125 @@ class FeedbackConfig:
         return self
 
 
-def neighbours(queries: DataFrame, records: DataFrame, scales: list[float], config: FeedbackConfig, leave_one_out: bool = False, block: int = BLOCK) -> DataFrame:
-    """query, record, distance, outcome, confidence of the nearest records within the maximum distance, ties by record.
+#: Of each dataset, the scales in the order of its vectors, and its config.
+Guides = dict[str, tuple[list[float], FeedbackConfig]]
+_ONE = "__pf_all"
+
+
+def _alone(df: DataFrame) -> DataFrame:
+    return df.withColumn("dataset_id", F.lit(_ONE))
 
-    ``queries``: id, vec; ``records``: id, vec, outcome, confidence. Distance is the mean of min(|difference| / scale, 1).
-    Both sides are cut into blocks by hash; each pair of blocks is one task of bounded memory, which gives the k nearest
-    of each of its queries, and the best k of all blocks remain. ``leave_one_out`` leaves out the record of the same id.
+
+def neighbours(queries: DataFrame, records: DataFrame, scales: list[float], config: FeedbackConfig, leave_one_out: bool = False, block: int = BLOCK) -> DataFrame:
+    """``neighbours_by_dataset`` of one dataset: query, record, distance, outcome, confidence, place."""
+    return neighbours_by_dataset(_alone(queries), _alone(records), {_ONE: (scales, config)}, leave_one_out, block).drop("dataset_id")
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, same: tuple[np.ndarray, np.ndarray] | None, scale: np.ndarray, k: int, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x, rows of y and distances of the k nearest of each row within ``most``; ties by row. same: codes of the rows, equal ones do not meet."""
+    columns, rows, near, found = np.ascontiguousarray(y.T), [], [], []
+    step = max(1, 2**15 // max(1, len(y)))
+    for at in range(0, len(x) if len(y) else 0, step):
+        part = x[at : at + step]
+        d, one = np.zeros((len(part), len(y))), np.empty((len(part), len(y)))
+        for f, s in enumerate(scale):
+            np.subtract(columns[f], part[:, f, None], out=one)
+            np.abs(one, out=one)
+            np.divide(one, s, out=one)
+            np.minimum(one, 1.0, out=one)
+            d += one
+        d /= len(scale)
+        if same is not None:
+            d[same[0][at : at + step, None] == same[1]] = np.inf
+        bound = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(y) else np.full(len(part), np.inf)
+        i, j = np.nonzero(d <= np.minimum(bound, most)[:, None])
+        order = np.lexsort((j, d[i, j], i))
+        i, j = i[order], j[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j = i[keep], j[keep]
+        rows.append(i + at)
+        near.append(j)
+        found.append(d[i, j])
+    whole = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts])
+    return whole(rows, np.int64), whole(near, np.int64), whole(found, np.float64)
+
+
+def neighbours_by_dataset(queries: DataFrame, records: DataFrame, guides: Guides, leave_one_out: bool = False, block: int = BLOCK) -> DataFrame:
+    """dataset_id, query, record, distance, outcome, confidence, place of the nearest records of the query's dataset within its maximum distance, ties by record.
+
+    ``queries``: dataset_id, id, vec; ``records``: dataset_id, id, vec, outcome, confidence; rows of datasets without a guide
+    are left out. Distance is the mean of min(|difference| / scale, 1). Both sides of a dataset are cut into blocks by hash;
+    each pair of blocks is one group of bounded memory, which gives the k nearest of each of its queries, and the best k of
+    all blocks remain. ``leave_one_out`` leaves out the record of the same id.
     """
-    config = config.checked()
-    ship(queries.sparkSession)
-    n, m = queries.count(), records.count()
-    a, b = max(1, -(-n // block)), max(1, -(-m // block))
+    spark = queries.sparkSession
+    ship(spark)
+    guide = {d: (np.array(scales, dtype=float), config.checked().neighbors, config.maximum_distance) for d, (scales, config) in guides.items()}
+    counted = lambda df: {r["dataset_id"]: r["n"] for r in df.groupBy("dataset_id").agg(F.count("*").alias("n")).collect()}  # noqa: E731  # one row a dataset
+    n, m = counted(queries), counted(records)
+    cuts = [(d, -(-n[d] // block), -(-m[d] // block), guide[d][1]) for d in guide if d in n and d in m]
+    sizes = F.broadcast(spark.createDataFrame(cuts, "dataset_id string, a int, b int, k int"))  # one row a dataset
     none = F.lit(None).cast("double")
-    q = queries.select("id", "vec", none.alias("outcome"), none.alias("confidence"), F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(a)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("rb"))
-    r = records.select("id", "vec", "outcome", "confidence", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(b)).cast("int").alias("rb"))
-    scale, k, most = np.array(scales), config.neighbors, config.maximum_distance
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    q = queries.join(sizes, "dataset_id").select("dataset_id", F.col("id").cast("string").alias("id"), "vec", none.alias("outcome"), none.alias("confidence"), F.lit(0).alias("side"), own("a").alias("qb"), each("b").alias("rb"))
+    r = records.join(sizes, "dataset_id").select("dataset_id", F.col("id").cast("string").alias("id"), "vec", "outcome", "confidence", F.lit(1).alias("side"), each("a").alias("qb"), own("b").alias("rb"))
 
     def meet(table):
         table = table.combine_chunks().sort_by("id")
+        scale, k, most = guide[table.column("dataset_id")[0].as_py()]
         side = table.column("side").to_numpy()
-        vec = np.asarray(table.column("vec").combine_chunks().flatten(), dtype=float).reshape(table.num_rows, -1) if table.num_rows else np.empty((0, len(scale)))
-        ids = table.column("id")
+        vec = np.asarray(table.column("vec").combine_chunks().flatten(), dtype=float).reshape(table.num_rows, -1)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        names = np.asarray(ids.to_pylist(), dtype=object)
-        xs, ys, ds = [], [], []
-        for i in left:
-            d = np.minimum(np.abs(vec[right] - vec[i]) / scale, 1.0).mean(1)
-            ok = d <= most
-            if leave_one_out:
-                ok &= names[right] != names[i]
-            near = np.flatnonzero(ok)
-            near = near[np.lexsort((near, d[near]))][:k]
-            xs += [i] * len(near)
-            ys += right[near].tolist()
-            ds += d[near].tolist()
-        take = lambda c, x: table.column(c).take(pa.array(x, pa.int64()))
-        return pa.table({"query": take("id", xs), "record": take("id", ys), "distance": pa.array(ds, pa.float64()), "outcome": take("outcome", ys), "confidence": take("confidence", ys)})
-
-    local = q.unionByName(r).repartition(min(max(a * b, 1), 2000), "qb", "rb").groupBy("qb", "rb").applyInArrow(meet, "query string, record string, distance double, outcome double, confidence double")
-    w = Window.partitionBy("query").orderBy("distance", "record")
-    return local.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+        same = None
+        if leave_one_out:
+            codes = np.unique(np.asarray(table.column("id").to_pylist(), dtype=object), return_inverse=True)[1]
+            same = codes[left], codes[right]
+        i, j, d = _nearest(vec[left], vec[right], same, scale, k, most)
+        take = lambda c, at: table.column(c).take(pa.array(at, pa.int64()))
+        return pa.table({"dataset_id": take("dataset_id", left[i]), "query": take("id", left[i]), "record": take("id", right[j]), "distance": pa.array(d, pa.float64()), "outcome": take("outcome", right[j]), "confidence": take("confidence", right[j])})
+
+    groups = sum(a * b for _, a, b, _ in cuts)
+    local = q.unionByName(r).repartition(min(max(groups, 1), 2000), "dataset_id", "qb", "rb").groupBy("dataset_id", "qb", "rb").applyInArrow(meet, "dataset_id string, query string, record string, distance double, outcome double, confidence double")
+    w = Window.partitionBy("dataset_id", "query").orderBy("distance", "record")
+    return local.withColumn("place", F.row_number().over(w)).join(sizes.select("dataset_id", "k"), "dataset_id").filter(F.col("place") <= F.col("k")).drop("k")
 
 
 def estimates(near: DataFrame, config: FeedbackConfig) -> DataFrame:
-    """query, neighbors, mean_distance, weighted_outcome, dispersion, conservative_outcome where there are enough neighbours.
+    """``estimates_by_dataset`` of one dataset: query, neighbors, mean_distance, weighted_outcome, dispersion, conservative_outcome."""
+    return estimates_by_dataset(_alone(near), {_ONE: ([], config)}).drop("dataset_id")
+
+
+def estimates_by_dataset(near: DataFrame, guides: Guides) -> DataFrame:
+    """dataset_id, query, neighbors, mean_distance, weighted_outcome, dispersion, conservative_outcome where there are enough neighbours.
 
     Weights are max(1 - distance, 1e-9)^2 x confidence; the conservative outcome is the weighted mean less the weighted
     population deviation over the root of the number, within -1 and 1.
     """
+    least = F.broadcast(near.sparkSession.createDataFrame([(d, config.minimum_neighbors) for d, (_, config) in guides.items()], "dataset_id string, least int"))  # one row a dataset
     w = F.pow(F.greatest(1 - F.col("distance"), F.lit(1e-9)), 2) * F.col("confidence")
-    sums = near.groupBy("query").agg(F.count("*").alias("neighbors"), F.avg("distance").alias("mean_distance"), F.sum(w).alias("w"), F.sum(w * F.col("outcome")).alias("wo"), F.sum(w * F.col("outcome") ** 2).alias("woo"))
+    sums = near.groupBy("dataset_id", "query").agg(F.count("*").alias("neighbors"), F.avg("distance").alias("mean_distance"), F.sum(w).alias("w"), F.sum(w * F.col("outcome")).alias("wo"), F.sum(w * F.col("outcome") ** 2).alias("woo"))
     mean = F.col("wo") / F.col("w")
     spread = F.sqrt(F.greatest(F.col("woo") / F.col("w") - mean * mean, F.lit(0.0)))
     cautious = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), mean - spread / F.sqrt(F.col("neighbors").cast("double"))))
-    return sums.filter(F.col("neighbors") >= config.minimum_neighbors).select("query", "neighbors", "mean_distance", mean.alias("weighted_outcome"), spread.alias("dispersion"), cautious.alias("conservative_outcome"))
+    enough = sums.join(least, "dataset_id").filter(F.col("neighbors") >= F.col("least"))
+    return enough.select("dataset_id", "query", "neighbors", "mean_distance", mean.alias("weighted_outcome"), spread.alias("dispersion"), cautious.alias("conservative_outcome"))
 
 
 def guided(candidates: DataFrame, dataset_records: DataFrame, scales: list[float], config: FeedbackConfig) -> DataFrame:
-    """``candidates`` (id, fingerprint, vec, ...) with an estimate each, null where there is none.
+    """``guided_by_dataset`` of one dataset: ``candidates`` (id, fingerprint, vec, ...) with an estimate each, null where there is none."""
+    return guided_by_dataset(_alone(candidates), _alone(dataset_records), {_ONE: (scales, config)}).drop("dataset_id")
+
 
-    A candidate that was measured itself, by fingerprint, has that outcome, with one neighbour at distance 0.
+def guided_by_dataset(candidates: DataFrame, records: DataFrame, guides: Guides) -> DataFrame:
+    """``candidates`` (dataset_id, id, fingerprint, vec, ...) with an estimate each from the records of that dataset, null where there is none.
+
+    A candidate that was measured itself, by fingerprint, has that outcome, with one neighbour at distance 0. One whose vec
+    is null has no neighbours.
     """
-    measured = dataset_records.filter("fingerprint is not null").groupBy("fingerprint").agg(F.max_by("outcome", F.struct("confidence", "id")).alias("measured"))
-    est = estimates(neighbours(candidates.select("id", "vec"), dataset_records, scales, config), config)
-    rows = candidates.join(measured, "fingerprint", "left").join(est.withColumnRenamed("query", "id"), "id", "left")
+    measured = records.filter("fingerprint is not null").groupBy("dataset_id", "fingerprint").agg(F.max_by("outcome", F.struct("confidence", "id")).alias("measured"))
+    est = estimates_by_dataset(neighbours_by_dataset(candidates.filter("vec is not null").select("dataset_id", "id", "vec"), records, guides), guides)
+    rows = candidates.join(measured, ["dataset_id", "fingerprint"], "left").join(est.withColumnRenamed("query", "id"), ["dataset_id", "id"], "left")
     own = F.col("measured").isNotNull()
     for c in ("weighted_outcome", "conservative_outcome"):
         rows = rows.withColumn(c, F.when(own, F.col("measured")).otherwise(F.col(c)))
@@ -262,21 +317,22 @@ def screened(guided_rows: DataFrame, threshold: float) -> DataFrame:
     return guided_rows.withColumn("eligible", F.coalesce(F.col("conservative_outcome") >= F.lit(threshold), F.lit(False)))
 
 
-def rank_auc(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
-    """One row ``auc``: the chance that a positive outcome is predicted above a negative one, ties counting half.
+def rank_auc(rows: DataFrame, predicted: str, actual: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row ``auc``, or one for each value of ``keys``: the chance that a positive outcome is predicted above a negative one, ties counting half.
 
     Predictions are counted by value first, then ranked by a running sum over the distinct values, in range partitions; null
     unless both signs occur. Zero outcomes count as not positive.
     """
     positive = F.col(actual) > 0
-    by_value = rows.groupBy(F.col(predicted).alias("p")).agg(F.count(F.when(positive, 1)).alias("pos"), F.count(F.when(~positive, 1)).alias("neg"))
-    won = running_sum(by_value, "p", "neg", "below")
-    sums = won.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return sums.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("u") / (F.col("pos") * F.col("neg"))).alias("auc"))
+    by_value = rows.groupBy(F.struct(*keys, F.col(predicted).alias("__pf_p")).alias("p")).agg(F.count(F.when(positive, 1)).alias("pos"), F.count(F.when(~positive, 1)).alias("neg"))
+    won = running_sum(by_value, "p", "neg", "below").select("p.*", "pos", "neg", "below")
+    # the running sum goes through all keys, so what came before a key is taken off
+    sums = won.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.min("below").alias("before"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return sums.select(*keys, F.when((F.col("pos") > 0) & (F.col("neg") > 0), (F.col("u") - F.col("pos") * F.col("before")) / (F.col("pos") * F.col("neg"))).alias("auc"))
 
 
-def audit_metrics(predictions: DataFrame) -> DataFrame:
-    """One row of records, predicted, coverage, mae, rmse, sign_accuracy, balanced_accuracy, auc.
+def audit_metrics(predictions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each value of ``keys``, of records, predicted, coverage, mae, rmse, sign_accuracy, balanced_accuracy, auc.
 
     ``predictions``: id, actual, predicted (null where not covered). Sign accuracy is over non-zero outcomes; a prediction
     of 0 or less counts as negative in the balanced accuracy.
@@ -286,19 +342,24 @@ def audit_metrics(predictions: DataFrame) -> DataFrame:
     up, down = covered & (a > 0), covered & (a < 0)
     right = ((p > 0) & (a > 0)) | ((p < 0) & (a < 0))
     rate = lambda hit, of: F.try_divide(F.count(F.when(of & hit, 1)), F.count(F.when(of, 1)))
-    m = predictions.agg(
+    m = predictions.groupBy(*keys).agg(
         F.count("*").alias("records"), F.count(p).alias("predicted"), F.avg(F.abs(p - a)).alias("mae"), F.sqrt(F.avg((p - a) ** 2)).alias("rmse"), rate(right, covered & (a != 0)).alias("sign_accuracy"),
         ((rate(p > 0, up) + rate(p <= 0, down)) / 2).alias("balanced_accuracy"),
     )
-    auc = rank_auc(predictions.filter(covered), "predicted", "actual")
-    both = m.withColumn("k", F.lit(1)).join(auc.withColumn("k", F.lit(1)), "k").drop("k")
+    auc = rank_auc(predictions.filter(covered), "predicted", "actual", keys)
+    both = m.join(auc, list(keys), "left") if keys else m.withColumn("k", F.lit(1)).join(auc.withColumn("k", F.lit(1)), "k").drop("k")
     return both.withColumn("coverage", F.try_divide("predicted", "records"))
 
 
 def leave_one_out(records: DataFrame, scales: list[float], config: FeedbackConfig) -> DataFrame:
     """id, actual, predicted of every record, estimated from the others."""
-    est = estimates(neighbours(records.select("id", "vec"), records, scales, config, leave_one_out=True), config)
-    return records.select("id", F.col("outcome").alias("actual")).join(est.select(F.col("query").alias("id"), F.col("weighted_outcome").alias("predicted")), "id", "left")
+    return leave_one_out_by_dataset(_alone(records), {_ONE: (scales, config)}).drop("dataset_id")
+
+
+def leave_one_out_by_dataset(records: DataFrame, guides: Guides) -> DataFrame:
+    """dataset_id, id, actual, predicted of every record, estimated from the others of its dataset."""
+    est = estimates_by_dataset(neighbours_by_dataset(records.select("dataset_id", "id", "vec"), records, guides, leave_one_out=True), guides)
+    return records.select("dataset_id", "id", F.col("outcome").alias("actual")).join(est.select("dataset_id", F.col("query").alias("id"), F.col("weighted_outcome").alias("predicted")), ["dataset_id", "id"], "left")
 
 
 def holdout(training: FeedbackDataset, evaluation: FeedbackDataset, config: FeedbackConfig, spark: SparkSession) -> DataFrame:
