@@ -235,10 +235,13 @@ def transform_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def elite_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from panelforge.search.selection import round_robin
+    """Current candidates taken in turns from the buckets of kind, root family and node bucket."""
+    from panelforge.search.selection import node_bucket, round_robin
 
-    c = spark.read.parquet(f"{sf_dir}/candidates.parquet").filter("structural_score is not null and not isnan(structural_score) and root_family is not null").groupBy("candidate_id").agg(*(F.max(x).alias(x) for x in ("structural_score", "root_family", "nodes")))
-    return round_robin(c, ["root_family"], [F.col("structural_score").desc(), F.col("nodes").asc(), F.col("candidate_id").asc()], 50).select("candidate_id", "place")
+    columns = {"structural_score": F.col("structural_score"), "kind": F.col("provenance.kind"), "root_family": tidy("root_family"), "nodes": F.col("nodes")}
+    c = current_candidates(spark.read.parquet(f"{sf_dir}/candidates.parquet"), columns).filter("structural_score is not null and not isnan(structural_score) and root_family is not null")
+    buckets = c.withColumn("node_bucket", node_bucket(F.col("nodes")))
+    return round_robin(buckets, ["kind", "root_family", "node_bucket"], [F.col("structural_score").desc(), F.col("nodes").asc(), F.col("candidate_id").asc()], 50).select("candidate_id", "place")
 
 
 def dedup_partition(spark: SparkSession, sf_dir: str) -> DataFrame:

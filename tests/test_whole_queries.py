@@ -101,3 +101,16 @@ def test_audit_by_key_is_the_audit_of_each(spark):
     for k in "ab":
         want = feedback.audit_metrics(rows.filter(rows["dataset_id"] == k)).first().asDict()
         assert {c: got[k][c] for c in want} == pytest.approx(want)
+
+
+def test_elites_are_current_rows_in_turns_of_kind_family_and_nodes(spark):
+    """The SQL runs over a table of current rows whose family is the whole bucket."""
+    con = tables("candidates")
+    con.execute("alter table candidates rename to versions")
+    con.execute(r"""create table current as select candidate_id, structural_score, nodes, coalesce(provenance.kind, '') || '|' || lower(regexp_replace(root_family, '^\s+|\s+$', '', 'g')) || '|' ||
+      case when nodes <= 5 then 0 when nodes <= 12 then 1 when nodes <= 24 then 2 when nodes <= 48 then 3 when nodes <= 96 then 4 else 5 end as root_family
+      from (select *, row_number() over (partition by candidate_id order by written_at desc nulls last, structural_score desc nulls last, fingerprint desc nulls last) as rn from versions) where rn = 1""")
+    con.execute("create view candidates as select * from current")
+    want = sorted(con.execute(oracle_sql()["elite_round_robin"]).fetchall())
+    got = sorted((r["candidate_id"], r["place"]) for r in queries_core.elite_round_robin(spark, DATA).collect())
+    assert len(want) == 50 and got == want
