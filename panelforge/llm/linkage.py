@@ -229,13 +229,14 @@ def _oriented(joined: DataFrame, more: list[str]) -> DataFrame:
 
 
 def increments(proposals: DataFrame, parts: int) -> list[DataFrame]:
-    """The proposals in order of batch_no, in ``parts`` increments of whole batches; null batches come last."""
+    """The proposals in order of batch_no, in at most ``parts`` increments of whole batches; null batches are in the last."""
     r = proposals.agg(F.min("batch_no").alias("lo"), F.max("batch_no").alias("hi")).first()
     if r["lo"] is None or parts < 2:
         return [proposals]
     width = max(1, math.ceil((r["hi"] - r["lo"] + 1) / parts))
-    place = F.coalesce(F.floor((F.col("batch_no") - r["lo"]) / F.lit(float(width))), F.lit(parts - 1))
-    return [proposals.filter(place == i) for i in range(math.ceil((r["hi"] - r["lo"] + 1) / width))]
+    made = math.ceil((r["hi"] - r["lo"] + 1) / width)
+    place = F.coalesce(F.floor((F.col("batch_no") - r["lo"]) / F.lit(float(width))), F.lit(made - 1))
+    return [proposals.filter(place == i) for i in range(made)]
 
 
 def link_history(history: DataFrame, proposals: DataFrame, parts: int = 2, clusters: bool = False) -> tuple[LinkIndex, DataFrame]:
