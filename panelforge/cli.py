@@ -85,7 +85,7 @@ def dedup(args) -> None:
 def _spec(args):
     from panelforge.search.engine import SearchSpec
 
-    return SearchSpec(seed=args.seed, max_candidates=args.candidates, shortlist=args.shortlist, seconds=args.seconds, cover=args.cover, pause_after=args.pause_after)
+    return SearchSpec(seed=args.seed, max_candidates=args.candidates, shortlist=args.shortlist, seconds=args.seconds, cover=args.cover, pause_after=args.pause_after, batch=args.batch)
 
 
 def search(args) -> None:
@@ -94,7 +94,7 @@ def search(args) -> None:
     archive = [r["expression"] for r in artifacts.load_candidates(args.archive)[0]] if args.archive else []
     if args.archive:
         _distinct(args.archive, args.output)
-    s = Search(_spec(args), _catalog(args), archive)
+    s = Search(_spec(args), _catalog(args), archive, _spark("search") if args.spread else None)
     records, manifest = s.run(args.checkpoint, json.loads(_text(args.resume)) if args.resume else None)
     _show({**artifacts.publish(args.output, records, manifest), "manifest": manifest})
 
@@ -102,8 +102,9 @@ def search(args) -> None:
 def benchmark(args) -> None:
     from panelforge.search.engine import Search
 
+    spark = _spark("benchmark") if args.spread else None
     began = time.monotonic()
-    _, manifest = Search(_spec(args)).run()
+    _, manifest = Search(_spec(args), spark=spark).run()
     seconds = time.monotonic() - began
     _show({"seconds": round(seconds, 3), "candidates_per_second": round(manifest["counts"]["attempted"] / seconds, 1), "counts": manifest["counts"]})
 
@@ -223,7 +224,7 @@ def main(argv: list[str] | None = None) -> int:
     need = lambda *names: [(n, {"required": True}) for n in names]
     may = lambda **kw: [("--" + k.replace("_", "-"), v) for k, v in kw.items()]
     catalog = may(catalog={})
-    run_options = may(seed={"type": int, "default": 0}, candidates={"type": int, "default": 1000}, shortlist={"type": int, "default": 100}, seconds={"type": float}, cover={"default": "fixed"}, pause_after={"type": int})
+    run_options = may(seed={"type": int, "default": 0}, candidates={"type": int, "default": 1000}, shortlist={"type": int, "default": 100}, seconds={"type": float}, cover={"default": "fixed"}, pause_after={"type": int}, batch={"type": int, "default": 128}, spread={"action": "store_true"})
     near = may(neighbors={"type": int, "default": 8}, minimum_neighbors={"type": int, "default": 3}, maximum_distance={"type": float, "default": 1.0})
     evaluation = [*need("--panel"), *[(o, {"required": True, "type": int}) for o in ("--train-end", "--validation-end")], *may(
         evaluation_start={"type": int, "default": 0}, horizon={"type": int, "default": 1}, cost_bps={"type": float, "default": 0.0}, annualization_rows={"type": int}, signal_decay={"type": int, "default": 0},

@@ -12,7 +12,11 @@ from panelforge.expr.canonical import canonical, digest
 
 def simplify(node: Node) -> Node:
     """Exact identities at any depth: a rank of a rank is that rank; a conditional with one outcome is that outcome."""
-    node = node.map_children(simplify)
+    if node.tag != "call":
+        return node
+    inner = [simplify(a) for a in node.args]  # keyword values are literals
+    if any(a is not b for a, b in zip(inner, node.args)):
+        node = node.with_parts(tuple(inner))
     if node.operator == "rank" and not node.kwargs and node.args[0].operator == "rank" and not node.args[0].kwargs:
         return node.args[0]
     if node.operator == "if_else" and len(node.args) == 3:

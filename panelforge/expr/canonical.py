@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from decimal import Decimal
+from functools import cache
 
 from panelforge.expr.ast import Node
 from panelforge.expr.catalog import builtin
@@ -35,12 +36,18 @@ def _written(node: Node) -> str:
     if node.tag == "field":
         return node.name
     args = [canonical(a) for a in node.args]
-    known = builtin().operator(node.name)
-    if known is not None and known.commutative:
+    if commutes(node.name):
         args.sort()
     return f"{node.name}({', '.join([*args, *(f'{k}={canonical(v)}' for k, v in node.kwargs)])})"
 
 
+@cache
+def commutes(operator: str) -> bool:
+    """Whether a built-in operator gives the same in any order of its arguments."""
+    known = builtin().operator(operator)
+    return known is not None and known.commutative
+
+
 def digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 

@@ -36,11 +36,11 @@ class Input:
         what = self.domain[0]
         x = value.value if value.tag == "number" else None
         if what == "non_zero_scalar":
-            return None if x is not None and x != 0 else "must be a non-zero scalar"
+            return None if x is not None and x != 0 else "a number other than 0 is wanted"
         if what == "window":
             good = x is not None and x == int(x) and self.domain[1] <= x <= self.domain[2]
-            return None if good else f"must be an integer window in {self.domain[1]}..={self.domain[2]}"
-        return None if x is not None and x in self.domain[1] else "must be an allowed window"
+            return None if good else f"a whole window from {self.domain[1]} to {self.domain[2]} is wanted"
+        return None if x is not None and x in self.domain[1] else "not one of the listed windows"
 
 
 @dataclass(frozen=True)
@@ -115,28 +115,28 @@ class Catalog:
             if condition:
                 raise CatalogError(message)
 
-        fail(not (self.operators and self.fields and self.groups), "a catalog needs operators, fields and groups")
-        fail(not _domain_ok(*self.scalar_domain), "invalid scalar domain")
+        fail(not (self.operators and self.fields and self.groups), "operators, fields and groups must not be empty")
+        fail(not _domain_ok(*self.scalar_domain), "the scalar grid needs finite bounds in order and a positive step")
         for label, names in (("operator", [o.name for o in self.operators]), ("field", [f.name for f in self.fields]), ("group", list(self.groups))):
             for n in names:
-                fail(not _NAME.match(n) or names.count(n) > 1, f"invalid or duplicate {label} name `{n}`")
+                fail(not _NAME.match(n) or names.count(n) > 1, f"`{n}` can't name one {label} alone: not an identifier, or taken")
         for f in self.fields:
-            fail(f.kind != SIGNAL or not f.family or not f.roles, f"invalid field `{f.name}`")
-        fail(any(k != GROUP for k in self.group_kinds), "groups must have group kind")
+            fail(f.kind != SIGNAL or not f.family or not f.roles, f"`{f.name}` must be a signal with a family and roles")
+        fail(any(k != GROUP for k in self.group_kinds), "a group of another kind than group")
         for o in self.operators:
-            fail(o.arity[0] < 1 or o.arity[0] > o.arity[1], f"invalid arity of `{o.name}`")
-            fail(len(o.inputs) != (1 if o.variadic else o.arity[0]) or any(not i.kinds or not set(i.kinds) <= set(KINDS) for i in o.inputs), f"invalid input signature of `{o.name}`")
+            fail(o.arity[0] < 1 or o.arity[0] > o.arity[1], f"`{o.name}`: the number of arguments is out of order")
+            fail(len(o.inputs) != (1 if o.variadic else o.arity[0]) or any(not i.kinds or not set(i.kinds) <= set(KINDS) for i in o.inputs), f"`{o.name}`: arguments and their kinds don't match")
             for i in o.inputs:
                 if i.domain and i.domain[0] == "window":
-                    fail(i.domain[1] < 1 or i.domain[1] > i.domain[2], f"invalid window domain of `{o.name}`")
+                    fail(i.domain[1] < 1 or i.domain[1] > i.domain[2], f"`{o.name}`: window bounds out of order")
                 if i.domain and i.domain[0] == "window_set":
                     v = i.domain[1]
-                    fail(not v or 0 in v or any(a >= b for a, b in zip(v, v[1:])), f"invalid window set of `{o.name}`")
-            fail(o.weight == 0 and o.parse_only_reason is None, f"parse-only operator `{o.name}` needs a reason")
+                    fail(not v or 0 in v or any(a >= b for a, b in zip(v, v[1:])), f"`{o.name}`: windows must be positive and ascend")
+            fail(o.weight == 0 and o.parse_only_reason is None, f"`{o.name}` is never drawn and doesn't say why")
             names = [k.name for k in o.keywords]
-            fail(any(not _NAME.match(n) or names.count(n) > 1 for n in names), f"invalid or duplicate keyword of `{o.name}`")
-            fail(any(not _domain_ok(k.min, k.max, k.step) for k in o.keywords), f"invalid keyword domain of `{o.name}`")
-            fail(any(a not in names or b not in names for a, b in o.less_than), f"invalid keyword constraint of `{o.name}`")
+            fail(any(not _NAME.match(n) or names.count(n) > 1 for n in names), f"`{o.name}`: a keyword is not an identifier, or taken")
+            fail(any(not _domain_ok(k.min, k.max, k.step) for k in o.keywords), f"`{o.name}`: a keyword's grid needs finite bounds in order and a positive step")
+            fail(any(a not in names or b not in names for a, b in o.less_than), f"`{o.name}` orders keywords it doesn't have")
         return self
 
     def to_json(self) -> str:
@@ -251,34 +251,34 @@ def build_call(catalog: Catalog, name: str, args: list[Node] | tuple[Node, ...],
     kwargs = kwargs or {}
     op = catalog.operator(name)
     if op is None:
-        raise ValidationError(f"unknown operator `{name}`")
+        raise ValidationError(f"no operator `{name}` here")
     if not op.arity[0] <= len(args) <= op.arity[1]:
-        raise ValidationError(f"operator `{name}` received invalid arity {len(args)}")
+        raise ValidationError(f"`{name}` takes {op.arity[0]} to {op.arity[1]} arguments, not {len(args)}")
     for i, a in enumerate(args):
         spec = op.input(i)
         if a.kind not in spec.kinds:
-            raise ValidationError(f"operator `{name}` argument {i + 1} does not accept {a.kind}")
+            raise ValidationError(f"`{name}`, argument {i + 1}: a {a.kind} where one of {', '.join(spec.kinds)} is wanted")
         if problem := spec.problem(a):
-            raise ValidationError(f"operator `{name}` argument {i + 1} {problem}")
+            raise ValidationError(f"`{name}`, argument {i + 1}: {problem}")
     for k in op.required_kinds:
         if all(a.kind != k for a in args):
-            raise ValidationError(f"operator `{name}` requires at least one {k} argument")
+            raise ValidationError(f"`{name}` has no {k} among its arguments")
     known = {k.name: k for k in op.keywords}
     for k in op.keywords:
         if k.required and k.name not in kwargs:
-            raise ValidationError(f"operator `{name}` requires keyword `{k.name}`")
+            raise ValidationError(f"`{name}` lacks `{k.name}=`")
     for k, v in kwargs.items():
         if k not in known:
-            raise ValidationError(f"operator `{name}` received unsupported keyword `{k}`")
+            raise ValidationError(f"`{name}` has no keyword `{k}`")
         if v.tag != "number":
-            raise ValidationError(f"keyword `{k}` must be a scalar literal")
+            raise ValidationError(f"`{k}=` takes a number")
         if not known[k].min <= v.value <= known[k].max:
-            raise ValidationError(f"keyword `{k}` must be in {known[k].min}..={known[k].max}")
+            raise ValidationError(f"`{k}=` is outside {known[k].min} to {known[k].max}")
     for a, b in op.less_than:
         if a not in kwargs or b not in kwargs:
-            raise ValidationError(f"operator `{name}` needs both keywords `{a}` and `{b}`")
+            raise ValidationError(f"`{name}` compares `{a}` with `{b}`; give both")
         if kwargs[a].value >= kwargs[b].value:
-            raise ValidationError(f"operator `{name}` requires {a} < {b}")
+            raise ValidationError(f"`{name}`: `{a}` isn't below `{b}`")
     node = Node("call", name, None, tuple(args), tuple(sorted(kwargs.items())), op.output, op.shape)
     if all(is_checked(a, catalog) for a in args):
         node.__dict__["_checked_by"] = catalog

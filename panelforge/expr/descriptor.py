@@ -15,9 +15,9 @@ from panelforge.expr.canonical import canonical, digest
 from panelforge.expr.catalog import Catalog, builtin
 
 # Operators that make a formula non-linear or conditional, and those whose last argument is a window.
-NONLINEAR = frozenset("rank zscore ts_rank ts_std_dev ts_var ts_skew ts_kurt ts_min ts_max ts_median ts_mad ts_cov ts_corr ts_zscore winsorize clip group_rank".split())
+NONLINEAR = frozenset({"rank", "zscore", "ts_rank", "ts_std_dev", "ts_var", "ts_skew", "ts_kurt", "ts_min", "ts_max", "ts_median", "ts_mad", "ts_cov", "ts_corr", "ts_zscore", "winsorize", "clip", "group_rank"})
 CONDITIONAL = frozenset(["if_else", "greater"])
-WINDOWED = frozenset("ts_rank ts_mean ts_sum ts_std_dev ts_var ts_skew ts_kurt ts_min ts_max ts_median ts_mad ts_wma ts_ema ts_zscore ts_delta ts_delay ts_cov ts_corr".split())
+WINDOWED = frozenset({"ts_rank", "ts_mean", "ts_sum", "ts_std_dev", "ts_var", "ts_skew", "ts_kurt", "ts_min", "ts_max", "ts_median", "ts_mad", "ts_wma", "ts_ema", "ts_zscore", "ts_delta", "ts_delay", "ts_cov", "ts_corr"})
 
 # Weights of the parts of the distance.
 WEIGHTS = {

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
 import dataclasses
 import hashlib
 import json
 import time
 from collections import OrderedDict, deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from panelforge.expr.analysis import analyze
@@ -72,24 +74,93 @@ class SearchSpec:
 
 
 @dataclass
-class Draft:
-    node: Node
+class Made:
+    """What one slot of a batch gave; what is turned away has a reason and no description."""
+
     text: str
-    semantic: str
+    identity: str | None
+    reason: str | None
     provenance: Provenance
-    descriptor: Descriptor
+    fingerprint: str = ""
+    descriptor: Descriptor | None = None
+    root_family: str = ""
+    nodes: int = 0
+    depth: int = 0
+    operator_count: int = 0
+
+
+@dataclass
+class Draft:
+    made: Made
     ordinal: int
     pool: dict
     parts: dict[str, float] | None = None
     score: float = 0.0
 
+    text = property(lambda self: self.made.text)
+    semantic = property(lambda self: self.made.identity)
+    provenance = property(lambda self: self.made.provenance)
+    descriptor = property(lambda self: self.made.descriptor)
+    nodes = property(lambda self: self.made.nodes)
+
     @property
     def key(self) -> tuple:
-        return (-self.score, self.node.node_count, self.semantic)
+        return (-self.score, self.nodes, self.semantic)
 
-    @property
+    @cached_property
     def bucket(self) -> tuple:
-        return (self.provenance.kind, self.pool["root_family"], node_bucket(self.node.node_count))
+        return (transform.KINDS.index(self.provenance.kind), self.made.root_family, node_bucket(self.nodes))
+
+    @cached_property
+    def worth(self) -> tuple:
+        """Order in which elites are kept: worth most, then smaller, then by fingerprint."""
+        return (-retention_value(self.descriptor), self.nodes, self.semantic)
+
+
+# What each part of a descriptor adds to the worth of keeping a formula.
+RETENTION = {"operator_shingles": 8, "operator_histogram": 5, "field_families": 7, "fields": 3, "window_buckets": 4, "groups": 5, "lineage_parents": 2}
+RETENTION_FLAGS = {"nonlinear": 3, "conditional": 5}
+
+
+def retention_value(d: Descriptor) -> int:
+    return sum(w * len(getattr(d, n)) for n, w in RETENTION.items()) + sum(w for n, w in RETENTION_FLAGS.items() if getattr(d, n))
+
+
+class Elites:
+    """The drafts worth keeping, by bucket and in order of worth; at most ``limit`` after ``bound``."""
+
+    def __init__(self, limit: int, drafts: Iterable[Draft] = ()):
+        self.limit, self.queues, self.size = limit, {}, 0
+        for d in drafts:
+            self.add(d)
+
+    def __iter__(self) -> Iterator[Draft]:
+        return (d for k in sorted(self.queues) for d in self.queues[k])
+
+    def __len__(self) -> int:
+        return self.size
+
+    def add(self, d: Draft) -> None:
+        bisect.insort(self.queues.setdefault(d.bucket, []), d, key=lambda x: x.worth)
+        self.size += 1
+
+    def bound(self) -> None:
+        """Keeps those that come first when the buckets take turns in the order of their keys."""
+        if self.size <= self.limit:
+            return
+        sizes = sorted(map(len, self.queues.values()))
+        rounds, left = 0, self.limit
+        for i, n in enumerate(sizes):  # whole rounds that all queues of this size or more can have
+            more = min(n - rounds, left // (len(sizes) - i))
+            rounds, left = rounds + more, left - more * (len(sizes) - i)
+            if rounds < n:
+                break
+        for k in sorted(self.queues):
+            extra = left > 0 and len(self.queues[k]) > rounds
+            left -= extra
+            del self.queues[k][rounds + extra :]
+        self.queues = {k: q for k, q in self.queues.items() if q}
+        self.size = sum(map(len, self.queues.values()))
 
 
 def node_bucket(n: int) -> int:
@@ -162,7 +233,7 @@ def neighbour_guidance(dataset: FeedbackDataset, config: FeedbackConfig) -> Call
         if d.semantic in own:
             return own[d.semantic]
         if d.semantic not in known:
-            f = features(d.descriptor, d.pool["root_family"], d.node.node_count, d.node.depth)
+            f = features(d.descriptor, d.made.root_family, d.made.nodes, d.made.depth)
             far = np.minimum(np.abs(vec - np.array([f[k] for k in keys])) / scales, 1.0).mean(1)
             near = np.flatnonzero(far <= config.maximum_distance)
             near = near[np.lexsort((order[near], far[near]))][: config.neighbors]
@@ -204,22 +275,53 @@ class _Seen:
         return True
 
 
-def prepare(node: Node, provenance: Provenance, limits: Limits, catalog: Catalog) -> tuple[str, str | None, str | None]:
-    """(text, semantic fingerprint, why it is turned away)."""
+def prepare(node: Node, provenance: Provenance, limits: Limits, catalog: Catalog) -> Made:
+    """The formula of its text, described, or why it is turned away."""
+    node = transform.read_back(node, catalog)
     if not limits.accepts(node, catalog):
-        return canonical(node), None, "limits"
+        return Made(canonical(node), None, "limits", provenance)
     a = analyze(node)
-    return canonical(node), a.semantic_fingerprint, a.rejection_reason
+    if a.rejection_reason is not None:
+        return Made(canonical(node), a.semantic_fingerprint, a.rejection_reason, provenance)
+    d = describe(node, provenance.parent_fingerprints, catalog)
+    _keep_tree(node, catalog)
+    return Made(canonical(node), a.semantic_fingerprint, None, provenance, fingerprint(node), d, node.operator or "field", node.node_count, node.depth, node.operator_count)
+
+
+def _packed(m: Made) -> str:
+    return json.dumps([m.text, m.identity, m.reason, m.provenance.to_dict(), m.fingerprint, m.descriptor and dataclasses.asdict(m.descriptor), m.root_family, m.nodes, m.depth, m.operator_count])
+
+
+def _unpacked(text: str) -> Made:
+    t, identity, reason, p, own, d, *rest = json.loads(text)
+    lists = lambda x: {k: tuple(v) if isinstance(v, list) else v for k, v in x.items()}
+    return Made(t, identity, reason, Provenance(**lists(p)), own, d and Descriptor(**lists(d)), *rest)
+
+
+_TREES: dict[tuple[str, str], Node] = {}
+
+
+def _keep_tree(node: Node, catalog: Catalog) -> Node:
+    if len(_TREES) >= 16_384:
+        _TREES.clear()
+    _TREES[catalog.checksum, canonical(node)] = node
+    return node
+
+
+def tree_of(text: str, catalog: Catalog) -> Node:
+    """The tree of a formula's canonical text; parents stay for many generations, so each process keeps some trees."""
+    known = _TREES.get((catalog.checksum, text))
+    return known if known is not None else _keep_tree(parse(text, catalog), catalog)
 
 
 class Search:
     """One run. Offspring are a function of (seed, generation, slot, parents), so they may be made anywhere.
 
-    Batches of at least ``spread_from`` offspring are made by Spark tasks, smaller ones on the driver; the result is the
-    same. They are merged in the order of their slots.
+    With a Spark session the offspring of a generation are made, analysed and described by tasks, one job a generation;
+    without one on the driver. The result is the same, merged in the order of slots. ``clock`` gives seconds, for deadlines.
     """
 
-    def __init__(self, spec: SearchSpec, catalog: Catalog | None = None, archive: list[str] | None = None, spark: SparkSession | None = None, guidance: Callable[[Draft], float | None] | None = None, spread_from: int = 2048, policy: ActionPolicy | None = None):
+    def __init__(self, spec: SearchSpec, catalog: Catalog | None = None, archive: list[str] | None = None, spark: SparkSession | None = None, guidance: Callable[[Draft], float | None] | None = None, policy: ActionPolicy | None = None, clock: Callable[[], float] = time.monotonic):
         self.spec, self.catalog = spec.checked(), compatible(catalog or builtin())
         if spec.feedback_elites and guidance is None:
             raise ValueError("feedback elites need guidance")
@@ -229,7 +331,7 @@ class Search:
             raise ValueError("seeding and action policies need an archive")
         self.policy = policy or ActionPolicy()
         self.given_policy = policy is not None
-        self.spark, self.guidance, self.spread_from = spark, guidance, spread_from
+        self.spark, self.guidance, self.clock = spark, guidance, clock
         self.weights = spec.weights.normalized()
         self.archive: list[Mask] = []
         self.seen = _Seen(spec.semantic_ids)
@@ -243,68 +345,54 @@ class Search:
                 texts.append(canonical(node))
         self.archive_checksum = hashlib.sha256("\n".join(sorted(ids)).encode()).hexdigest()
         self.archive_texts = texts
-        self._trees: dict[str, Node] = {}
         if spec.seed_from_archive and not texts:
             raise ValueError("the archive has no usable formula")
         self.run_id = hashlib.sha256(json.dumps([spec.identity, self.catalog.checksum, self.archive_checksum, dataclasses.asdict(self.policy) if policy else None, guidance is not None], sort_keys=True).encode()).hexdigest()
         self.population: list[Draft] = []
-        self.elites: dict[str, Draft] = {}
+        self.elites = Elites(spec.elites)
         self.counts = dict.fromkeys(("attempted", "accepted", "duplicates", "trivial", "invalid", "generations"), 0)
 
     # making candidates
-    def _admit(self, text: str, identity: str | None, reason: str | None, provenance: Provenance, node: Node | None = None) -> Draft | None:
-        self.counts["attempted"] += 1
-        if reason == "limits" or identity is None:
-            self.counts["invalid"] += 1
-            return None
-        if reason is not None:
-            self.counts["trivial"] += 1
-            return None
-        if not self.seen.add(identity):
-            self.counts["duplicates"] += 1
-            return None
-        self.counts["accepted"] += 1
-        node = node if node is not None else self._parsed(text)
-        d = describe(node, provenance.parent_fingerprints, self.catalog)
-        pool = {"mask": Mask(d), "root_family": node.operator or "field", "operator_count": node.operator_count, "nodes": node.node_count, "parents": provenance.parent_fingerprints, "kind": provenance.kind}
-        return Draft(node, text, identity, provenance, d, self.counts["attempted"], pool)
-
-    def _parsed(self, text: str) -> Node:
-        """The tree of a text in its written order of arguments, as it is read everywhere."""
-        return parse(text, self.catalog)
-
-    def _offspring(self, generation: int, slots: range, parents: list[str]) -> Iterator[tuple[str, str | None, str | None, Provenance, Node | None]]:
-        spec, catalog, policy = self.spec, self.catalog, self.policy if self.given_policy else None
-        if self.spark is None or len(slots) < self.spread_from:
-            nodes = [self._known(p) for p in parents]
-            for slot in slots:
-                yield _make(spec.seed, generation, slot, nodes, spec.limits, catalog, policy)
+    def _admit(self, batch: Iterable[Made]) -> None:
+        """Takes a batch in, in its order; what is new joins the population and the bounded archive of elites."""
+        for m in batch:
+            self.counts["attempted"] += 1
+            if m.reason == "limits" or m.identity is None:
+                self.counts["invalid"] += 1
+            elif m.reason is not None:
+                self.counts["trivial"] += 1
+            elif not self.seen.add(m.identity):
+                self.counts["duplicates"] += 1
+            else:
+                self.counts["accepted"] += 1
+                d = self._draft(m, self.counts["attempted"])
+                self.population.append(d)
+                self.elites.add(d)
+        self.elites.bound()
+
+    def _draft(self, m: Made, ordinal: int) -> Draft:
+        return Draft(m, ordinal, {"mask": Mask(m.descriptor), "root_family": m.root_family, "operator_count": m.operator_count, "nodes": m.nodes, "parents": m.provenance.parent_fingerprints, "kind": m.provenance.kind})
+
+    def _offspring(self, generation: int, slots: range, parents: list[str]) -> Iterator[Made]:
+        seed, limits, catalog, policy = self.spec.seed, self.spec.limits, self.catalog, self.policy if self.given_policy else None
+        if self.spark is None:
+            nodes = [tree_of(p, catalog) for p in parents]
+            yield from (_make(seed, generation, slot, nodes, limits, catalog, policy) for slot in slots)
             return
-        seed, limits = spec.seed, spec.limits
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            nodes = [parse(p, catalog) for p in parents]
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nodes = [tree_of(p, catalog) for p in parents]
             for batch in batches:
-                rows = [(s, *_make(seed, generation, int(s), nodes, limits, catalog, policy)[:4]) for s in batch["id"]]
-                yield pd.DataFrame([(s, t, i, r, json.dumps(p.to_dict())) for s, t, i, r, p in rows], columns=["slot", "text", "identity", "reason", "provenance"])
+                made = [_packed(_make(seed, generation, s, nodes, limits, catalog, policy)) for s in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["slot", "made"])
 
         ship(self.spark)
-        made = self.spark.range(slots.start, slots.stop).mapInPandas(run, "slot long, text string, identity string, reason string, provenance string")
-        for r in made.orderBy("slot").toLocalIterator():  # one batch, its size a parameter
-            p = json.loads(r["provenance"])
-            yield r["text"], r["identity"], r["reason"], Provenance(**{**p, "parent_fingerprints": tuple(p["parent_fingerprints"])}), None
-
-    def _known(self, text: str) -> Node:
-        """Parents stay for many generations; their trees are kept."""
-        if text not in self._trees:
-            if len(self._trees) > 4 * self.spec.parents:
-                self._trees.clear()
-            self._trees[text] = self._parsed(text)
-        return self._trees[text]
+        rows = self.spark.range(slots.start, slots.stop).mapInArrow(run, "slot long, made string").collect()  # one batch; its size is a parameter
+        yield from (_unpacked(r["made"]) for r in sorted(rows, key=lambda r: r["slot"]))
 
     # scoring and keeping
-    def _score(self) -> None:
-        for d, parts in zip(self.population, components([d.pool for d in self.population], self.archive)):
+    def _score(self, drafts: list[Draft]) -> None:
+        for d, parts in zip(drafts, components([d.pool for d in drafts], self.archive)):
             d.parts, d.score = parts, score(parts, self.weights)
 
     def _ordered(self, drafts: list[Draft]) -> list[Draft]:
@@ -313,30 +401,24 @@ class Search:
         known = {id(d): self.guidance(d) for d in drafts}
         return sorted(drafts, key=lambda d: (known[id(d)] is None, -(known[id(d)] or 0.0), d.key))
 
-    def _keep(self) -> None:
-        """The best of the population, in turns, stay; all that leave go to a bounded archive of elites."""
-        ordered = self._ordered(self.population)
-        for d in ordered:
-            self.elites[d.semantic] = d
-        if len(self.elites) > self.spec.elites:
-            self.elites = {d.semantic: d for d in in_turns(self._ordered(list(self.elites.values())), self.spec.elites)}
-        self.population = in_turns(ordered, self.spec.population)
-
     def run(self, checkpoint: str | None = None, resume: dict | None = None) -> tuple[list[dict], dict]:
-        """(shortlist records, manifest). With ``checkpoint`` the state is written after each generation."""
-        spec, began = self.spec, time.monotonic()
-        deadline = None if spec.seconds is None else began + spec.seconds - min(spec.seconds / 4, 0.25)
+        """(shortlist records, manifest). With ``checkpoint`` the state is written after each generation.
+
+        A deadline ends the generations a quarter of the time, at most a quarter of a second, early; then the shortlist
+        comes from the first 2 x shortlist of the population, else from all elites.
+        """
+        spec, began = self.spec, self.clock()
+        end = None if spec.seconds is None else began + spec.seconds
+        stop = None if end is None else end - min(spec.seconds / 4, 0.25)
         if resume is not None:
             self._restore(resume)
         else:
-            for node, provenance in self._initial():
-                draft = self._admit(*prepare(node, provenance, spec.limits, self.catalog), provenance)
-                if draft:
-                    self.population.append(draft)
+            self._admit(prepare(node, provenance, spec.limits, self.catalog) for node, provenance in self._initial())
+            self._turn()
         reason = "max_candidates"
         first = self.counts["generations"]
         while self.counts["attempted"] < spec.max_candidates:
-            if deadline is not None and time.monotonic() >= deadline:
+            if stop is not None and self.clock() >= stop:
                 reason = "duration_deadline"
                 break
             if spec.pause_after is not None and self.counts["generations"] - first >= spec.pause_after:
@@ -344,36 +426,39 @@ class Search:
                 break
             if checkpoint:
                 write_json(checkpoint, self.state())
-            self._score()
-            self._keep()
-            parents = self._parents()
             n = min(spec.batch, spec.max_candidates - self.counts["attempted"])
             generation = self.counts["generations"] + 1
-            for text, identity, why, provenance, node in self._offspring(generation, range(n), parents):
-                draft = self._admit(text, identity, why, provenance, node)
-                if draft:
-                    self.population.append(draft)
+            self._admit(self._offspring(generation, range(n), self._parents()))
             self.counts["generations"] = generation
+            if stop is not None and self.clock() >= stop:
+                self.population = self.population[: spec.population]
+                reason = "duration_deadline"
+                break
+            self._turn()
         if checkpoint:
             write_json(checkpoint, self.state())
-        self._score()
-        self._keep()
-        late = deadline is not None and time.monotonic() >= deadline
-        chosen = shortlist(self._ordered(list(self.elites.values())), spec.shortlist, self.guidance, hurried=late)
+        final = self.population[: 2 * spec.shortlist] if reason == "duration_deadline" else list(self.elites)
+        self._score(final)
+        late = None if end is None else lambda: self.clock() >= end - 0.025
+        chosen = shortlist(self._ordered(final), spec.shortlist, self.guidance, late)
         manifest = {
             "schema": 8, "run_id": self.run_id, "spec": spec.identity, "catalog_checksum": self.catalog.checksum, "archive_checksum": self.archive_checksum, "termination": reason, "counts": self.counts, "shortlist": len(chosen),
-            "seconds": round(time.monotonic() - began, 3),
+            "seconds": round(self.clock() - began, 3),
         }
         return [self.record(d) for d in chosen], manifest
 
+    def _turn(self) -> None:
+        """The best of the population, in turns, stay, in that order."""
+        self._score(self.population)
+        self.population = in_turns(self._ordered(self.population), self.spec.population)
+
     def _parents(self) -> list[str]:
         """Feedback elites first, then the population in turns; the archive's formulas where they seed or stay."""
         spec = self.spec
         if spec.freeze_parents:
             return self.archive_texts[: spec.parents]
-        ordered = self._ordered(self.population)
-        measured = [d for d in ordered if self.guidance is not None and self.guidance(d) is not None][: spec.feedback_elites]
-        texts = [d.text for d in (*measured, *in_turns(ordered, spec.parents))]
+        measured = [d for d in self._ordered(self.population) if self.guidance(d) is not None][: spec.feedback_elites] if spec.feedback_elites else []
+        texts = [d.text for d in (*measured, *self.population[: spec.parents])]
         if spec.seed_from_archive and len(texts) < spec.parents:
             texts += self.archive_texts
         return list(dict.fromkeys(texts))[: spec.parents] or [f.name for f in self.catalog.fields]
@@ -387,14 +472,14 @@ class Search:
 
     def record(self, d: Draft) -> dict:
         return {
-            "schema": SCHEMA, "run_id": self.run_id, "expression": d.text, "fingerprint": fingerprint(d.node), "semantic_fingerprint": d.semantic, "structural_score": d.score, "score_schema": 1, "score_components": d.parts,
-            "normalized_weights": self.weights, "structural_descriptor": d.descriptor.to_dict(), "root_family": d.pool["root_family"], "nodes": d.node.node_count, "depth": d.node.depth, "provenance": d.provenance.to_dict(),
+            "schema": SCHEMA, "run_id": self.run_id, "expression": d.text, "fingerprint": d.made.fingerprint, "semantic_fingerprint": d.semantic, "structural_score": d.score, "score_schema": 1, "score_components": d.parts,
+            "normalized_weights": self.weights, "structural_descriptor": d.descriptor.to_dict(), "root_family": d.made.root_family, "nodes": d.nodes, "depth": d.made.depth, "provenance": d.provenance.to_dict(),
         }
 
     # checkpoints
     def state(self) -> dict:
         pack = lambda ds: [{"text": d.text, "provenance": d.provenance.to_dict(), "ordinal": d.ordinal, "parts": d.parts, "score": d.score} for d in ds]
-        return {"schema": 2, "run_id": self.run_id, "counts": self.counts, "seen": list(self.seen.ids), "population": pack(self.population), "elites": pack(self.elites.values())}
+        return {"schema": 2, "run_id": self.run_id, "counts": self.counts, "seen": list(self.seen.ids), "population": pack(self.population), "elites": pack(self.elites)}
 
     def _restore(self, state: dict) -> None:
         if state.get("schema") != 2 or state.get("run_id") != self.run_id:
@@ -405,17 +490,16 @@ class Search:
         def unpack(x: dict) -> Draft:
             p = x["provenance"]
             provenance = Provenance(**{**p, "parent_fingerprints": tuple(p["parent_fingerprints"])})
-            node = parse(x["text"], self.catalog)
-            d = describe(node, provenance.parent_fingerprints, self.catalog)
-            pool = {"mask": Mask(d), "root_family": node.operator or "field", "operator_count": node.operator_count, "nodes": node.node_count, "parents": provenance.parent_fingerprints, "kind": provenance.kind}
-            return Draft(node, x["text"], analyze(node).semantic_fingerprint, provenance, d, x["ordinal"], pool, x["parts"], x["score"])
+            d = self._draft(prepare(parse(x["text"], self.catalog), provenance, self.spec.limits, self.catalog), x["ordinal"])
+            d.parts, d.score = x["parts"], x["score"]
+            return d
 
-        elites = [unpack(x) for x in state["elites"]]
-        self.elites = {d.semantic: d for d in elites}
-        self.population = [self.elites.get(d.semantic, d) for d in map(unpack, state["population"])]
+        self.elites = Elites(self.spec.elites, map(unpack, state["elites"]))
+        known = {d.semantic: d for d in self.elites}
+        self.population = [known.get(d.semantic, d) for d in map(unpack, state["population"])]
 
 
-def _make(seed: int, generation: int, slot: int, parents: list[Node], limits: Limits, catalog: Catalog, policy: ActionPolicy | None = None) -> tuple[str, str | None, str | None, Provenance, Node]:
+def _make(seed: int, generation: int, slot: int, parents: list[Node], limits: Limits, catalog: Catalog, policy: ActionPolicy | None = None) -> Made:
     index = (generation << 32) | slot
     rng = transform.rng_for("offspring", seed, generation, slot)
     left = parents[rng.randrange(len(parents))]
@@ -428,27 +512,28 @@ def _make(seed: int, generation: int, slot: int, parents: list[Node], limits: Li
         node, provenance = transform.mutate(left, seed, index, limits, catalog, cls)
     else:
         node, provenance = transform.crossover(left, parents[rng.randrange(len(parents))], seed, index, limits, catalog)
-    node = transform.read_back(node, catalog)
-    return (*prepare(node, provenance, limits, catalog), provenance, node)
+    return prepare(node, provenance, limits, catalog)
 
 
-def shortlist(ordered: list[Draft], limit: int, guidance: Callable[[Draft], float | None] | None = None, hurried: bool = False) -> list[Draft]:
+def shortlist(ordered: list[Draft], limit: int, guidance: Callable[[Draft], float | None] | None = None, late: Callable[[], bool] | None = None) -> list[Draft]:
     """Up to half from the starting cover, then in turns by (kind, size) the one of the next 32 that adds most.
 
     It adds its score + 0.35 x the distance to the nearest of up to 32 chosen ones; with a measured outcome, that outcome
-    + 0.05 x the distance, and such come first. ``hurried`` takes the rest in order of score.
+    + 0.05 x the distance, and such come first. Once ``late``, the rest is taken in order. More of the starting cover
+    than its half never comes in.
     """
     scaffold = [d for d in ordered if d.provenance.operation in COVERS]
     chosen = scaffold[: min(-(-limit // 2), len(scaffold))]
+    rest = [d for d in ordered if d.provenance.operation not in COVERS]
     groups: dict[tuple, list[Draft]] = {}
-    for d in ordered:
-        if d.provenance.operation not in COVERS:
-            groups.setdefault((transform.KINDS.index(d.provenance.kind), node_bucket(d.node.node_count)), []).append(d)
-    if hurried:
-        rest = [d for d in ordered if d.provenance.operation not in COVERS]
-        return (chosen + rest)[:limit]
+    for d in rest:
+        groups.setdefault((transform.KINDS.index(d.provenance.kind), node_bucket(d.nodes)), []).append(d)
     keys = sorted(groups)
     while len(chosen) < limit and any(groups.values()):
+        if late is not None and late():
+            taken = {id(d) for d in chosen}
+            chosen += [d for d in rest if id(d) not in taken][: limit - len(chosen)]
+            break
         for k in keys:
             if not groups[k] or len(chosen) == limit:
                 continue

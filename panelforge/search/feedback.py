@@ -18,14 +18,24 @@ from panelforge.expr.descriptor import Descriptor
 from panelforge.plans.numbering import running_sum
 from panelforge.plans.workers import ship
 
-# Operators counted by feature, and bucket numbers of the hashed features.
-COUNTED = "abs add divide multiply rank sign subtract ts_corr ts_cov ts_delay ts_delta ts_ema ts_kurt ts_mad ts_max ts_mean ts_min ts_rank ts_skew ts_std_dev ts_sum ts_var ts_wma".split()
+# Operators counted by feature, operator families, plain features, and bucket numbers of the hashed features.
+COUNTED = (
+    "abs", "add", "divide", "multiply", "rank", "sign", "subtract", "ts_corr", "ts_cov", "ts_delay", "ts_delta", "ts_ema", "ts_kurt", "ts_mad", "ts_max", "ts_mean", "ts_min", "ts_rank", "ts_skew", "ts_std_dev", "ts_sum",
+    "ts_var", "ts_wma",
+)
 FAMILIES = {
-    "arithmetic": "add divide multiply negate subtract".split(), "conditional": "greater if_else".split(), "cross_sectional": "group_rank rank zscore".split(), "preprocess": "clip winsorize".split(),
-    "time_series": "ts_corr ts_cov ts_delay ts_delta ts_ema ts_kurt ts_mad ts_max ts_mean ts_median ts_min ts_rank ts_skew ts_std_dev ts_sum ts_var ts_wma ts_zscore".split(),
+    "arithmetic": ("add", "divide", "multiply", "negate", "subtract"),
+    "conditional": ("greater", "if_else"),
+    "cross_sectional": ("group_rank", "rank", "zscore"),
+    "preprocess": ("clip", "winsorize"),
+    "time_series": (
+        "ts_corr", "ts_cov", "ts_delay", "ts_delta", "ts_ema", "ts_kurt", "ts_mad", "ts_max", "ts_mean", "ts_median", "ts_min", "ts_rank", "ts_skew", "ts_std_dev", "ts_sum", "ts_var", "ts_wma", "ts_zscore",
+    ),
 }
+PLAIN = (
+    "conditional", "depth", "field_count", "field_family_count", "group_count", "lineage_parent_count", "nodes", "nonlinear", "operator_count", "window_long_count", "window_medium_count", "window_short_count", "window_total_count",
+)
 FAMILY_BUCKETS, FIELD_BUCKETS, INTERACTION_BUCKETS = 8, 16, 32
-PLAIN = "conditional depth field_count field_family_count group_count lineage_parent_count nodes nonlinear operator_count window_long_count window_medium_count window_short_count window_total_count".split()
 
 FEATURES = frozenset([
     *PLAIN, *(f"operator_{k}_count" for k in [*FAMILIES, *COUNTED]), *(f"field_family_bucket_{i}_count" for i in range(FAMILY_BUCKETS)),

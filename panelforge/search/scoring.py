@@ -99,7 +99,11 @@ def peers(i: int, n: int) -> list[int]:
 
 @lru_cache(maxsize=256)
 def peer_pairs(n: int) -> np.ndarray:
-    return np.array([(i, j) for i in range(n) for j in peers(i, n)], np.int64).reshape(-1, 2)
+    """(i, j) of all ``peers`` of all of n."""
+    others = np.arange(0, max(n - 1, 0), max(1, (n - 1) // PEERS))[:PEERS]
+    own = np.repeat(np.arange(n), len(others))
+    j = np.tile(others, n)
+    return np.stack((own, j + (j >= own)), 1)
 
 
 def components(pool: list[dict], archive: list[Mask]) -> list[dict[str, float]]:

@@ -10,12 +10,13 @@ import hashlib
 import random
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from panelforge.expr import ast
 from panelforge.expr.analysis import analyze
 from panelforge.expr.ast import BOOLEAN, GROUP, SCALAR, SIGNAL, Node
-from panelforge.expr.canonical import canonical, digest, fingerprint
-from panelforge.expr.catalog import Catalog, Input, Keyword, Operator, ValidationError, build_call
+from panelforge.expr.canonical import canonical, commutes, digest, fingerprint
+from panelforge.expr.catalog import Catalog, Input, Keyword, Operator, ValidationError, build_call, is_checked
 from panelforge.expr.parser import parse
 from panelforge.expr.tree import PathError, paths, replace_subtree, show, subtree_at
 
@@ -24,6 +25,8 @@ FIELD_CHANCE, LITERAL_CHANCE = 0.28, 0.4
 RETRIES = 16
 COVER_SIZE, COVER_UNIVERSE = 64, 4096
 MOTIF_WINDOWS = (2, 5, 10, 20, 40)
+#: What a motif may end in: a change of sign or a smoother that keeps the unit.
+FINISHERS = ("abs", "ts_ema", "ts_mean", "ts_median", "ts_min")
 
 KINDS = ("initial", "mutation", "crossover", "fallback_generation")
 COVERS = ("catalog_scaffold", "seeded_catalog_scaffold", "motif_catalog_scaffold")
@@ -53,9 +56,11 @@ class Limits:
 
     def accepts(self, node: Node, catalog: Catalog) -> bool:
         """Sizes, windows within the limits, scalars on the catalog's grid."""
-        if node.depth > self.max_depth or node.node_count > self.max_nodes or node.operator_count > self.max_operators:
-            return False
-        return self._parameters(node, catalog)
+        known = node.__dict__.get("_accepted")
+        if known is None or known[0] is not self or known[1] is not catalog:
+            small = node.depth <= self.max_depth and node.node_count <= self.max_nodes and node.operator_count <= self.max_operators
+            known = node.__dict__["_accepted"] = (self, catalog, small and self._parameters(node, catalog))
+        return known[2]
 
     def _parameters(self, node: Node, catalog: Catalog) -> bool:
         if node.tag == "number":
@@ -111,19 +116,43 @@ def valid(node: Node, limits: Limits, catalog: Catalog) -> bool:
     if node.kind != SIGNAL or not limits.accepts(node, catalog):
         return False
     try:
-        return canonical(read_back(node, catalog)) == canonical(node)
+        read_back(node, catalog)
     except ValueError:
         return False
+    return True
 
 
 def read_back(node: Node, catalog: Catalog) -> Node:
-    """The tree of the formula's canonical text, as it will be read from files; read once."""
+    """The tree that the formula's canonical text reads back as; made once.
+
+    The text differs from a checked tree only in the order of commutative arguments, so those are put in order. A tree
+    that wasn't built under this catalog is parsed.
+    """
     known = node.__dict__.get("_read_back")
     if known is None or known[0] is not catalog:
-        known = node.__dict__["_read_back"] = (catalog, parse(canonical(node), catalog))
+        known = node.__dict__["_read_back"] = (catalog, _in_order(node, catalog) if is_checked(node, catalog) else parse(canonical(node), catalog))
     return known[1]
 
 
+def _in_order(node: Node, catalog: Catalog) -> Node:
+    if node.tag != "call":
+        return node
+    known = node.__dict__.get("_read_back")
+    if known is not None and known[0] is catalog:
+        return known[1]
+    args = [_in_order(a, catalog) for a in node.args]
+    if commutes(node.name):
+        args.sort(key=canonical)
+    if all(a is b for a, b in zip(args, node.args)):
+        out = node
+    else:
+        out = node.with_parts(tuple(args))
+        out.__dict__["_canonical"] = canonical(node)
+        out.__dict__["_checked_by"] = catalog
+    node.__dict__["_read_back"] = out.__dict__["_read_back"] = (catalog, out)
+    return out
+
+
 class Sampler:
     """Draws typed subtrees."""
 
@@ -329,8 +358,9 @@ def _w(w: int) -> Node:
     return ast.number(float(w))
 
 
-def cover_universe(limits: Limits, catalog: Catalog) -> list[Node]:
-    """Plain formulas of every operator: fields, pairs, unary and rolling operators over them, three windows each."""
+@lru_cache(maxsize=32)
+def cover_drafts(limits: Limits, catalog: Catalog) -> dict[str, tuple[Node, ...]]:
+    """Plain formulas by root: fields, pairs, unary and rolling operators over them, three windows each; unchecked."""
     fields = [ast.field(f.name) for f in catalog.fields]
     pairs = [(a, b) for i, a in enumerate(fields) for b in fields[i + 1 :]]
     span = sorted({limits.min_window, (limits.min_window + limits.max_window) // 2, limits.max_window})
@@ -339,76 +369,103 @@ def cover_universe(limits: Limits, catalog: Catalog) -> list[Node]:
     for op in catalog.operators:
         if op.weight == 0 or op.output != SIGNAL or op.keywords:
             continue
-        for base in bases:
-            if op.arity == (1, 1):
-                out.append(_try(catalog, op.name, base))
-            elif op.shape == "binary" and _is_window(op.inputs[1]):
-                allowed = windows_of(op.inputs[1], limits)
-                out += [_try(catalog, op.name, base, _w(w)) for w in sorted({min(allowed, key=lambda x, t=t: abs(x - t)) for t in span})] if allowed else []
-        if op.arity == (3, 3) and len(op.inputs) == 3 and _is_window(op.inputs[2]):
+        if op.arity == (1, 1):
+            out += [_try(catalog, op.name, base) for base in bases]
+        elif op.shape == "binary" and _is_window(op.inputs[1]) and (allowed := windows_of(op.inputs[1], limits)):
+            near = sorted({min(allowed, key=lambda x, t=t: abs(x - t)) for t in span})
+            out += [_try(catalog, op.name, base, _w(w)) for base in bases for w in near]
+        elif op.arity == (3, 3) and len(op.inputs) == 3 and _is_window(op.inputs[2]):
             allowed = windows_of(op.inputs[2], limits)
             out += [_try(catalog, op.name, a, b, _w(w)) for a, b in pairs for w in allowed[:1] + allowed[-1:]]
-    seen, kept = set(), []
+    by_root: dict[str, list[Node]] = {}
     for n in out:
-        if n is not None and valid(n, limits, catalog):
-            a = analyze(n)
-            if a.rejection_reason is None and a.semantic_fingerprint not in seen:
-                seen.add(a.semantic_fingerprint)
-                kept.append(n)
-                if len(kept) == COVER_UNIVERSE:
-                    break
-    return kept
-
-
-def motifs(limits: Limits, catalog: Catalog) -> dict[str, list[Node]]:
-    """Families of formulas over prices and liquidity."""
-    price = [ast.field(f.name) for f in catalog.fields if f.family == "price"]
-    liquid = [ast.field(f.name) for f in catalog.fields if f.family == "liquidity"]
-    spans = [w for w in MOTIF_WINDOWS if limits.min_window <= w <= limits.max_window]
-    short = [w for w in spans if w <= 10]
-    call = lambda name, *a: _try(catalog, name, *a)
-    cov = [call("ts_cov", v, p, _w(w)) for v in liquid for p in price for w in spans]
-    corr = [call("ts_corr", a, b, _w(w)) for i, a in enumerate(price) for b in price[i + 1 :] for w in spans]
-    sd = [call("ts_std_dev", p, _w(w)) for p in price for w in spans]
-    over = lambda name, xs: [call(name, x, _w(s)) for x in xs for s in short]
-    families = {
-        "liquidity_price_covariance": cov, "smoothed_liquidity_price_covariance": over("ts_ema", cov), "averaged_liquidity_price_covariance": over("ts_mean", cov),
-        "price_correlation": corr, "smoothed_price_correlation": over("ts_mean", corr), "bounded_price_correlation": over("ts_min", corr),
-        "absolute_price_dispersion": [call("abs", x) for x in sd], "smoothed_price_dispersion": over("ts_ema", sd),
-    }
-    return {k: [n for n in v if n is not None and valid(n, limits, catalog) and analyze(n).rejection_reason is None] for k, v in families.items()}
+        if n is not None:
+            by_root.setdefault(n.operator or "field", []).append(n)
+    return {k: tuple(v) for k, v in by_root.items()}
+
 
+def _usable(nodes: Iterable[Node], limits: Limits, catalog: Catalog) -> Iterable[Node]:
+    return (n for n in nodes if valid(n, limits, catalog) and analyze(n).rejection_reason is None)
 
-def _in_turns(queues: dict[str, list[Node]], seed: int, label: str) -> Iterable[Node]:
+
+@lru_cache(maxsize=32)
+def cover_universe(limits: Limits, catalog: Catalog) -> dict[str, tuple[Node, ...]]:
+    """The usable ones of ``cover_drafts``, one of each meaning, up to COVER_UNIVERSE; made once for a catalog and limits."""
+    seen, kept = set(), {}
+    for root, drafts in cover_drafts(limits, catalog).items():
+        for n in _usable(drafts, limits, catalog):
+            identity = analyze(n).semantic_fingerprint
+            if identity not in seen and len(seen) < COVER_UNIVERSE:
+                seen.add(identity)
+                kept.setdefault(root, []).append(n)
+    return {k: tuple(v) for k, v in kept.items()}
+
+
+@lru_cache(maxsize=32)
+def motifs(limits: Limits, catalog: Catalog) -> dict[str, tuple[Node, ...]]:
+    """Statistics of fields over the short windows, by family: a statistic, bare or under one finishing operator.
+
+    A statistic is an operator of a pair of fields of families that move together, or the spread of one price; what may
+    finish it is any single-argument or rolling operator of the catalog that keeps the unit of its argument.
+    """
+    of = lambda family: [ast.field(f.name) for f in catalog.fields if f.family == family]
+    price, liquid = of("price"), of("liquidity")
+    spans = [w for w in MOTIF_WINDOWS if limits.min_window <= w <= limits.max_window]
+    same = [(a, b) for i, a in enumerate(price) for b in price[i + 1 :]]
+    across = [(a, b) for a in liquid for b in price]
+    bare = {
+        ("ts_cov", "across"): [_try(catalog, "ts_cov", a, b, _w(w)) for a, b in across for w in spans], ("ts_corr", "same"): [_try(catalog, "ts_corr", a, b, _w(w)) for a, b in same for w in spans],
+        ("ts_std_dev", "alone"): [_try(catalog, "ts_std_dev", p, _w(w)) for p in price for w in spans],
+    }
+    out: dict[str, list[Node]] = {}
+    for (name, over), nodes in bare.items():
+        out[f"{name}/{over}"] = nodes
+        for finish in FINISHERS:
+            if finish == "abs":
+                out[f"abs/{name}/{over}"] = [_try(catalog, finish, n) for n in nodes]
+            else:
+                out[f"{finish}/{name}/{over}"] = [_try(catalog, finish, n, _w(w)) for n in nodes for w in spans if w <= 10]
+    return {k: tuple(_usable((n for n in v if n is not None), limits, catalog)) for k, v in out.items()}
+
+
+def _in_turns(queues: dict[str, Iterable[Node]], seed: int, label: str) -> Iterable[Node]:
     """One of each queue in turn; queues and their items in an order drawn by hash."""
     order = sorted(queues, key=lambda k: (digest(f"{label}-queue:{seed}:{k}"), k))
     lists = [sorted(queues[k], key=lambda n, k=k: (digest(f"{label}:{seed}:{k}:{canonical(n)}"), canonical(n))) for k in order]
-    for i in range(max(map(len, lists), default=0)):
-        for items in lists:
-            if i < len(items):
-                yield items[i]
+    return _turns(lists)
+
+
+def _turns(lists: Iterable[Iterable[Node]]) -> Iterable[Node]:
+    """The first of each, then the second of each, and so on; only as many are made as are taken."""
+    left = [iter(x) for x in lists]
+    while left:
+        going = []
+        for it in left:
+            n = next(it, None)
+            if n is not None:
+                yield n
+                going.append(it)
+        left = going
 
 
 def cover(policy: str, seed: int, limits: Limits, catalog: Catalog) -> list[tuple[Node, Provenance]]:
     """Up to 64 starting formulas that don't depend on data: ``fixed``, ``seeded_diverse`` or ``motif_diverse``."""
-    universe = cover_universe(limits, catalog)
-    by_root: dict[str, list[Node]] = {}
-    for n in universe:
-        by_root.setdefault(n.operator or "field", []).append(n)
     if policy == "fixed":
-        picked = [items[i] for i in range(max(map(len, by_root.values()), default=0)) for items in by_root.values() if i < len(items)]
-        operation = COVERS[0]
+        picked, operation = _turns(_usable(v, limits, catalog) for v in cover_drafts(limits, catalog).values()), COVERS[0]
     elif policy == "seeded_diverse":
-        picked, operation = list(_in_turns(by_root, seed, "cover")), COVERS[1]
+        picked, operation = _in_turns(cover_universe(limits, catalog), seed, "cover"), COVERS[1]
     elif policy == "motif_diverse":
+        by_root = cover_universe(limits, catalog)
         heads = [next(iter(_in_turns({k: v}, seed, "root"))) for k, v in sorted(by_root.items(), key=lambda kv: digest(f"root:{seed}:{kv[0]}")) if k != "field"]
-        picked, operation = [*by_root.get("field", []), *heads, *_in_turns(motifs(limits, catalog), seed, "motif")], COVERS[2]
+        picked, operation = [*by_root.get("field", ()), *heads, *_in_turns(motifs(limits, catalog), seed, "motif")], COVERS[2]
     else:
         raise ValueError(f"unknown cover policy `{policy}`")
     seen, out = set(), []
     for n in picked:
         identity = analyze(n).semantic_fingerprint
-        if identity not in seen and len(out) < COVER_SIZE:
+        if identity not in seen:
             seen.add(identity)
             out.append((n, Provenance("initial", operation)))
+        if len(out) == COVER_SIZE:
+            break
     return out

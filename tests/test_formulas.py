@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from plainly import values
 
 from panelforge.expr.analysis import analyze, semantic_fingerprint
 from panelforge.expr.canonical import canonical, fingerprint, scalar_text
@@ -10,7 +12,7 @@ from panelforge.expr.parser import FormulaSyntaxError, NonSignalRoot, parse
 from panelforge.expr.rewrite import Dialect, DialectError, compile_dialect, reduce_unit_scaling
 from panelforge.expr.tree import PathError, paths, replace_subtree, show, subtree_at
 from panelforge.search.scoring import Mask, mask_distance
-from panelforge.search.transform import MUTATIONS, Limits, cover, crossover, mutate, sample, valid
+from panelforge.search.transform import MUTATIONS, Limits, cover, crossover, mutate, read_back, sample, valid
 
 
 @pytest.mark.parametrize("text", ["", "rank(", "rank(close", ".5", "close open", "multiply(close, 1e)", "winsorize(close, std=1, std=2)", "winsorize(std=1, close)", 'group_rank(close, group("a\\"))', "multiply(close, +)", "rank(close))", "rank(close$)"])
@@ -48,21 +50,63 @@ def test_scalars_never_have_an_exponent():
     assert [scalar_text(x) for x in (0.0, -0.0, 2.0, 0.1, 1e21, 1e-7, -2.5)] == ["0", "0", "2", "0.1", "1" + "0" * 21, "0.0000001", "-2.5"]
 
 
-@pytest.mark.parametrize(("a", "b", "same"), [
-    ("open", "multiply(7, open)", True), ("open", "divide(open, 3)", True), ("open", "multiply(open, -2, -4)", True), ("open", "add(open, open, open)", True), ("add(high, low)", "add(add(low, high), add(high, low))", True),
-    ("multiply(open, -2)", "divide(open, -9)", True), ("rank(open)", "rank(rank(open))", True), ("rank(open)", "if_else(true, rank(open), low)", True), ("rank(open)", "if_else(greater(low, 1), rank(open), rank(open))", True),
-    ("open", "multiply(open, -2)", False), ("rank(open)", "rank(multiply(open, 2))", False), ("rank(open)", "ts_rank(open, 5)", False), ("add(open, low)", "add(multiply(open, 2), low)", False),
-])
-def test_semantic_identity(a, b, same):
-    assert (semantic_fingerprint(parse(a)) == semantic_fingerprint(parse(b))) is same
-
-
-@pytest.mark.parametrize(("text", "reason"), [
-    ("subtract(open, open)", "provably_zero"), ("multiply(low, 0)", "provably_zero"), ("ts_delta(multiply(low, 0), 3)", "provably_zero"), ("rank(subtract(low, low))", "provably_constant"), ("clip(subtract(low, low), lower=1, upper=2)", "provably_constant"),
-    ("ts_corr(subtract(low, low), open, 5)", None), ("if_else(greater(low, 0), subtract(low, low), rank(subtract(low, low)))", None), ("add(open, low)", None), ("ts_rank(multiply(low, 0), 4)", "provably_constant"),
-])
-def test_triviality(text, reason):
-    assert analyze(parse(text)).rejection_reason == reason
+def grown(seed):
+    """A random formula and a random panel of 6 assets x 40 rows to try it on."""
+    node, _ = sample(seed, 0, Limits(max_depth=4, max_nodes=16, max_window=6), builtin())
+    rng = np.random.default_rng(seed)
+    return node, {f.name: rng.normal(size=(40, 6)) * 3 for f in builtin().fields}
+
+
+def proportional(a, b):
+    """Whether b is a positive multiple of a wherever both are there."""
+    both = ~np.isnan(a) & ~np.isnan(b)
+    if not both.any() or not np.isfinite(a[both]).all() or np.abs(a[both]).max() < 1e-9:
+        return True
+    at = np.abs(a[both]).argmax()
+    factor = b[both][at] / a[both][at]
+    return factor > 0 and np.allclose(b[both], factor * a[both], rtol=1e-6, atol=1e-6 * np.abs(b[both]).max())
+
+
+@given(st.integers(0, 100_000))
+@settings(max_examples=80, deadline=None)
+def test_the_normal_form_computes_the_same_but_for_a_positive_factor(seed):
+    node, panel = grown(seed)
+    assert proportional(values(parse(analyze(node).semantic_canonical), panel), values(node, panel))
+
+
+@given(st.integers(0, 100_000), st.integers(2, 90), st.integers(0, 5))
+@settings(max_examples=80, deadline=None)
+def test_what_may_be_wrapped_around_a_formula_without_a_change_of_meaning(seed, k, form):
+    """Positive scales, equal addends and idle conditionals around the root are no other formula; signs are."""
+    text = canonical(grown(seed)[0])
+    same = [f"multiply({text}, {k})", f"divide({text}, {k})", f"add({text}, {text})", f"multiply(-1, {text}, -{k})", f"if_else(greater(open, {k}), {text}, {text})", f"if_else(false, high, {text})"][form]
+    want = semantic_fingerprint(parse(text))
+    assert semantic_fingerprint(parse(same)) == want
+    ranked = semantic_fingerprint(parse(f"rank({text})"))
+    assert semantic_fingerprint(parse(f"rank(rank({text}))")) == ranked != semantic_fingerprint(parse(f"rank(ts_delay({text}, {k}))"))
+    if analyze(parse(text)).rejection_reason is None:
+        assert semantic_fingerprint(parse(f"multiply({text}, -{k})")) != want
+
+
+@given(st.integers(0, 100_000), st.integers(2, 5))
+@settings(max_examples=80, deadline=None)
+def test_proofs_of_triviality_hold_on_numbers(seed, w):
+    """What is proven zero or constant is so on a random panel: in any formula drawn, and in windows over a difference of equals."""
+    node, panel = grown(seed)
+    text = canonical(node)
+    rolling = ["ts_mean", "ts_sum", "ts_std_dev", "ts_delta", "ts_rank", "ts_skew", "ts_corr"][seed % 7]
+    zero = f"subtract({text}, {text})"
+    over = f"{rolling}({zero}, volume, {w})" if rolling == "ts_corr" else f"{rolling}({zero}, {w})"
+    assert analyze(parse(zero)).rejection_reason == "provably_zero"
+    for t in (text, zero, over, f"add({over}, {zero})", f"zscore({zero})", f"multiply({over}, 0)"):
+        n = parse(t)
+        reason, x = analyze(n).rejection_reason, values(n, panel)
+        known = x[~np.isnan(x)]
+        if reason == "provably_zero":
+            assert np.allclose(known, 0)
+        elif reason is not None:
+            assert all(np.ptp(c[~np.isnan(c)]) < 1e-9 for c in x.T if (~np.isnan(c)).any())
+    assert analyze(parse(over)).rejection_reason == {"ts_rank": "provably_constant", "ts_skew": None, "ts_corr": None}.get(rolling, "provably_zero")
 
 
 def test_catalog_round_trip_and_rules():
@@ -126,4 +170,11 @@ def test_each_mutation_class_can_succeed():
 @pytest.mark.parametrize("policy", ["fixed", "seeded_diverse", "motif_diverse"])
 def test_covers(policy):
     a, b = cover(policy, 1, Limits(), builtin()), cover(policy, 1, Limits(), builtin())
-    assert len(a) == 64 and a == b and len({semantic_fingerprint(n) for n, _ in a}) == 64
+    assert len(a) == 64 and a == b and len({semantic_fingerprint(n) for n, _ in a}) == 64 and all(valid(n, Limits(), builtin()) for n, _ in a)
+
+
+@given(st.integers(0, 100_000))
+@settings(max_examples=60, deadline=None)
+def test_a_tree_put_in_order_is_the_tree_of_its_text(seed):
+    node = grown(seed)[0]
+    assert read_back(node, builtin()) == parse(canonical(node)) and canonical(read_back(node, builtin())) == canonical(node)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from plainly import values
 from pyspark.sql import functions as F
 
 from panelforge.core import rolling as calendar
@@ -17,40 +18,54 @@ from panelforge.plans.numbering import numbered
 from panelforge.sources import panels, universe
 
 
-def document(**fields):
-    n = len(next(iter(fields.values()))) // 2
-    return json.dumps({"schema": 1, "dataset_id": "d", "source_label": "s", "timestamps": list(range(n)), "assets": ["a", "b"], "fields": {k: {"values": v} for k, v in fields.items()}, "realized_returns": {"values": [0.0] * (2 * n)}, "groups": {"sector": ["one", "one"]}})
+def noise(seed, rows=14, assets=3, gaps=0.0):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(rows, assets)) * 8, 3)
+    x[rng.random(x.shape) < gaps] = np.nan
+    return x
 
 
-RAMP = [y for v in range(1, 9) for y in (v, -v)]
-WAVE = [y for v in range(1, 9) for x in [v + 1 if v % 2 else v - 1] for y in (x, -x)]
+def document(groups=("one", "two", "one"), **fields):
+    shape = next(iter(fields.values())).shape
+    flat = lambda x: {"values": [None if np.isnan(v) else float(v) for v in np.asarray(x).ravel()]}
+    return json.dumps({
+        "schema": 1, "dataset_id": "d", "source_label": "s", "timestamps": [5 * i for i in range(shape[0])], "assets": [f"a{i}" for i in range(shape[1])], "fields": {k: flat(v) for k, v in fields.items()},
+        "realized_returns": flat(np.zeros(shape)), "groups": {"sector": list(groups)[: shape[1]]},
+    })
 
 
-@pytest.mark.parametrize(("text", "want"), [
-    ("abs(close)", 3), ("sign(close)", 1), ("ts_delay(close, 2)", 1), ("ts_sum(close, 3)", 6), ("ts_var(close, 3)", 1), ("ts_skew(close, 3)", 0), ("ts_kurt(close, 3)", -7 / 3), ("ts_min(close, 3)", 1), ("ts_max(close, 3)", 3),
-    ("ts_median(close, 3)", 2), ("ts_mad(close, 3)", 2 / 3), ("ts_wma(close, 3)", 8 / 3), ("ts_ema(close, 3)", 17 / 7), ("ts_cov(close, volume, 3)", 1), ("ts_corr(close, volume, 3)", 0.6546536707079772), ("ts_rank(close, 3)", 1), ("ts_zscore(close, 2)", 1),
-    ("ts_std_dev(close, 2)", 0.5), ("rank(close)", 1), ("zscore(close)", 1), ('group_rank(close, group("sector"))', 1), ("clip(close, lower=-1, upper=2)", 2), ("if_else(greater(close, 5), open, close)", 3),
-])
-def test_golden_values(spark, text, want):
-    p = panels.from_json(spark, document(close=RAMP, volume=WAVE, open=RAMP))
-    got = compile_signals(p, {"x": parse(text)}).filter("t = 2 and ai = 0").first()["x"]
-    assert math.isclose(got, want, abs_tol=1e-12)
+FORMULAS = [
+    "abs(close)", "negate(close)", "sign(close)", "subtract(close, volume)", "divide(close, 4)", "add(close, volume, open)", "multiply(close, 3, volume)", "clip(close, lower=-2, upper=5)", "winsorize(close, std=0.7)", "rank(close)", "zscore(close)",
+    'group_rank(close, group("sector"))', "if_else(greater(close, 1), open, volume)", "if_else(true, open, volume)", "if_else(false, open, volume)", "ts_delay(close, 3)", "ts_delta(close, 2)",
+    *(f"{n}(close, {w})" for n in ("ts_sum", "ts_mean", "ts_std_dev", "ts_zscore", "ts_var", "ts_skew", "ts_kurt", "ts_min", "ts_max", "ts_median", "ts_mad", "ts_rank", "ts_wma", "ts_ema") for w in (3, 4)),
+    "ts_cov(close, volume, 4)", "ts_corr(close, volume, 5)", "rank(ts_median(zscore(close), 3))", "ts_wma(ts_rank(close, 3), 2)",
+]
 
 
-def test_missing_values_and_the_past(spark):
-    base = [float(x) for x in RAMP]
-    gap = [None if i == 6 else v for i, v in enumerate(base)]
-    p = panels.from_json(spark, document(close=gap))
-    rows = {(r["t"], r["ai"]): r for r in compile_signals(p, {"m": parse("ts_mean(close, 2)"), "d": parse("ts_delay(close, 2)"), "r": parse("rank(close)"), "s": parse("add(close, close)")}).collect()}
-    assert rows[3, 0]["m"] is None and rows[4, 0]["m"] is None and rows[5, 0]["m"] == 5.5 and rows[3, 0]["d"] == 2.0
-    assert rows[3, 0]["r"] is None and rows[3, 1]["r"] == 0.5 and rows[3, 0]["s"] is None
-    changed = base[:10] + [99.0] * 6
-    one, two = (compile_signals(panels.from_json(spark, document(close=c)), {"x": parse("rank(ts_mean(ts_delta(close, 2), 2))")}).filter("t < 5").orderBy("t", "ai").collect() for c in (base, changed))
-    assert [r["x"] for r in one] == [r["x"] for r in two]
+@pytest.mark.parametrize("gaps", [0.0, 0.15])
+def test_formulas_against_plain_loops(spark, gaps):
+    x = {k: noise(i + 7, gaps=gaps if k == "close" else 0) for i, k in enumerate(("close", "volume", "open"))}
+    nodes = {f"f{i}": parse(t) for i, t in enumerate(FORMULAS)}
+    got = np.full((len(nodes), 14, 3), np.nan)
+    for r in compile_signals(panels.from_json(spark, document(**x)), nodes).collect():
+        for i in range(len(nodes)):
+            got[i, r["t"], r["ai"]] = np.nan if r[f"f{i}"] is None else r[f"f{i}"]
+    for i, (text, node) in enumerate(zip(FORMULAS, nodes.values())):
+        want = values(node, x, ["one", "two", "one"])
+        assert np.allclose(got[i], want, rtol=1e-9, atol=1e-9, equal_nan=True), text
+
+
+def test_the_past_alone_decides(spark):
+    base = noise(3)
+    later = base.copy()
+    later[9:] = 99.0
+    text = "rank(ts_mean(ts_delta(close, 2), 2))"
+    one, two = ([r["x"] for r in compile_signals(panels.from_json(spark, document(close=c)), {"x": parse(text)}).filter("t < 9").orderBy("t", "ai").collect()] for c in (base, later))
+    assert one == two
 
 
 def test_shared_subtrees_and_axis_changes(spark):
-    p = panels.from_json(spark, document(close=RAMP, volume=WAVE))
+    p = panels.from_json(spark, document(close=noise(1), volume=noise(2)))
     fs = {"a": parse("ts_mean(rank(ts_delta(close, 2)), 2)"), "b": parse("rank(ts_delta(close, 2))"), "c": parse("rank(ts_mean(rank(ts_delta(close, 2)), 2))")}
     both = {r["t"]: r for r in compile_signals(p, fs).filter("ai = 0").collect()}
     for k in fs:
@@ -65,8 +80,12 @@ def test_shared_subtrees_and_axis_changes(spark):
 
 
 def test_decay(spark):
-    p = panels.from_json(spark, document(close=[y for v in (1, -3, 2, 7) for y in (v, -v)]))
-    assert compile_signals(p, {"x": parse("close")}, 2).filter("t = 1 and ai = 0").first()["x"] == pytest.approx(-5 / 3)
+    x = noise(5)
+    got = {(r["t"], r["ai"]): r["x"] for r in compile_signals(panels.from_json(spark, document(close=x)), {"x": parse("close")}, 3).collect()}
+    for t in range(14):
+        for a in range(3):
+            want = None if t < 2 else (3 * x[t, a] + 2 * x[t - 1, a] + x[t - 2, a]) / 6
+            assert got[t, a] == (None if want is None else pytest.approx(want))
 
 
 def truncate(weights, cap):
@@ -150,7 +169,7 @@ def test_evidence_against_plain_loops(spark):
 
 
 def test_batch_keeps_order_and_goes_on_after_failures(spark):
-    p = panels.from_json(spark, document(close=RAMP + RAMP, volume=WAVE + WAVE))
+    p = panels.from_json(spark, document(close=noise(1, 16, 2), volume=noise(2, 16, 2)))
     config = evaluation.EvaluationConfig(train_end=6, validation_end=10)
     out = evaluation.evaluate_batch(["rank(close)", "rank(", "rank(open)", 'group_rank(close, group("country"))', "ts_mean(volume, 2)"], p, config)
     assert [r["status"] for r in out] == ["succeeded", "failed", "failed", "failed", "succeeded"] and set(out[0]["splits"]) == {"train", "validation", "holdout", "overall"}
@@ -162,11 +181,12 @@ def test_batch_keeps_order_and_goes_on_after_failures(spark):
 
 
 def test_panel_checks_and_json(spark):
-    for change in ({"schema": 2}, {"timestamps": [0, 0, 1, 2, 3, 4, 5, 6]}, {"assets": ["a", "a"]}, {"groups": {"sector": ["one"]}}, {"groups": {"sector": ["one", ""]}}, {"fields": {"close": {"values": [1.0]}}}, {"dataset_id": " "}):
+    x = noise(4, 8, 2)
+    for change in ({"schema": 2}, {"timestamps": [4, 4, *range(5, 11)]}, {"assets": ["a", "a"]}, {"groups": {"sector": ["one"]}}, {"groups": {"sector": ["one", ""]}}, {"fields": {"close": {"values": [1.0]}}}, {"dataset_id": " "}):
         with pytest.raises(DatasetError):
-            panels.from_json(spark, json.dumps({**json.loads(document(close=RAMP)), **change}))
-    p = panels.from_json(spark, document(close=RAMP))
-    assert json.loads(panels.to_json(p))["fields"]["close"]["values"] == RAMP
+            panels.from_json(spark, json.dumps({**json.loads(document(close=x)), **change}))
+    p = panels.from_json(spark, document(close=x))
+    assert json.loads(panels.to_json(p))["fields"]["close"]["values"] == x.ravel().tolist()
     sparse = spark.createDataFrame([(3, "b", 1.0), (1, "a", 2.0), (2, "b", 4.0), (None, "a", 1.0)], "ts long, asset string, close double")
     d = densified(sparse, ["close"])
     assert (d.rows, d.assets, d.df.count()) == (3, 2, 6) and d.checked().rows == 3

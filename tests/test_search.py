@@ -6,7 +6,7 @@ from panelforge import cli
 from panelforge.expr.catalog import builtin
 from panelforge.expr.descriptor import describe
 from panelforge.expr.parser import parse
-from panelforge.search import artifacts, dedup, engine, feedback, selection, session
+from panelforge.search import artifacts, dedup, engine, feedback, selection, session, transform
 from panelforge.search.scoring import COMPONENTS, ScoreWeights, pool_components, weighted_score
 
 
@@ -20,19 +20,58 @@ def test_search_is_repeatable_resumes_and_spreads(spark, tmp_path):
     with open(path) as f:
         state = json.load(f)
     assert engine.Search(spec).run(resume=state)[0] == a
-    assert engine.Search(spec, spark=spark, spread_from=1).run()[0] == a
+    assert engine.Search(spec, spark=spark).run()[0] == a
     with pytest.raises(artifacts.ArtifactError):
         engine.Search(engine.SearchSpec(seed=4)).run(resume=state)
     seen = {r["semantic_fingerprint"] for r in a}
     b, _ = engine.Search(spec, archive=[r["expression"] for r in a]).run()
     assert not seen & {r["semantic_fingerprint"] for r in b}
     assert all(set(r["score_components"]) == set(COMPONENTS) for r in a)
-    late, lm = engine.Search(engine.SearchSpec(seed=3, max_candidates=10_000_000, shortlist=10, seconds=1.0)).run()
-    assert lm["termination"] == "duration_deadline" and len(late) == 10
     with pytest.raises(ValueError):
         engine.SearchSpec(shortlist=0).checked()
 
 
+class Clock:
+    """A second passes whenever it is looked at."""
+
+    def __init__(self):
+        self.now = 0.0
+
+    def __call__(self):
+        self.now += 1.0
+        return self.now
+
+
+@pytest.mark.parametrize(("seconds", "generations"), [(1.0, 0), (8.0, 4), (40.0, 20)])
+def test_a_deadline_ends_generations_and_fills_the_shortlist_in_order(seconds, generations):
+    search = engine.Search(engine.SearchSpec(seed=3, max_candidates=10_000_000, shortlist=10, seconds=seconds, batch=32), clock=Clock())
+    out, m = search.run()
+    assert m["termination"] == "duration_deadline" and m["counts"]["generations"] == generations and m["counts"]["attempted"] == 64 + 32 * generations
+    cover = [r for r in out if r["provenance"]["operation"] in transform.COVERS]
+    made = {d.semantic: d for d in search.population[:20]}
+    others = sum(d.provenance.operation not in transform.COVERS for d in made.values())
+    assert len(cover) <= 5 and len(out) == len(cover) + min(10 - len(cover), others) and {r["semantic_fingerprint"] for r in out} <= set(made)
+    assert len(out) == 10 or not generations
+
+
+def test_elites_are_kept_in_turns_of_buckets_by_worth():
+    drafts = []
+    for text in ["close", "open", "rank(close)", "rank(ts_mean(close, 5))", 'group_rank(ts_corr(close, volume, 90), group("sector"))', "if_else(greater(close, 1), rank(open), low)", "add(close, volume)", "add(open, low, high, close)", "rank(volume)"]:
+        made = engine.prepare(parse(text), transform.Provenance("mutation" if "rank" in text else "initial", "x"), transform.Limits(), builtin())
+        drafts.append(engine.Draft(made, 0, {}))
+    worth = {d.text: engine.retention_value(d.descriptor) for d in drafts}
+    assert worth["close"] == 7 + 3 and worth["rank(close)"] == 5 + 7 + 3 + 3 and worth["rank(ts_mean(close, 5))"] == 8 + 2 * 5 + 7 + 3 + 4 + 3
+    for limit in range(1, 10):
+        queues = {}
+        for d in drafts:
+            queues.setdefault(d.bucket, []).append(d)
+        queues = [sorted(queues[k], key=lambda d: (-worth[d.text], d.nodes, d.semantic)) for k in sorted(queues)]
+        want = [q[i].text for i in range(9) for q in queues if i < len(q)][:limit]
+        kept = engine.Elites(limit, drafts)
+        kept.bound()
+        assert sorted(d.text for d in kept) == sorted(want) and len(kept) == limit
+
+
 def test_guided_and_seeded_search():
     spec = engine.SearchSpec(seed=2, max_candidates=300, shortlist=12)
     first, _ = engine.Search(spec).run()
@@ -226,7 +265,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("search", "--output", out, "--candidates", "150", "--shortlist", "8") == 0
     assert run("dedup", "--input", out, "--output", str(tmp_path / "d.jsonl")) == 0
     assert len(artifacts.load_candidates(str(tmp_path / "d.jsonl"))[0]) == 8
-    assert run("benchmark", "--candidates", "100") == 0 and run("inspect", "rank(") == 1
+    assert run("benchmark", "--candidates", "100", "--spread") == 0 and run("inspect", "rank(") == 1
     with pytest.raises(SystemExit):
         run("dedup", "--input", out, "--output", out)
     panel = {"schema": 1, "dataset_id": "d", "source_label": "s", "timestamps": list(range(16)), "assets": ["a", "b"], "fields": {k: {"values": [float((i * 7) % 11) for i in range(32)]} for k in ("close", "volume")}, "realized_returns": {"values": [0.01 * (-1) ** i for i in range(32)]}, "groups": {"sector": ["x", "y"]}}
