@@ -96,8 +96,12 @@ def day_number(c: Column) -> Column:
 
 
 def volume_bursts(rows: DataFrame, datasets: DataFrame) -> DataFrame:
-    """dataset_id, asset, day_no where the volume of 7 days is more than 0.7 of that of 30, from the 30th day on."""
+    """dataset_id, asset, day_no where the volume of 7 days is more than 0.7 of that of 30, from the 30th day on.
+
+    Compared as 10 x v7 > 7 x v30: for whole volumes sums and products are exact (up to 2^53), so an equality is none in
+    any order of tasks; 0.7 itself has no exact double.
+    """
     daily, calendar = panel_daily(rows, datasets)
     totals = rolling_totals(daily.drop("realized_returns"), calendar, ["dataset_id", "asset"], "day", ["fld_volume"], [7, 30], means=False)
-    burst = (F.col("day_index") >= 30) & (F.col("fld_volume_total_7") > F.lit(0.7) * F.col("fld_volume_total_30"))
+    burst = (F.col("day_index") >= 30) & (F.lit(10.0) * F.col("fld_volume_total_7") > F.lit(7.0) * F.col("fld_volume_total_30"))
     return totals.filter(burst).select("dataset_id", "asset", day_number(F.col("day")).alias("day_no"))

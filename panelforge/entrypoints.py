@@ -51,7 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         **oracle_core.oracle_sql(),
-        "p7_found": f"{_P7} SELECT dataset_id, asset, day_no FROM roll WHERE i >= 30 AND v7 > 0.7 * v30",
+        "p7_found": f"{_P7} SELECT dataset_id, asset, day_no FROM roll WHERE i >= 30 AND 10 * v7 > 7 * v30",
         "p7_totals": f"""{_P7} SELECT dataset_id, asset, day_no, round(v7, 6) + 0.0 AS fld_volume_total_7, round(v30, 6) + 0.0 AS fld_volume_total_30,
   round(r7 * 10000, 6) + 0.0 AS returns_bp_total_7, round(r30 * 10000, 6) + 0.0 AS returns_bp_total_30, round(v7 / least(7, i), 6) + 0.0 AS fld_volume_mean_7,
   round(v30 / least(30, i), 6) + 0.0 AS fld_volume_mean_30, round(r7 / least(7, i) * 10000, 6) + 0.0 AS returns_bp_mean_7, round(r30 / least(30, i) * 10000, 6) + 0.0 AS returns_bp_mean_30 FROM roll""",

@@ -259,3 +259,15 @@ def test_latest_and_numbering(spark):
     assert sorted((r["k"], r["x"]) for r in latest(df, ["k"], [F.col("v").desc_nulls_last()]).collect()) == [(1, "b"), (2, "d")]
     n = numbered(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(6), "v", "i")
     assert n.filter("v <> i").count() == 0 and n.count() == 1000
+
+
+def test_a_share_of_exactly_seven_tenths_is_no_burst(spark):
+    """v7 = 0.7 x v30 on day 30 for every total, also those whose product with the double 0.7 is rounded down."""
+    rows, last = [], dt.date(2024, 1, 30)
+    for k in range(1, 60):
+        for day, volume in ((1, 3.0 * k), (30, 7.0 * k + (k % 5 == 0))):
+            rows.append((k * 100 + day, "d", f"a{k:02d}", 20240100 + day, 0, volume, None, dt.datetime(2024, 2, 1)))
+    df = spark.createDataFrame(rows, "row_id long, dataset_id string, asset string, ts long, bar_no int, fld_volume double, realized_returns double, ingested_at timestamp")
+    sets = spark.createDataFrame([("d", "yyyymmdd", int(last.strftime("%Y%m%d")))], "dataset_id string, ts_unit string, last_day int")
+    got = sorted(r["asset"] for r in calendar.volume_bursts(df, sets).collect())
+    assert got == [f"a{k:02d}" for k in range(5, 60, 5)] and any(7.0 * k > 0.7 * (10.0 * k) for k in range(1, 60) if k % 5)
