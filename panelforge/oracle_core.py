@@ -143,16 +143,51 @@ _PREP = f"""WITH {_MARKET}, rows AS (SELECT * FROM (SELECT ticker, date, price *
     CASE WHEN m.ticker IS NOT NULL THEN round(ret.volume, 6) + 0.0 END AS volume, CASE WHEN m.ticker IS NOT NULL THEN round(r, 6) + 0.0 END AS returns, round(r, 6) + 0.0 AS realized_returns
   FROM grid g LEFT JOIN members m ON m.date = g.date AND m.ticker = g.ticker LEFT JOIN ret ON ret.date = g.date AND ret.ticker = g.ticker"""
 
-_FB = """WITH ds AS (SELECT * FROM feedback_datasets ORDER BY dataset_id LIMIT 1), scale AS (SELECT e.key AS k, e.value AS s FROM (SELECT unnest(map_entries(feature_scales)) AS e FROM ds)),
-  src AS (SELECT DISTINCT record_id, features, outcome, confidence FROM feedback_records WHERE dataset_id = (SELECT dataset_id FROM ds) AND outcome BETWEEN -1 AND 1 AND confidence > 0 AND confidence <= 1),
-  kv AS (SELECT record_id, outcome, confidence, e.key AS k, e.value AS v FROM (SELECT *, unnest(map_entries(features)) AS e FROM src)),
-  good AS (SELECT record_id FROM kv LEFT JOIN scale USING (k) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM scale) AND count(s) = count(*) AND count(v) = count(*) AND bool_and(isfinite(v))),
-  num AS (SELECT kv.*, s FROM kv JOIN good USING (record_id) JOIN scale USING (k)),
-  dist AS (SELECT a.record_id AS a, b.record_id AS b, any_value(b.outcome) AS o, any_value(b.confidence) AS c, avg(least(abs(a.v - b.v) / a.s, 1)) AS d FROM num a JOIN num b ON a.k = b.k AND a.record_id <> b.record_id GROUP BY 1, 2),
-  near AS (SELECT *, power(greatest(1 - d, 1e-9), 2) * c AS w FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS place FROM dist WHERE d <= (SELECT maximum_distance FROM ds)) WHERE place <= (SELECT neighbors FROM ds)),
-  est AS (SELECT a AS query, count(*) AS neighbors, avg(d) AS mean_distance, sum(w * o) / sum(w) AS weighted_outcome, sqrt(greatest(sum(w * o * o) / sum(w) - power(sum(w * o) / sum(w), 2), 0)) AS dispersion FROM near GROUP BY 1 HAVING count(*) >= (SELECT minimum_neighbors FROM ds)),
-  cau AS (SELECT *, least(1, greatest(-1, weighted_outcome - dispersion / sqrt(neighbors))) AS conservative_outcome FROM est), act AS (SELECT DISTINCT record_id, outcome FROM num),
-  pred AS (SELECT record_id, outcome AS a, weighted_outcome AS p FROM act LEFT JOIN est ON query = record_id)"""
+_FB = """WITH ds AS (SELECT DISTINCT ON (dataset_id) * FROM feedback_datasets WHERE dataset_id IS NOT NULL), scale AS (SELECT dataset_id, e.key AS k, e.value AS s FROM (SELECT dataset_id, unnest(map_entries(feature_scales)) AS e FROM ds)),
+  keys AS (SELECT dataset_id, count(*) AS nk FROM scale GROUP BY 1),
+  src AS (SELECT DISTINCT dataset_id, record_id, semantic_fingerprint, features, outcome, confidence FROM feedback_records WHERE outcome BETWEEN -1 AND 1 AND confidence > 0 AND confidence <= 1),
+  kv AS (SELECT dataset_id, record_id, semantic_fingerprint, outcome, confidence, e.key AS k, e.value AS v FROM (SELECT *, unnest(map_entries(features)) AS e FROM src)),
+  good AS (SELECT kv.dataset_id, record_id FROM kv LEFT JOIN scale USING (dataset_id, k) LEFT JOIN keys ON keys.dataset_id = kv.dataset_id GROUP BY 1, 2 HAVING count(*) = max(nk) AND count(s) = count(*) AND count(v) = count(*) AND bool_and(isfinite(v))),
+  num AS (SELECT kv.*, s FROM kv JOIN good USING (dataset_id, record_id) JOIN scale USING (dataset_id, k))"""
+
+_EST = """near AS (SELECT *, power(greatest(1 - d, 1e-9), 2) * c AS w FROM (SELECT dist.*, neighbors AS nn, minimum_neighbors AS mn, row_number() OVER (PARTITION BY dataset_id, a ORDER BY d, b) AS place FROM dist JOIN ds USING (dataset_id) WHERE d <= maximum_distance) WHERE place <= nn),
+  est AS (SELECT dataset_id, a AS query, count(*) AS neighbors, avg(d) AS mean_distance, sum(w * o) / sum(w) AS weighted_outcome, sqrt(greatest(sum(w * o * o) / sum(w) - power(sum(w * o) / sum(w), 2), 0)) AS dispersion FROM near GROUP BY 1, 2 HAVING count(*) >= max(mn)),
+  cau AS (SELECT *, least(1, greatest(-1, weighted_outcome - dispersion / sqrt(neighbors))) AS conservative_outcome FROM est)"""
+
+_LOO = f"""{_FB},
+  dist AS (SELECT a.dataset_id, a.record_id AS a, b.record_id AS b, any_value(b.outcome) AS o, any_value(b.confidence) AS c, avg(least(abs(a.v - b.v) / a.s, 1)) AS d FROM num a JOIN num b ON a.dataset_id = b.dataset_id AND a.k = b.k AND a.record_id <> b.record_id GROUP BY 1, 2, 3),
+  {_EST}, act AS (SELECT DISTINCT dataset_id, record_id, outcome FROM num), pred AS (SELECT act.dataset_id, record_id, outcome AS a, weighted_outcome AS p FROM act LEFT JOIN est ON query = record_id AND est.dataset_id = act.dataset_id)"""
+
+_TIDY = r"lower(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"
+_CURRENT = """cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY written_at DESC NULLS LAST, structural_score DESC NULLS LAST, fingerprint DESC NULLS LAST) AS rn FROM candidates WHERE candidate_id IS NOT NULL) WHERE rn = 1)"""
+
+
+def _features() -> str:
+    """CTEs ending in ``feat``: i, feature, value for every feature of ``c``: i, root_family, nodes, depth, d (descriptor), whose lists are distinct and without nulls."""
+    from panelforge.search import feedback as f
+
+    byte = lambda t: f"CAST('0x' || substr(sha256({t}), 1, 2) AS INTEGER)"
+    ops = lambda names: " + ".join(f"coalesce(d.operator_histogram['{n}'], 0)" for n in names)
+    total = lambda m: f"coalesce(list_sum(map_values(d.{m})), 0)"
+    plain = {
+        "conditional": "CAST(coalesce(d.conditional, false) AS INTEGER)", "nonlinear": "CAST(coalesce(d.nonlinear, false) AS INTEGER)", "depth": "depth", "nodes": "nodes", "field_count": "len(fields)", "field_family_count": "len(field_families)", "group_count": "len(groups)",
+        "lineage_parent_count": "len(lineage_parents)", "operator_count": total("operator_histogram"), "window_total_count": total("window_buckets"), **{f"window_{w}_count": f"coalesce(d.window_buckets['{w}'], 0)" for w in ("long", "medium", "short")},
+        **{f"operator_{k}_count": ops(v) for k, v in f.FAMILIES.items()}, **{f"operator_{o}_count": ops([o]) for o in f.COUNTED},
+    }
+    rows = ", ".join(f"{{'f': '{k}', 'v': CAST({v} AS DOUBLE)}}" for k, v in plain.items())
+    buckets = (("field_family_bucket", f.FAMILY_BUCKETS), (f"field_{f.FIELD_BUCKETS}_bucket", f.FIELD_BUCKETS), (f"interaction_{f.INTERACTION_BUCKETS}_bucket", f.INTERACTION_BUCKETS))
+    named = " UNION ALL ".join(f"SELECT i, '{p}_' || CAST(b AS VARCHAR) || '_count' AS feature FROM c, range({n}) r(b)" for p, n in buckets)
+    return f"""fl AS (SELECT i, unnest(fields) AS f FROM c), fa AS (SELECT i, unnest(field_families) AS f FROM c), sh AS (SELECT i, unnest(operator_shingles) AS s FROM c),
+  op AS (SELECT i, e.key AS k, e.value AS n FROM (SELECT i, unnest(map_entries(d.operator_histogram)) AS e FROM c)), wi AS (SELECT i, e.key AS k, e.value AS n FROM (SELECT i, unnest(map_entries(d.window_buckets)) AS e FROM c)),
+  tok AS (SELECT i, 'root_field:' || coalesce(root_family, '') || ':' || f AS t, 1 AS n FROM fl JOIN c USING (i) UNION ALL SELECT i, 'operator_field:' || k || ':' || f, n FROM fl JOIN op USING (i)
+    UNION ALL SELECT op.i, 'operator_window:' || op.k || ':' || wi.k, op.n * wi.n FROM op JOIN wi ON op.i = wi.i UNION ALL SELECT i, 'operator_shingle:' || s, 1 FROM sh),
+  hit AS (SELECT i, '{buckets[0][0]}_' || CAST({byte("f")} % {buckets[0][1]} AS VARCHAR) || '_count' AS feature, count(*) AS n FROM fa GROUP BY 1, 2 UNION ALL SELECT i, '{buckets[1][0]}_' || CAST({byte("f")} % {buckets[1][1]} AS VARCHAR) || '_count', count(*) FROM fl GROUP BY 1, 2
+    UNION ALL SELECT i, '{buckets[2][0]}_' || CAST({byte("t")} % {buckets[2][1]} AS VARCHAR) || '_count', sum(n) FROM tok GROUP BY 1, 2),
+  feat AS (SELECT i, x.f AS feature, x.v AS value FROM (SELECT i, unnest([{rows}]) AS x FROM c) UNION ALL SELECT a.i, a.feature, CAST(coalesce(n, 0) AS DOUBLE) FROM ({named}) a LEFT JOIN hit ON hit.i = a.i AND hit.feature = a.feature)"""
+
+
+_LISTS = ("fields", "field_families", "groups", "lineage_parents", "operator_shingles")
+
 
 _CUR = "SELECT candidate_id, any_value(structural_descriptor) AS d FROM candidates GROUP BY 1"
 
@@ -177,11 +212,22 @@ def oracle_sql() -> dict[str, str]:
   SELECT split, {_six(['proxy_returns', 'proxy_drawdown', 'proxy_margin', 'proxy_fitness'])} FROM px"""
     out["prep_universe_topn"] = f"WITH {_MARKET} SELECT CAST(date AS VARCHAR) AS date, ticker, round(marketcap, 6) + 0.0 AS marketcap FROM members"
     out["prep_realized_returns"] = _PREP
-    out["feedback_knn"] = f"{_FB} SELECT query, neighbors, {_six(['mean_distance', 'weighted_outcome', 'dispersion', 'conservative_outcome'])} FROM cau"
-    out["feedback_screen"] = f"{_FB} SELECT record_id AS id, coalesce(conservative_outcome >= 0, false) AS eligible FROM act LEFT JOIN cau ON query = record_id"
-    out["feedback_loo_audit"] = f"""{_FB} SELECT count(*) AS records, count(p) AS predicted, round(count(p) / count(*), 6) + 0.0 AS coverage, round(avg(abs(p - a)), 6) + 0.0 AS mae, round(sqrt(avg(power(p - a, 2))), 6) + 0.0 AS rmse,
-  round(count(*) FILTER (WHERE (p > 0 AND a > 0) OR (p < 0 AND a < 0)) / count(*) FILTER (WHERE p IS NOT NULL AND a <> 0), 6) + 0.0 AS sign_accuracy,
-  round((count(*) FILTER (WHERE p > 0 AND a > 0) / count(*) FILTER (WHERE p IS NOT NULL AND a > 0) + count(*) FILTER (WHERE p <= 0 AND a < 0) / count(*) FILTER (WHERE p IS NOT NULL AND a < 0)) / 2, 6) + 0.0 AS balanced_accuracy FROM pred"""
+    estimate = f"round(mean_distance + 1e-9, 6) + 0.0 AS mean_distance, {_six(['weighted_outcome', 'dispersion', 'conservative_outcome'])}"
+    out["feedback_knn"] = f"{_LOO} SELECT dataset_id, query, neighbors, {estimate} FROM cau"
+    out["feedback_screen"] = f"{_LOO} SELECT act.dataset_id, record_id AS id, coalesce(conservative_outcome >= 0, false) AS eligible FROM act LEFT JOIN cau ON query = record_id AND cau.dataset_id = act.dataset_id"
+    out["feedback_loo_audit"] = f"""{_LOO} SELECT dataset_id, count(*) AS records, count(p) AS predicted, round(count(p) / count(*), 6) + 0.0 AS coverage, round(avg(abs(p - a)), 6) + 0.0 AS mae, round(sqrt(avg(power(p - a, 2))), 6) + 0.0 AS rmse,
+  round(count(*) FILTER (WHERE (p > 0 AND a > 0) OR (p < 0 AND a < 0)) / nullif(count(*) FILTER (WHERE p IS NOT NULL AND a <> 0), 0), 6) + 0.0 AS sign_accuracy,
+  round((count(*) FILTER (WHERE p > 0 AND a > 0) / nullif(count(*) FILTER (WHERE p IS NOT NULL AND a > 0), 0) + count(*) FILTER (WHERE p <= 0 AND a < 0) / nullif(count(*) FILTER (WHERE p IS NOT NULL AND a < 0), 0)) / 2, 6) + 0.0 AS balanced_accuracy FROM pred GROUP BY 1"""
+    own = lambda n: f"list_distinct(list_transform(list_filter(coalesce(structural_descriptor.{n}, []), lambda v: v IS NOT NULL), lambda v: {_TIDY.format('v')})) AS {n}"
+    out["feedback_guided"] = f"""{_FB}, {_CURRENT}, c AS (SELECT candidate_id AS i, {_TIDY.format('root_family')} AS root_family, nodes, depth, structural_descriptor AS d, {", ".join(map(own, _LISTS))} FROM cur WHERE structural_descriptor IS NOT NULL),
+  {_features()}, q AS (SELECT dataset_id, i, k, value AS v, s FROM feat JOIN scale ON k = feature), whole AS (SELECT dataset_id, i FROM q JOIN keys USING (dataset_id) GROUP BY 1, 2 HAVING count(v) = max(nk) AND bool_and(isfinite(v))),
+  dist AS (SELECT q.dataset_id, q.i AS a, r.record_id AS b, any_value(r.outcome) AS o, any_value(r.confidence) AS c, avg(least(abs(q.v - r.v) / q.s, 1)) AS d FROM q JOIN whole USING (dataset_id, i) JOIN num r ON r.dataset_id = q.dataset_id AND r.k = q.k GROUP BY 1, 2, 3),
+  {_EST}, measured AS (SELECT dataset_id, semantic_fingerprint AS f, arg_max(outcome, (confidence, record_id)) AS m FROM (SELECT DISTINCT dataset_id, record_id, semantic_fingerprint, outcome, confidence FROM num) WHERE semantic_fingerprint IS NOT NULL GROUP BY 1, 2),
+  met AS (SELECT ds.dataset_id, candidate_id, cur.semantic_fingerprint AS f, CASE WHEN isnan(structural_score) THEN NULL ELSE structural_score END AS score, m IS NOT NULL AS exact, CASE WHEN m IS NOT NULL THEN 1 ELSE cau.neighbors END AS neighbors,
+    CASE WHEN m IS NOT NULL THEN 0 ELSE mean_distance END AS mean_distance, coalesce(m, weighted_outcome) AS weighted_outcome, CASE WHEN m IS NOT NULL THEN 0 ELSE dispersion END AS dispersion, coalesce(m, conservative_outcome) AS conservative_outcome
+    FROM cur CROSS JOIN ds LEFT JOIN cau ON query = candidate_id AND cau.dataset_id = ds.dataset_id LEFT JOIN measured ON f = cur.semantic_fingerprint AND measured.dataset_id = ds.dataset_id)
+  SELECT dataset_id, candidate_id, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY round(conservative_outcome, 9) DESC NULLS LAST, round(weighted_outcome, 9) DESC NULLS LAST, score DESC NULLS LAST, f ASC NULLS FIRST, candidate_id) - 1 AS INTEGER) AS place,
+    exact, CAST(neighbors AS BIGINT) AS neighbors, {estimate}, coalesce(conservative_outcome >= 0, false) AS eligible FROM met"""
     out["feedback_auc"] = """WITH r AS (SELECT confidence AS p, outcome > 0 AS pos FROM feedback_records WHERE outcome IS NOT NULL AND NOT isnan(outcome) AND confidence IS NOT NULL AND NOT isnan(confidence)),
   k AS (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rk FROM r)
   SELECT round((sum(rk) FILTER (WHERE pos) - count(*) FILTER (WHERE pos) * (count(*) FILTER (WHERE pos) + 1) / 2.0) / (count(*) FILTER (WHERE pos) * count(*) FILTER (WHERE NOT pos)), 6) + 0.0 AS auc FROM k"""
@@ -190,9 +236,10 @@ def oracle_sql() -> dict[str, str]:
   o AS (SELECT regexp_extract(k, '^operator_(.*)_count$', 1) AS operator, outcome, confidence, n FROM kv WHERE regexp_matches(k, '^operator_.*_count$') AND n IS NOT NULL AND isfinite(n) AND n > 0 AND n < 100000)
   SELECT operator, count(*) AS support, round(sum(outcome * confidence * n) / sum(confidence * n) - (SELECT sum(outcome * confidence) / sum(confidence) FROM r), 6) + 0.0 AS centred FROM o GROUP BY 1"""
     out["transform_counts"] = "SELECT provenance.kind AS kind, count(*) AS n FROM candidates GROUP BY 1"
-    out["elite_round_robin"] = """WITH c AS (SELECT candidate_id, max(structural_score) AS s, max(root_family) AS f, max(nodes) AS n FROM candidates WHERE structural_score IS NOT NULL AND NOT isnan(structural_score) AND root_family IS NOT NULL GROUP BY 1),
-  k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY s DESC, n, candidate_id) AS rn, first_value(s) OVER w AS hs, first_value(n) OVER w AS hn, first_value(candidate_id) OVER w AS hc FROM c WINDOW w AS (PARTITION BY f ORDER BY s DESC, n, candidate_id))
-  SELECT candidate_id, CAST(row_number() OVER (ORDER BY rn, hs DESC, hn, hc) - 1 AS INTEGER) AS place FROM k QUALIFY place < 50"""
+    bucket = "CASE WHEN nodes <= 5 THEN 0 WHEN nodes <= 12 THEN 1 WHEN nodes <= 24 THEN 2 WHEN nodes <= 48 THEN 3 WHEN nodes <= 96 THEN 4 ELSE 5 END"
+    out["elite_round_robin"] = f"""WITH {_CURRENT}, c AS (SELECT candidate_id, structural_score AS s, provenance.kind AS kind, {_TIDY.format('root_family')} AS f, {bucket} AS b, nodes AS n FROM cur WHERE structural_score IS NOT NULL AND NOT isnan(structural_score) AND root_family IS NOT NULL),
+  k AS (SELECT *, row_number() OVER w AS rn, first_value(s) OVER w AS hs, first_value(n) OVER w AS hn, first_value(candidate_id) OVER w AS hc FROM c WINDOW w AS (PARTITION BY kind, f, b ORDER BY s DESC, n NULLS FIRST, candidate_id))
+  SELECT candidate_id, CAST(row_number() OVER (ORDER BY rn, hs DESC, hn NULLS FIRST, hc) - 1 AS INTEGER) AS place FROM k QUALIFY place < 50"""
     out["field_diversity"] = f"""WITH c AS (SELECT candidate_id, array_to_string(list_sort(list_distinct(coalesce(d.fields, []))), ',') AS f FROM ({_CUR})), k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY candidate_id) AS rn FROM c),
   s AS (SELECT *, sum(CASE WHEN rn <= 2 THEN 1 ELSE 0 END) OVER (ORDER BY candidate_id ROWS UNBOUNDED PRECEDING) AS taken FROM k)
   SELECT candidate_id, CASE WHEN taken - CASE WHEN rn <= 2 THEN 1 ELSE 0 END >= 200 THEN 'remaining' WHEN rn > 2 THEN 'deferred' ELSE 'selected' END AS status FROM s"""
@@ -215,18 +262,7 @@ def oracle_sql() -> dict[str, str]:
   {hist("operator_histogram")}, {hist("window_buckets")}
   SELECT x.candidate_id, round({" + ".join(map(part, sets))} + 0.14 * coalesce(o.d, 0) + 0.08 * coalesce(w.d, 0) + 0.10 * (CAST(coalesce(x.nl, false) <> coalesce(y.nl, false) AS INTEGER) + CAST(coalesce(x.co, false) <> coalesce(y.co, false) AS INTEGER)) / 2, 6) + 0.0 AS d
   FROM x JOIN y USING (run_id) LEFT JOIN operator_histogram_d o ON o.c = x.candidate_id LEFT JOIN window_buckets_d w ON w.c = x.candidate_id"""
-    count = lambda names: " + ".join(f"coalesce(d.operator_histogram['{n}'], 0)" for n in names)
-    from panelforge.search.feedback import FAMILIES
-
-    byte = lambda t: f"CAST('0x' || substr(sha256({t}), 1, 2) AS INTEGER)"
-    out["feedback_features"] = f"""WITH c AS (SELECT row_number() OVER () AS i, candidate_id, root_family, nodes, depth, structural_descriptor AS d FROM candidates WHERE structural_descriptor IS NOT NULL),
-  fl AS (SELECT DISTINCT i, unnest(d.fields) AS f FROM c), sh AS (SELECT DISTINCT i, unnest(d.operator_shingles) AS s FROM c), op AS (SELECT i, e.key AS k, e.value AS n FROM (SELECT i, unnest(map_entries(d.operator_histogram)) AS e FROM c)),
-  wi AS (SELECT i, e.key AS k, e.value AS n FROM (SELECT i, unnest(map_entries(d.window_buckets)) AS e FROM c)),
-  tok AS (SELECT i, 'root_field:' || coalesce(root_family, '') || ':' || f AS t, 1 AS n FROM fl JOIN c USING (i) WHERE f IS NOT NULL UNION ALL SELECT i, 'operator_field:' || k || ':' || f, n FROM fl JOIN op USING (i) WHERE f IS NOT NULL
-    UNION ALL SELECT op.i, 'operator_window:' || op.k || ':' || wi.k, op.n * wi.n FROM op JOIN wi ON op.i = wi.i UNION ALL SELECT i, 'operator_shingle:' || s, 1 FROM sh WHERE s IS NOT NULL),
-  b AS (SELECT i, sum(n) AS n FROM tok WHERE {byte("t")} % 32 = 3 GROUP BY 1), g AS (SELECT i, count(*) AS n FROM fl WHERE f IS NOT NULL AND {byte("f")} % 16 = 5 GROUP BY 1)
-  SELECT candidate_id, CAST(len({clean("d.fields")}) AS DOUBLE) AS field_count, CAST(len({clean("d.groups")}) AS DOUBLE) AS group_count, CAST(nodes AS DOUBLE) AS nodes, CAST(depth AS DOUBLE) AS depth,
-    CAST(coalesce(list_sum(map_values(d.operator_histogram)), 0) AS DOUBLE) AS operator_count, CAST({count(FAMILIES["time_series"])} AS DOUBLE) AS operator_time_series_count, CAST({count(["rank"])} AS DOUBLE) AS operator_rank_count,
-    CAST(coalesce(list_sum(map_values(d.window_buckets)), 0) AS DOUBLE) AS window_total_count, CAST(coalesce(b.n, 0) AS DOUBLE) AS interaction_32_bucket_3_count, CAST(coalesce(g.n, 0) AS DOUBLE) AS field_16_bucket_5_count
-  FROM c LEFT JOIN b USING (i) LEFT JOIN g USING (i)"""
+    lists = ", ".join(f"list_distinct(list_filter(coalesce(structural_descriptor.{n}, []), lambda v: v IS NOT NULL)) AS {n}" for n in _LISTS)
+    out["feedback_features"] = f"""WITH c AS (SELECT row_number() OVER () AS i, candidate_id, root_family, nodes, depth, structural_descriptor AS d, {lists} FROM candidates WHERE structural_descriptor IS NOT NULL), {_features()}
+  SELECT candidate_id, feature, value FROM feat JOIN c USING (i)"""
     return out

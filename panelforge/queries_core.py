@@ -145,7 +145,9 @@ def _finite(vec: str):
     return F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
 
 
-_ESTIMATE = ["mean_distance", "weighted_outcome", "dispersion", "conservative_outcome"]
+def estimate_columns() -> list:
+    """Rounded for comparison; distances are means of sixteenths and so may end on a half, which 1e-9 settles."""
+    return [(F.round(F.col("mean_distance") + F.lit(1e-9), 6) + F.lit(0.0)).alias("mean_distance"), *map(six, ["weighted_outcome", "dispersion", "conservative_outcome"])]
 
 
 def _left_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +157,7 @@ def _left_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def feedback_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _left_out(spark, sf_dir)[1].select("dataset_id", "query", "neighbors", *map(six, _ESTIMATE))
+    return _left_out(spark, sf_dir)[1].select("dataset_id", "query", "neighbors", *estimate_columns())
 
 
 def feedback_loo_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,10 +185,12 @@ def feedback_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All current candidates, guided by every dataset: the estimate, the place in the dataset's order of guidance from 0, and whether it passes the screen at 0."""
     rows, guides, names = _feedback(spark, sf_dir)
     met = feedback.screened(feedback.guided_by_dataset(_guidable(spark, sf_dir, names), rows, guides), 0.0)
-    down = [c for n in ("conservative_outcome", "weighted_outcome", "structural_score") for c in (F.col(n).isNull().alias(f"no_{n}"), (-F.col(n)).alias(n))]
+    # outcomes to nine digits, as sums added up in another order differ in the last
+    keys = {"conservative_outcome": F.round("conservative_outcome", 9), "weighted_outcome": F.round("weighted_outcome", 9), "structural_score": F.col("structural_score")}
+    down = [c for n, v in keys.items() for c in (v.isNull().alias(f"no_{n}"), (-v).alias(n))]
     placed = numbered(met.withColumn("k", F.struct("dataset_id", *down, "fingerprint", "candidate_id")), "k", "place")
     first = placed.groupBy("dataset_id").agg(F.min("place").alias("first"))
-    return placed.join(F.broadcast(first), "dataset_id").select("dataset_id", "candidate_id", (F.col("place") - F.col("first")).alias("place"), "exact", "neighbors", *map(six, _ESTIMATE), "eligible")  # one row a dataset
+    return placed.join(F.broadcast(first), "dataset_id").select("dataset_id", "candidate_id", (F.col("place") - F.col("first")).alias("place"), "exact", "neighbors", *estimate_columns(), "eligible")  # one row a dataset
 
 
 def feedback_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,11 +206,10 @@ def feedback_operator_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plain structural features of all candidates with a descriptor."""
+    """All structural features of all candidates with a descriptor, one row each."""
     c = spark.read.parquet(f"{sf_dir}/candidates.parquet").filter("structural_descriptor is not null")
     m = feedback.feature_map("structural_descriptor", "root_family", "nodes", "depth")
-    names = ["field_count", "group_count", "nodes", "depth", "operator_count", "operator_time_series_count", "operator_rank_count", "window_total_count", "interaction_32_bucket_3_count", "field_16_bucket_5_count"]
-    return c.select("candidate_id", m.alias("m")).select("candidate_id", *(F.col("m")[n].alias(n) for n in names))
+    return c.select("candidate_id", F.explode(m).alias("feature", "value"))
 
 
 def feedback_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
