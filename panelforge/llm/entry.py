@@ -42,6 +42,29 @@ def p4_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subset.diverse_subsets(read(spark, sf_dir, "candidates"), read(spark, sf_dir, "selection_requests"))
 
 
+def p4_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every candidate in every pool it is in, by its place among the centres."""
+    return subset.Subsets(read(spark, sf_dir, "candidates"), read(spark, sf_dir, "selection_requests")).assignments()
+
+
+def p4_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each request: the pool, its candidates that have a cluster, the chosen, those of them in the pool and different, and whether every quota is within 1 of its share."""
+    s = subset.Subsets(read(spark, sf_dir, "candidates"), read(spark, sf_dir, "selection_requests"))
+    fair = []
+    for r, own in s.quotas().items():
+        rows, kinds = ({c: v[i] for c, v in s.sizes[r].items()} for i in (0, 1))
+        due = subset.shares(rows, kinds, sum(own.values()))
+        fair.append((r, all(abs(own[c] - due[c]) < 1 for c in own)))
+    asked = spark.createDataFrame([(r, f, n) for r, f, n in s.asked], "request_id int, family string, subset_size int")
+    fits = F.col("family").isNull() | (F.col("family") == F.col("own"))
+    pool = s.rows.select("candidate_id", F.col("family").alias("own")).join(F.broadcast(asked), fits)  # a request a row
+    sizes = pool.groupBy("request_id").agg(F.count("*").alias("pool_size"))
+    placed = s.assignments().groupBy("request_id").agg(F.count("*").alias("assigned"))
+    picked = s.chosen().join(pool.select("request_id", "candidate_id", F.lit(1).alias("inside")), ["request_id", "candidate_id"], "left")
+    chosen = picked.groupBy("request_id").agg(F.count("*").alias("chosen"), F.count_distinct("candidate_id").alias("different"), F.count("inside").alias("from_pool"))
+    return sizes.join(placed, "request_id").join(chosen, "request_id").join(spark.createDataFrame(fair, "request_id int, fair boolean"), "request_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_candidates(read(spark, sf_dir, "candidates")).select("run_id", "root_family", "candidate_id")
 
@@ -80,7 +103,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_links, p1_clusters, p3_found, p3_neighbors, p4_subsets, p2_found, p2_classes, p5_found, p5_positions, p6_found, p6_ranking, p8_ids, p9_containers, p10_pieces]
+    named = [p1_found, p1_links, p1_clusters, p3_found, p3_neighbors, p4_subsets, p4_assignments, p4_quotas, p2_found, p2_classes, p5_found, p5_positions, p6_found, p6_ranking, p8_ids, p9_containers, p10_pieces]
     return {f.__name__: f for f in named}
 
 
@@ -113,6 +136,9 @@ _P2 = f"""WITH {_CURRENT}, vals AS (SELECT DISTINCT candidate_id, lower(trim(v))
 def oracle_sql() -> dict[str, str]:
     return {
         **_more_sql(),
+        "p4_quotas": f"""WITH {_CURRENT}, fam AS (SELECT candidate_id, lower(regexp_replace(root_family, '^\\s+|\\s+$', '', 'g')) AS own FROM cur),
+  pool AS (SELECT request_id, subset_size, count(*) AS n FROM fam JOIN selection_requests r ON r.root_family IS NULL OR lower(regexp_replace(r.root_family, '^\\s+|\\s+$', '', 'g')) = own WHERE subset_size > 0 GROUP BY 1, 2)
+  SELECT request_id, n AS pool_size, n AS assigned, least(n, subset_size) AS chosen, least(n, subset_size) AS different, least(n, subset_size) AS from_pool, true AS fair FROM pool""",
         "p5_found": f"{_P5} SELECT run_id, root_family, candidate_id FROM placed WHERE position <= 3",
         "p5_positions": f"{_P5} SELECT run_id, root_family, candidate_id, round(structural_score, 6) AS structural_score, position FROM placed WHERE position <= 3",
         "p6_found": f"{_P6_LONG} SELECT run_id, candidate_id FROM placed WHERE 20 * above < usable GROUP BY 1, 2 HAVING count(*) = 4",

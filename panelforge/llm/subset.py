@@ -8,24 +8,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm._candidates import current_candidates, tidy
 from panelforge.llm._positions import positions
-from panelforge.plans.lineage import new_table_path
+from panelforge.plans.lineage import cut, new_table_path
 from panelforge.plans.workers import ship
 
 #: Dimensions that fields, operators and root family are hashed into, and the weight of each part.
 PARTS = {"fields": (128, 1.0), "operators": (48, 1.0), "root": (64, 1.3)}
 DIMS = sum(d for d, _ in PARTS.values())
 
-#: Mini-batches of one pass over all rows.
-BATCHES = 8
+#: Mini-batches of one pass over all rows, and of them the most passes.
+BATCHES, PASSES = 8, 12
+
+#: Training ends once a pass moves the centres by less than this share of their length (root mean square over all rows).
+SETTLED = 0.02
+
+#: Rounds in which starting centres are drawn, each of as many rows as a request has clusters.
+ROUNDS = 3
 
 #: Most clusters of one request.
 CLUSTERS = 64
 
+#: Sums are made of whole numbers, this many to 1, so that they are the same in any order of tasks.
+UNIT = 1 << 20
+
 
 def clusters_of(size: int) -> int:
     return max(1, min(CLUSTERS, size))
@@ -66,9 +75,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
     n = len(column)
     row = np.repeat(np.arange(n), np.diff(np.asarray(column.offsets)))
     flat = column.flatten()
-    out = np.zeros(n * DIMS)
-    np.add.at(out, row * DIMS + np.asarray(flat.field("slot")), np.asarray(flat.field("x")).astype(float))
-    return out.reshape(n, DIMS)
+    return np.bincount(row * DIMS + np.asarray(flat.field("slot")), np.asarray(flat.field("x")).astype(float), n * DIMS).reshape(n, DIMS)
 
 
 def _in_pool(family: pa.Array, wanted: str | None, n: int) -> np.ndarray:
@@ -77,137 +84,238 @@ def _in_pool(family: pa.Array, wanted: str | None, n: int) -> np.ndarray:
     return np.flatnonzero(np.asarray(pc.fill_null(pc.equal(family, wanted), False)))
 
 
-def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres**2).sum(1)[None, :] - 2 * (x @ centres.T)).argmin(1)
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, but for the square of x."""
+    return (centres**2).sum(1)[None, :] - 2 * (x @ centres.T)
 
 
-def quotas(sizes: dict[int, int], total: int, how: str = "sqrt") -> dict[int, int]:
-    """Slots of each cluster, of ``total``, in proportion to the square root of its size (or equal), never above it.
+def shares(sizes: dict[int, int], caps: dict[int, int], total: int, how: str = "sqrt") -> dict[int, float]:
+    """What each cluster is due of ``total``: in proportion to the square root of its size (or equal), at most its cap.
 
-    What a small cluster can't use goes to the others in the same proportion; remainders to the largest fractions, then
-    to the larger clusters. The slots add up to min(total, all).
+    Clusters whose part is above their cap get the cap, and what they leave is shared out among the others in the same
+    proportion, until none is above.
     """
-    total = min(total, sum(sizes.values()))
-    got = dict.fromkeys(sizes, 0)
-    while (left := total - sum(got.values())) > 0:
-        open_ = {c: (math.sqrt(n) if how == "sqrt" else 1.0) for c, n in sizes.items() if got[c] < n}
-        weight = sum(open_.values())
-        share = {c: left * w / weight for c, w in open_.items()}
-        given = 0
-        for c, s in share.items():
-            take = min(int(s), sizes[c] - got[c])
-            got[c] += take
-            given += take
-        if not given:
-            for c in sorted(open_, key=lambda c: (got[c] > 0, -(share[c] % 1), -sizes[c], c))[:left]:
-                got[c] += 1
+    weight = {c: math.sqrt(n) if how == "sqrt" else 1.0 for c, n in sizes.items() if caps[c] > 0}
+    out: dict[int, float] = dict.fromkeys(sizes, 0.0)
+    while weight:
+        rate = (total - sum(out.values())) / sum(weight.values())
+        full = [c for c, w in weight.items() if w * rate >= caps[c]]
+        if not full:
+            return out | {c: w * rate for c, w in weight.items()}
+        for c in full:
+            out[c] = float(caps[c])
+            del weight[c]
+    return out
+
+
+def quotas(sizes: dict[int, int], total: int, how: str = "sqrt", caps: dict[int, int] | None = None) -> dict[int, int]:
+    """Slots of each cluster: its share, rounded; the slots add up to min(total, all caps).
+
+    ``caps``: what each can give, its size where not named. Shares are settled before any is rounded, so no quota is 1 or
+    more off its share. They are rounded down; the slots left go to the largest remainders, then to the larger clusters.
+    """
+    caps = {c: min(sizes[c], (caps or sizes)[c]) for c in sizes}
+    total = min(total, sum(caps.values()))
+    share = shares(sizes, caps, total, how)
+    got = {c: min(caps[c], int(share[c] + 1e-9)) for c in sizes}
+    open_ = sorted((c for c in got if got[c] < caps[c]), key=lambda c: (got[c] - share[c], -sizes[c], c))
+    for c in open_[: total - sum(got.values())]:
+        got[c] += 1
     return got
 
 
-class MiniBatchKMeans:
-    """Centres for several requests at once. Every mini-batch is a hash bucket of all rows, so a pass covers them all."""
+class Clusters:
+    """Centres for several requests at once, fitted to all rows of their pools, each description weighted by its rows.
+
+    ``table``: family, slots, n (rows), draw and bucket of each description, in partitions by bucket.
+    """
 
     def __init__(self, table: DataFrame, requests: list[tuple[int, str | None, int]]):
         self.table, self.requests = table, requests
         self.centres = self._seeds()
         self.seen = {r: np.zeros(len(c)) for r, c in self.centres.items()}
+        self.passes = 0
+        #: of each pass, by how much it moved the centres
+        self.moves: list[float] = []
+
+    def _far(self, centres: dict[int, np.ndarray], salt: int) -> dict[int, np.ndarray]:
+        """Of each request as many rows as it has clusters, drawn by rows x squared distance to the nearest centre.
+
+        Weighted drawing in one pass: the rows with the largest log(u) / weight, u a hash of the row. Each task keeps the
+        first of each request and so does what it sends on; only the drawn rows come to the driver.
+        """
+        requests = self.requests
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, n = _vectors(batch.column(1)), np.asarray(batch.column(2)).astype(float)
+                bits = (np.asarray(batch.column(3)).view(np.uint64) ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+                u = ((bits >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+                for r, family, size in requests:
+                    rows = _in_pool(batch.column(0), family, batch.num_rows)
+                    weight = n[rows]
+                    if len(rows) and r in centres:
+                        apart = (x[rows] ** 2).sum(1) + _distances(x[rows], centres[r]).min(1)
+                        weight = np.where(apart > 1e-9, weight * apart, 0.0)
+                    rows, weight = rows[weight > 0], weight[weight > 0]
+                    if len(rows):
+                        key = np.log(u[rows]) / weight
+                        best = np.argsort(-key, kind="stable")[: clusters_of(size)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), r, np.int32)), pa.array(key[best]), batch.column(3).take(pa.array(rows[best])), batch.column(1).take(pa.array(rows[best]))], names=["r", "key", "draw", "slots"])
+
+        kind = self.table.schema["slots"].dataType.simpleString()
+        drawn = self.table.select("family", "slots", "n", "draw").mapInArrow(run, f"r int, key double, draw long, slots {kind}")
+        limit = F.broadcast(drawn.sparkSession.createDataFrame([(r, clusters_of(size)) for r, _, size in requests], "r int, most int"))  # one row a request
+        first = drawn.withColumn("place", F.row_number().over(Window.partitionBy("r").orderBy(F.col("key").desc(), "draw"))).filter(F.col("place") <= CLUSTERS).join(limit, "r").filter(F.col("place") <= F.col("most"))
+        rows = first.select("r", "place", "slots").toArrow().combine_chunks().sort_by([("r", "ascending"), ("place", "ascending")])  # at most 64 a request
+        if not rows.num_rows:
+            return {}
+        x, r = _vectors(rows.column("slots").combine_chunks()), np.asarray(rows.column("r"))
+        return {int(i): x[r == i] for i in np.unique(r)}
 
     def _seeds(self) -> dict[int, np.ndarray]:
-        """k-means++ on at most 4,000 rows of each pool, those first in drawing order, for the starting centres only."""
+        """k-means||: rows far from those drawn so far are drawn in a few rounds over all rows; then each gets the weight of the rows nearest to it, and k-means++ picks among them."""
+        drawn = {r: x[:1] for r, x in self._far({}, 0).items()}
+        for i in range(ROUNDS):
+            for r, x in self._far(drawn, i + 1).items():
+                drawn[r] = np.unique(np.concatenate((drawn[r], x)), axis=0)
+        weights = {r: np.zeros(len(x)) for r, x in drawn.items()}
+        for r, c, _, s in self._summed(self.table, drawn, means=False):
+            weights[r][c] = s
         out = {}
-        for r, family, size in self.requests:
-            pool = self.table if family is None else self.table.filter(F.col("family") == family)
-            rows = pool.select("slots").orderBy("draw").limit(4000).toArrow().combine_chunks()
-            if not rows.num_rows:
+        for r, _, size in self.requests:
+            if r not in drawn:
                 continue
-            x = _vectors(rows.column("slots").combine_chunks())
-            rng = np.random.default_rng(r)
-            picked = [0]
-            far = ((x - x[0]) ** 2).sum(1)
-            while len(picked) < min(clusters_of(size), len(x)) and far.sum() > 1e-12:
-                i = int(np.searchsorted(np.cumsum(far), rng.random() * far.sum()))
-                picked.append(min(i, len(x) - 1))
-                far = np.minimum(far, ((x - x[picked[-1]]) ** 2).sum(1))
-            out[r] = x[picked]
+            x, w, rng = drawn[r], weights[r], np.random.default_rng(r)
+            picked = [int(np.argmax(w))]
+            near = ((x - x[picked[0]]) ** 2).sum(1)
+            while len(picked) < min(clusters_of(size), len(x)) and (near * w).sum() > 1e-12:
+                at = np.cumsum(near * w)
+                picked.append(min(int(np.searchsorted(at, rng.random() * at[-1], "right")), len(x) - 1))
+                near = np.minimum(near, ((x - x[picked[-1]]) ** 2).sum(1))
+            out[r] = x[picked].copy()
         return out
 
-    def step(self, bucket: int) -> None:
-        """Moves each centre towards the mean of the mini-batch's rows that are nearest to it, at the rate n / all seen."""
-        centres, requests = self.centres, self.requests
+    def _summed(self, table: DataFrame, centres: dict[int, np.ndarray], means: bool = True) -> list[tuple]:
+        """(request, cluster, dimension, sum over the rows nearest to the cluster's centre); dimension DIMS has their number.
+
+        Sums are whole numbers added up by Spark: what comes to the driver is at most one number for each of these three,
+        whatever the number of tasks.
+        """
+        requests = self.requests
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = {r: np.zeros((len(c), DIMS + 1)) for r, c in centres.items()}
+            sums = {r: np.zeros((len(c), DIMS + 1), np.int64) for r, c in centres.items()}
             for batch in batches:
-                x = np.concatenate((_vectors(batch.column(1)), np.ones((batch.num_rows, 1))), 1)
+                x, n = _vectors(batch.column(1)), np.asarray(batch.column(2)).astype(np.int64)
+                whole = np.concatenate((np.rint(x * UNIT).astype(np.int64) if means else np.zeros((len(x), DIMS), np.int64), np.ones((len(x), 1), np.int64)), 1) * n[:, None]
                 for r, family, _ in requests:
                     if r in centres and len(rows := _in_pool(batch.column(0), family, batch.num_rows)):
-                        near = _closest(x[rows, :DIMS], centres[r])
-                        np.add.at(sums[r], near, x[rows])
-            out = [(r, c, s[c].tolist()) for r, s in sums.items() for c in range(len(s)) if s[c, -1]]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=["r", "c", "s"])
-
-        part = self.table.filter(F.col("bucket") == bucket).select("family", "slots")
-        sums: dict[tuple[int, int], list] = {}
-        for row in part.mapInArrow(run, "r int, c int, s array<double>").collect():  # at most one row a task, request and cluster
-            sums.setdefault((row["r"], row["c"]), []).append(row["s"])
-        for (r, c), parts in sums.items():
-            total = np.sum(np.sort(np.array(parts), axis=0), axis=0)  # the same in any order of tasks
-            self.seen[r][c] += total[-1]
-            self.centres[r][c] = np.round(self.centres[r][c] + (total[:-1] - total[-1] * self.centres[r][c]) / self.seen[r][c], 9)
-
-    def assigned(self) -> DataFrame:
-        """request_id, cluster, candidate_id, draw of every row of every pool it is in."""
+                        near = _distances(x[rows], centres[r]).argmin(1)
+                        order = np.argsort(near, kind="stable")
+                        owner, first = np.unique(near[order], return_index=True)
+                        sums[r][owner] += np.add.reduceat(whole[rows[order]], first, axis=0)
+            for r, s in sums.items():
+                c, d = np.nonzero(s)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), r, np.int32)), pa.array(c.astype(np.int32)), pa.array(d.astype(np.int32)), pa.array(s[c, d])], names=["r", "c", "d", "s"])
+
+        made = table.select("family", "slots", "n").mapInArrow(run, "r int, c int, d int, s long").groupBy("r", "c", "d").agg(F.sum("s").alias("s")).toArrow()
+        return list(zip(*(made.column(i).to_pylist() for i in range(4))))
+
+    def step(self, bucket: int) -> None:
+        """Moves each centre towards the mean of the mini-batch's rows that are nearest to it, at the rate n / all seen."""
+        sums = {r: np.zeros((len(c), DIMS + 1)) for r, c in self.centres.items()}
+        for r, c, d, s in self._summed(self.table.filter(F.col("bucket") == bucket), self.centres):
+            sums[r][c, d] = s if d == DIMS else s / UNIT
+        for r, s in sums.items():
+            n = s[:, DIMS]
+            self.seen[r] += n
+            some = n > 0
+            self.centres[r][some] += (s[some, :DIMS] - n[some, None] * self.centres[r][some]) / self.seen[r][some, None]
+
+    def fit(self, passes: int = PASSES, settled: float = SETTLED) -> Clusters:
+        """Passes over all rows until one moves the centres by less than ``settled``, or ``passes`` are made."""
+        while self.centres and self.passes < passes:
+            before = {r: c.copy() for r, c in self.centres.items()}
+            for bucket in range(BATCHES):
+                self.step(bucket)
+            self.passes += 1
+            moved = sum((self.seen[r] * ((c - before[r]) ** 2).sum(1)).sum() for r, c in self.centres.items())
+            length = sum((self.seen[r] * (c**2).sum(1)).sum() for r, c in self.centres.items())
+            self.moves.append(math.sqrt(moved / length) if length else 0.0)
+            if self.moves[-1] < settled:
+                break
+        return self
+
+    def assigned(self, rows: DataFrame, *more: str) -> DataFrame:
+        """request_id, cluster and the named columns of every row (family, slots, ...) of every pool it is in."""
         centres, requests = self.centres, self.requests
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = _vectors(batch.column(1))
                 for r, family, _ in requests:
-                    if r in centres and len(rows := _in_pool(batch.column(0), family, batch.num_rows)):
-                        near = _closest(x[rows], centres[r]).astype(np.int32)
-                        at = pa.array(rows)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), r, np.int32)), pa.array(near), batch.column(2).take(at), batch.column(3).take(at)], names=["request_id", "cluster", "candidate_id", "draw"])
-
-        return self.table.select("family", "slots", "candidate_id", "draw").mapInArrow(run, "request_id int, cluster int, candidate_id long, draw long")
-
-
-def diverse_subsets(candidates: DataFrame, requests: DataFrame, how: str = "sqrt", passes: int = 1) -> DataFrame:
+                    if r in centres and len(own := _in_pool(batch.column(0), family, batch.num_rows)):
+                        near = _distances(x[own], centres[r]).argmin(1).astype(np.int32)
+                        at = pa.array(own)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), r, np.int32)), pa.array(near), *(batch.column(2 + i).take(at) for i in range(len(more)))], names=["request_id", "cluster", *more])
+
+        kinds = dict(rows.dtypes)
+        return rows.select("family", "slots", *more).mapInArrow(run, "request_id int, cluster int" + "".join(f", {c} {kinds[c]}" for c in more))
+
+
+class Subsets:
+    """The clusters, quotas and choices of several requests over one table of candidates."""
+
+    def __init__(self, candidates: DataFrame, requests: DataFrame, how: str = "sqrt", passes: int = PASSES, settled: float = SETTLED):
+        self.spark, self.how = candidates.sparkSession, how
+        self.asked = [(r["request_id"], r["family"], r["subset_size"]) for r in requests.select("request_id", tidy("root_family").alias("family"), "subset_size").filter("request_id is not null and subset_size > 0").dropDuplicates(["request_id"]).orderBy("request_id").collect()]  # a table of a few rows
+        ship(self.spark)
+        self.rows = cut(described(candidates))
+        alike = self.rows.groupBy("sig").agg(F.min(F.struct("draw", "candidate_id")).alias("one"), F.first("family").alias("family"), F.first("slots").alias("slots"), F.count("*").alias("n"))
+        one = alike.select(F.col("one.candidate_id").alias("candidate_id"), F.col("one.draw").alias("draw"), "family", "slots", "n", F.pmod("one.draw", F.lit(BATCHES)).alias("bucket"))
+        self.pool = _written(one, new_table_path(self.spark, "pool"), "bucket")
+        self.model = Clusters(self.pool, self.asked).fit(passes, settled)
+        #: of each request and cluster: rows, different descriptions
+        self.sizes: dict[int, dict[int, tuple[int, int]]] = {}
+        counted = self.model.assigned(self.pool, "n").groupBy("request_id", "cluster").agg(F.sum("n").alias("rows"), F.count("*").alias("kinds"))
+        for r in counted.collect():  # at most 64 a request
+            self.sizes.setdefault(r["request_id"], {})[r["cluster"]] = (r["rows"], r["kinds"])
+
+    def quotas(self) -> dict[int, dict[int, int]]:
+        """Slots of each request's clusters, by the square root of their rows; a cluster can give its different descriptions."""
+        part = lambda r, i: {c: v[i] for c, v in self.sizes[r].items()}
+        return {r: quotas(part(r, 0), size, self.how, part(r, 1)) for r, _, size in self.asked if r in self.sizes}
+
+    def chosen(self) -> DataFrame:
+        """request_id, candidate_id: see ``diverse_subsets``."""
+        slots = [(r, c, q) for r, own in self.quotas().items() for c, q in own.items() if q]
+        if not slots:
+            return self.spark.createDataFrame([], "request_id int, candidate_id long")
+        quota = self.spark.createDataFrame(slots, "request_id int, cluster int, quota int")  # at most 64 a request
+        wanted = self.model.assigned(self.pool, "candidate_id", "draw").join(F.broadcast(quota), ["request_id", "cluster"])
+        placed = positions(wanted, ["request_id", "cluster"], [F.col("draw").asc(), F.col("candidate_id").asc()], "place", keep=max(s[2] for s in slots))
+        out = placed.filter(F.col("place") <= F.col("quota")).select("request_id", "candidate_id")
+        kinds = {r: sum(k for _, k in own.values()) for r, own in self.sizes.items()}
+        missing = [(r, f, size - kinds.get(r, 0)) for r, f, size in self.asked if size > kinds.get(r, 0)]
+        return out.unionByName(_copies(self.rows, missing)) if missing else out
+
+    def assignments(self) -> DataFrame:
+        """request_id, candidate_id, cluster of every candidate of every pool it is in."""
+        return self.model.assigned(self.rows, "candidate_id").select("request_id", "candidate_id", "cluster")
+
+
+def diverse_subsets(candidates: DataFrame, requests: DataFrame, how: str = "sqrt") -> DataFrame:
     """request_id, candidate_id: for each request exactly subset_size distinct candidates of its pool, or all there are.
 
-    Candidates of equal description are one row in all that follows, its copies come in only where a pool has fewer
-    different descriptions than the request asks for, one more of each description at a time. Descriptions are hashed
-    vectors, clustered by mini-batch k-means; clusters get square-root (or equal) quotas of the request, unused slots
-    are dealt out again; within its quota a cluster gives those first in a fixed random order. Null and non-positive
-    sizes give no rows; ``requests`` is a small table, one row per request_id.
+    Descriptions are hashed vectors, clustered by mini-batch k-means over all rows until the centres have settled; a
+    description weighs as many rows as it has. Clusters get square-root (or equal) quotas by their rows, unused slots are
+    dealt out again; within its quota a cluster gives those first in a fixed random order. Of candidates of one
+    description one is drawn; its copies come in only where a pool has fewer different descriptions than the request
+    asks for, one more of each description at a time. Null and non-positive sizes give no rows; ``requests`` is a small
+    table, one row per request_id.
     """
-    spark = candidates.sparkSession
-    asked = [(r["request_id"], r["family"], r["subset_size"]) for r in requests.select("request_id", tidy("root_family").alias("family"), "subset_size").filter("request_id is not null and subset_size > 0").dropDuplicates(["request_id"]).orderBy("request_id").collect()]
-    empty = spark.createDataFrame([], "request_id int, candidate_id long")
-    if not asked:
-        return empty
-    ship(spark)
-    base, table = new_table_path(spark, "described"), new_table_path(spark, "pool")
-    rows = _written(described(candidates), base)
-    alike = rows.groupBy("sig").agg(F.min(F.struct("draw", "candidate_id")).alias("one"), F.first("family").alias("family"), F.first("slots").alias("slots"))
-    one = alike.select(F.col("one.candidate_id").alias("candidate_id"), F.col("one.draw").alias("draw"), "family", "slots", F.pmod("one.draw", F.lit(BATCHES)).alias("bucket"))
-    pool = _written(one, table, "bucket")
-    model = MiniBatchKMeans(pool, asked)
-    for _ in range(passes):
-        for bucket in range(BATCHES):
-            model.step(bucket)
-    assigned = model.assigned()
-    sizes: dict[int, dict[int, int]] = {}
-    for r in assigned.groupBy("request_id", "cluster").agg(F.count("*").alias("n")).collect():  # at most 64 a request
-        sizes.setdefault(r["request_id"], {})[r["cluster"]] = r["n"]
-    if not sizes:
-        return empty
-    slots = [(r, c, q) for r, _, size in asked if r in sizes for c, q in quotas(sizes[r], size, how).items() if q]
-    quota = spark.createDataFrame(slots, "request_id int, cluster int, quota int")  # at most 64 a request
-    wanted = assigned.join(F.broadcast(quota), ["request_id", "cluster"])
-    chosen = positions(wanted, ["request_id", "cluster"], [F.col("draw").asc(), F.col("candidate_id").asc()], "place", keep=max(s[2] for s in slots))
-    out = chosen.filter(F.col("place") <= F.col("quota")).select("request_id", "candidate_id")
-    missing = [(r, f, size - sum(sizes.get(r, {}).values())) for r, f, size in asked if size > sum(sizes.get(r, {}).values())]
-    return out.unionByName(_copies(rows, missing)) if missing else out
+    return Subsets(candidates, requests, how).chosen()
 
 
 def _written(df: DataFrame, path: str, *by: str) -> DataFrame:

@@ -41,11 +41,43 @@ def test_more_than_the_descriptions_takes_copies(spark):
     assert chosen(spark, pool(spark).limit(0), [(1, None, 3)]) == {}
 
 
-@given(st.dictionaries(st.integers(0, 9), st.integers(1, 200), min_size=1), st.integers(0, 400), st.sampled_from(["sqrt", "equal"]))
-@settings(max_examples=80, deadline=None)
-def test_quotas_add_up(sizes, total, how):
-    q = subset.quotas(sizes, total, how)
-    assert sum(q.values()) == min(total, sum(sizes.values())) and all(0 <= q[c] <= sizes[c] for c in sizes)
+@given(st.dictionaries(st.integers(0, 70), st.integers(1, 6000), min_size=1), st.integers(0, 400), st.sampled_from(["sqrt", "equal"]), st.integers(1, 5000))
+@settings(max_examples=200, deadline=None)
+def test_quotas_add_up_and_keep_to_their_shares(sizes, total, how, most):
+    caps = {c: min(n, most) for c, n in sizes.items()}
+    q = subset.quotas(sizes, total, how, caps)
+    assert sum(q.values()) == min(total, sum(caps.values())) and all(0 <= q[c] <= caps[c] for c in sizes)
+    # the share of each that isn't full, when the full ones have what they can give
+    weight = {c: n**0.5 if how == "sqrt" else 1.0 for c, n in sizes.items()}
+    full = set()
+    while True:
+        rate = (min(total, sum(caps.values())) - sum(caps[c] for c in full)) / max(sum(weight[c] for c in sizes if c not in full), 1e-12)
+        more = {c for c in sizes if c not in full and weight[c] * rate > caps[c]}
+        if not more:
+            break
+        full |= more
+    for c in sizes:
+        assert q[c] == caps[c] if c in full else abs(q[c] - weight[c] * rate) < 1 + 1e-6
+
+
+def test_small_clusters_get_their_part():
+    rng = np.random.default_rng(1)
+    sizes = {c: int(n) for c, n in enumerate(np.exp(rng.normal(5, 1.6, 64)) + 1)}
+    q = subset.quotas(sizes, 64)
+    ideal = {c: 64 * n**0.5 / sum(m**0.5 for m in sizes.values()) for c, n in sizes.items()}
+    assert all(abs(q[c] - ideal[c]) < 1 for c in sizes) and max(q.values()) < 6
+
+
+def test_centres_settle_and_every_candidate_has_a_cluster(spark):
+    s = subset.Subsets(pool(spark), spark.createDataFrame([(1, None, 20), (2, "rank", 8)], "request_id int, root_family string, subset_size int"))
+    assert s.model.moves[-1] < subset.SETTLED or s.model.passes == subset.PASSES
+    rows = s.assignments().collect()
+    assert len(rows) == len({(r["request_id"], r["candidate_id"]) for r in rows}) and sum(r["request_id"] == 1 for r in rows) == 502
+    assert sum(n for n, _ in s.sizes[1].values()) == 502 and sum(k for _, k in s.sizes[1].values()) < 400
+    # all copies of a description are in one cluster, which weighs them all but can give one
+    assert len({r["cluster"] for r in rows if r["request_id"] == 1 and 1000 <= r["candidate_id"] < 2000}) == 1
+    other = subset.Subsets(pool(spark).repartition(3), spark.createDataFrame([(1, None, 20), (2, "rank", 8)], "request_id int, root_family string, subset_size int"))
+    assert sorted(map(tuple, other.assignments().collect())) == sorted(map(tuple, rows))
 
 
 @have
