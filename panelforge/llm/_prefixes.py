@@ -25,9 +25,9 @@ LIST_ROWS = 20_000
 def rarity_counts(tokens: DataFrame, column: str, counters: int = COUNTERS) -> np.ndarray:
     """How many rows have a token of each counter, over all rows of ``tokens[column]`` (array<long>)."""
     slot = F.explode(F.transform(column, lambda t: F.pmod(t, F.lit(counters)).cast("int"))).alias("slot")
-    rows = tokens.select(slot).groupBy("slot").agg(F.count("*").alias("n")).toPandas()
+    rows = tokens.select(slot).groupBy("slot").agg(F.count("*").alias("n")).toArrow()  # at most one row a counter
     out = np.zeros(counters, np.int64)
-    out[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
     return out
 
 
@@ -36,35 +36,34 @@ def least_overlap(threshold: float, n: int) -> int:
     return max(1, math.ceil(round(threshold * n, 9)))
 
 
-def with_prefixes(df: DataFrame, tokens: str, counts: np.ndarray, threshold: float, list_rows: int = LIST_ROWS) -> DataFrame:
+def with_prefixes(df: DataFrame, tokens: str, counts: np.ndarray, threshold: float, list_rows: int = LIST_ROWS, totals: np.ndarray | None = None) -> DataFrame:
     """Sorts ``tokens`` by (count, token), rarest first, and adds ``salts``, ``b1`` and ``b2``.
 
     Two sets with Jaccard of at least the threshold share a token of their prefixes, the first n - ceil(threshold n) + 1
-    tokens. ``salts`` has an element for each of these: into how many parts the list of that token is to be split.
+    tokens. ``salts`` has an element for each of these: into how many parts the list of that token is to be split, by
+    ``totals`` where these differ from the counts that make the order.
     (b1, b2) have a bit set for each token, by its hash: two sets differ in at least as many tokens as their bits do.
     """
     added = [T.StructField("salts", T.ArrayType(T.IntegerType())), T.StructField("b1", T.LongType()), T.StructField("b2", T.LongType())]
     schema = T.StructType([*df.schema.fields, *added])
     at = df.columns.index(tokens)
     size = len(counts)
-    shared = df.sparkSession.sparkContext.broadcast(counts)  # fixed size, see COUNTERS
+    shared = df.sparkSession.sparkContext.broadcast((counts, counts if totals is None else totals))  # fixed size, see COUNTERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, rows_of = shared.value
         for batch in batches:
             column = batch.column(at)
             flat = np.asarray(column.flatten())
             lengths = np.diff(np.asarray(column.offsets)).astype(np.int64)
             row = np.repeat(np.arange(batch.num_rows), lengths)
-            freq = table[np.mod(flat, size)]
-            order = np.lexsort((flat, freq, row))
-            flat, freq = flat[order], freq[order]
+            flat = flat[np.lexsort((flat, table[np.mod(flat, size)], row))]
             need = np.array([least_overlap(threshold, int(n)) if n else 1 for n in lengths], np.int64)
             take = np.where(lengths > 0, lengths - need + 1, 0)
             starts = np.concatenate(([0], np.cumsum(lengths)))
             place = np.arange(len(flat)) - np.repeat(starts[:-1], lengths)
             inside = place < np.repeat(take, lengths)
-            parts = np.maximum(1, -(-freq[inside] // list_rows)).astype(np.int32)
+            parts = np.maximum(1, -(-rows_of[np.mod(flat[inside], size)] // list_rows)).astype(np.int32)
             salts = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))).astype(np.int32)), pa.array(parts))
             bit = (flat >> 32) & 127
             bits = np.zeros((2, batch.num_rows), np.uint64)
@@ -96,9 +95,12 @@ def possible(threshold: float) -> Column:
     return (F.least(na, nb) >= F.round(F.lit(threshold) * F.greatest(na, nb), 9)) & (at_most >= need) & (apart <= na + nb - 2 * need)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a1, a2, b1, b2, similarity of those pairs of sets whose exact overlap is enough; ``sets``: k1, k2, n, tokens."""
-    a = sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float, own: DataFrame | None = None) -> DataFrame:
+    """a1, a2, b1, b2, similarity of those pairs of sets whose exact overlap is enough.
+
+    ``sets``: k1, k2, n, tokens of all; ``own`` of those that stand first in a pair, where they are fewer.
+    """
+    a = (sets if own is None else own).select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
     overlap = F.size(F.array_intersect("ta", "tb"))

@@ -11,20 +11,28 @@ from panelforge.llm import encode, knn, linkage, packing, ranking, setjoin, spli
 from panelforge.llm._candidates import read
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _linked(spark: SparkSession, sf_dir: str) -> tuple[linkage.LinkIndex, DataFrame]:
     index, pairs = linkage.link_history(read(spark, sf_dir, "excluded_history"), read(spark, sf_dir, "measured_proposals"))
-    scored = index.scored(pairs)
-    exact = F.col("same_fp") | (F.col("similarity") >= linkage.THRESHOLD)
-    return scored.filter(exact).select("earlier_id", F.col("later_id").alias("proposal_id"))
+    return index, index.scored(pairs).withColumnRenamed("later_id", "proposal_id")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of the operator that are certain by the listed rule, as all are at its threshold; weights only order them."""
+    return _linked(spark, sf_dir)[1].filter("certain").select("earlier_id", "proposal_id")
 
 
 def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, pairs = linkage.link_history(read(spark, sf_dir, "excluded_history"), read(spark, sf_dir, "measured_proposals"))
-    return index.scored(pairs).select("earlier_id", F.col("later_id").alias("proposal_id"), "fingerprint", "terms", "root", F.round("similarity", 6).alias("similarity"), "weight")
+    return _linked(spark, sf_dir)[1].select("earlier_id", "proposal_id", "fingerprint", "terms", "root", F.round("similarity", 6).alias("similarity"))
+
+
+def p1_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The learned weight of each pattern of levels that occurs, and how many pairs have it."""
+    pairs = _linked(spark, sf_dir)[1]
+    return pairs.groupBy("fingerprint", "terms", "root").agg(F.count("*").alias("pairs"), F.round(F.max("weight"), 6).alias("weight"))
 
 
 def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, pairs = linkage.link_history(read(spark, sf_dir, "excluded_history"), read(spark, sf_dir, "measured_proposals"), clusters=True)
+    index, pairs = linkage.link_history(read(spark, sf_dir, "excluded_history"), read(spark, sf_dir, "measured_proposals"))
     return linkage.membership(index, pairs)
 
 
@@ -103,7 +111,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_links, p1_clusters, p3_found, p3_neighbors, p4_subsets, p4_assignments, p4_quotas, p2_found, p2_classes, p5_found, p5_positions, p6_found, p6_ranking, p8_ids, p9_containers, p10_pieces]
+    named = [p1_found, p1_links, p1_weighted, p1_clusters, p3_found, p3_neighbors, p4_subsets, p4_assignments, p4_quotas, p2_found, p2_classes, p5_found, p5_positions, p6_found, p6_ranking, p8_ids, p9_containers, p10_pieces]
     return {f.__name__: f for f in named}
 
 
@@ -195,6 +203,11 @@ def _more_sql() -> dict[str, str]:
         "p1_clusters": f"{clusters} SELECT id, coalesce(class_id, id) AS class_id, coalesce(n, 0) AS n_links FROM ids LEFT JOIN rep USING (id) LEFT JOIN n USING (id)",
         "p2_classes": f"{classes} SELECT candidate_id, class_id, n_equal, coalesce(n, 0) AS n_links FROM eq LEFT JOIN cnt ON a = candidate_id",
         "p6_ranking": f"{ranked} SELECT run_id, candidate_id, n_scores, round(combined, 6) AS combined, row_number() OVER (PARTITION BY run_id ORDER BY combined DESC NULLS LAST, candidate_id) AS position FROM items",
+        "p1_links": f"""{_P1}, ends AS (SELECT id, any_value(fp) FILTER (WHERE length(fp) = 64) AS fp, any_value(t[1]) AS root, max(n) AS n FROM keyed LEFT JOIN sizes USING (id) GROUP BY 1),
+  sims AS (SELECT l.x, l.y, a.fp AS fa, b.fp AS fb, a.root AS ra, b.root AS rb, a.n AS na, b.n AS nb, CASE WHEN o >= 0.6 * (a.n + b.n - o) - 1e-9 THEN o / (a.n + b.n - o) END AS s FROM linked l JOIN ends a ON a.id = l.x JOIN ends b ON b.id = l.y LEFT JOIN over ON over.x = l.x AND over.y = l.y)
+  SELECT x AS earlier_id, y AS proposal_id, CASE WHEN fa IS NULL OR fb IS NULL THEN 'missing' WHEN fa = fb THEN 'equal' ELSE 'different' END AS fingerprint,
+    CASE WHEN s >= 1 THEN 'same' WHEN s >= 0.8 THEN 'close' WHEN s IS NOT NULL THEN 'similar' WHEN na IS NULL OR nb IS NULL THEN 'missing' ELSE 'below' END AS terms,
+    CASE WHEN ra IS NULL OR rb IS NULL THEN 'missing' WHEN ra = rb THEN 'equal' ELSE 'different' END AS root, round(s, 6) AS similarity FROM sims""",
         "p1_found": f"{_P1} SELECT x AS earlier_id, y AS proposal_id FROM linked",
         "p3_found": f"{_P3} SELECT DISTINCT least(a, b) AS record_a, greatest(a, b) AS record_b FROM near",
         "p3_neighbors": f"{_P3} SELECT dataset_id, a AS record_id, b AS neighbor_id, round(d, 6) AS distance, place FROM near",

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import math
+import zlib
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 from panelforge.llm._prefixes import key_rows, possible, rarity_counts, verified, with_prefixes
 from panelforge.llm.components import components
@@ -15,6 +18,12 @@ from panelforge.plans.lineage import cut, new_table_path
 
 THRESHOLD = 0.6
 
+#: Rows of the first batch that one bucket of an index is to hold, and the bounds of their number.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 50_000, 4, 1024
+
+#: Parts of each bucket, so that no key's rows are written by one task.
+SPREAD = 4
+
 #: Comparison fields and their levels, best first.
 FIELDS = {"fingerprint": ["equal", "different", "missing"], "terms": ["same", "close", "similar", "below", "missing"], "root": ["equal", "different", "missing"]}
 
@@ -46,135 +55,200 @@ def prepared(df: DataFrame, item: str, fingerprint: str, expression: str) -> Dat
 
 
 class LinkIndex:
-    """Blocking-key tables of everything accepted so far, kept in the shared folder and only ever appended to.
-
-    ``records`` (id, fp, root, k1, k2): one row per accepted content; ``sets`` (k1, k2, n, tokens): one row per distinct
-    set of shingles; ``keys`` (token, place, n, k1, k2, b1, b2): the prefixes by which a similar set must be met; ``clusters``
-    (id, rep, version): changes of the representative mapping, the latest version of an id counts. A new batch is
-    prepared once, meets ``records`` by equal fingerprints and ``keys`` by equal prefix tokens; no expression of the
-    history is read, cut into terms or compared again. Rarity is counted over all the first rows added; the order of
-    tokens then stays, as the prefixes in the tables depend on it (any fixed order finds the same pairs).
+    """Tables of everything accepted so far, in the shared folder, and only ever added to, one version for each batch.
+
+    ``prints`` (fp, id, root, k1) by fingerprint; ``members`` (k1, k2, id, fp, root) and ``sets`` (k1, k2, n, tokens, ...)
+    by set of shingles; ``keys`` (token, place, n, ...): the prefixes by which a similar set must be met, by token;
+    ``clusters`` (id, rep) by id and ``groups`` (rep, id) by representative: changes of the representative mapping, of
+    which the latest of an id counts; ``order``: how rare each token was among the first rows added, which the stored
+    prefixes depend on (any fixed order finds the same pairs); ``state``: threshold, buckets, weights and version.
+
+    Every table lies in buckets by the hash of its key. A batch is prepared once and reads only the buckets that its own
+    fingerprints, tokens and sets fall into, so small batches read a small part of a large history; no expression of the
+    history is read, cut into terms or compared again, and only clusters that a new link touches are changed. Lists of
+    frequent tokens are split over salts. The state is written last: what a lost run left behind is never read and is
+    overwritten by the next batch. With the ``path`` of an index made before, that index is opened, by any later session.
     """
 
+    _KINDS = {
+        "prints": "fp string, id long, root string, k1 long", "members": "k1 long, k2 long, id long, fp string, root string", "sets": "k1 long, k2 long, n int, tokens array<bigint>, salts array<int>, b1 long, b2 long",
+        "keys": "k1 long, k2 long, n int, b1 long, b2 long, token long, place int, salt int", "clusters": "id long, rep long", "groups": "rep long, id long",
+        "order": "counts binary", "state": "threshold double, buckets int, weights string, totals binary, merged boolean",
+    }
+
     def __init__(self, spark: SparkSession, path: str | None = None, threshold: float = THRESHOLD):
         if not 0 < threshold <= 1:
             raise ValueError("threshold must be above 0 and at most 1")
         self.spark, self.threshold = spark, threshold
         self.path = path or new_table_path(spark, "links")
-        self.counts: np.ndarray | None = None
+        self.version, self.buckets, self.merged = 0, 0, False
+        self.order: np.ndarray | None = None
+        self.totals: np.ndarray | None = None
         self.weights: dict[str, dict[str, float]] | None = None
-        self.version = 0
-        self._parts = 0
-        self._schemas: dict[str, StructType] = {}
-
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(self._schemas[name]).parquet(f"{self.path}/{name}")
-
-    def _append(self, name: str, df: DataFrame) -> None:
-        self._schemas[name] = df.schema
-        df.write.mode("append").parquet(f"{self.path}/{name}")
-
-    def _new_sets(self, batch: DataFrame) -> DataFrame:
-        """Distinct sets of a batch that the index doesn't hold, with their prefixes."""
-        sets = batch.filter("k1 is not null").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-        if self._parts:
-            sets = sets.join(self._table("sets").select("k1", "k2"), ["k1", "k2"], "left_anti")
-        kept = cut(sets)
-        if self.counts is None:
-            self.counts = rarity_counts(kept, "tokens")
-        return cut(with_prefixes(kept, "tokens", self.counts, self.threshold))
-
-    def _store(self, batch: DataFrame, sets: DataFrame) -> None:
-        self._append("records", batch.select("id", "fp", "root", "k1", "k2"))
-        self._append("sets", sets.select("k1", "k2", "n", "tokens"))
-        self._append("keys", key_rows(sets).drop("salts"))
-        self._parts += 1
+        #: of the last batch, the buckets read of each table
+        self.read_buckets: dict[str, list[int]] = {}
+        if path is not None:
+            self._open()
+
+    # tables
+    def _open(self) -> None:
+        try:
+            last = self.spark.read.schema(f"{self._KINDS['state']}, v int").parquet(f"{self.path}/state").orderBy(F.col("v").desc()).first()
+        except AnalysisException:
+            return  # nothing there yet
+        if last is None:
+            return
+        if last["threshold"] != self.threshold:
+            raise ValueError(f"the index at {self.path} is for a threshold of {last['threshold']}")
+        self.version, self.buckets, self.merged = last["v"], last["buckets"], last["merged"]
+        self.weights = json.loads(last["weights"]) if last["weights"] else None
+        self.totals = np.frombuffer(zlib.decompress(last["totals"]), np.int64).copy()
+        self.order = np.frombuffer(zlib.decompress(self.spark.read.schema(f"{self._KINDS['order']}, v int").parquet(f"{self.path}/order").first()["counts"]), np.int64)
+
+    def _commit(self) -> None:
+        row = [(self.threshold, self.buckets, json.dumps(self.weights) if self.weights else None, bytearray(zlib.compress(self.totals.tobytes(), 1)), self.merged)]
+        self.spark.createDataFrame(row, self._KINDS["state"]).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/state/v={self.version}")
+
+    def _bucket(self, key: Column | str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(11), key), F.lit(self.buckets)).cast("int")
+
+    def _write(self, table: str, df: DataFrame, key: str, spread: str) -> None:
+        """Adds rows to a table as part of the present version, a bucket spread over a few tasks."""
+        rows = df.withColumn("bucket", F.when(F.col(key).isNotNull(), self._bucket(key)).otherwise(self._bucket(spread)))
+        rows.repartition("bucket", F.pmod(F.xxhash64(spread), F.lit(SPREAD))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/v={self.version}")
+
+    def _read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or those of its buckets; what was written after the present version isn't there."""
+        df = self.spark.read.schema(f"{self._KINDS[table]}, v int, bucket int").parquet(f"{self.path}/{table}").filter(F.col("v") <= self.version)
+        if buckets is not None:
+            self.read_buckets[table] = buckets
+            if len(buckets) < self.buckets:
+                df = df.filter(F.col("bucket").isin(buckets)) if buckets else df.limit(0)
+        return df.drop("bucket")
+
+    def _touched(self, **keys: tuple[DataFrame, str]) -> dict[str, list[int]]:
+        """The buckets that the keys of some rows fall into, of several tables: at most the number of buckets of each."""
+        parts = [df.filter(F.col(key).isNotNull()).select(F.lit(name).alias("name"), self._bucket(key).alias("b")) for name, (df, key) in keys.items()]
+        out: dict[str, list[int]] = {name: [] for name in keys}
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        for r in rows.distinct().collect():
+            out[r["name"]].append(r["b"])
+        return {k: sorted(v) for k, v in out.items()}
+
+    # adding
+    def _taken(self, batch: DataFrame) -> tuple[DataFrame, dict[str, list[int]]]:
+        """Stores a prepared batch as a new version. The distinct sets of the batch, with their prefixes, and the buckets of its keys."""
+        if not self.version:
+            self.buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, math.ceil(batch.count() / BUCKET_ROWS)))
+        touched = self._touched(prints=(batch, "fp"), sets=(batch, "k1"))
+        own = batch.filter("k1 is not null").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+        known = None
+        if self.version:
+            stored = self._read("sets", touched["sets"]).drop("v")
+            known = cut(stored.join(own.select("k1", "k2"), ["k1", "k2"]))
+            own = own.join(known.select("k1", "k2"), ["k1", "k2"], "left_anti")
+        own = cut(own)
+        counts = rarity_counts(own, "tokens")
+        if self.order is None:
+            self.order = counts
+        self.totals = counts if self.totals is None else self.totals + counts
+        fresh = cut(with_prefixes(own, "tokens", self.order, self.threshold, totals=self.totals))
+        self.version += 1
+        if self.version == 1:
+            self.spark.createDataFrame([(bytearray(zlib.compress(self.order.tobytes(), 1)),)], self._KINDS["order"]).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/order/v=1")
+        self._write("prints", batch.select("fp", "id", "root", "k1"), "fp", "id")
+        self._write("members", batch.filter("k1 is not null").select("k1", "k2", "id", "fp", "root"), "k1", "id")
+        self._write("sets", fresh, "k1", "k2")
+        self._write("keys", key_rows(fresh).withColumn("salt", F.pmod("k1", F.col("salts")).cast("int")).drop("salts"), "token", "k1")
+        self._commit()
+        return fresh.unionByName(known) if known is not None else fresh, touched
 
     def add(self, rows: DataFrame, item: str, fingerprint: str, expression: str) -> None:
         """Takes rows in without looking for repeats among them: what is accepted already."""
-        batch = cut(prepared(rows, item, fingerprint, expression))
-        self._store(batch, self._new_sets(batch))
+        self._taken(cut(prepared(rows, item, fingerprint, expression)))
 
     def link(self, rows: DataFrame, item: str, fingerprint: str, expression: str) -> DataFrame:
-        """Holds a batch against the index and itself, then adds it. earlier_id < later_id, fields' levels, similarity.
+        """Adds a batch and holds it against the index and itself: earlier_id < later_id, same_fp, similarity, levels of the comparison fields.
 
         A row for each two ids, at least one of them of the batch, whose fingerprints are valid and equal or whose
-        shingle sets have Jaccard of at least the threshold. An id may come in several batches; it isn't linked to itself.
-        Late arrivals are linked to larger ids as well. A null similarity means below the threshold or no terms.
+        shingle sets have Jaccard of at least the threshold. An id may come in several batches; it isn't linked to itself,
+        and of its contents the best level of each field counts. Late arrivals are linked to larger ids as well. A null
+        similarity means below the threshold or no terms.
         """
         batch = cut(prepared(rows, item, fingerprint, expression))
-        fresh = self._new_sets(batch)
-        old = self._parts > 0
-        self._store(batch, fresh)
-        records, keys, sets = self._table("records"), self._table("keys"), self._table("sets")
-
-        # fingerprints: equality
-        a, b = batch.filter("fp is not null").select("id", "fp"), records.filter("fp is not null").select("id", "fp")
-        by_fp = _oriented(a.alias("a").join(b.alias("b"), F.col("a.fp") == F.col("b.fp")), []).withColumn("same_fp", F.lit(True))
-
-        # shingles: the sets of the batch, new to the index or not, against all sets, each met once
-        mine = cut(batch.filter("k1 is not null").select("k1", "k2").distinct())
-        known = sets.join(mine, ["k1", "k2"]) if old else fresh.select("k1", "k2", "n", "tokens")
-        probe = cut(with_prefixes(known, "tokens", self.counts, self.threshold))
-        left, right = key_rows(probe).alias("a"), keys.alias("b")
+        probe, touched = self._taken(batch)
+        a = batch.filter("fp is not null").select(F.col("id").alias("x"), F.col("fp").alias("fa"), F.col("root").alias("ra"), F.col("k1").alias("ka"))
+        b = self._read("prints", touched["prints"]).filter("fp is not null").select(F.col("id").alias("y"), F.col("fp").alias("fb"), F.col("root").alias("rb"), F.col("k1").alias("kb"))
+        by_fp = a.join(b, F.col("fa") == F.col("fb")).withColumn("similarity", F.lit(None).cast("double"))
+
+        # the sets of the batch, new to the index or not, against all sets, each met once
+        probe = cut(probe)
+        left = key_rows(probe)
+        right = self._read("keys", self._touched(keys=(left, "token"))["keys"]).drop("v").alias("b")
+        left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").alias("a")
         other = (F.col("a.k1") != F.col("b.k1")) | (F.col("a.k2") != F.col("b.k2"))
-        met = left.join(right, (F.col("a.token") == F.col("b.token")) & other & possible(self.threshold))
-        pairs = met.select(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2")).dropDuplicates()
-        alike = verified(pairs, sets, self.threshold)
-        classes = alike.select("a1", "a2", "b1", "b2", "similarity").unionByName(mine.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.lit(1.0).alias("similarity")))
-        x = batch.select(F.col("id").alias("x"), F.col("k1").alias("a1"), F.col("k2").alias("a2")).distinct()
-        y = records.filter("k1 is not null").select(F.col("id").alias("y"), F.col("k1").alias("b1"), F.col("k2").alias("b2"))
-        wide = classes.join(x, ["a1", "a2"]).join(y, ["b1", "b2"])
-        by_terms = wide.filter("x != y").select(F.least("x", "y").alias("earlier_id"), F.greatest("x", "y").alias("later_id"), "similarity")
-
-        found = by_fp.withColumn("similarity", F.lit(None).cast("double")).unionByName(by_terms.withColumn("same_fp", F.lit(False)))
-        merged = found.groupBy("earlier_id", "later_id").agg(F.max("same_fp").alias("same_fp"), F.max("similarity").alias("similarity"))
-        return cut(merged)
-
+        met = left.join(right, (F.col("a.token") == F.col("b.token")) & (F.col("a.salt") == F.col("b.salt")) & other & possible(self.threshold))
+        pairs = cut(met.select(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2")).dropDuplicates())
+        there = self._touched(sets=(pairs, "b1"), members=(pairs.select("b1").unionByName(probe.select(F.col("k1").alias("b1"))), "b1"))
+        alike = verified(pairs, self._read("sets", there["sets"]).drop("v"), self.threshold, probe)
+        equal = probe.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.lit(1.0).alias("similarity"))
+        x = batch.filter("k1 is not null").select(F.col("id").alias("x"), F.col("fp").alias("fa"), F.col("root").alias("ra"), F.col("k1").alias("a1"), F.col("k2").alias("a2"))
+        y = self._read("members", there["members"]).select(F.col("id").alias("y"), F.col("fp").alias("fb"), F.col("root").alias("rb"), F.col("k1").alias("b1"), F.col("k2").alias("b2"))
+        wide = alike.unionByName(equal).join(x, ["a1", "a2"]).join(y, ["b1", "b2"]).withColumns({"ka": F.col("a1"), "kb": F.col("b1")})
+
+        found = by_fp.unionByName(wide.select(*by_fp.columns)).filter("x != y")
+        s = F.col("similarity")
+        levels = {
+            "fingerprint": F.when(F.col("fa").isNull() | F.col("fb").isNull(), 2).when(F.col("fa") == F.col("fb"), 0).otherwise(1),
+            "terms": F.when(s >= 1, 0).when(s >= (1 + self.threshold) / 2, 1).when(s.isNotNull(), 2).when(F.col("ka").isNull() | F.col("kb").isNull(), 4).otherwise(3),
+            "root": F.when(F.col("ra").isNull() | F.col("rb").isNull(), 2).when(F.col("ra") == F.col("rb"), 0).otherwise(1),
+        }
+        merged = found.groupBy(F.least("x", "y").alias("earlier_id"), F.greatest("x", "y").alias("later_id")).agg(F.max("similarity").alias("similarity"), *(F.min(v).alias(f) for f, v in levels.items()))
+        named = [F.element_at(F.array(*map(F.lit, FIELDS[f])), F.col(f) + 1).alias(f) for f in FIELDS]
+        return cut(merged.select("earlier_id", "later_id", (F.col("fingerprint") == 0).alias("same_fp"), "similarity", *named))
+
+    # weights
     def scored(self, pairs: DataFrame) -> DataFrame:
-        """Adds the level of each comparison field and ``weight``, the sum of the fields' learned weights.
+        """Adds ``weight``, the sum of the fields' learned weights, and ``certain``: equal fingerprints, or similar by the threshold.
 
         Weights are log2(m / u): u, the chance of a level among any two records, follows from counts over all records
         and pairs; m, the chance among true matches, is learned by expectation maximisation over the counts of the
-        patterns of all linked pairs (at most 45 patterns). They are learned from the first pairs scored and then kept.
+        patterns of all linked pairs (at most 45 patterns). They are learned from the first pairs scored and then kept
+        with the index.
         """
-        records = self._table("records")
-        best = records.groupBy("id").agg(F.max("fp").alias("fp"), F.max("root").alias("root"), F.max("k1").alias("k1"))
-        a = best.select(F.col("id").alias("earlier_id"), F.col("fp").alias("fa"), F.col("root").alias("ra"), F.col("k1").alias("ka"))
-        b = best.select(F.col("id").alias("later_id"), F.col("fp").alias("fb"), F.col("root").alias("rb"), F.col("k1").alias("kb"))
-        rows = pairs.join(a, "earlier_id").join(b, "later_id")
-        fp = F.when(F.col("same_fp"), "equal").when(F.col("fa").isNull() | F.col("fb").isNull(), "missing").otherwise("different")
-        s = F.col("similarity")
-        terms = F.when(s >= 1, "same").when(s >= (1 + self.threshold) / 2, "close").when(s.isNotNull(), "similar").when(F.col("ka").isNull() | F.col("kb").isNull(), "missing").otherwise("below")
-        root = F.when(F.col("ra").isNull() | F.col("rb").isNull(), "missing").when(F.col("ra") == F.col("rb"), "equal").otherwise("different")
-        rows = rows.select("earlier_id", "later_id", "same_fp", "similarity", fp.alias("fingerprint"), terms.alias("terms"), root.alias("root"))
         if self.weights is None:
-            self.weights = self._learn(cut(rows), best)
+            self.weights = self._learn(pairs)
+            self._commit()
         weight = F.lit(0.0)
         for field, levels in self.weights.items():
             part = F.lit(0.0)
             for level, w in levels.items():
                 part = F.when(F.col(field) == level, F.lit(w)).otherwise(part)
             weight = weight + part
-        return rows.withColumn("weight", weight)
-
-    def _learn(self, rows: DataFrame, records: DataFrame) -> dict[str, dict[str, float]]:
-        patterns = [(r["fingerprint"], r["terms"], r["root"], r["c"]) for r in rows.groupBy(*FIELDS).agg(F.count("*").alias("c")).collect()]  # at most 45
-        total = records.count()
+        return pairs.withColumns({"weight": weight, "certain": F.col("same_fp") | F.coalesce(F.col("similarity") >= self.threshold, F.lit(False))})
+
+    def _learn(self, pairs: DataFrame) -> dict[str, dict[str, float]]:
+        patterns = [(r["fingerprint"], r["terms"], r["root"], r["c"]) for r in pairs.groupBy(*FIELDS).agg(F.count("*").alias("c")).collect()]  # at most 45
+        values = F.array(*(F.struct(F.lit(f).alias("f"), F.col(c).cast("string").alias("x")) for f, c in (("all", "id"), ("fingerprint", "fp"), ("root", "root"), ("terms", "k1"))))
+        counted = self._read("prints").select(F.explode(values).alias("e")).filter("e.x is not null").groupBy("e.f", "e.x").agg(F.count("*").alias("c"))
+        sums = {r["f"]: r for r in counted.groupBy("f").agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2).alias("same"), F.sum("c").alias("known")).collect()}  # four rows
+        total = sums["all"]["known"] if "all" in sums else 0
         if not patterns or total < 2:
             return {f: dict.fromkeys(levels, 0.0) for f, levels in FIELDS.items()}
         every = total * (total - 1) / 2
 
-        def chances(column: str) -> tuple[float, float]:
-            r = records.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("same"), F.sum("c").alias("known")).first()
-            known = (r["known"] or 0) / total
-            return (r["same"] or 0) / every, 1 - known * known
+        def chances(field: str) -> tuple[float, float]:
+            r = sums.get(field)
+            known = r["known"] / total if r else 0.0
+            return (r["same"] / every if r else 0.0), 1 - known * known
 
         u: dict[str, dict[str, float]] = {}
-        for field, column in (("fingerprint", "fp"), ("root", "root")):
-            same, missing = chances(column)
+        for field in ("fingerprint", "root"):
+            same, missing = chances(field)
             u[field] = {"equal": same, "missing": missing, "different": max(0.0, 1 - same - missing)}
-        _, missing = chances("k1")
+        _, missing = chances("terms")
         u["terms"] = {level: sum(c for _, t, _, c in patterns if t == level) / every for level in ("same", "close", "similar")}
         u["terms"]["missing"] = missing
         u["terms"]["below"] = max(0.0, 1 - sum(u["terms"].values()))
@@ -195,39 +269,45 @@ class LinkIndex:
             m = {f: {v: (1e-3 + sum(s for s, p in zip(share, patterns) if p[i] == v)) / (mass + 1e-3 * len(FIELDS[f])) for v in FIELDS[f]} for i, f in enumerate(names)}
         return {f: {v: round(math.log2(m[f][v] / u[f][v]), 6) for v in FIELDS[f]} for f in names}
 
+    # clusters
+    def _latest(self, buckets: list[int] | None = None) -> DataFrame:
+        """id, rep: the present mapping of ids in clusters of two or more, or of those in some buckets."""
+        return self._read("clusters", buckets).groupBy("id").agg(F.max(F.struct("v", "rep")).alias("m")).select("id", F.col("m.rep").alias("rep"))
+
     def mapping(self) -> DataFrame | None:
         """id, rep of every id that is in a cluster of two or more."""
-        if not self.version:
-            return None
-        return self._table("clusters").groupBy("id").agg(F.max(F.struct("version", "rep")).alias("v")).select("id", F.col("v.rep").alias("rep"))
+        return self._latest() if self.merged else None
 
     def merge(self, pairs: DataFrame) -> DataFrame:
         """Joins the clusters of linked ids and returns the changed part of the mapping (id, rep).
 
-        Ends are first replaced by their present representatives; components are found among those alone, so clusters
-        that no pair touches are neither read as links nor written again.
+        Ends are first replaced by their present representatives; components are found among those alone. A cluster that
+        no pair touches is neither read nor written; of those touched only the members of such as lose their
+        representative are. A representative is the smallest id, and never comes back once it has lost that place.
         """
-        now = self.mapping()
-        a, b = F.col("earlier_id").alias("a"), F.col("later_id").alias("b")
-        links = pairs.select(a, b)
-        if now is not None:
+        links = pairs.select(F.col("earlier_id").alias("a"), F.col("later_id").alias("b"))
+        if self.merged:
+            ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+            now = self._latest(self._touched(clusters=(ends, "id"))["clusters"]).join(ends, "id")
+            now = cut(now)
             for end in ("a", "b"):
-                links = links.join(now.withColumnRenamed("id", end).withColumnRenamed("rep", f"r{end}"), end, "left").withColumn(end, F.coalesce(f"r{end}", end)).drop(f"r{end}")
+                links = links.join(now.select(F.col("id").alias(end), F.col("rep").alias(f"r{end}")), end, "left").withColumn(end, F.coalesce(f"r{end}", end)).drop(f"r{end}")
         reps = cut(components(links))
         changed = reps.select(F.col("node").alias("id"), "rep")
-        if now is not None:
-            moved = now.join(reps.withColumnRenamed("node", "old").withColumnRenamed("rep", "new"), F.col("rep") == F.col("old")).filter("new != old").select("id", F.col("new").alias("rep"))
+        if self.merged:
+            lost = reps.filter("node != rep").select(F.col("node").alias("old"), F.col("rep").alias("new"))
+            moved = self._read("groups", self._touched(groups=(lost, "old"))["groups"]).join(lost, F.col("rep") == F.col("old")).select("id", F.col("new").alias("rep"))
             changed = changed.join(now, ["id", "rep"], "left_anti").unionByName(moved).dropDuplicates(["id"])
+            # a representative that stays one is there already
+            changed = changed.join(self._latest(self._touched(clusters=(changed, "id"))["clusters"]), ["id", "rep"], "left_anti")
         changed = cut(changed)
-        self.version += 1
-        self._append("clusters", changed.withColumn("version", F.lit(self.version)))
+        self._write("clusters", changed.select("id", "rep"), "id", "rep")
+        self._write("groups", changed.select("rep", "id"), "rep", "id")
+        self.merged = True
+        self._commit()
         return changed
 
 
-def _oriented(joined: DataFrame, more: list[str]) -> DataFrame:
-    return joined.filter(F.col("a.id") != F.col("b.id")).select(F.least("a.id", "b.id").alias("earlier_id"), F.greatest("a.id", "b.id").alias("later_id"), *more).distinct()
-
-
 def increments(proposals: DataFrame, parts: int) -> list[DataFrame]:
     """The proposals in order of batch_no, in at most ``parts`` increments of whole batches; null batches are in the last."""
     r = proposals.agg(F.min("batch_no").alias("lo"), F.max("batch_no").alias("hi")).first()
@@ -239,9 +319,9 @@ def increments(proposals: DataFrame, parts: int) -> list[DataFrame]:
     return [proposals.filter(place == i) for i in range(made)]
 
 
-def link_history(history: DataFrame, proposals: DataFrame, parts: int = 2, clusters: bool = False) -> tuple[LinkIndex, DataFrame]:
+def link_history(history: DataFrame, proposals: DataFrame, parts: int = 2, clusters: bool = True, path: str | None = None) -> tuple[LinkIndex, DataFrame]:
     """The history is indexed, then the proposals are linked and added increment by increment. All pairs found."""
-    index = LinkIndex(history.sparkSession)
+    index = LinkIndex(history.sparkSession, path)
     index.add(history, "entry_id", "entries", "expression")
     out = None
     for batch in increments(proposals, parts):
@@ -254,7 +334,7 @@ def link_history(history: DataFrame, proposals: DataFrame, parts: int = 2, clust
 
 def membership(index: LinkIndex, pairs: DataFrame) -> DataFrame:
     """id, class_id (smallest id of its cluster, its own where it repeats nothing), n_links of every id in the index."""
-    ids = index._table("records").select("id").distinct()
+    ids = index._read("prints").select("id").distinct()
     ends = pairs.select(F.col("earlier_id").alias("id")).unionByName(pairs.select(F.col("later_id").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     now = index.mapping()
     out = ids.join(ends, "id", "left")

@@ -98,7 +98,7 @@ def linkage_truth(history, proposals):
 @pytest.mark.parametrize("parts", [1, 3])
 def test_links_are_the_same_in_one_or_more_increments(spark, parts):
     history, proposals = linkage_data()
-    index, pairs = linkage.link_history(spark.createDataFrame(history, HISTORY), spark.createDataFrame(proposals, PROPOSALS), parts, clusters=True)
+    index, pairs = linkage.link_history(spark.createDataFrame(history, HISTORY), spark.createDataFrame(proposals, PROPOSALS), parts)
     want = linkage_truth(history, proposals)
     rows = index.scored(pairs).collect()
     assert {(r["earlier_id"], r["later_id"]) for r in rows} == want
@@ -117,6 +117,70 @@ def test_links_are_the_same_in_one_or_more_increments(spark, parts):
     assert {i: m["class_id"] for i, m in members.items()} == {i: find(i) for i in members}
 
 
+def test_an_index_opened_again_finds_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(linkage, "BUCKET_ROWS", 4)
+    history, proposals = linkage_data()
+    path = str(tmp_path / "index")
+    linkage.LinkIndex(spark, path).add(spark.createDataFrame(history, HISTORY), "entry_id", "entries", "expression")
+    found, rows, weights = set(), spark.createDataFrame(proposals, PROPOSALS), []
+    for batch in linkage.increments(rows, 3):
+        index = linkage.LinkIndex(spark, path)  # as a later run would
+        pairs = index.link(batch, "proposal_id", "semantic_fingerprint", "expression")
+        index.scored(pairs)
+        weights.append(index.weights)
+        index.merge(pairs)
+        found |= {(r["earlier_id"], r["later_id"]) for r in pairs.collect()}
+    want = linkage_truth(history, proposals)
+    assert found == want and index.version == 4 and weights[0] and weights[0] == weights[-1]
+    again = linkage.LinkIndex(spark, path)
+    assert (again.version, again.buckets, again.merged) == (4, 16, True) and (again.totals == index.totals).all() and (again.order == index.order).all()
+    whole = linkage.LinkIndex(spark)
+    for part, item, prints in ((spark.createDataFrame(history, HISTORY), "entry_id", "entries"),):
+        whole.add(part, item, prints, "expression")
+    whole.merge(whole.link(rows, "proposal_id", "semantic_fingerprint", "expression"))
+    assert sorted(map(tuple, again.mapping().collect())) == sorted(map(tuple, whole.mapping().collect()))
+    with pytest.raises(ValueError, match="threshold"):
+        linkage.LinkIndex(spark, path, 0.7)
+
+
+def test_a_batch_reads_only_its_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(linkage, "BUCKET_ROWS", 20)
+    files = {}
+    for times in (1, 4):
+        rows = [(i, f"{i:064x}", " ".join(f"w{i}_{j}" for j in range(6))) for i in range(300 * times)]
+        path = str(tmp_path / f"index{times}")
+        linkage.LinkIndex(spark, path).add(spark.createDataFrame(rows, HISTORY), "entry_id", "entries", "expression")
+        index = linkage.LinkIndex(spark, path)
+        batch = spark.createDataFrame([(9000, 1, rows[7][1], "x y z"), (9001, 1, None, rows[11][2])], PROPOSALS)
+        pairs = index.link(batch, "proposal_id", "semantic_fingerprint", "expression")
+        assert sorted((r["earlier_id"], r["later_id"], r["fingerprint"], r["terms"]) for r in pairs.collect()) == [(7, 9000, "equal", "below"), (11, 9001, "missing", "same")]
+        assert index.buckets == 15 * times and len(index.read_buckets["prints"]) == 1 and len(index.read_buckets["sets"]) <= 2 and len(index.read_buckets["members"]) <= 2
+        table = index._read("prints", index.read_buckets["prints"])
+        files[times] = table.select("_metadata.file_path").distinct().count(), table.count()
+    assert files[4][1] < 3 * files[1][1]  # four times the history, about as many rows
+
+
+def test_rows_left_by_a_lost_run_are_not_read(spark, tmp_path):
+    history, proposals = linkage_data()
+    path = str(tmp_path / "index")
+    index = linkage.LinkIndex(spark, path)
+    index.add(spark.createDataFrame(history, HISTORY), "entry_id", "entries", "expression")
+    index.version += 1  # a batch whose state was never written
+    index._write("prints", spark.createDataFrame([("f" * 64, 77, "r", 1)], index._KINDS["prints"]), "fp", "id")
+    other = linkage.LinkIndex(spark, path)
+    assert other.version == 1 and other._read("prints").filter("id = 77").count() == 0
+    other.link(spark.createDataFrame(proposals, PROPOSALS), "proposal_id", "semantic_fingerprint", "expression")
+    assert other.version == 2 and other._read("prints").filter("id = 77").count() == 0
+
+
+def test_frequent_tokens_are_split(spark, monkeypatch):
+    monkeypatch.setattr(linkage.with_prefixes, "__defaults__", (1, None))  # one row a list
+    history, proposals = linkage_data()
+    index, pairs = linkage.link_history(spark.createDataFrame(history, HISTORY), spark.createDataFrame(proposals, PROPOSALS), 3)
+    assert index._read("keys").agg(F.max("salt")).first()[0] > 0
+    assert {(r["earlier_id"], r["later_id"]) for r in pairs.collect()} == linkage_truth(history, proposals)
+
+
 def test_links_of_empty_tables(spark):
     index, pairs = linkage.link_history(spark.createDataFrame([], HISTORY), spark.createDataFrame([], PROPOSALS))
     assert index.scored(pairs).count() == 0
