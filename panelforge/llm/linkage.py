@@ -28,29 +28,40 @@ SPREAD = 4
 FIELDS = {"fingerprint": ["equal", "different", "missing"], "terms": ["same", "close", "similar", "below", "missing"], "root": ["equal", "different", "missing"]}
 
 
+def _digits(c: Column | str) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(c, r"^[^:]*:", ""), r"[^0-9a-fA-F]", ""))
+
+
 def fingerprint_key(c: Column | str) -> Column:
     """64 lower-case hex digits, or null: all up to the first colon is dropped, then all but hex digits."""
-    digits = F.lower(F.regexp_replace(F.regexp_replace(c, r"^[^:]*:", ""), r"[^0-9a-fA-F]", ""))
-    return F.when(F.length(digits) == 64, digits)
+    return F.when(F.length(_digits(c)) == 64, _digits(c))
+
 
+def term_hashes(c: Column | str) -> Column:
+    """The hashes of the terms in their order; terms are runs of letters, digits, ``_`` and ``.`` of the lower-cased text."""
+    return F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_.]+"), F.lit(0)), lambda t: F.xxhash64(t))
 
-def term_shingles(c: Column | str, width: int = 3) -> Column:
-    """The distinct hashes of each ``width`` consecutive terms; terms are runs of letters, digits, ``_`` and ``.``."""
-    terms = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_.]+"), F.lit(0))
-    last = F.size(terms) - width
-    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(terms, i + j) for j in range(width))))
-    return F.array_sort(F.array_distinct(F.when(last >= 0, grams).otherwise(F.array().cast("array<bigint>"))))
+
+def shingles_of(terms: str, width: int = 3) -> Column:
+    """The distinct hashes of each ``width`` consecutive elements of an array column, sorted.
+
+    The array must be a column of its own: an expression would be evaluated again for every element.
+    """
+    firsts = F.slice(terms, F.lit(1), F.greatest(F.size(terms) - (width - 1), F.lit(0)))
+    return F.sort_array(F.array_distinct(F.transform(firsts, lambda v, i: F.xxhash64(v, *(F.get(terms, i + j) for j in range(1, width))))))
 
 
 def prepared(df: DataFrame, item: str, fingerprint: str, expression: str) -> DataFrame:
     """id, fp, root, k1, k2, n, tokens; one row per distinct content of an id. Null ids are left out.
 
-    (k1, k2) stand for the set of shingles and are null for an empty set or a null expression.
+    (k1, k2) stand for the set of shingles and are null for an empty set or a null expression; root is the hash of the
+    first term.
     """
     e = F.coalesce(F.col(expression), F.lit(""))
-    rows = df.select(F.col(item).cast("long").alias("id"), fingerprint_key(fingerprint).alias("fp"), F.lower(F.regexp_extract(e, r"[\p{L}\p{N}_.]+", 0)).alias("root"), term_shingles(e).alias("tokens"))
+    read = df.filter(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("id"), _digits(fingerprint).alias("digits"), term_hashes(e).alias("terms"))
+    rows = read.select("id", F.when(F.length("digits") == 64, F.col("digits")).alias("fp"), F.get("terms", F.lit(0)).alias("root"), shingles_of("terms").alias("tokens"))
     some = F.size("tokens") > 0
-    rows = rows.filter(F.col("id").isNotNull()).select("id", "fp", F.when(F.col("root") != "", F.col("root")).alias("root"), F.when(some, F.xxhash64("tokens")).alias("k1"), F.when(some, F.xxhash64(F.lit(7), F.reverse("tokens"))).alias("k2"), F.size("tokens").alias("n"), "tokens")
+    rows = rows.select("id", "fp", "root", F.when(some, F.xxhash64("tokens")).alias("k1"), F.when(some, F.xxhash64(F.lit(7), F.reverse("tokens"))).alias("k2"), F.size("tokens").alias("n"), "tokens")
     return rows.dropDuplicates(["id", "fp", "root", "k1", "k2"])
 
 
@@ -71,7 +82,7 @@ class LinkIndex:
     """
 
     _KINDS = {
-        "prints": "fp string, id long, root string, k1 long", "members": "k1 long, k2 long, id long, fp string, root string", "sets": "k1 long, k2 long, n int, tokens array<bigint>, salts array<int>, b1 long, b2 long",
+        "prints": "fp string, id long, root long, k1 long", "members": "k1 long, k2 long, id long, fp string, root long", "sets": "k1 long, k2 long, n int, tokens array<bigint>, salts array<int>, b1 long, b2 long",
         "keys": "k1 long, k2 long, n int, b1 long, b2 long, token long, place int, salt int", "clusters": "id long, rep long", "groups": "rep long, id long",
         "order": "counts binary", "state": "threshold double, buckets int, weights string, totals binary, merged boolean",
     }

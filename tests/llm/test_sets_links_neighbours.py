@@ -166,7 +166,7 @@ def test_rows_left_by_a_lost_run_are_not_read(spark, tmp_path):
     index = linkage.LinkIndex(spark, path)
     index.add(spark.createDataFrame(history, HISTORY), "entry_id", "entries", "expression")
     index.version += 1  # a batch whose state was never written
-    index._write("prints", spark.createDataFrame([("f" * 64, 77, "r", 1)], index._KINDS["prints"]), "fp", "id")
+    index._write("prints", spark.createDataFrame([("f" * 64, 77, 5, 1)], index._KINDS["prints"]), "fp", "id")
     other = linkage.LinkIndex(spark, path)
     assert other.version == 1 and other._read("prints").filter("id = 77").count() == 0
     other.link(spark.createDataFrame(proposals, PROPOSALS), "proposal_id", "semantic_fingerprint", "expression")
