@@ -16,7 +16,7 @@ def value_tokens(values: Column | str) -> Column:
     Only the two sets of one pair must be free of collisions, whose chance is below 1e-15 for sets of a hundred values.
     """
     kept = F.filter(values, lambda v: v.isNotNull())
-    return F.array_sort(F.array_distinct(F.transform(kept, lambda v: F.xxhash64(F.lower(F.regexp_replace(v, r"^\s+|\s+$", ""))))))
+    return F.sort_array(F.array_distinct(F.transform(kept, lambda v: F.xxhash64(F.lower(F.regexp_replace(v, r"^\s+|\s+$", ""))))))
 
 
 def set_classes(df: DataFrame, item: str, tokens: str) -> DataFrame:
