@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm import encode, knn, linkage, packing, ranking, setjoin, splitting, subset, topn
@@ -110,8 +110,48 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "token_budgets"))
 
 
+def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of each document's text, got back from its ids, and whether it has none."""
+    ids = encode.encode_texts(read(spark, sf_dir, "documents"), "doc_id", "text")
+    back = encode.decode_ids(ids.withColumn("key", F.struct("doc_id", (F.size("ids") == 0).alias("empty"))), "key", "ids")
+    return back.select("key.doc_id", "key.empty", F.sha2("text", 256).alias("sha"))
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document and budget: whether its pieces have all its tokens, are numbered from 1, and are more than one only where it exceeds a container."""
+    docs, budgets = read(spark, sf_dir, "documents"), read(spark, sf_dir, "token_budgets")
+    got = packing.pack_documents(docs, budgets).groupBy("budget_id", "doc_id").agg(F.sum("n_tokens").alias("packed"), F.count("*").alias("pieces"), F.max("piece_no").alias("last"), F.min("piece_no").alias("first"))
+    sized = encode.count_tokens(docs, "doc_id", "text").join(got, "doc_id").join(F.broadcast(budgets.select("budget_id", "max_tokens")), "budget_id")  # 6 rows at any scale
+    whole = F.greatest(F.ceil(F.col("n_tokens") / F.col("max_tokens")), F.lit(1))
+    return sized.select("budget_id", "doc_id", (F.col("packed") == F.col("n_tokens")).alias("complete"), ((F.col("first") == 1) & (F.col("last") == F.col("pieces"))).alias("numbered"), (F.col("pieces") == whole).alias("whole"))
+
+
+def p9_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each budget: containers above their capacity, whether they are numbered without a gap, and whether they are within 1 % (and one) of the fewest possible."""
+    docs, budgets = read(spark, sf_dir, "documents"), read(spark, sf_dir, "token_budgets")
+    loads = packing.pack_documents(docs, budgets).groupBy("budget_id", "container_id").agg(F.sum("n_tokens").alias("load"))
+    sized = loads.join(F.broadcast(budgets.select("budget_id", "max_tokens")), "budget_id")  # 6 rows at any scale
+    per = sized.groupBy("budget_id").agg(F.count(F.when(F.col("load") > F.col("max_tokens"), 1)).alias("over"), F.count("*").alias("n"), F.max("container_id").alias("last"), F.sum("load").alias("total"), F.max("max_tokens").alias("capacity"))
+    return per.select("budget_id", "over", (F.col("n") == F.col("last")).alias("gapless"), (F.col("n") <= F.ceil(F.col("total") / F.col("capacity")) * 1.01 + 1).alias("tight"))
+
+
+def p10_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document and budget: the hash of its text put together from its pieces without their overlaps (or of itself where it wasn't split), whether all fit, and whether each repeats enough of the one before."""
+    docs, budgets = read(spark, sf_dir, "documents"), read(spark, sf_dir, "token_budgets").filter("lower(purpose) = 'split'")
+    after = Window.partitionBy("budget_id", "doc_id").orderBy("piece_no")
+    pieces = splitting.split_documents(docs, budgets).withColumn("upto", F.coalesce(F.lag("end_char").over(after), F.lit(0)))
+    new = F.expr("substring(piece, cast(upto - start_char + 1 as int))")
+    asked = budgets.select("budget_id", "max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("asked"))
+    held = pieces.join(F.broadcast(asked), "budget_id")  # 6 rows at any scale
+    before = F.sum(F.col("n_tokens") - F.col("overlap_tokens")).over(after.rowsBetween(Window.unboundedPreceding, -1))
+    held = held.withColumn("enough", F.when(F.col("piece_no") == 1, F.col("overlap_tokens") == 0).otherwise(F.col("overlap_tokens") >= F.least(F.col("asked"), before)))
+    joined = held.groupBy("budget_id", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", new.alias("x")))), lambda e: e["x"]), "").alias("put"), F.min(F.col("n_tokens") <= F.col("max_tokens")).alias("fits"), F.min("enough").alias("enough"))
+    every = docs.select("doc_id", "text").join(F.broadcast(asked.select("budget_id")))  # 6 rows at any scale
+    return every.join(joined, ["budget_id", "doc_id"], "left").select("budget_id", "doc_id", F.sha2(F.coalesce("put", "text", F.lit("")), 256).alias("sha"), F.coalesce("fits", F.lit(True)).alias("fits"), F.coalesce("enough", F.lit(True)).alias("overlapping"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_links, p1_weighted, p1_clusters, p3_found, p3_neighbors, p4_subsets, p4_assignments, p4_quotas, p2_found, p2_classes, p5_found, p5_positions, p6_found, p6_ranking, p8_ids, p9_containers, p10_pieces]
+    named = [p1_found, p1_links, p1_weighted, p1_clusters, p3_found, p3_neighbors, p4_subsets, p4_assignments, p4_quotas, p2_found, p2_classes, p5_found, p5_positions, p6_found, p6_ranking, p8_ids, p8_roundtrip, p9_containers, p9_items, p9_loads, p10_pieces, p10_cover]
     return {f.__name__: f for f in named}
 
 
@@ -199,7 +239,12 @@ def _more_sql() -> dict[str, str]:
     clusters = f"""{_P1.replace("WITH ", "WITH RECURSIVE ", 1)}, duo AS (SELECT x AS a, y AS b FROM linked UNION SELECT y, x FROM linked),
   reach AS (SELECT a, b FROM duo UNION SELECT reach.a, duo.b FROM reach JOIN duo ON duo.a = reach.b), rep AS (SELECT a AS id, min(least(a, b)) AS class_id FROM reach GROUP BY 1),
   n AS (SELECT a AS id, count(*) AS n FROM duo GROUP BY 1), ids AS (SELECT DISTINCT id FROM src)"""
+    of = lambda purpose: f"documents CROSS JOIN (SELECT DISTINCT budget_id, max_tokens FROM token_budgets WHERE lower(purpose) = '{purpose}' AND max_tokens > 0) b"
     return {
+        "p8_roundtrip": "SELECT doc_id, coalesce(text, '') = '' AS empty, sha256(coalesce(text, '')) AS sha FROM documents",
+        "p9_items": f"SELECT budget_id, doc_id, true AS complete, true AS numbered, true AS whole FROM {of('pack')}",
+        "p9_loads": "SELECT DISTINCT budget_id, CAST(0 AS BIGINT) AS over, true AS gapless, true AS tight FROM token_budgets WHERE lower(purpose) = 'pack' AND max_tokens > 0",
+        "p10_cover": f"SELECT budget_id, doc_id, sha256(coalesce(text, '')) AS sha, true AS fits, true AS overlapping FROM {of('split')}",
         "p1_clusters": f"{clusters} SELECT id, coalesce(class_id, id) AS class_id, coalesce(n, 0) AS n_links FROM ids LEFT JOIN rep USING (id) LEFT JOIN n USING (id)",
         "p2_classes": f"{classes} SELECT candidate_id, class_id, n_equal, coalesce(n, 0) AS n_links FROM eq LEFT JOIN cnt ON a = candidate_id",
         "p6_ranking": f"{ranked} SELECT run_id, candidate_id, n_scores, round(combined, 6) AS combined, row_number() OVER (PARTITION BY run_id ORDER BY combined DESC NULLS LAST, candidate_id) AS position FROM items",

@@ -108,18 +108,20 @@ def pack_all(items: DataFrame, item: str, size: str, capacities: dict[int, int])
                     values.append(x)
                 used[length] += each * times
         table += [(b, length, containers, *values) for length, values in lists.items()]
+    # a pattern uses up a length, so there are at most ``capacity`` of them, of at most sqrt(2 x capacity) different lengths
+    most = max((len(row[3]) for row in table), default=1)
     spans = spark.createDataFrame(table, "budget_id int, n_tokens int, containers long, starts array<long>, eachs array<long>, firsts array<long>")
     placed = positions(rows, ["budget_id", "n_tokens"], [F.col("item").asc_nulls_first(), F.col("piece_no").asc()], "place")
-    found = placed.join(F.broadcast(spans), ["budget_id", "n_tokens"]).withColumn("k", _last_at_most("starts", "place"))
+    found = placed.join(F.broadcast(spans), ["budget_id", "n_tokens"]).withColumn("k", _last_at_most("starts", "place", most))
     container = F.get("firsts", F.col("k")) + F.floor((F.col("place") - F.get("starts", F.col("k"))) / F.get("eachs", F.col("k")))
     empty = F.when(F.col("containers") > 0, F.pmod(F.col("place") - 1, F.col("containers")) + 1).otherwise(F.lit(0))
     return found.select("budget_id", F.col("item").alias(item), "piece_no", "n_tokens", F.when(F.col("n_tokens") == 0, empty).otherwise(container).cast("long").alias("container_id"))
 
 
-def _last_at_most(starts: str, value: str):
-    """Index of the last element of an ascending array that is not above the value; the first always is not."""
+def _last_at_most(starts: str, value: str, most: int):
+    """Index of the last element of an ascending array, of at most ``most``, that is not above the value; the first always is not."""
     step = lambda acc, p: F.when((acc + p < F.size(starts)) & (F.get(F.col(starts), acc + p) <= F.col(value)), acc + p).otherwise(acc)
-    powers = F.array(*(F.lit(1 << i) for i in range(15, -1, -1)))
+    powers = F.array(*(F.lit(1 << i) for i in range(max(most, 1).bit_length() - 1, -1, -1)))
     return F.aggregate(powers, F.lit(0), step)
 
 

@@ -103,25 +103,14 @@ class Chunk:
         return self.back[first] if self.broken else first
 
     def atoms(self, limit: int, overlap: int) -> np.ndarray:
-        """Ends of the segments that merging begins with: the longest that fit as a whole, else blocks of tokens.
-
-        Where a stretch has no natural place, all its boundaries are alike and the smallest pairs come first, so tokens
-        merge to twos, fours and so on. It may as well begin with blocks of a power of two, a quarter of the room.
-        """
+        """Ends of the segments that merging begins with: the longest that fit as a whole, else single tokens."""
         points = self.by_level[PARAGRAPH]
-        block = 1 << max(0, ((limit - overlap - 3) // 4).bit_length() - 1)
         for level in (LINE, SENTENCE, WORD, INSIDE):
             a, b = points[:-1], points[1:]
             text = np.searchsorted(self.token_at, a, "right") - 1
             long = b - self.begins(a, overlap, text) > limit
             if not long.any():
                 break
-            if level == INSIDE:
-                count = (b[long] - a[long] - 1) // block
-                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1
-                fresh = np.repeat(a[long], count) + nth * block
-                points = np.union1d(points, self.back[fresh] if self.broken else fresh)
-                break
             inner = self.by_level[level]
             segment = np.searchsorted(points, inner, "right") - 1
             fresh = inner[long[np.minimum(segment, len(long) - 1)]]
@@ -139,11 +128,12 @@ def merge(starts: list[int], begins: list[int], strengths: list[int], end: int,
     if n < 2:
         return [0]
     ends = [*starts[1:], end]
+    width = max(end, n).bit_length()  # of the parts of a key: strength, size, place
     before, after = list(range(-1, n - 1)), list(range(1, n + 1))
     alive = bytearray(b"\x01") * n
-    heap = [(strengths[i] << 50) | ((ends[i] - starts[i - 1]) << 25) | i for i in range(1, n) if ends[i] - begins[i - 1] <= limit]
+    heap = [(strengths[i] << 2 * width) | ((ends[i] - starts[i - 1]) << width) | i for i in range(1, n) if ends[i] - begins[i - 1] <= limit]
     heapify(heap)
-    low = (1 << 25) - 1
+    low = (1 << width) - 1
     while heap:
         key = heappop(heap)
         i = key & low
@@ -151,7 +141,7 @@ def merge(starts: list[int], begins: list[int], strengths: list[int], end: int,
             continue
         left = before[i]
         stop = ends[i]
-        if stop - starts[left] != (key >> 25) & low:
+        if stop - starts[left] != (key >> width) & low:
             continue  # one of the two has grown; their entry of today is in the heap, if they fit
         alive[i] = 0
         ends[left] = stop
@@ -159,11 +149,11 @@ def merge(starts: list[int], begins: list[int], strengths: list[int], end: int,
         if right < n:
             before[right] = left
             if ends[right] - begins[left] <= limit:
-                heappush(heap, (strengths[right] << 50) | ((ends[right] - starts[left]) << 25) | right)
+                heappush(heap, (strengths[right] << 2 * width) | ((ends[right] - starts[left]) << width) | right)
         if left:
             far = before[left]
             if stop - begins[far] <= limit:
-                heappush(heap, (strengths[left] << 50) | ((stop - starts[far]) << 25) | left)
+                heappush(heap, (strengths[left] << 2 * width) | ((stop - starts[far]) << width) | left)
     return [i for i in range(n) if alive[i]]
 
 
@@ -199,8 +189,8 @@ def split_texts(df: DataFrame, item: str, text: str, budgets: list[tuple[int, in
     """One row per piece of each text longer than a budget; ``budgets``: (budget_id, max_tokens, overlap_tokens).
 
     Sizes are in tokens of the whole text's encoding. piece is text[start_char:end_char]; it begins with overlap_tokens
-    of the piece before (more by at most three where that place lies inside a character, fewer only where the text has
-    fewer before it) and has n_tokens, at most max_tokens, with them. boundary names the place the piece ends at.
+    of the piece before (more where that place lies inside a character, back to the last end of a token that is the end of
+    one; fewer only where the text has fewer before it) and has n_tokens, at most max_tokens, with them. boundary names the place the piece ends at.
     Null, empty and short texts give no rows; repeated rows give their pieces again; null items are kept. Each text is
     encoded once for all budgets, where it was read, without a shuffle.
     """

@@ -6,6 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from panelforge.llm import encode, packing, splitting, subset
 
 have = pytest.mark.skipif(not os.path.exists(os.path.join(encode.TOKENIZERS, encode.VOCABULARY)), reason="no vocabulary files")
@@ -193,6 +195,35 @@ def test_merging_the_weakest_first():
     assert splitting.merge([0], [0], [5], 4, 8) == [0]
 
 
+def test_no_bounds_on_sizes_and_places(spark):
+    # segments beyond 2^25 tokens, and more patterns than 2^16 that hold one length
+    far = 1 << 27
+    assert splitting.merge([0, far, far + 4, far + 8], [0, far, far + 4, far + 8], [5, 3, 1, 3], far + 12, 8) == [0, 1, 3]
+    n = 70_000
+    df = spark.range(1).select(F.sequence(F.lit(0), F.lit(2 * n), F.lit(2)).alias("starts"), F.explode(F.array(*map(F.lit, (0, 1, 2, 131_071, 131_073, 139_999, 140_000, 10**9)))).alias("v"))
+    got = {r["v"]: r["k"] for r in df.select("v", packing._last_at_most("starts", "v", n + 1).alias("k")).collect()}
+    assert got == {v: min(v // 2, n) for v in got}
+
+
+@have
+@given(st.lists(st.sampled_from(["a", "word ", "One. ", "line\n", "part\n\n", "x" * 40, "中文。", "🙂🙂", "q,w;e", " " * 9, "supercalifragilistic "]), min_size=1, max_size=60), st.integers(9, 45), st.integers(0, 12))
+@settings(max_examples=200, deadline=None)
+def test_merging_from_longest_segments_equals_a_plain_heap_over_tokens(parts, limit, overlap):
+    text = "".join(parts)
+    limit = max(limit, overlap + 8)
+    e = encode.encoder()
+    ids = e.encode(text)
+    if len(ids) <= limit:
+        return
+    chunk = splitting.Chunk([text], [e.widths[ids]])
+    _, begin, start, end = splitting.split_chunk(chunk, limit, overlap)
+    whole = chunk.by_level[splitting.INSIDE]
+    starts = whole[:-1]
+    begins = chunk.begins(starts, overlap, np.zeros(len(starts), np.int64))
+    kept = splitting.merge(starts.tolist(), begins.tolist(), chunk.strength[starts].tolist(), len(ids), limit)
+    assert start.tolist() == starts[kept].tolist() and begin.tolist() == begins[kept].tolist() and end.tolist() == [*starts[kept][1:].tolist(), len(ids)]
+
+
 def test_vectors_are_dense_rows():
     import pyarrow as pa
 
