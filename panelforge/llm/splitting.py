@@ -94,6 +94,7 @@ class Chunk:
         self.strength = strength
         self.by_level = {s: np.flatnonzero(strength >= s) for s in range(INSIDE, PARAGRAPH + 2)}
         self.broken = not whole.all()
+        self.broken_before = np.cumsum(~whole) if self.broken else None
         # the last whole place at or before each end of a token
         self.back = np.maximum.accumulate(np.where(whole, np.arange(len(whole)), 0)) if self.broken else None
 
@@ -103,8 +104,15 @@ class Chunk:
         return self.back[first] if self.broken else first
 
     def atoms(self, limit: int, overlap: int) -> np.ndarray:
-        """Ends of the segments that merging begins with: the longest that fit as a whole, else single tokens."""
+        """Ends of the segments that merging begins with: the longest that fit as a whole, else tokens.
+
+        In a stretch without a natural place all boundaries are alike, so the smallest pairs go first, from the left:
+        tokens become twos, fours and so on, and what is left over at the end joins the last before anything larger is
+        merged. So where every token ends between characters it may begin with blocks of a power of two, a quarter of the
+        room, with the same result; elsewhere it begins with single tokens.
+        """
         points = self.by_level[PARAGRAPH]
+        block = 1 << max(0, ((limit - overlap - 3) // 4).bit_length() - 1)
         for level in (LINE, SENTENCE, WORD, INSIDE):
             a, b = points[:-1], points[1:]
             text = np.searchsorted(self.token_at, a, "right") - 1
@@ -112,8 +120,19 @@ class Chunk:
             if not long.any():
                 break
             inner = self.by_level[level]
-            segment = np.searchsorted(points, inner, "right") - 1
-            fresh = inner[long[np.minimum(segment, len(long) - 1)]]
+            if level == INSIDE:
+                plain = long & (self.broken_before[b] == self.broken_before[a]) if self.broken else long
+                count = (b[plain] - a[plain] - 1) // block
+                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1
+                points = np.union1d(points, np.repeat(a[plain], count) + nth * block)
+                if (plain == long).all():
+                    break
+                a, b, long = a[long & ~plain], b[long & ~plain], None
+                at = np.searchsorted(a, inner, "right") - 1
+                fresh = inner[(at >= 0) & (inner < b[np.maximum(at, 0)])]
+            else:
+                segment = np.searchsorted(points, inner, "right") - 1
+                fresh = inner[long[np.minimum(segment, len(long) - 1)]]
             points = np.union1d(points, fresh)
         return points
 

@@ -206,8 +206,8 @@ def test_no_bounds_on_sizes_and_places(spark):
 
 
 @have
-@given(st.lists(st.sampled_from(["a", "word ", "One. ", "line\n", "part\n\n", "x" * 40, "中文。", "🙂🙂", "q,w;e", " " * 9, "supercalifragilistic "]), min_size=1, max_size=60), st.integers(9, 45), st.integers(0, 12))
-@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "word ", "One. ", "line\n", "part\n\n", "x" * 40, "Q1?" * 70, "中文。", "中" * 30, "🙂🙂", "q,w;e", " " * 9, "supercalifragilistic "]), min_size=1, max_size=60), st.integers(9, 45), st.integers(0, 12))
+@settings(max_examples=400, deadline=None)
 def test_merging_from_longest_segments_equals_a_plain_heap_over_tokens(parts, limit, overlap):
     text = "".join(parts)
     limit = max(limit, overlap + 8)
