@@ -138,7 +138,9 @@ class LinkIndex:
         return df.drop("bucket")
 
     def _touched(self, **keys: tuple[DataFrame, str]) -> dict[str, list[int]]:
-        """The buckets that the keys of some rows fall into, of several tables: at most the number of buckets of each."""
+        """The buckets that the keys of some rows fall into, of several tables: at most the number of buckets of each. All where there are few."""
+        if self.buckets <= LEAST_BUCKETS:
+            return {name: list(range(self.buckets)) for name in keys}
         parts = [df.filter(F.col(key).isNotNull()).select(F.lit(name).alias("name"), self._bucket(key).alias("b")) for name, (df, key) in keys.items()]
         out: dict[str, list[int]] = {name: [] for name in keys}
         rows = parts[0]
