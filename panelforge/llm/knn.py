@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,9 +16,15 @@ from panelforge.plans.workers import ship
 #: Dimensions of the rotated space, one bit each.
 BITS = 512
 
-#: Records of a block; two blocks are held in one task.
+#: Records that a block holds, and that a cell is to hold; a cell of more is several blocks.
 BLOCK = 12_288
 
+#: Most cells of one part. Their centres are a sample of so many records at most; every record is in a cell.
+MOST_CELLS = 4096
+
+#: Queries that one task holds against one block.
+QUERIES = 50_000
+
 #: Standard errors of the estimate that a record may lie beyond the k-th nearest and still be reranked.
 BOUND = 3.0
 
@@ -26,14 +32,21 @@ BOUND = 3.0
 FLOOR = 0.012
 
 
+def dims_of(features: int, bits: int = BITS) -> int:
+    """Dimensions of the rotated space: twice as many frequencies for each feature as fit."""
+    return 2 * features * max(1, bits // (2 * features))
+
+
 class Rotation:
     """Vectors whose inner product is 1 - distance, rotated at random, and their one-bit codes.
 
     The distance of one feature, min(|x - y| / scale, 1), is 1 minus a triangle in (x - y) / scale. A triangle is the
     mean of cos(w (x - y)) over frequencies w of density (sin(w/2) / (w/2))^2 / 2 pi; so cosines and sines of a few
     frequencies of each feature make a unit vector whose inner products are 1 - distance, nearly. A random rotation
-    spreads the error of taking signs evenly: with o' the signs over sqrt(d), <o', q> / <o', o> estimates <o, q>, with a
-    standard error of sqrt((1 - <o', o>^2) / (d - 1)) / <o', o> * sqrt(1 - <o, q>^2).
+    spreads the error of taking signs evenly: with o' the signs over sqrt(d), the correction scalar <o', o> is near
+    sqrt(2 / pi), and <o', q'> = 1 - 2 h / d, h the number of bits that differ, is on average 2 / pi times the arc sine of
+    <o, q>. So sin(<o', q'> / (<o', o> <q', q>)) estimates <o, q>, from packed bits and two scalars alone; the standard
+    error of its argument is pi sqrt(p (1 - p) / d) where the share p of differing bits is arccos(<o, q>) / pi.
     """
 
     def __init__(self, features: int, bits: int = BITS, seed: int = 20):
@@ -45,7 +58,7 @@ class Rotation:
         mass /= mass[-1]
         strata = (np.arange(each)[None, :] + rng.random((features, each))) / each
         self.frequency = 2 * np.interp(strata, mass, t)  # features x each
-        self.dims = 2 * features * each
+        self.dims = dims_of(features, bits)
         q, r = np.linalg.qr(rng.standard_normal((self.dims, self.dims)))
         self.turn = (q * np.sign(np.diag(r))).astype(np.float32)
 
@@ -62,10 +75,6 @@ class Rotation:
         """Packed signs, and the correction scalar <o', o> of each."""
         return np.packbits(rotated > 0, axis=1), (np.abs(rotated).sum(1) / np.sqrt(self.dims)).astype(np.float32)
 
-    def signs(self, packed: np.ndarray) -> np.ndarray:
-        bits = np.unpackbits(packed, axis=1, count=self.dims)
-        return (bits.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(self.dims))
-
 
 _ROTATIONS: dict[tuple[int, int], Rotation] = {}
 
@@ -80,83 +89,137 @@ def exact_distance(a: np.ndarray, b: np.ndarray, scales: np.ndarray) -> np.ndarr
     return np.minimum(np.abs(a - b) / scales, 1.0).mean(1)
 
 
-def nearest(queries: np.ndarray, base: np.ndarray, scales: np.ndarray, k: int, turn: Rotation, packed: np.ndarray, correction: np.ndarray, offset: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scaled_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``exact_distance`` but for rounding, of rows given as features over scale: without divisions, in one buffer."""
+    out = np.subtract(a, b)
+    np.abs(out, out=out)
+    np.minimum(out, 1.0, out=out)
+    return out @ np.full(out.shape[1], 1.0 / out.shape[1])
+
+
+#: What ``scaled_distance`` may differ from the exact distance by.
+ROUNDING = 1e-9
+
+
+def words(codes: list[bytes]) -> np.ndarray:
+    """Packed signs as rows of 64-bit words."""
+    flat = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    wide = np.zeros((len(codes), -(-flat.shape[1] // 8) * 8), np.uint8)
+    wide[:, : flat.shape[1]] = flat
+    return wide.view(np.uint64)
+
+
+def differing(a: np.ndarray, b: np.ndarray, tile: int = 2048) -> np.ndarray:
+    """How many bits differ between each row of ``a`` and each of ``b``, in tiles that stay in a processor's cache."""
+    out = np.empty((len(a), len(b)), np.uint16)
+    columns, rows = np.ascontiguousarray(b.T), np.ascontiguousarray(a.T)[:, :, None]
+    apart, ones = np.empty((len(a), tile), np.uint64), np.empty((len(a), tile), np.uint8)
+    for at in range(0, len(b), tile):
+        n = min(tile, len(b) - at)
+        x, c, total = apart[:, :n], ones[:, :n], out[:, at : at + n]
+        for w in range(a.shape[1]):
+            np.bitwise_xor(rows[w], columns[w, at : at + n], out=x)
+            np.bitwise_count(x, out=c)
+            if w:
+                total += c
+            else:
+                total[:] = c
+    return out
+
+
+def nearest(queries: tuple, base: tuple, scales: np.ndarray, k: int, dims: int, offset: int | None = None, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, base, distance) of the k nearest of each query, ties by base index; ``offset``: query i is base i + offset.
 
-    Estimates come from the packed codes of the base. The exact distances of some of the best estimates bound the k-th
-    nearest; every base record whose estimate less its error bound is within that bound is reranked exactly.
+    ``queries`` and ``base``: vectors, words, corrections. ``within``: a distance for each query beyond which nothing is
+    wanted; without it, the exact distances of some of the best estimates bound the k-th nearest. Every base record whose
+    estimate less its error bound is within that bound is reranked exactly.
     """
-    n, m = len(queries), len(base)
+    (q, qw, qc), (b, bw, bc) = queries, base
+    n, m = len(q), len(b)
     want = min(k, m - (offset is not None))
     none = np.empty(0, np.int64)
     if want < 1 or not n:
         return none, none, none.astype(float)
-    signs = turn.signs(packed).T.copy()
-    # error of a code, but for the factor that depends on the query
-    spread = (np.sqrt(np.maximum(1 - correction**2, 0) / (turn.dims - 1)) / correction).astype(np.float32)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = max(1, min(512, 8_000_000 // max(m, 1)))
-    for a in range(0, n, step):
-        q = queries[a : a + step]
-        near = turn.rotated(q / scales) @ signs
-        near /= correction
+    smallest, largest = float(bc.min()), float(bc.max())
+    qs, bs = q / scales, b / scales
+    for a in range(0, n, 32):
+        part, own = q[a : a + 32], np.arange(len(q[a : a + 32]))
+        bits = differing(qw[a : a + 32], bw)
         if offset is not None:
-            own = np.arange(len(q))
-            near[own, own + a + offset] = -2.0
-        # the best estimate of each of some equal slices of the base, and of those the k-th nearest: an upper bound
-        slices = max(want, min(m // 8, 8 * want))
-        width = m // slices
-        if width > 1:
-            guess = near[:, : slices * width].reshape(len(q), slices, width).argmax(2) + np.arange(slices) * width
+            bits[own, own + a + offset] = dims + 1
+        if within is None:
+            # the fewest differing bits in each of some equal slices of the base, and of those the k-th nearest: an upper bound
+            slices = max(want, min(m // 8, 8 * want))
+            width = m // slices
+            if width > 1:
+                guess = bits[:, : slices * width].reshape(len(part), slices, width).argmin(2) + np.arange(slices) * width
+            else:
+                guess = np.tile(np.arange(m), (len(part), 1))
+            first = scaled_distance(np.repeat(qs[a : a + 32], guess.shape[1], 0), bs[guess.ravel()]).reshape(guess.shape)
+            first[np.take_along_axis(bits, guess, 1) > dims] = np.inf  # itself
+            kth = np.partition(first, want - 1, axis=1)[:, want - 1] + ROUNDING
         else:
-            guess = np.tile(np.arange(m), (len(q), 1))
-        first = exact_distance(np.repeat(q, guess.shape[1], 0), base[guess.ravel()], scales).reshape(guess.shape)
-        first[np.take_along_axis(near, guess, 1) < -1.5] = np.inf  # itself
-        kth = np.partition(first, want - 1, axis=1)[:, want - 1].astype(np.float32)
-        # kept if 1 - near - margin <= kth, the margin being BOUND standard errors of an estimate of that size
-        floor = 1 - kth[:, None] - np.float32(1e-6)
-        i, j = np.nonzero(near >= floor - np.float32(BOUND * (spread.max() + FLOOR)))
-        at = near[i, j]
-        ok = (at + BOUND * (spread[j] * np.sqrt(np.maximum(1 - np.clip(at, -1, 1) ** 2, 0.0)) + FLOOR) >= floor[i, 0]) & (at > -1.5)
+            kth = within[a : a + 32]
+        share = np.arccos(np.clip(1 - kth, -1.0, 1.0)) / np.pi
+        # the least argument of the sine, (1 - 2 h / dims) / (c c'), that a record within the bound may be estimated at
+        least = np.arcsin(np.clip(1 - kth - FLOOR, -1.0, 1.0)) - BOUND * np.pi * np.sqrt(share * (1 - share) / dims) - 1e-6
+        scaled = least * qc[a : a + 32]
+        most = np.floor(dims / 2 * (1 - scaled * np.where(scaled > 0, smallest, largest)) + 1e-6).clip(-1, dims)
+        i, j = np.nonzero(bits <= most.astype(np.int16)[:, None])
+        ok = (1 - bits[i, j] * (2 / dims)) >= scaled[i] * bc[j]
         i, j = i[ok], j[ok]
-        for b in range(0, len(i), 400_000):  # exact distances a slice at a time
-            x, y = i[b : b + 400_000], j[b : b + 400_000]
-            d = exact_distance(q[x], base[y], scales)
-            ok = d <= kth[x] * (1 + 1e-6) + 1e-9
-            found.append((x[ok] + a, y[ok], d[ok]))
+        for c in range(0, len(i), 400_000):  # exact distances a slice at a time
+            x, y = i[c : c + 400_000], j[c : c + 400_000]
+            close = scaled_distance(qs[a + x], bs[y]) <= kth[x] + ROUNDING
+            x, y = x[close], y[close]
+            d = exact_distance(part[x], b[y], scales)
+            near = d <= kth[x] + ROUNDING
+            found.append((x[near] + a, y[near], d[near]))
+    if not found:
+        return none, none, none.astype(float)
     x, y, d = (np.concatenate(c) for c in zip(*found))
     order = np.lexsort((y, d, x))
     x, y, d = x[order], y[order], d[order]
-    begin = np.searchsorted(x, x, "left")
-    keep = np.arange(len(x)) - begin < want
+    keep = np.arange(len(x)) - np.searchsorted(x, x, "left") < want
     return x[keep], y[keep], d[keep]
 
 
-def _block_pair(k_column: str):
-    def run(key, table):  # no hints: Spark would read them as another kind of function
-        bi, bj = key[1].as_py(), key[2].as_py()
-        table = table.combine_chunks().sort_by("item")  # ties go by item, bytewise
-        ids = table.column("item")
-        block = table.column("block").to_numpy()
-        n = table.num_rows
-        vec = np.asarray(table.column("vec").combine_chunks().flatten()).reshape(n, -1)
-        scales = np.asarray(table.column("scales")[0].values)
-        k = table.column(k_column)[0].as_py()
-        turn = rotation(vec.shape[1])
-        packed = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(n, -1)
-        correction = table.column("correction").to_numpy()
-        left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
-        parts = [(left, right)] if bi == bj else [(left, right), (right, left)]
-        xs, ys, ds = [], [], []
-        for q, b in parts:
-            x, y, d = nearest(vec[q], vec[b], scales, k, turn, packed[b], correction[b], 0 if bi == bj else None)
-            xs.append(q[x])
-            ys.append(b[y])
-            ds.append(d)
-        x, y, d = np.concatenate(xs), np.concatenate(ys), np.concatenate(ds)
-        return pa.table({"part": pa.array([key[0].as_py()] * len(x), pa.string()), "query": ids.take(pa.array(x)), "neighbor": ids.take(pa.array(y)), "distance": pa.array(d, pa.float64())})
-
-    return run
+def _unpacked(table: pa.Table, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = pa.array(rows)
+    vec = np.asarray(table.column("vec").take(at).combine_chunks().flatten()).reshape(len(rows), -1)
+    return vec, words(table.column("code").take(at).to_pylist()), np.asarray(table.column("correction").take(at))
+
+
+def _within_block(key, table):  # no hints: Spark would read them as another kind of function
+    """Each record with its nearest in its own block, and the distance of the k-th (null where there are fewer)."""
+    table = table.combine_chunks().sort_by("item")  # ties go by item, bytewise
+    n, k = table.num_rows, table.column("k")[0].as_py()
+    own = _unpacked(table, np.arange(n))
+    x, y, d = nearest(own, own, np.asarray(table.column("scales")[0].values), k, dims_of(own[0].shape[1]), 0)
+    counts = np.bincount(x, minlength=n)
+    ends = np.cumsum(counts)
+    full = counts == k
+    bound = np.where(full, d[np.maximum(ends - 1, 0)] if len(d) else 0.0, 2.0)
+    pairs = pa.StructArray.from_arrays([table.column("item").take(pa.array(y)).combine_chunks(), pa.array(d, pa.float64())], ["neighbor", "distance"])
+    near = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pairs)
+    return table.append_column("bound", pa.array(bound)).append_column("near", near)
+
+
+def _against_block(key, table):
+    """The nearest in a block of queries from elsewhere, none beyond the distance that each has already."""
+    table = table.combine_chunks().sort_by("item")
+    side = table.column("side").to_numpy()
+    left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+    none = pa.table({"part": pa.array([], pa.string()), "query": pa.array([], pa.string()), "neighbor": pa.array([], pa.string()), "distance": pa.array([], pa.float64()), "k": pa.array([], pa.int32())})
+    if not len(left) or not len(right):
+        return none
+    k = table.column("k")[0].as_py()
+    q, b = _unpacked(table, left), _unpacked(table, right)
+    bound = table.column("bound").to_numpy()[left]
+    x, y, d = nearest(q, b, np.asarray(table.column("scales")[0].values), k, dims_of(q[0].shape[1]), None, bound)
+    ids = table.column("item")
+    return pa.table({"part": pa.array([key[0].as_py()] * len(x), pa.string()), "query": ids.take(pa.array(left[x])), "neighbor": ids.take(pa.array(right[y])), "distance": pa.array(d, pa.float64()), "k": pa.array(np.full(len(x), k, np.int32))})
 
 
 def indexed(classes: DataFrame) -> DataFrame:
@@ -201,36 +264,143 @@ def usable_vectors(records: DataFrame, datasets: DataFrame) -> DataFrame:
     return rows.filter(F.forall("vec", finite)).select("part", "item", "vec", "scales", "k")
 
 
-def nearest_records(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+def _far(centres: tuple[np.ndarray, np.ndarray], vec: np.ndarray) -> np.ndarray:
+    """Distances of rows to centres, given with their scales."""
+    return np.stack([np.minimum(np.abs(vec - c) / centres[1], 1.0).mean(1) for c in centres[0]], 1)
+
+
+class Cells:
+    """The centres of each part's cells, their radii and blocks: what is known on the driver and sent to the tasks.
+
+    A part of more records than a block has about one cell for each block's worth, at most MOST_CELLS; centres are records
+    drawn by hash, and every record is in the cell of its nearest centre.
+    """
+
+    def __init__(self, index: DataFrame, block: int):
+        self.block = block
+        sizes = index.groupBy("part").agg(F.least(F.ceil(F.count("*") / F.lit(float(block))), F.lit(MOST_CELLS)).cast("int").alias("cells")).filter("cells > 1")
+        drawn = index.select("part", "item", "vec", "scales").withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("item"), "item"))).filter(F.col("place") <= MOST_CELLS)
+        rows = drawn.join(sizes, "part").filter(F.col("place") <= F.col("cells")).collect()  # one row for a block's worth of records, at most MOST_CELLS a part
+        lists: dict[str, list] = {}
+        for r in sorted(rows, key=lambda r: (r["part"], r["place"])):
+            lists.setdefault(r["part"], []).append((r["vec"], r["scales"]))
+        self.centres = {p: (np.array([v for v, _ in x]), np.array(x[0][1])) for p, x in lists.items()}
+        #: of each part with cells: radius and records of each
+        self.stats: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def placed(self, index: DataFrame) -> DataFrame:
+        """``index`` with cell, its distance to the cell's centre (``out``), and ``sub``: which block of the cell."""
+        centres = self.centres
+
+        def run(batches):
+            for batch in batches:
+                parts = batch.column(batch.schema.get_field_index("part")).to_pylist()
+                cell, out = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+                column = batch.column(batch.schema.get_field_index("vec"))
+                for p in set(parts) & set(centres):
+                    rows = np.flatnonzero(np.array([x == p for x in parts]))
+                    far = _far(centres[p], np.asarray(column.take(pa.array(rows)).flatten()).reshape(len(rows), -1))
+                    cell[rows] = far.argmin(1)
+                    out[rows] = far.min(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(out)], names=[*batch.schema.names, "cell", "out"])
+
+        added = [T.StructField("cell", T.IntegerType()), T.StructField("out", T.DoubleType())]
+        rows = cut(index.mapInArrow(run, T.StructType([*index.schema.fields, *added])))
+        found = rows.filter(F.col("part").isin(*self.centres)).groupBy("part", "cell").agg(F.count("*").alias("n"), F.max("out").alias("radius"))
+        for r in found.collect() if self.centres else []:  # as many as there are centres
+            radius, sizes = self.stats.setdefault(r["part"], (np.zeros(len(self.centres[r["part"]][0])), np.zeros(len(self.centres[r["part"]][0]), np.int64)))
+            radius[r["cell"]], sizes[r["cell"]] = r["radius"], r["n"]
+        several = {f"{p}|{c}": int(n) for p in self.stats for c, n in enumerate(self.blocks(p)) if n > 1}  # only cells of more than a block
+        return rows.withColumn("sub", F.pmod(F.xxhash64("item"), _looked_up(several, F.concat_ws("|", "part", "cell"))).cast("int"))
+
+    def blocks(self, part: str) -> np.ndarray:
+        """How many blocks each cell of a part has."""
+        return -(-self.stats[part][1] // self.block)
+
+    def salts(self) -> Column:
+        """Into how many groups the queries of the row's part are split, so that one task meets a bounded number."""
+        return _looked_up({p: int(-(-x[1].sum() // QUERIES)) for p, x in self.stats.items() if x[1].sum() > QUERIES}, F.col("part"))
+
+    def asked(self, first: DataFrame, probes: int | None) -> DataFrame:
+        """For each record the blocks elsewhere that may hold one as near as those it has: part, cell, sub and the record.
+
+        No record of a cell is nearer to a query than the query's distance to the centre less the radius, nor than half of
+        what that distance is above the query's distance to its own centre. ``probes``: only the so many nearest cells.
+        """
+        centres, stats, size = self.centres, self.stats, self.block
+
+        def run(batches):
+            for batch in batches:
+                at = {n: i for i, n in enumerate(batch.schema.names)}
+                parts = batch.column(at["part"]).to_pylist()
+                own, sub, bound, out = (np.asarray(batch.column(at[c])) for c in ("cell", "sub", "bound", "out"))
+                for p in set(parts) & set(centres):
+                    radius, blocks = stats[p][0], -(-stats[p][1] // size)
+                    rows = np.flatnonzero(np.array([x == p for x in parts]))
+                    d = _far(centres[p], np.asarray(batch.column(at["vec"]).take(pa.array(rows)).flatten()).reshape(len(rows), -1))
+                    least = np.maximum(d - radius, (d - out[rows, None]) / 2)
+                    ok = (least <= bound[rows, None] + 1e-9) & (blocks > 0)
+                    if probes is not None and probes < d.shape[1]:
+                        ok &= d <= np.partition(d, probes - 1, axis=1)[:, probes - 1, None]
+                    for s in range(int(blocks.max(initial=0))):
+                        i, c = np.nonzero(ok & (blocks > s))
+                        other = (c != own[rows[i]]) | (s != sub[rows[i]])
+                        i, c = i[other], c[other]
+                        if len(i):
+                            took = pa.array(rows[i])
+                            yield pa.RecordBatch.from_arrays([pa.array([p] * len(i)), pa.array(c.astype(np.int32)), pa.array(np.full(len(i), s, np.int32)), *(batch.column(at[n]).take(took) for n in ("item", "vec", "scales", "k", "code", "correction", "bound"))], names=_MET)
+
+        kinds = dict(first.dtypes)
+        return first.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in _MET))
+
+
+def _looked_up(values: dict[str, int], key: Column) -> Column:
+    """The value of a key, 1 where it has none."""
+    if not values:
+        return F.lit(1)
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), key), F.lit(1))
+
+
+_MET = ["part", "cell", "sub", "item", "vec", "scales", "k", "code", "correction", "bound"]
+
+
+def nearest_records(vectors: DataFrame, block: int = BLOCK, probes: int | None = None) -> DataFrame:
     """part, query, neighbor, distance, place (1..k) of the k nearest items of its part for every row of ``vectors``.
 
     Itself isn't counted; ties go to the smaller item. Items must be unique within a part. A part with fewer than k + 1
     items gives all there are. An empty table gives no rows.
 
     Items with equal vectors are one row in the search, so a huge group of copies costs nothing; then each gets the
-    nearest of its class's neighbours. Parts are cut into blocks by hash and each pair of blocks is a task of bounded
-    memory, so a part of any size spreads over all executors.
+    nearest of its class's neighbours. Every item is first held against the block of its own cell; the k-th distance it
+    finds there decides which other cells can hold anything nearer (an exact bound), and only their blocks are asked. With
+    ``probes``, at most so many cells are asked for each item, so work and shuffle grow in proportion to the items, at a
+    loss of recall. Blocks hold a bounded number of items and meet a bounded number of queries in a task.
     """
     same = F.struct("part", "vec")
     ship(vectors.sparkSession)
-    keyed = cut(vectors.select("part", "item", "vec", "scales", "k", F.xxhash64(same).alias("k1"), F.hash(F.lit(3), "part", F.reverse("vec")).alias("k2")))
+    keyed = cut(vectors.select("part", "item", "vec", "scales", F.col("k").cast("int").alias("k"), F.xxhash64(same).alias("k1"), F.hash(F.lit(3), "part", F.reverse("vec")).alias("k2")))
     classes = keyed.groupBy("part", "k1", "k2").agg(F.min("item").alias("item"), F.first("vec").alias("vec"), F.first("scales").alias("scales"), F.first("k").alias("k"))
     index = cut(indexed(classes))
-    sizes = index.groupBy("part").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    pairs = sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0]
-    if pairs is None:
+    best = index.agg(F.max("k")).first()[0]
+    if best is None:
         return vectors.select("part", F.col("item").alias("query"), F.col("item").alias("neighbor"), F.lit(0.0).alias("distance"), F.lit(1).alias("place")).limit(0)
-    placed = index.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("bi"), F.greatest(b, F.col("block")).alias("bj")))
-    sent = placed.select("part", "item", "vec", "scales", "k", "code", "correction", "block", F.explode(meets).alias("m")).select("*", "m.bi", "m.bj").drop("m")
+    cells = Cells(index, block)
+    placed = cells.placed(index)
+    total = sum(int(cells.blocks(p).sum()) for p in cells.stats)
     # a fixed number of partitions: these are few bytes but much work, which merging small partitions would serialise
-    tasks = sent.repartition(int(min(max(pairs, 24), 4000)), "part", "bi", "bj")
-    local = tasks.groupBy("part", "bi", "bj").applyInArrow(_block_pair("k"), "part string, query string, neighbor string, distance double")
-    best = int(index.agg(F.max("k")).first()[0])
-    ks = sizes.select("part").join(index.groupBy("part").agg(F.first("k").alias("k")), "part")
+    tasks = min(max(total, 24), 4000)
+    shape = T.StructType([*placed.schema.fields, T.StructField("bound", T.DoubleType()), T.StructField("near", T.ArrayType(T.StructType([T.StructField("neighbor", T.StringType()), T.StructField("distance", T.DoubleType())])))])
+    first = cut(placed.repartition(tasks, "part", "cell", "sub").groupBy("part", "cell", "sub").applyInArrow(_within_block, shape))
+    local = first.select("part", F.col("item").alias("query"), F.explode("near").alias("n"), "k").select("part", "query", "n.neighbor", "n.distance", "k")
+    if total > 1:
+        split = F.col("part").isin(*cells.centres)
+        asked = cells.asked(first.filter(split), probes).withColumns({"side": F.lit(1), "salt": F.pmod(F.xxhash64(F.lit(5), "item"), cells.salts()).cast("int")})
+        held = placed.filter(split).withColumns({"bound": F.lit(0.0), "side": F.lit(0), "salt": F.explode(F.sequence(F.lit(0), cells.salts().cast("int") - 1))})
+        both = asked.select(*_MET, "side", "salt").unionByName(held.select(*_MET, "side", "salt"))
+        local = local.unionByName(both.repartition(tasks, "part", "cell", "sub", "salt").groupBy("part", "cell", "sub", "salt").applyInArrow(_against_block, "part string, query string, neighbor string, distance double, k int"))
     w = Window.partitionBy("part", "query").orderBy("distance", "neighbor")
-    merged = local.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= best).join(ks, "part").filter(F.col("rn") <= F.col("k")).drop("rn", "k")
-    return _members(keyed, index, merged, best)
+    merged = local.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= best).filter(F.col("rn") <= F.col("k")).drop("rn", "k")
+    return _members(keyed, index, merged, int(best))
 
 
 def _members(keyed: DataFrame, index: DataFrame, links: DataFrame, best: int) -> DataFrame:

@@ -94,8 +94,11 @@ def component_table(candidates: DataFrame) -> DataFrame:
 def leaders(candidates: DataFrame) -> DataFrame:
     """run_id, candidate_id of those with four usable scores, each among the top twentieth of its run.
 
-    That is, 20 times the number strictly above is less than the number of usable values, for each score.
+    That is, 20 times the number strictly above is less than the number of usable values, for each score. Such a
+    candidate's percentile is above 0.475 for each score (less than a twentieth is above; of the rest at most all are
+    ties, half of which count), so its combined score is above the normal quantile of 0.475; the counts then decide.
     """
     scored = combined_scores(component_table(candidates), "run_id", "candidate_id", SCORES)
+    high = F.col("combined") >= inverse_normal(F.lit(0.475)) - F.lit(1e-9)
     top = reduce(lambda a, b: a & b, (F.lit(20) * F.col(f"above_{s}") < F.col(f"usable_{s}") for s in SCORES))
-    return scored.filter((F.col("n_scores") == len(SCORES)) & top).select("run_id", "candidate_id")
+    return scored.filter((F.col("n_scores") == len(SCORES)) & high).filter(top).select("run_id", "candidate_id")

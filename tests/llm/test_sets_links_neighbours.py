@@ -216,6 +216,19 @@ def test_nearest_records_against_brute_force(spark, block):
     assert "lost" not in got and not any(k.startswith("bad") for k in got)
 
 
+def test_probing_fewer_cells_keeps_most(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 12)) * 4
+    x = centres[rng.integers(0, 30, 900)] + rng.normal(size=(900, 12)) * 0.2
+    df = spark.createDataFrame([("p", f"{i:04d}", v.tolist(), [3.0] * 12, 6) for i, v in enumerate(x)], "part string, item string, vec array<double>, scales array<double>, k int")
+    sets = lambda rows: {(r["query"], r["neighbor"]) for r in rows}
+    whole, few = sets(knn.nearest_records(df, 60).collect()), sets(knn.nearest_records(df, 60, probes=3).collect())
+    far = np.minimum(np.abs(x[:, None] - x[None]) / 3.0, 1).mean(2)
+    np.fill_diagonal(far, 9)
+    want = {(f"{i:04d}", f"{j:04d}") for i, row in enumerate(np.argsort(far, axis=1, kind="stable")[:, :6]) for j in row}
+    assert whole == want and len(few & want) / len(want) >= 0.9
+
+
 def test_nearest_records_of_nothing(spark):
     assert knn.nearest_records(knn.usable_vectors(spark.createDataFrame([], RECORDS), spark.createDataFrame([], SETS))).count() == 0
     one = spark.createDataFrame([("d", "r", {"a": 1.0}, 1)], RECORDS)
@@ -228,7 +241,9 @@ def test_codes_keep_recall_on_clustered_vectors():
     scales = np.full(24, 4.0)
     turn = knn.rotation(24)
     packed, c = turn.codes(turn.rotated(x / scales))
-    q, b, d = knn.nearest(x[:200], x, scales, 8, turn, packed, c, 0)
+    w = knn.words([p.tobytes() for p in packed])
+    assert (knn.differing(w[:5], w[:7]) == [[int((np.unpackbits(packed[i]) != np.unpackbits(packed[j])).sum()) for j in range(7)] for i in range(5)]).all()
+    q, b, d = knn.nearest((x[:200], w[:200], c[:200]), (x, w, c), scales, 8, turn.dims, 0)
     hits = 0
     for i in range(200):
         truth = np.minimum(np.abs(x - x[i]) / scales, 1).mean(1)
