@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge import oracle_core, queries_core
+from panelforge import oracle_core, oracle_search, queries_core, queries_search
 from panelforge.core import rolling
 
 flagship = queries_core.flagship
@@ -45,12 +45,13 @@ _P7 = """WITH ds AS (SELECT dataset_id, ts_unit, make_date(last_day // 10000, la
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**queries_core.QUERIES, **{f.__name__: f for f in (p7_found, p7_totals)}}
+    return {**queries_core.QUERIES, **queries_search.QUERIES, **{f.__name__: f for f in (p7_found, p7_totals)}}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         **oracle_core.oracle_sql(),
+        **oracle_search.oracle_sql(),
         "p7_found": f"{_P7} SELECT dataset_id, asset, day_no FROM roll WHERE i >= 30 AND 10 * v7 > 7 * v30",
         "p7_totals": f"""{_P7} SELECT dataset_id, asset, day_no, round(v7, 6) + 0.0 AS fld_volume_total_7, round(v30, 6) + 0.0 AS fld_volume_total_30,
   round(r7 * 10000, 6) + 0.0 AS returns_bp_total_7, round(r30 * 10000, 6) + 0.0 AS returns_bp_total_30, round(v7 / least(7, i), 6) + 0.0 AS fld_volume_mean_7,

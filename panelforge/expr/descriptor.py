@@ -110,16 +110,17 @@ def shares_ancestor(a: Descriptor, b: Descriptor) -> int:
     return int(bool(set(a.lineage_parents) & set(b.lineage_parents)))
 
 
-def distance_column(a: str, b: str) -> Column:
-    """``distance`` between two descriptor struct columns, within the JVM. Null parts count as empty, flags as false."""
+def distance_column(a: Column | str, b: Column | str) -> Column:
+    """``distance`` between two descriptor structs, within the JVM. Null parts count as empty, flags as false."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
 
     def sets(n: str) -> Column:
-        x, y = (F.array_distinct(F.filter(F.coalesce(F.col(f"{s}.{n}"), F.array().cast("array<string>")), lambda v: v.isNotNull())) for s in (a, b))
+        x, y = (F.array_distinct(F.filter(F.coalesce(s.getField(n), F.array().cast("array<string>")), lambda v: v.isNotNull())) for s in (a, b))
         union = F.size(F.array_union(x, y))
         return F.when(union > 0, F.lit(1.0) - F.size(F.array_intersect(x, y)) / union).otherwise(0.0)
 
     def counts(n: str) -> Column:
-        x, y = (F.coalesce(F.col(f"{s}.{n}"), F.create_map().cast("map<string,int>")) for s in (a, b))
+        x, y = (F.coalesce(s.getField(n), F.create_map().cast("map<string,int>")) for s in (a, b))
         at = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0))
         keys = F.array_union(F.map_keys(x), F.map_keys(y))
         both = F.aggregate(
@@ -128,7 +129,7 @@ def distance_column(a: str, b: str) -> Column:
         )
         return F.when(both["total"] > 0, both["apart"] / both["total"]).otherwise(0.0)
 
-    flag = lambda n: (F.coalesce(F.col(f"{a}.{n}"), F.lit(False)) != F.coalesce(F.col(f"{b}.{n}"), F.lit(False))).cast("int")
+    flag = lambda n: (F.coalesce(a.getField(n), F.lit(False)) != F.coalesce(b.getField(n), F.lit(False))).cast("int")
     parts = {n: sets(n) for n in _SETS} | {n: counts(n) for n in _COUNTS} | {"flags": (flag("nonlinear") + flag("conditional")) / 2}
     total = F.lit(0.0)
     for n, w in WEIGHTS.items():

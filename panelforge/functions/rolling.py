@@ -1,7 +1,8 @@
 """Row-based rolling operators of each asset, on a dense panel.
 
 A window of w rows counts only if all its values are present. Operators of one sort order share one Window node,
-whatever their lengths; plain aggregates are preferred, lists are built only where order or rank inside the window counts.
+whatever their lengths; plain aggregates are preferred. Weighted means are sums of lags; lists are built only where order
+or rank inside a short window counts. Longer windows of both kinds are left to ``kernels``.
 """
 
 from __future__ import annotations
@@ -81,8 +82,11 @@ def rank(x: Column, w: int) -> Column:
 def weighted(x: Column, weights: list[float]) -> Column:
     """Mean weighted oldest first."""
     w = len(weights)
-    products = F.zip_with(_values(x, w), F.lit([float(v) for v in weights]), lambda a, b: a * b)
-    return _full(x, w, F.aggregate(products, F.lit(0.0), lambda a, v: a + v) / F.lit(float(sum(weights))))
+    total = F.lit(0.0)
+    for i, c in enumerate(weights):
+        if c:
+            total = total + F.lit(float(c)) * (F.lag(x, w - 1 - i).over(_by()) if i < w - 1 else x)
+    return _full(x, w, total / F.lit(float(sum(weights))))
 
 
 def wma(x: Column, w: int) -> Column:

@@ -15,6 +15,7 @@ from panelforge.expr.catalog import Catalog
 from panelforge.expr.parser import parse
 from panelforge.operators.panel import DatasetError, Panel
 from panelforge.plans.compiler import SUPPORTED, compile_signals
+from panelforge.plans.lineage import cut
 
 ASSUMPTIONS = (
     "windows over time use the current and earlier rows only",
@@ -137,7 +138,7 @@ def evidence(panel: Panel, formulas: Mapping[str, Node], config: EvaluationConfi
     config = config.checked(panel.rows)
     signals = compile_signals(panel, formulas, config.signal_decay)
     signals = signals.withColumn("outcome", future_return(F.col("realized_returns"), config.horizon))
-    rows = with_positions(_long(signals, list(formulas)), ["formula", "t"], "x", config.truncation)
+    rows = cut(with_positions(_long(signals, list(formulas)), ["formula", "t"], "x", config.truncation))  # for correlations and days
     splits = config.splits(panel.rows)
     named = F.explode(F.array(*(F.struct(F.lit(n).alias("split"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, a, b in splits)))
     within = rows.select("*", named.alias("s")).filter((F.col("t") >= F.col("s.a")) & (F.col("t") < F.col("s.b") - config.horizon)).withColumn("split", F.col("s.split")).drop("s")
@@ -157,7 +158,8 @@ def evidence(panel: Panel, formulas: Mapping[str, Node], config: EvaluationConfi
 
 
 def _daily(panel: Panel, config: EvaluationConfig, daily: DataFrame) -> DataFrame:
-    ends = panel.df.select((F.col("t") - config.horizon).alias("t"), F.col("ts").alias("target_ts")).distinct()
+    # a dense panel has every time in the rows of its first asset
+    ends = panel.df.filter("ai = 0").select((F.col("t") - config.horizon).alias("t"), F.col("ts").alias("target_ts"))
     rows = daily.filter("split = 'overall'").join(ends, "t")
     return rows.select("formula", F.col("t").alias("signal_row"), (F.col("t") + config.horizon).alias("target_end_row"), F.col("ts").alias("signal_timestamp"), F.col("target_ts").alias("target_timestamp"), "gross", "net", "turnover")
 

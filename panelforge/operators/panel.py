@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.plans.lineage import cut
-from panelforge.plans.numbering import numbered
+from panelforge.plans.numbering import numbered_counted
 
 KEYS = ("t", "ts", "ai", "asset")
 
@@ -72,13 +72,11 @@ def densified(observed: DataFrame, fields: list[str], groups: list[str] | None =
     """
     groups = groups or []
     observed = cut(observed)  # read several times below
-    times = cut(numbered(observed.select("ts").filter("ts is not null").distinct(), "ts", "t"))
-    names = numbered(observed.select("asset").filter("asset is not null").distinct(), "asset", "ai")
+    times, rows = numbered_counted(observed.select("ts").filter("ts is not null").distinct(), "ts", "t")
+    names, assets = numbered_counted(observed.select("asset").filter("asset is not null").distinct(), "asset", "ai")
     if groups:
         labels = group_table if group_table is not None else observed.groupBy("asset").agg(*(F.min(f"grp_{g}").alias(f"grp_{g}") for g in groups))
         names = names.join(labels.select("asset", *(f"grp_{g}" for g in groups)), "asset", "left")
-    names = cut(names)
-    rows, assets = times.count(), names.count()
     grid = names.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(max(rows - 1, 0))))).join(times, "t")
     extra = ["realized_returns"] if returns is None and "realized_returns" in observed.columns else []
     df = grid.join(observed.select("ts", "asset", *fields, *extra), ["ts", "asset"], "left")

@@ -72,7 +72,7 @@ _SIMPLE = {
     "negate": "-x", "abs": "abs(x - lag(x, 2) OVER (PARTITION BY ai ORDER BY t))", "sign": "CAST(sign(close - lag(close, 2) OVER (PARTITION BY ai ORDER BY t)) AS DOUBLE)", "subtract": "(high - low) / 997", "divide": "x",
     "add": "x + h + l", "multiply": "x * v * 0.5", "clip": "CASE WHEN x IS NULL THEN NULL ELSE least(greatest(x, 1.5), 2.5) END",
     "greater": "CASE WHEN close - lag(close, 3) OVER (PARTITION BY ai ORDER BY t) > 10 THEN v WHEN close - lag(close, 3) OVER (PARTITION BY ai ORDER BY t) <= 10 THEN x END",
-    "if_else": "CASE WHEN x > 2 THEN h WHEN x <= 2 THEN l END", "rank": _rank("close"), "group_rank": _rank("close", "t, sector"),
+    "if_else": "CASE WHEN x > 2 THEN h WHEN x <= 2 THEN l END", "if_else_true": "x", "if_else_false": "v", "rank": _rank("close"), "group_rank": _rank("close", "t, sector"),
     "zscore": "CASE WHEN x IS NULL THEN NULL WHEN stddev_pop(x) OVER (PARTITION BY t) = 0 THEN 0 ELSE (x - avg(x) OVER (PARTITION BY t)) / stddev_pop(x) OVER (PARTITION BY t) END",
     "winsorize": "CASE WHEN x IS NULL THEN NULL ELSE least(greatest(x, avg(x) OVER (PARTITION BY t) - 1.2 * stddev_pop(x) OVER (PARTITION BY t)), avg(x) OVER (PARTITION BY t) + 1.2 * stddev_pop(x) OVER (PARTITION BY t)) END",
     "ts_delay": "lag(x, 3) OVER (PARTITION BY ai ORDER BY t)", "ts_delta": "x - lag(x, 2) OVER (PARTITION BY ai ORDER BY t)", "ts_sum": _full(f"sum(x) OVER {_W5}", 5), "ts_mean": _full(_MU, 5),

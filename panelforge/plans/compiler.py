@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.expr.ast import SCALAR, SIGNAL, Node
 from panelforge.expr.canonical import canonical
-from panelforge.functions import cross, elementwise, rolling
+from panelforge.functions import cross, elementwise, kernels, rolling
 from panelforge.operators.panel import KEYS, DatasetError, Panel
 from panelforge.plans.lineage import cut
 
@@ -96,12 +96,19 @@ class _Plan:
 
     def stage(self, nodes: list[Node]) -> None:
         """One projection with the results of several windows of the same axis."""
-        added = {}
+        added, inputs, asked = {}, {}, {}
         for n in nodes:
             name = f"__w{len(self.columns)}"
-            added[name] = self._call(n).cast("double")
+            if n.name in kernels.KERNELS and n.args[1].value > kernels.SHORT:
+                inputs[f"{name}_in"] = self.column(n.args[0]).cast("double")
+                asked[name] = (n.name, f"{name}_in", int(n.args[1].value))
+            else:
+                added[name] = self._call(n).cast("double")
             self.columns[exact_key(n)] = name
-        self.df = self.df.withColumns(added)
+        if added:
+            self.df = self.df.withColumns(added)
+        if asked:
+            self.df = kernels.with_kernels(self.df.withColumns(inputs), asked).drop(*inputs)
         self.windows_since_cut += len(added)
         if self.windows_since_cut > CUT_AFTER:
             self.df = cut(self.df)
@@ -149,6 +156,10 @@ def compile_signals(panel: Panel, formulas: Mapping[str, Node], decay: int = 0)
             raise AssertionError("no window is ready")
     roots = {name: plan.column(f).cast("double").alias(name) for name, f in formulas.items()}
     out = plan.df.select(*KEYS, "realized_returns", *roots.values())
+    if decay > kernels.SHORT:
+        inputs = {f"__d{i}": name for i, name in enumerate(roots)}
+        rolled = kernels.with_kernels(out, {k: ("decay", name, decay) for k, name in inputs.items()})
+        return rolled.drop(*roots).withColumnsRenamed(inputs).select(*out.columns)
     if decay:
         out = out.withColumns({name: rolling.decay(F.col(f"`{name}`"), decay) for name in roots})
     return out

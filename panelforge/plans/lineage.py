@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,8 +31,37 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """A fresh place in the shared folder for a persisted table."""
-    return f"{shared_folder(spark).rstrip('/')}/panelforge-{name}-{uuid.uuid4().hex}"
+    """A fresh place in the shared folder for an intermediate table; it is deleted when this process ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/panelforge-{name}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def file_states(spark: SparkSession, path: str) -> tuple:
+    """Name, length and time of change of a file, or of the files in a folder."""
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in found))
+
+
+@atexit.register
+def _clean() -> None:
+    """Deletes the tables of ``new_table_path``: through Spark where it still runs, else where the folder is a local one."""
+    for spark, path in _MADE:
+        try:
+            if path.startswith(("/", "file:")):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+            elif spark.sparkContext._jsc is not None:
+                hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # noqa: BLE001, S110  # the process ends anyway; what can't be deleted stays
+            pass
 
 
 def cut(df: DataFrame) -> DataFrame:

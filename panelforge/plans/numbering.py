@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.plans.lineage import cut
 
+#: Copies of a row of each group that its rows are joined to, so that a large group is joined by as many tasks.
+COPIES = 16
+
 
 def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
-    """``df`` with ``out``: 0, 1, 2, ... in ascending order of the column, whose values must be distinct.
+    """``numbered_counted`` without the number of rows."""
+    return numbered_counted(df, order, out)[0]
+
+
+def numbered_counted(df: DataFrame, order: str, out: str) -> tuple[DataFrame, int]:
+    """``df`` with ``out``: 0, 1, 2, ... in ascending order of the column, whose values must be distinct; and how many rows there are.
 
     A range-partitioned sort gives each row its place in its partition; the number of rows of each partition, one number
     each, is summed up over those before.
@@ -24,7 +32,7 @@ def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
     table = df.sparkSession.createDataFrame(offsets, "__pf_part long, __pf_before long")
     joined = placed.withColumn("__pf_part", part).join(F.broadcast(table), "__pf_part")  # one row a partition
     local = F.col("__pf_id") - F.shiftleft(F.col("__pf_part"), 33)
-    return joined.withColumn(out, (local + F.col("__pf_before")).cast("int")).drop("__pf_id", "__pf_part", "__pf_before")
+    return joined.withColumn(out, (local + F.col("__pf_before")).cast("int")).drop("__pf_id", "__pf_part", "__pf_before"), before
 
 
 def running_sum(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
@@ -42,3 +50,17 @@ def running_sum(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     within = Window.partitionBy("__pf_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)))
     return local.join(F.broadcast(table), "__pf_part").withColumn(out, F.col(out) + F.col("__pf_before")).drop("__pf_part", "__pf_before")  # one row a partition
+
+
+def numbered_within(df: DataFrame, group: str, order: list[Column], out: str) -> DataFrame:
+    """``df`` with ``out``: 0, 1, 2, ... within each value of the column ``group`` in a total ``order``.
+
+    One range-partitioned sort numbers all rows, and the first number of each group is taken off, so a group of any size
+    is sorted by many tasks. The groups' first numbers are joined back, spread over a few copies.
+    """
+    rows = numbered(df.withColumn("__pf_key", F.struct(F.col(group).alias("g"), *(c.alias(f"o{i}") for i, c in enumerate(order)))), "__pf_key", "__pf_no").drop("__pf_key")
+    rows = cut(rows)
+    first = rows.groupBy(F.col(group).alias("__pf_g")).agg(F.min("__pf_no").alias("__pf_first")).withColumn("__pf_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    spread = rows.withColumn("__pf_copy", F.pmod("__pf_no", F.lit(COPIES)))
+    joined = spread.join(first, F.col(group).eqNullSafe(F.col("__pf_g")) & (spread["__pf_copy"] == first["__pf_copy"]))
+    return joined.select(*(F.col(c) for c in df.columns if c != out), (F.col("__pf_no") - F.col("__pf_first")).cast("int").alias(out))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -22,12 +24,14 @@ def ship(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     name = os.path.basename(root)
-    path = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}-sources.zip")
+    folder = tempfile.mkdtemp(prefix=f"{name}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{name}-sources.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, files in sorted(os.walk(root)):
+        for where, _, files in sorted(os.walk(root)):
             for f in sorted(files):
                 if f.endswith(".py"):
-                    full = os.path.join(folder, f)
+                    full = os.path.join(where, f)
                     z.write(full, os.path.join(name, os.path.relpath(full, root)))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)

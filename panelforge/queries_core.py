@@ -26,7 +26,7 @@ PRICE, VOLUME = "divide(close, 997)", "divide(volume, 100)"
 OPERATORS = {
     "negate": f"negate({PRICE})", "abs": f"abs(ts_delta({PRICE}, 2))", "sign": "sign(ts_delta(close, 2))", "subtract": "divide(subtract(high, low), 997)", "divide": "divide(close, 997)",
     "add": f"add({PRICE}, divide(high, 997), divide(low, 997))", "multiply": f"multiply({PRICE}, 0.5, {VOLUME})", "clip": f"clip({PRICE}, lower=1.5, upper=2.5)",
-    "greater": f"if_else(greater(ts_delta(close, 3), 10), {VOLUME}, {PRICE})", "if_else": f"if_else(greater({PRICE}, 2), divide(high, 997), divide(low, 997))",
+    "greater": f"if_else(greater(ts_delta(close, 3), 10), {VOLUME}, {PRICE})", "if_else": f"if_else(greater({PRICE}, 2), divide(high, 997), divide(low, 997))", "if_else_true": f"if_else(true, {PRICE}, {VOLUME})", "if_else_false": f"if_else(false, {PRICE}, {VOLUME})",
     "rank": "rank(close)", "zscore": f"zscore({PRICE})", "winsorize": f"winsorize({PRICE}, std=1.2)", "group_rank": 'group_rank(close, group("sector"))',
     **{n: f"{n}({PRICE}, {w})" for n, w in {
         "ts_delay": 3, "ts_delta": 2, "ts_sum": 5, "ts_mean": 5, "ts_std_dev": 5, "ts_zscore": 5, "ts_var": 5, "ts_skew": 5, "ts_kurt": 5, "ts_min": 5, "ts_max": 5, "ts_median": 5, "ts_mad": 5, "ts_rank": 6, "ts_wma": 5, "ts_ema": 5,

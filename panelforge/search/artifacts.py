@@ -33,6 +33,12 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     return checked.select("r.*")
 
 
+def write_candidates(df: DataFrame, path: str) -> None:
+    """Candidates as JSON lines in a folder, written by the tasks that hold them; columns of other names are left out."""
+    wanted = [c for c in df.sparkSession.createDataFrame([], _STRUCT).columns if c in df.columns]
+    df.select(*wanted).write.json(path)
+
+
 def load_candidates(path: str) -> tuple[list[dict], str]:
     """Records of a small file in their order, with the SHA-256 of its bytes; errors name the line."""
     with open(path, "rb") as f:

@@ -113,7 +113,9 @@ def _placed(items: Column, n: int) -> Column:
 
 
 def _bucket_counts(placed: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.aggregate(F.filter(placed, lambda e: e["b"] == i), F.lit(0.0), lambda a, e: a + F.coalesce(e["n"], F.lit(0))))
+    """The sum of each bucket. The array is bound to a variable first, as an expression would be evaluated again for every bucket."""
+    sums = lambda p: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.aggregate(F.filter(p, lambda e: e["b"] == i), F.lit(0.0), lambda a, e: a + F.coalesce(e["n"], F.lit(0))))
+    return F.element_at(F.transform(F.array(placed), sums), 1)
 
 
 @dataclass(frozen=True)
@@ -385,6 +387,17 @@ def holdout(training: FeedbackDataset, evaluation: FeedbackDataset, config: Feed
     return e.select("id", F.col("outcome").alias("actual")).join(est.select(F.col("query").alias("id"), F.col("weighted_outcome").alias("predicted")), "id", "left").orderBy("id")
 
 
+def holdout_by_dataset(training: DataFrame, evaluation: DataFrame, guides: Guides) -> DataFrame:
+    """dataset_id, id, actual, predicted of the evaluation records from the training records of their dataset.
+
+    Evaluation records whose id or fingerprint is among the training records of their dataset are left out.
+    """
+    apart = evaluation.join(training.select("dataset_id", "id"), ["dataset_id", "id"], "left_anti")
+    apart = apart.join(training.filter("fingerprint is not null").select("dataset_id", "fingerprint"), ["dataset_id", "fingerprint"], "left_anti")
+    est = estimates_by_dataset(neighbours_by_dataset(apart.select("dataset_id", "id", "vec"), training, guides), guides)
+    return apart.select("dataset_id", "id", F.col("outcome").alias("actual")).join(est.select("dataset_id", F.col("query").alias("id"), F.col("weighted_outcome").alias("predicted")), ["dataset_id", "id"], "left")
+
+
 @dataclass(frozen=True)
 class PolicyConfig:
     strength: float = 0.5
@@ -411,6 +424,29 @@ def operator_outcomes(records: DataFrame) -> DataFrame:
     return per.withColumn("k", F.lit(1)).join(overall.withColumn("k", F.lit(1)), "k").select("operator", "support", (F.col("m") - F.col("overall")).alias("centred"))
 
 
+def operator_weights(records: DataFrame, catalog: Catalog, config: PolicyConfig | None = None) -> DataFrame:
+    """dataset_id, operator, weight: ``reweighted`` for the records (features, outcome, confidence) of every dataset at once.
+
+    Datasets without a count of any operator of the catalog that is drawn have no rows.
+    """
+    config = (config or PolicyConfig()).checked()
+    drawn = {o.name: o.weight for o in catalog.operators}
+    base = F.element_at(F.create_map(*(F.lit(v) for pair in drawn.items() for v in pair)), F.col("operator"))
+    features = records.select("dataset_id", "outcome", "confidence", F.explode("features").alias("feature", "n")).withColumn("operator", F.regexp_extract("feature", "^operator_(.*)_count$", 1))
+    known = features.filter(F.col("operator").isin(*(o for o, w in drawn.items() if w)))
+    overall = records.groupBy("dataset_id").agg((F.sum(F.col("outcome") * F.col("confidence")) / F.sum("confidence")).alias("overall"))
+    w = F.col("confidence") * F.col("n")
+    per = known.filter("n > 0").groupBy("dataset_id", "operator").agg(F.count("*").alias("support"), (F.sum(F.col("outcome") * w) / F.sum(w)).alias("m"))
+    centred = per.filter(F.col("support") >= config.minimum_support).join(overall, "dataset_id").select("dataset_id", "operator", (F.col("m") - F.col("overall")).alias("centred"))
+    most = centred.groupBy("dataset_id").agg(F.max(F.abs("centred")).alias("most"))
+    every = known.select("dataset_id").distinct().withColumn("operator", F.explode(F.array(*map(F.lit, drawn))))
+    rows = every.join(centred, ["dataset_id", "operator"], "left").join(most, "dataset_id", "left")
+    share = F.when(F.col("most") > 0, F.coalesce("centred", F.lit(0.0)) / F.col("most")).otherwise(0.0)
+    multiplier = F.least(F.greatest(1 + F.lit(config.strength) * share, F.lit(config.exploration_floor)), F.lit(config.maximum_multiplier))
+    weight = F.least(F.greatest(F.floor(base * config.weight_scale * multiplier + F.lit(0.5)), F.lit(1)), F.lit(65535))
+    return rows.select("dataset_id", "operator", F.when(base == 0, 0).otherwise(weight).cast("int").alias("weight"))
+
+
 def reweighted(catalog: Catalog, dataset: FeedbackDataset, config: PolicyConfig | None = None) -> tuple[Catalog, dict[str, int]]:
     """The catalog with generation weights moved by measured outcomes, and those weights."""
     config = (config or PolicyConfig()).checked()

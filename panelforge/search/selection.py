@@ -53,3 +53,27 @@ def round_robin(df: DataFrame, bucket: list[str], order: list[Column], limit: in
         on = on & F.col(b).eqNullSafe(F.col(f"__b{i}"))
     turns = ranked.join(heads, on).withColumn("__turn", F.struct("__rn", "__head")).orderBy("__turn").limit(limit)
     return numbered(turns, "__turn", "place").drop("__rn", "__head", "__turn", *(f"__b{i}" for i in range(len(bucket))))
+
+
+def retention_column(d: str) -> Column:
+    """``engine.retention_value`` of a descriptor struct, within the JVM."""
+    from panelforge.search.engine import RETENTION, RETENTION_FLAGS
+
+    total = F.lit(0)
+    for n, w in RETENTION.items():
+        field = F.col(f"{d}.{n}")
+        values = F.map_keys(field) if n in ("operator_histogram", "window_buckets") else F.array_distinct(F.filter(field, lambda v: v.isNotNull()))
+        total = total + F.lit(w) * F.coalesce(F.size(values), F.lit(0))
+    for n, w in RETENTION_FLAGS.items():
+        total = total + F.when(F.col(f"{d}.{n}"), F.lit(w)).otherwise(0)
+    return total
+
+
+def bounded_elites(df: DataFrame, bucket: list[str], worth: list[Column], limit: int) -> DataFrame:
+    """The ``limit`` rows that come first when the buckets, in the order of their keys, take turns; each gives its rows in the order of ``worth`` (total).
+
+    A bucket keeps at most ``limit`` rows in each task before the shuffle, so it may hold any share of the rows.
+    """
+    w = Window.partitionBy(*bucket).orderBy(*worth)
+    ranked = df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= limit)
+    return ranked.withColumn("__turn", F.struct("__rn", *bucket)).orderBy("__turn").limit(limit).drop("__rn", "__turn")

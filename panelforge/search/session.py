@@ -270,6 +270,7 @@ class Session:
         for name in ("attempted", "emitted", "measured", "screened_out", "imported"):
             _require(isinstance(d[name], int) and d[name] >= 0, f"invalid counter {name}")
             setattr(s, name, d[name])
+        _require(isinstance(d["seen"], list) and all(isinstance(x, str) and _SHA.match(x) for x in d["seen"]) and len(set(d["seen"])) == len(d["seen"]), "the identities seen are corrupt")
         s.seen = set(d["seen"])
         s.parents = [(Proposal(**p), v) for p, v in d["parents"]]
         s.pending = [Proposal(**p) for p in d["pending"]]
@@ -279,6 +280,10 @@ class Session:
         elif "excluded" in d:
             s.history = ExcludedHistory(frozenset(d["excluded"])).checked()
         _require(s.emitted == s.imported + s.measured + s.screened_out + len(s.pending) and s.emitted == len(s.seen) and s.emitted - s.imported <= config.max_evaluations, "counters don't add up")
+        _require(s.emitted - s.imported <= s.attempted <= config.max_attempts, "more attempts than allowed, or fewer than proposals")
+        ordinals = [p.ordinal for p, _ in s.parents] + [p.ordinal for p in s.pending]
+        _require(all(isinstance(o, int) and 1 <= o <= s.emitted for o in ordinals) and len(set(ordinals)) == len(ordinals), "ordinals are out of range or repeat")
+        _require([p.ordinal for p in s.pending] == list(range(s.emitted - len(s.pending) + 1, s.emitted + 1)), "the pending batch isn't the last one proposed")
         _require(len(s.parents) <= config.parent_capacity and len(s.pending) <= config.batch_size, "too many parents or proposals")
         known: set[str] = set()
         for p in [*(p for p, _ in s.parents), *s.pending]:

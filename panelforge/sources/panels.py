@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators.panel import DatasetError, Panel, densified
+from panelforge.plans.lineage import exists, file_states, new_table_path
+
+
+_KEPT: dict[tuple, tuple[Panel, str]] = {}
+
+#: Cells of a panel that one bucket is to hold, and the most buckets.
+BUCKET_CELLS, MOST_BUCKETS = 500_000, 4096
+
+
+def kept(spark: SparkSession, sf_dir: str, tables: list[str], make: Callable[[SparkSession, str], Panel]) -> Panel:
+    """The panel that ``make`` gives, made once in an application for each state of its files.
+
+    It is a table in the shared folder, in buckets by asset and in them by time, so windows over time need no shuffle. A
+    file that has changed, by length or time, or a table that is gone makes a new one.
+    """
+    state = tuple(file_states(spark, f"{sf_dir}/{t}.parquet") for t in tables)
+    key = (spark.sparkContext.applicationId, make.__name__, state)
+    if key not in _KEPT or not exists(spark, _KEPT[key][1]):
+        panel, path = make(spark, sf_dir), new_table_path(spark, "panel")
+        buckets = max(1, min(MOST_BUCKETS, -(-panel.rows * panel.assets // BUCKET_CELLS)))
+        name = f"panelforge_{path.rsplit('-', 1)[1]}"
+        panel.df.repartition(buckets, "ai").write.bucketBy(buckets, "ai").sortBy("t").option("path", path).saveAsTable(name, format="parquet")
+        _KEPT[key] = dataclasses.replace(panel, df=spark.table(name)), path
+    return _KEPT[key][0]
 
 
 def _bars(df: DataFrame, keys: list[str], price: str, order: list[str], volume) -> DataFrame:
@@ -17,6 +43,11 @@ def _bars(df: DataFrame, keys: list[str], price: str, order: list[str], volume)
 
 
 def events_daily(spark: SparkSession, sf_dir: str) -> Panel:
+    """``_events_daily``, kept."""
+    return kept(spark, sf_dir, ["events"], _events_daily)
+
+
+def _events_daily(spark: SparkSession, sf_dir: str) -> Panel:
     """Days x event types of the events table; volume is the number of events."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_date("ts").alias("day"), F.col("event_type").alias("asset"), "value", "ts", "event_id")
     bars = _bars(e, ["day", "asset"], "value", ["ts", "event_id"], F.count("*"))
@@ -31,6 +62,11 @@ _LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppk
 
 
 def brand_weekly(spark: SparkSession, sf_dir: str) -> Panel:
+    """``_brand_weekly``, kept."""
+    return kept(spark, sf_dir, ["lineitem", "part"], _brand_weekly)
+
+
+def _brand_weekly(spark: SparkSession, sf_dir: str) -> Panel:
     """Weeks of shipment x brands; price is extended price by quantity, sector the brand's last digits modulo 5."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_LINE_ORDER)
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_brand").alias("asset"))
@@ -41,6 +77,11 @@ def brand_weekly(spark: SparkSession, sf_dir: str) -> Panel:
 
 
 def supply_monthly(spark: SparkSession, sf_dir: str) -> Panel:
+    """``_supply_monthly``, kept."""
+    return kept(spark, sf_dir, ["lineitem", "supplier", "nation", "region"], _supply_monthly)
+
+
+def _supply_monthly(spark: SparkSession, sf_dir: str) -> Panel:
     """Months of shipment x supplier nations; sector is the region."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_LINE_ORDER)
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")

@@ -271,3 +271,56 @@ def test_a_share_of_exactly_seven_tenths_is_no_burst(spark):
     sets = spark.createDataFrame([("d", "yyyymmdd", int(last.strftime("%Y%m%d")))], "dataset_id string, ts_unit string, last_day int")
     got = sorted(r["asset"] for r in calendar.volume_bursts(df, sets).collect())
     assert got == [f"a{k:02d}" for k in range(5, 60, 5)] and any(7.0 * k > 0.7 * (10.0 * k) for k in range(1, 60) if k % 5)
+
+
+@pytest.mark.parametrize("chunk", [24, 1 << 16])
+def test_long_windows_over_chunks_against_plain_loops(spark, chunk):
+    from panelforge.functions import kernels
+
+    x = {"close": noise(21, rows=90, gaps=0.02)}
+    x["close"][60:] = np.round(x["close"][60:])  # ties
+    df = panels.from_json(spark, document(**x)).df
+    asked = {f"{n}_{w}": (n, "close", w) for n in ("ts_median", "ts_mad", "ts_rank", "ts_wma", "ts_ema") for w in (5, 17, 20)}
+    got = {c: np.full((90, 3), np.nan) for c in asked}
+    rows = kernels.with_kernels(df, asked, chunk).collect()
+    assert len(rows) == 270
+    for r in rows:
+        for c in asked:
+            got[c][r["t"], r["ai"]] = np.nan if r[c] is None else r[c]
+    for c, (n, _, w) in asked.items():
+        assert np.allclose(got[c], values(parse(f"{n}(close, {w})"), x), rtol=1e-9, atol=1e-9, equal_nan=True), c
+    with pytest.raises(ValueError):
+        kernels.with_kernels(df, {"a": ("ts_median", "close", 40)}, 24)
+
+
+def test_compiled_long_windows_and_decay(spark):
+    x = {"close": noise(22, rows=60)}
+    p = panels.from_json(spark, document(**x))
+    nodes = {"a": parse("rank(ts_median(zscore(close), 20))"), "b": parse("ts_wma(ts_mean(close, 3), 18)"), "c": parse("ts_median(close, 4)")}
+    rows = compile_signals(p, nodes).collect()
+    for k, n in nodes.items():
+        got = np.full((60, 3), np.nan)
+        for r in rows:
+            got[r["t"], r["ai"]] = np.nan if r[k] is None else r[k]
+        assert np.allclose(got, values(n, x, ["one", "two", "one"]), rtol=1e-9, atol=1e-9, equal_nan=True), k
+    for n in (5, 20):
+        decayed = {(r["t"], r["ai"]): r["x"] for r in compile_signals(p, {"x": parse("close")}, n).collect()}
+        assert len(decayed) == 180
+        for t in range(60):
+            want = None if t < n - 1 else float(np.average(x["close"][t - n + 1 : t + 1, 1], weights=np.arange(1, n + 1)))
+            assert decayed[t, 1] == (None if want is None else pytest.approx(want))
+
+
+def test_a_kept_panel_is_made_anew_when_its_file_changes(spark, tmp_path):
+    def write(n):
+        rows = [(i, dt.datetime(2024, 1, 1 + i // 4, i % 4), "ab"[i % 2], float(i)) for i in range(n)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+
+    write(24)
+    first = panels.events_daily(spark, str(tmp_path))
+    assert panels.events_daily(spark, str(tmp_path)) is first and (first.rows, first.assets, first.df.count()) == (6, 2, 12)
+    plan = compile_signals(first, {"x": parse("ts_mean(ts_delta(close, 2), 3)")})._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    write(40)
+    again = panels.events_daily(spark, str(tmp_path))
+    assert (again.rows, again.df.count()) == (10, 20)
