@@ -38,16 +38,49 @@ def new_table_path(spark: SparkSession, name: str) -> str:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    at, fs = _hadoop(spark, path)
+    return fs.exists(at)
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file in the shared folder: written beside its place, then renamed, so a reader sees all of it or none."""
+    at, fs = _hadoop(spark, path)
+    fresh = at.suffix(f".{uuid.uuid4().hex}.new")
+    out = fs.create(fresh, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(fresh, at):
+        raise OSError(f"can't write {path}")
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    at, fs = _hadoop(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder of the shared folder; none if there is no such folder."""
+    at, fs = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
 
 def file_states(spark: SparkSession, path: str) -> tuple:
     """Name, length and time of change of a file, or of the files in a folder."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)
-    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in found))
+    at, fs = _hadoop(spark, path)
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at)))
 
 
 @atexit.register
@@ -58,8 +91,8 @@ def _clean() -> None:
             if path.startswith(("/", "file:")):
                 shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
             elif spark.sparkContext._jsc is not None:
-                hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+                at, fs = _hadoop(spark, path)
+                fs.delete(at, True)
         except Exception:  # noqa: BLE001, S110  # the process ends anyway; what can't be deleted stays
             pass
 
