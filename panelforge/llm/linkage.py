@@ -5,16 +5,17 @@ from __future__ import annotations
 import json
 import math
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.errors import AnalysisException
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.llm._prefixes import key_rows, possible, rarity_counts, verified, with_prefixes
 from panelforge.llm.components import components
-from panelforge.plans.lineage import cut, new_table_path
+from panelforge.plans.lineage import cut, names_in, new_table_path, read_bytes, write_bytes
 
 THRESHOLD = 0.6
 
@@ -84,7 +85,6 @@ class LinkIndex:
     _KINDS = {
         "prints": "fp string, id long, root long, k1 long", "members": "k1 long, k2 long, id long, fp string, root long", "sets": "k1 long, k2 long, n int, tokens array<bigint>, salts array<int>, b1 long, b2 long",
         "keys": "k1 long, k2 long, n int, b1 long, b2 long, token long, place int, salt int", "clusters": "id long, rep long", "groups": "rep long, id long",
-        "order": "counts binary", "state": "threshold double, buckets int, weights string, totals binary, merged boolean",
     }
 
     def __init__(self, spark: SparkSession, path: str | None = None, threshold: float = THRESHOLD):
@@ -103,22 +103,24 @@ class LinkIndex:
 
     # tables
     def _open(self) -> None:
-        try:
-            last = self.spark.read.schema(f"{self._KINDS['state']}, v int").parquet(f"{self.path}/state").orderBy(F.col("v").desc()).first()
-        except AnalysisException:
+        names = [n for n in names_in(self.spark, f"{self.path}/state") if n.endswith(".json")]
+        if not names:
             return  # nothing there yet
-        if last is None:
-            return
+        last = json.loads(read_bytes(self.spark, f"{self.path}/state/{names[-1]}"))
         if last["threshold"] != self.threshold:
             raise ValueError(f"the index at {self.path} is for a threshold of {last['threshold']}")
-        self.version, self.buckets, self.merged = last["v"], last["buckets"], last["merged"]
-        self.weights = json.loads(last["weights"]) if last["weights"] else None
-        self.totals = np.frombuffer(zlib.decompress(last["totals"]), np.int64).copy()
-        self.order = np.frombuffer(zlib.decompress(self.spark.read.schema(f"{self._KINDS['order']}, v int").parquet(f"{self.path}/order").first()["counts"]), np.int64)
-
-    def _commit(self) -> None:
-        row = [(self.threshold, self.buckets, json.dumps(self.weights) if self.weights else None, bytearray(zlib.compress(self.totals.tobytes(), 1)), self.merged)]
-        self.spark.createDataFrame(row, self._KINDS["state"]).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/state/v={self.version}")
+        self.version, self.buckets, self.merged, self.weights = last["version"], last["buckets"], last["merged"], last["weights"]
+        counts = lambda name: np.frombuffer(zlib.decompress(read_bytes(self.spark, f"{self.path}/{name}")), np.int64)
+        self.order, self.totals = counts("counts/order"), counts(f"counts/totals-{self.version:08d}").copy()
+
+    def _commit(self, counted: bool = False) -> None:
+        """The state of the present version, after everything that it speaks of; ``counted``: with the counts."""
+        if counted:
+            if self.version == 1:
+                write_bytes(self.spark, f"{self.path}/counts/order", zlib.compress(self.order.tobytes(), 1))
+            write_bytes(self.spark, f"{self.path}/counts/totals-{self.version:08d}", zlib.compress(self.totals.tobytes(), 1))
+        state = {"version": self.version, "threshold": self.threshold, "buckets": self.buckets, "weights": self.weights, "merged": self.merged}
+        write_bytes(self.spark, f"{self.path}/state/{self.version:08d}.json", json.dumps(state).encode())
 
     def _bucket(self, key: Column | str) -> Column:
         return F.pmod(F.xxhash64(F.lit(11), key), F.lit(self.buckets)).cast("int")
@@ -128,6 +130,12 @@ class LinkIndex:
         rows = df.withColumn("bucket", F.when(F.col(key).isNotNull(), self._bucket(key)).otherwise(self._bucket(spread)))
         rows.repartition("bucket", F.pmod(F.xxhash64(spread), F.lit(SPREAD))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/v={self.version}")
 
+    def _write_all(self, *tables: tuple[str, DataFrame, str, str]) -> None:
+        """Several tables at once: they don't wait for one another."""
+        with ThreadPoolExecutor(len(tables)) as pool:
+            for done in [pool.submit(inheritable_thread_target(self.spark)(self._write), *t) for t in tables]:
+                done.result()
+
     def _read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
         """A table, or those of its buckets; what was written after the present version isn't there."""
         df = self.spark.read.schema(f"{self._KINDS[table]}, v int, bucket int").parquet(f"{self.path}/{table}").filter(F.col("v") <= self.version)
@@ -169,13 +177,11 @@ class LinkIndex:
         self.totals = counts if self.totals is None else self.totals + counts
         fresh = cut(with_prefixes(own, "tokens", self.order, self.threshold, totals=self.totals))
         self.version += 1
-        if self.version == 1:
-            self.spark.createDataFrame([(bytearray(zlib.compress(self.order.tobytes(), 1)),)], self._KINDS["order"]).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/order/v=1")
-        self._write("prints", batch.select("fp", "id", "root", "k1"), "fp", "id")
-        self._write("members", batch.filter("k1 is not null").select("k1", "k2", "id", "fp", "root"), "k1", "id")
-        self._write("sets", fresh, "k1", "k2")
-        self._write("keys", key_rows(fresh).withColumn("salt", F.pmod("k1", F.col("salts")).cast("int")).drop("salts"), "token", "k1")
-        self._commit()
+        keys = key_rows(fresh).withColumn("salt", F.pmod("k1", F.col("salts")).cast("int")).drop("salts")
+        self._write_all(
+            ("prints", batch.select("fp", "id", "root", "k1"), "fp", "id"), ("members", batch.filter("k1 is not null").select("k1", "k2", "id", "fp", "root"), "k1", "id"), ("sets", fresh, "k1", "k2"), ("keys", keys, "token", "k1"),
+        )
+        self._commit(counted=True)
         return fresh.unionByName(known) if known is not None else fresh, touched
 
     def add(self, rows: DataFrame, item: str, fingerprint: str, expression: str) -> None:
@@ -314,10 +320,10 @@ class LinkIndex:
             # a representative that stays one is there already
             changed = changed.join(self._latest(self._touched(clusters=(changed, "id"))["clusters"]), ["id", "rep"], "left_anti")
         changed = cut(changed)
-        self._write("clusters", changed.select("id", "rep"), "id", "rep")
-        self._write("groups", changed.select("rep", "id"), "rep", "id")
-        self.merged = True
-        self._commit()
+        self._write_all(("clusters", changed.select("id", "rep"), "id", "rep"), ("groups", changed.select("rep", "id"), "rep", "id"))
+        if not self.merged:
+            self.merged = True
+            self._commit()
         return changed
 
 
