@@ -58,14 +58,15 @@ def p4_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each request: the pool, its candidates that have a cluster, the chosen, those of them in the pool and different, and whether every quota is within 1 of its share."""
     s = subset.Subsets(read(spark, sf_dir, "candidates"), read(spark, sf_dir, "selection_requests"))
+    if not s.asked:
+        return spark.createDataFrame([], "request_id int, pool_size long, assigned long, chosen long, different long, from_pool long, fair boolean")
     fair = []
     for r, own in s.quotas().items():
         rows, kinds = ({c: v[i] for c, v in s.sizes[r].items()} for i in (0, 1))
         due = subset.shares(rows, kinds, sum(own.values()))
         fair.append((r, all(abs(own[c] - due[c]) < 1 for c in own)))
-    asked = spark.createDataFrame([(r, f, n) for r, f, n in s.asked], "request_id int, family string, subset_size int")
-    fits = F.col("family").isNull() | (F.col("family") == F.col("own"))
-    pool = s.rows.select("candidate_id", F.col("family").alias("own")).join(F.broadcast(asked), fits)  # a request a row
+    asked = F.explode(F.array(*(F.struct(F.lit(r).alias("request_id"), F.lit(f).cast("string").alias("family")) for r, f, _ in s.asked)))  # the stated requests
+    pool = s.rows.select("candidate_id", F.col("family").alias("own"), asked.alias("r")).filter(F.col("r.family").isNull() | (F.col("r.family") == F.col("own"))).select("candidate_id", "r.request_id")
     sizes = pool.groupBy("request_id").agg(F.count("*").alias("pool_size"))
     placed = s.assignments().groupBy("request_id").agg(F.count("*").alias("assigned"))
     picked = s.chosen().join(pool.select("request_id", "candidate_id", F.lit(1).alias("inside")), ["request_id", "candidate_id"], "left")
@@ -146,7 +147,8 @@ def p10_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.sum(F.col("n_tokens") - F.col("overlap_tokens")).over(after.rowsBetween(Window.unboundedPreceding, -1))
     held = held.withColumn("enough", F.when(F.col("piece_no") == 1, F.col("overlap_tokens") == 0).otherwise(F.col("overlap_tokens") >= F.least(F.col("asked"), before)))
     joined = held.groupBy("budget_id", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", new.alias("x")))), lambda e: e["x"]), "").alias("put"), F.min(F.col("n_tokens") <= F.col("max_tokens")).alias("fits"), F.min("enough").alias("enough"))
-    every = docs.select("doc_id", "text").join(F.broadcast(asked.select("budget_id")))  # 6 rows at any scale
+    ids = [r["budget_id"] for r in budgets.select("budget_id").collect()]  # 6 rows at any scale
+    every = docs.select("doc_id", "text", F.explode(F.array(*map(F.lit, ids)).cast("array<int>")).alias("budget_id"))
     return every.join(joined, ["budget_id", "doc_id"], "left").select("budget_id", "doc_id", F.sha2(F.coalesce("put", "text", F.lit("")), 256).alias("sha"), F.coalesce("fits", F.lit(True)).alias("fits"), F.coalesce("enough", F.lit(True)).alias("overlapping"))
 
 
