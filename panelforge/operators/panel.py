@@ -74,6 +74,7 @@ def densified(observed: DataFrame, fields: list[str], groups: list[str] | None =
     observed = cut(observed)  # read several times below
     times, rows = numbered_counted(observed.select("ts").filter("ts is not null").distinct(), "ts", "t")
     names, assets = numbered_counted(observed.select("asset").filter("asset is not null").distinct(), "asset", "ai")
+    times, names = (df.withColumn(c, F.col(c).cast("int")) for df, c in ((times, "t"), (names, "ai")))
     if groups:
         labels = group_table if group_table is not None else observed.groupBy("asset").agg(*(F.min(f"grp_{g}").alias(f"grp_{g}") for g in groups))
         names = names.join(labels.select("asset", *(f"grp_{g}" for g in groups)), "asset", "left")

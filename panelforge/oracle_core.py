@@ -226,7 +226,7 @@ def oracle_sql() -> dict[str, str]:
   met AS (SELECT ds.dataset_id, candidate_id, cur.semantic_fingerprint AS f, CASE WHEN isnan(structural_score) THEN NULL ELSE structural_score END AS score, m IS NOT NULL AS exact, CASE WHEN m IS NOT NULL THEN 1 ELSE cau.neighbors END AS neighbors,
     CASE WHEN m IS NOT NULL THEN 0 ELSE mean_distance END AS mean_distance, coalesce(m, weighted_outcome) AS weighted_outcome, CASE WHEN m IS NOT NULL THEN 0 ELSE dispersion END AS dispersion, coalesce(m, conservative_outcome) AS conservative_outcome
     FROM cur CROSS JOIN ds LEFT JOIN cau ON query = candidate_id AND cau.dataset_id = ds.dataset_id LEFT JOIN measured ON f = cur.semantic_fingerprint AND measured.dataset_id = ds.dataset_id)
-  SELECT dataset_id, candidate_id, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY round(conservative_outcome, 9) DESC NULLS LAST, round(weighted_outcome, 9) DESC NULLS LAST, score DESC NULLS LAST, f ASC NULLS FIRST, candidate_id) - 1 AS INTEGER) AS place,
+  SELECT dataset_id, candidate_id, row_number() OVER (PARTITION BY dataset_id ORDER BY round(conservative_outcome, 9) DESC NULLS LAST, round(weighted_outcome, 9) DESC NULLS LAST, score DESC NULLS LAST, f ASC NULLS FIRST, candidate_id) - 1 AS place,
     exact, CAST(neighbors AS BIGINT) AS neighbors, {estimate}, coalesce(conservative_outcome >= 0, false) AS eligible FROM met"""
     out["feedback_auc"] = """WITH r AS (SELECT confidence AS p, outcome > 0 AS pos FROM feedback_records WHERE outcome IS NOT NULL AND NOT isnan(outcome) AND confidence IS NOT NULL AND NOT isnan(confidence)),
   k AS (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rk FROM r)

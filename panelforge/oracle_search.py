@@ -87,7 +87,7 @@ def oracle_sql() -> dict[str, str]:
         "gp_limits": f"WITH c AS ({_DESCRIBED}) SELECT candidate_id, depth <= 5 AND nodes <= 20 AND coalesce(list_sum(map_values(d.operator_histogram)), 0) <= 8 AS within FROM c",
         "gp_covers": "SELECT policy, CAST(seed AS INTEGER) AS seed, 64 AS formulas, true AS usable, true AS repeated FROM (VALUES ('fixed'), ('seeded_diverse'), ('motif_diverse')) p(policy), range(3) r(seed)",
         "score_components": _score_components(),
-        "scored_order": f"WITH {_CURRENT} SELECT candidate_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN isnan(structural_score) THEN NULL ELSE structural_score END DESC NULLS LAST, nodes NULLS FIRST, fingerprint NULLS FIRST, candidate_id) AS INTEGER) AS place FROM cur",
+        "scored_order": f"WITH {_CURRENT} SELECT candidate_id, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN isnan(structural_score) THEN NULL ELSE structural_score END DESC NULLS LAST, nodes NULLS FIRST, fingerprint NULLS FIRST, candidate_id) AS place FROM cur",
         "elite_archive": f"""WITH {_CURRENT}, c AS (SELECT candidate_id, provenance.kind AS kind, {_TIDY.format('root_family')} AS family, nodes, structural_descriptor AS d, semantic_fingerprint AS fp FROM cur WHERE structural_descriptor IS NOT NULL AND root_family IS NOT NULL AND provenance.kind IS NOT NULL AND nodes IS NOT NULL),
   w AS (SELECT candidate_id, coalesce(list_position(['initial', 'mutation', 'crossover', 'fallback_generation'], kind), 0) AS k, family, {bucket} AS b, nodes, fp, CAST({retention} + CASE WHEN d.nonlinear THEN 3 ELSE 0 END + CASE WHEN d.conditional THEN 5 ELSE 0 END AS INTEGER) AS worth FROM c),
   r AS (SELECT *, row_number() OVER (PARTITION BY k, family, b ORDER BY worth DESC, nodes, fp NULLS LAST, candidate_id) AS rn FROM w) SELECT candidate_id, worth FROM r ORDER BY rn, k, family, b LIMIT 300""",

@@ -32,7 +32,7 @@ def numbered_counted(df: DataFrame, order: str, out: str) -> tuple[DataFrame, in
     table = df.sparkSession.createDataFrame(offsets, "__pf_part long, __pf_before long")
     joined = placed.withColumn("__pf_part", part).join(F.broadcast(table), "__pf_part")  # one row a partition
     local = F.col("__pf_id") - F.shiftleft(F.col("__pf_part"), 33)
-    return joined.withColumn(out, (local + F.col("__pf_before")).cast("int")).drop("__pf_id", "__pf_part", "__pf_before"), before
+    return joined.withColumn(out, (local + F.col("__pf_before")).cast("long")).drop("__pf_id", "__pf_part", "__pf_before"), before
 
 
 def running_sum(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
@@ -63,4 +63,4 @@ def numbered_within(df: DataFrame, group: str, order: list[Column], out: str) ->
     first = rows.groupBy(F.col(group).alias("__pf_g")).agg(F.min("__pf_no").alias("__pf_first")).withColumn("__pf_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
     spread = rows.withColumn("__pf_copy", F.pmod("__pf_no", F.lit(COPIES)))
     joined = spread.join(first, F.col(group).eqNullSafe(F.col("__pf_g")) & (spread["__pf_copy"] == first["__pf_copy"]))
-    return joined.select(*(F.col(c) for c in df.columns if c != out), (F.col("__pf_no") - F.col("__pf_first")).cast("int").alias(out))
+    return joined.select(*(F.col(c) for c in df.columns if c != out), (F.col("__pf_no") - F.col("__pf_first")).alias(out))

@@ -166,7 +166,7 @@ def feedback_loo_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("dataset_id", "records", "predicted", *map(six, ["coverage", "mae", "rmse", "sign_accuracy", "balanced_accuracy"]))
 
 
-def _guidable(spark: SparkSession, sf_dir: str, names: DataFrame) -> DataFrame:
+def _guidable(spark: SparkSession, sf_dir: str, keys: dict[str, list[str]]) -> DataFrame:
     """Every current candidate for every dataset, with the dataset's features of it; vec is null without a descriptor."""
     tidied = F.col("structural_descriptor")
     for n in ("operator_shingles", "fields", "field_families", "groups", "lineage_parents"):
@@ -176,15 +176,16 @@ def _guidable(spark: SparkSession, sf_dir: str, names: DataFrame) -> DataFrame:
     order = sorted(feedback.FEATURES)  # the entries of the map, sorted
     mapped = cur.withColumn("m", F.when(F.col("d").isNotNull(), feedback.feature_map("d", "family", "nodes", "depth")))
     flat = mapped.select(F.col("candidate_id").cast("string").alias("id"), "candidate_id", "fingerprint", F.col("score").alias("structural_score"), F.transform(F.array_sort(F.map_entries("m")), lambda e: e["value"]).alias("all"), F.col("d").isNotNull().alias("described"))
-    at = names.select("dataset_id", F.transform("keys", lambda k: F.array_position(F.lit(order), k).cast("int") - 1).alias("at"))
-    vec = flat.crossJoin(F.broadcast(at)).withColumn("vec", F.transform("at", lambda i: F.get("all", i))).drop("all", "at")  # one row a dataset
+    at = [F.struct(F.lit(d).alias("dataset_id"), F.array(*(F.lit(order.index(k) if k in order else -1) for k in own)).cast("array<int>").alias("at")) for d, own in keys.items()]  # one a dataset
+    vec = flat.withColumn("e", F.explode(F.array(*at))).select(*(c for c in flat.columns if c != "all"), "e.dataset_id", F.transform("e.at", lambda i: F.get("all", i)).alias("vec"))
     return vec.withColumn("vec", F.when(F.col("described") & _finite("vec"), F.col("vec"))).drop("described")
 
 
 def feedback_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All current candidates, guided by every dataset: the estimate, the place in the dataset's order of guidance from 0, and whether it passes the screen at 0."""
     rows, guides, names = _feedback(spark, sf_dir)
-    met = feedback.screened(feedback.guided_by_dataset(_guidable(spark, sf_dir, names), rows, guides), 0.0)
+    keys = {r["dataset_id"]: r["keys"] for r in names.collect()}  # one row a dataset
+    met = feedback.screened(feedback.guided_by_dataset(_guidable(spark, sf_dir, keys), rows, guides), 0.0)
     # outcomes to nine digits, as sums added up in another order differ in the last
     keys = {"conservative_outcome": F.round("conservative_outcome", 9), "weighted_outcome": F.round("weighted_outcome", 9), "structural_score": F.col("structural_score")}
     down = [c for n, v in keys.items() for c in (v.isNull().alias(f"no_{n}"), (-v).alias(n))]

@@ -52,7 +52,7 @@ def round_robin(df: DataFrame, bucket: list[str], order: list[Column], limit: in
     for i, b in enumerate(bucket):
         on = on & F.col(b).eqNullSafe(F.col(f"__b{i}"))
     turns = ranked.join(heads, on).withColumn("__turn", F.struct("__rn", "__head")).orderBy("__turn").limit(limit)
-    return numbered(turns, "__turn", "place").drop("__rn", "__head", "__turn", *(f"__b{i}" for i in range(len(bucket))))
+    return numbered(turns, "__turn", "place").withColumn("place", F.col("place").cast("int")).drop("__rn", "__head", "__turn", *(f"__b{i}" for i in range(len(bucket))))
 
 
 def retention_column(d: str) -> Column:
