@@ -25,6 +25,9 @@ BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 50_000, 4, 1024
 #: Parts of each bucket, so that no key's rows are written by one task.
 SPREAD = 4
 
+#: Parts of the rows of one fingerprint or set, which a batch's rows meet one by one: no key's pairs are made in one task.
+PARTS = 8
+
 #: Comparison fields and their levels, best first.
 FIELDS = {"fingerprint": ["equal", "different", "missing"], "terms": ["same", "close", "similar", "below", "missing"], "root": ["equal", "different", "missing"]}
 
@@ -200,7 +203,10 @@ class LinkIndex:
         probe, touched = self._taken(batch)
         a = batch.filter("fp is not null").select(F.col("id").alias("x"), F.col("fp").alias("fa"), F.col("root").alias("ra"), F.col("k1").alias("ka"))
         b = self._read("prints", touched["prints"]).filter("fp is not null").select(F.col("id").alias("y"), F.col("fp").alias("fb"), F.col("root").alias("rb"), F.col("k1").alias("kb"))
-        by_fp = a.join(b, F.col("fa") == F.col("fb")).withColumn("similarity", F.lit(None).cast("double"))
+        every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+        own = F.pmod(F.xxhash64(F.lit(3), "y"), F.lit(PARTS)).cast("int").alias("part")
+        met_by_fp = a.select("*", every).alias("a").join(b.select("*", own).alias("b"), (F.col("fa") == F.col("fb")) & (F.col("a.part") == F.col("b.part")))
+        by_fp = met_by_fp.drop("part").withColumn("similarity", F.lit(None).cast("double"))
 
         # the sets of the batch, new to the index or not, against all sets, each met once
         probe = cut(probe)
@@ -215,7 +221,7 @@ class LinkIndex:
         equal = probe.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.lit(1.0).alias("similarity"))
         x = batch.filter("k1 is not null").select(F.col("id").alias("x"), F.col("fp").alias("fa"), F.col("root").alias("ra"), F.col("k1").alias("a1"), F.col("k2").alias("a2"))
         y = self._read("members", there["members"]).select(F.col("id").alias("y"), F.col("fp").alias("fb"), F.col("root").alias("rb"), F.col("k1").alias("b1"), F.col("k2").alias("b2"))
-        wide = alike.unionByName(equal).join(x, ["a1", "a2"]).join(y, ["b1", "b2"]).withColumns({"ka": F.col("a1"), "kb": F.col("b1")})
+        wide = alike.unionByName(equal).join(x, ["a1", "a2"]).select("*", every).join(y.select("*", own), ["b1", "b2", "part"]).withColumns({"ka": F.col("a1"), "kb": F.col("b1")})
 
         found = by_fp.unionByName(wide.select(*by_fp.columns)).filter("x != y")
         s = F.col("similarity")
@@ -228,6 +234,20 @@ class LinkIndex:
         named = [F.element_at(F.array(*map(F.lit, FIELDS[f])), F.col(f) + 1).alias(f) for f in FIELDS]
         return cut(merged.select("earlier_id", "later_id", (F.col("fingerprint") == 0).alias("same_fp"), "similarity", *named))
 
+    def compacted(self, path: str) -> LinkIndex:
+        """The same index at another place, as one version: what many small batches have written comes together in fewer files."""
+        out = LinkIndex(self.spark, path, self.threshold)
+        if out.version or not self.version:
+            raise ValueError("an index with rows is made anew at a place without one")
+        out.version, out.buckets, out.order, out.totals, out.weights, out.merged = 1, self.buckets, self.order, self.totals, self.weights, self.merged
+        tables = [(t, self._read(t).drop("v"), key, spread) for t, key, spread in (("prints", "fp", "id"), ("members", "k1", "id"), ("sets", "k1", "k2"), ("keys", "token", "k1"))]
+        if self.merged:
+            now = cut(self._latest())
+            tables += [("clusters", now, "id", "rep"), ("groups", now.select("rep", "id"), "rep", "id")]
+        out._write_all(*tables)
+        out._commit(counted=True)
+        return out
+
     # weights
     def scored(self, pairs: DataFrame) -> DataFrame:
         """Adds ``weight``, the sum of the fields' learned weights, and ``certain``: equal fingerprints, or similar by the threshold.

@@ -143,6 +143,37 @@ def test_an_index_opened_again_finds_the_same(spark, tmp_path, monkeypatch):
         linkage.LinkIndex(spark, path, 0.7)
 
 
+def test_a_compacted_index_goes_on_alike(spark, tmp_path):
+    history, proposals = linkage_data()
+    rows = spark.createDataFrame(proposals, PROPOSALS)
+    index = linkage.LinkIndex(spark, str(tmp_path / "a"))
+    index.add(spark.createDataFrame(history, HISTORY), "entry_id", "entries", "expression")
+    first, second = linkage.increments(rows, 2)
+    found = index.link(first, "proposal_id", "semantic_fingerprint", "expression")
+    index.scored(found)
+    index.merge(found)
+    pairs = {(r["earlier_id"], r["later_id"]) for r in found.collect()}
+    small = index.compacted(str(tmp_path / "b"))
+    assert (small.version, small.weights) == (1, index.weights) and sorted(map(tuple, small.mapping().collect())) == sorted(map(tuple, index.mapping().collect()))
+    ends = []
+    for i in (index, linkage.LinkIndex(spark, str(tmp_path / "b"))):
+        more = i.link(second, "proposal_id", "semantic_fingerprint", "expression")
+        i.merge(more)
+        ends.append((sorted(map(tuple, more.collect())), sorted(map(tuple, i.mapping().collect()))))
+    assert ends[0] == ends[1] and pairs | {r[:2] for r in ends[0][0]} == linkage_truth(history, proposals)
+    with pytest.raises(ValueError):
+        index.compacted(str(tmp_path / "b"))
+
+
+def test_many_copies_of_one_fingerprint_and_formula(spark):
+    text = "rank(ts_mean(close, 20))"
+    history = [(i, "a" * 64, text) for i in range(80)]
+    proposals = [(1000 + i, 1, "a" * 64, text if i % 2 else None) for i in range(40)]
+    _, pairs = linkage.link_history(spark.createDataFrame(history, HISTORY), spark.createDataFrame(proposals, PROPOSALS), 1)
+    got = {(r["earlier_id"], r["later_id"]) for r in pairs.collect()}
+    assert got == linkage_truth([(i, p, e.replace("(", " ").replace(")", " ").replace(",", " ")) for i, p, e in history], [(i, b, p, e and e.replace("(", " ").replace(")", " ").replace(",", " ")) for i, b, p, e in proposals]) and len(got) == 80 * 40 + 40 * 39 // 2
+
+
 def test_a_batch_reads_only_its_buckets(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(linkage, "BUCKET_ROWS", 20)
     files = {}
