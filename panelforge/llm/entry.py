@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import encode, knn, linkage, packing, ranking, setjoin, splitting, subset, topn
@@ -137,19 +139,38 @@ def p9_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each document and budget: the hash of its text put together from its pieces without their overlaps (or of itself where it wasn't split), whether all fit, and whether each repeats enough of the one before."""
+    """Of each document and budget: the hash of its text put together from its pieces without their overlaps (or of itself where it wasn't split), whether all fit, and whether each repeats enough of the one before.
+
+    Pieces are put together where they were cut, in their order, so only hashes are moved.
+    """
     docs, budgets = read(spark, sf_dir, "documents"), read(spark, sf_dir, "token_budgets").filter("lower(purpose) = 'split'")
-    after = Window.partitionBy("budget_id", "doc_id").orderBy("piece_no")
-    pieces = splitting.split_documents(docs, budgets).withColumn("upto", F.coalesce(F.lag("end_char").over(after), F.lit(0)))
-    new = F.expr("substring(piece, cast(upto - start_char + 1 as int))")
-    asked = budgets.select("budget_id", "max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("asked"))
-    held = pieces.join(F.broadcast(asked), "budget_id")  # 6 rows at any scale
-    before = F.sum(F.col("n_tokens") - F.col("overlap_tokens")).over(after.rowsBetween(Window.unboundedPreceding, -1))
-    held = held.withColumn("enough", F.when(F.col("piece_no") == 1, F.col("overlap_tokens") == 0).otherwise(F.col("overlap_tokens") >= F.least(F.col("asked"), before)))
-    joined = held.groupBy("budget_id", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", new.alias("x")))), lambda e: e["x"]), "").alias("put"), F.min(F.col("n_tokens") <= F.col("max_tokens")).alias("fits"), F.min("enough").alias("enough"))
-    ids = [r["budget_id"] for r in budgets.select("budget_id").collect()]  # 6 rows at any scale
-    every = docs.select("doc_id", "text", F.explode(F.array(*map(F.lit, ids)).cast("array<int>")).alias("budget_id"))
-    return every.join(joined, ["budget_id", "doc_id"], "left").select("budget_id", "doc_id", F.sha2(F.coalesce("put", "text", F.lit("")), 256).alias("sha"), F.coalesce("fits", F.lit(True)).alias("fits"), F.coalesce("enough", F.lit(True)).alias("overlapping"))
+    asked = {r["budget_id"]: (r["max_tokens"], r["overlap_tokens"] or 0) for r in budgets.collect()}  # 6 rows at any scale
+
+    def run(batches):
+        held = None  # budget, document, hash, characters, tokens so far, fits, enough
+        for batch in batches:
+            done = []
+            for budget, doc, no, start, end, n, overlap, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                if no == 1:
+                    done += [held] if held else []
+                    held = [budget, doc, hashlib.sha256(), 0, 0, True, overlap == 0]
+                held[2].update(piece[held[3] - start :].encode())
+                held[5] &= n <= asked[budget][0]
+                held[6] &= no == 1 or overlap >= min(asked[budget][1], held[4])
+                held[3], held[4] = end, held[4] + n - overlap
+            yield _put(done)
+        yield _put([held] if held else [])
+
+    def _put(rows):
+        kinds = (pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
+        values = [(r[0], r[1], r[2].hexdigest(), r[5], r[6]) for r in rows]
+        return pa.RecordBatch.from_arrays([pa.array([v[i] for v in values], k) for i, k in enumerate(kinds)], names=["budget_id", "doc_id", "put", "fits", "enough"])
+
+    pieces = splitting.split_documents(docs, budgets).select("budget_id", "doc_id", "piece_no", "start_char", "end_char", "n_tokens", "overlap_tokens", "piece")
+    joined = pieces.mapInArrow(run, "budget_id int, doc_id long, put string, fits boolean, enough boolean")
+    every = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("own"), F.explode(F.array(*map(F.lit, asked)).cast("array<int>")).alias("budget_id"))
+    yes = F.lit(True)
+    return every.join(joined, ["budget_id", "doc_id"], "left").select("budget_id", "doc_id", F.coalesce("put", "own").alias("sha"), F.coalesce("fits", yes).alias("fits"), F.coalesce("enough", yes).alias("overlapping"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
