@@ -37,6 +37,13 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def local_uri(spark: SparkSession, path: str) -> str:
+    """``path`` as a Python worker opens it: with the scheme of its file system, or plain where that is the local one."""
+    at, fs = _hadoop(spark, path)
+    whole = fs.makeQualified(at).toString()
+    return whole.removeprefix("file://").removeprefix("file:") if whole.startswith("file:") else whole
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at, fs = _hadoop(spark, path)
     return fs.exists(at)

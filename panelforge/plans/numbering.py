@@ -64,3 +64,32 @@ def numbered_within(df: DataFrame, group: str, order: list[Column], out: str) ->
     spread = rows.withColumn("__pf_copy", F.pmod("__pf_no", F.lit(COPIES)))
     joined = spread.join(first, F.col(group).eqNullSafe(F.col("__pf_g")) & (spread["__pf_copy"] == first["__pf_copy"]))
     return joined.select(*(F.col(c) for c in df.columns if c != out), (F.col("__pf_no") - F.col("__pf_first")).alias(out))
+
+
+def placed_within(table: DataFrame, group: str, order: dict[str, Column], out: str, rows: int = 2**17) -> DataFrame:
+    """``table`` with ``out``: 0, 1, 2, ... within each value of the int column ``group`` in a total ascending order of columns without nulls.
+
+    ``table`` must give the same rows whenever it is read. A sample of each group gives keys at which it is cut into parts
+    of about ``rows``; parts are counted, then each is moved once and sorted by itself, so nothing else is kept. Whatever
+    the sample, the numbers are the same.
+    """
+    spark, keys = table.sparkSession, list(order)
+    key = F.struct(*(c.alias(n) for n, c in order.items()))
+    kinds = dict(table.select(*(c.alias(n) for n, c in order.items())).dtypes)
+    every = max(1, rows // 64)
+    some: dict[int, list[tuple]] = {}
+    for r in table.filter(F.pmod(F.xxhash64(group, key), F.lit(every)) == 0).select(group, key.alias("k")).collect():  # 64 rows a part
+        some.setdefault(r[group], []).append(tuple(r["k"]))
+    cuts = [(g, sorted(v)[64::64]) for g, v in some.items()]
+    cut_at = spark.createDataFrame(cuts, f"{group} int, __pf_cuts array<struct<{', '.join(f'{n}: {kinds[n]}' for n in keys)}>>")
+    part = F.coalesce(F.size(F.filter("__pf_cuts", lambda c: c <= key)), F.lit(0))
+    parted = table.join(F.broadcast(cut_at), group, "left").withColumn("__pf_part", F.when(F.col("__pf_cuts").isNull(), 0).otherwise(part)).drop("__pf_cuts")
+    before, offsets, last = 0, [], None
+    for g, p, n in sorted((r[group], r["__pf_part"], r["n"]) for r in parted.groupBy(group, "__pf_part").agg(F.count("*").alias("n")).collect()):  # one row a part
+        before = before if g == last else 0
+        offsets.append((g, p, before))
+        before, last = before + n, g
+    known = F.broadcast(spark.createDataFrame(offsets, f"{group} int, __pf_part int, __pf_before long"))  # one row a part
+    w = Window.partitionBy(group, "__pf_part").orderBy(*order.values())
+    # moved before the keys are made, so that these don't travel
+    return parted.repartition(group, "__pf_part").withColumn("__pf_no", F.row_number().over(w)).join(known, [group, "__pf_part"]).withColumn(out, F.col("__pf_no") - 1 + F.col("__pf_before")).drop("__pf_no", "__pf_part", "__pf_before")

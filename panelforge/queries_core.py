@@ -14,8 +14,8 @@ from panelforge.operators import evaluation
 from panelforge.operators.panel import Panel
 from panelforge.plans.compiler import compile_signals
 from panelforge.plans.current import current_candidates, tidy
-from panelforge.plans.numbering import numbered
-from panelforge.search import feedback
+from panelforge.plans.numbering import placed_within
+from panelforge.search import feedback, guidance
 from panelforge.sources import panels, universe
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,32 +166,35 @@ def feedback_loo_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("dataset_id", "records", "predicted", *map(six, ["coverage", "mae", "rmse", "sign_accuracy", "balanced_accuracy"]))
 
 
-def _guidable(spark: SparkSession, sf_dir: str, keys: dict[str, list[str]]) -> DataFrame:
-    """Every current candidate for every dataset, with the dataset's features of it; vec is null without a descriptor."""
+def _guidable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Every current candidate with its features, null without a descriptor, and a number that rises in the order of score, fingerprint, id; and the features' names."""
     tidied = F.col("structural_descriptor")
     for n in ("operator_shingles", "fields", "field_families", "groups", "lineage_parents"):
         tidied = tidied.withField(n, F.transform(F.col(f"structural_descriptor.{n}"), tidy))
-    c = spark.read.parquet(f"{sf_dir}/candidates.parquet")
-    cur = current_candidates(c, {"fingerprint": F.col("semantic_fingerprint"), "score": F.nanvl("structural_score", F.lit(None).cast("double")), "d": tidied, "family": tidy("root_family"), "nodes": F.col("nodes"), "depth": F.col("depth")})
+    c = spark.read.parquet(f"{sf_dir}/candidates.parquet").select("candidate_id", "written_at", "structural_score", "fingerprint", "semantic_fingerprint", "nodes", "depth", tidied.alias("d"), tidy("root_family").alias("family"))
     order = sorted(feedback.FEATURES)  # the entries of the map, sorted
-    mapped = cur.withColumn("m", F.when(F.col("d").isNotNull(), feedback.feature_map("d", "family", "nodes", "depth")))
-    flat = mapped.select(F.col("candidate_id").cast("string").alias("id"), "candidate_id", "fingerprint", F.col("score").alias("structural_score"), F.transform(F.array_sort(F.map_entries("m")), lambda e: e["value"]).alias("all"), F.col("d").isNotNull().alias("described"))
-    at = [F.struct(F.lit(d).alias("dataset_id"), F.array(*(F.lit(order.index(k) if k in order else -1) for k in own)).cast("array<int>").alias("at")) for d, own in keys.items()]  # one a dataset
-    vec = flat.withColumn("e", F.explode(F.array(*at))).select(*(c for c in flat.columns if c != "all"), "e.dataset_id", F.transform("e.at", lambda i: F.get("all", i)).alias("vec"))
-    return vec.withColumn("vec", F.when(F.col("described") & _finite("vec"), F.col("vec"))).drop("described")
+    mapped = c.withColumn("m", F.when(F.col("d").isNotNull(), feedback.feature_map("d", "family", "nodes", "depth")))
+    # made before rows are moved, as features are smaller than descriptors
+    vec = F.transform(F.array_sort(F.map_entries("m")), lambda e: e["value"])
+    cur = current_candidates(mapped, {"print": F.col("semantic_fingerprint"), "score": F.nanvl("structural_score", F.lit(None).cast("double")), "vec": vec})
+    keys = [F.col("score").desc_nulls_last(), F.col("print").asc_nulls_first(), F.col("candidate_id").asc()]
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cur.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("ord", F.monotonically_increasing_id())
+    return ranged.select("candidate_id", F.col("print").alias("fingerprint"), "ord", "vec"), order
 
 
 def feedback_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All current candidates, guided by every dataset: the estimate, the place in the dataset's order of guidance from 0, and whether it passes the screen at 0."""
     rows, guides, names = _feedback(spark, sf_dir)
     keys = {r["dataset_id"]: r["keys"] for r in names.collect()}  # one row a dataset
-    met = feedback.screened(feedback.guided_by_dataset(_guidable(spark, sf_dir, keys), rows, guides), 0.0)
-    # outcomes to nine digits, as sums added up in another order differ in the last
-    keys = {"conservative_outcome": F.round("conservative_outcome", 9), "weighted_outcome": F.round("weighted_outcome", 9), "structural_score": F.col("structural_score")}
-    down = [c for n, v in keys.items() for c in (v.isNull().alias(f"no_{n}"), (-v).alias(n))]
-    placed = numbered(met.withColumn("k", F.struct("dataset_id", *down, "fingerprint", "candidate_id")), "k", "place")
-    first = placed.groupBy("dataset_id").agg(F.min("place").alias("first"))
-    return placed.join(F.broadcast(first), "dataset_id").select("dataset_id", "candidate_id", (F.col("place") - F.col("first")).alias("place"), "exact", "neighbors", *estimate_columns(), "eligible")  # one row a dataset
+    candidates, features = _guidable(spark, sf_dir)
+    met, by_number = guidance.guided_by_all(candidates, features, rows, guides, keys)
+    # outcomes to nine digits, as sums added up in another order differ in the last; 0 - v, as -v would be a negative zero
+    down = lambda c: F.coalesce(F.lit(0.0) - F.round(c, 9), F.lit(0.0))
+    order = {"no_outcome": F.col("conservative_outcome").isNull(), "conservative": down("conservative_outcome"), "weighted": down("weighted_outcome"), "ord": F.col("ord")}
+    placed = feedback.screened(placed_within(met, "dataset", order, "place"), 0.0)
+    name = F.element_at(F.array(*map(F.lit, by_number)), F.col("dataset") + 1) if by_number else F.lit(None).cast("string")
+    return placed.select(name.alias("dataset_id"), "candidate_id", "place", "exact", F.col("neighbors").cast("long").alias("neighbors"), *estimate_columns(), "eligible")
 
 
 def feedback_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
