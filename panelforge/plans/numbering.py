@@ -80,9 +80,12 @@ def placed_within(table: DataFrame, group: str, order: dict[str, Column], out: s
     some: dict[int, list[tuple]] = {}
     for r in table.filter(F.pmod(F.xxhash64(group, key), F.lit(every)) == 0).select(group, key.alias("k")).collect():  # 64 rows a part
         some.setdefault(r[group], []).append(tuple(r["k"]))
-    cuts = [(g, sorted(v)[64::64]) for g, v in some.items()]
+    cuts = [(g, c) for g, v in some.items() if (c := sorted(v)[64::64])]
+    if not cuts:  # each group is one part
+        w = Window.partitionBy(group).orderBy(*order.values())
+        return table.repartition(group).withColumn(out, (F.row_number().over(w) - 1).cast("long"))
     cut_at = spark.createDataFrame(cuts, f"{group} int, __pf_cuts array<struct<{', '.join(f'{n}: {kinds[n]}' for n in keys)}>>")
-    part = F.coalesce(F.size(F.filter("__pf_cuts", lambda c: c <= key)), F.lit(0))
+    part = F.size(F.filter("__pf_cuts", lambda c: c <= key))
     parted = table.join(F.broadcast(cut_at), group, "left").withColumn("__pf_part", F.when(F.col("__pf_cuts").isNull(), 0).otherwise(part)).drop("__pf_cuts")
     before, offsets, last = 0, [], None
     for g, p, n in sorted((r[group], r["__pf_part"], r["n"]) for r in parted.groupBy(group, "__pf_part").agg(F.count("*").alias("n")).collect()):  # one row a part

@@ -172,15 +172,14 @@ def _guidable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     for n in ("operator_shingles", "fields", "field_families", "groups", "lineage_parents"):
         tidied = tidied.withField(n, F.transform(F.col(f"structural_descriptor.{n}"), tidy))
     c = spark.read.parquet(f"{sf_dir}/candidates.parquet").select("candidate_id", "written_at", "structural_score", "fingerprint", "semantic_fingerprint", "nodes", "depth", tidied.alias("d"), tidy("root_family").alias("family"))
-    order = sorted(feedback.FEATURES)  # the entries of the map, sorted
-    mapped = c.withColumn("m", F.when(F.col("d").isNotNull(), feedback.feature_map("d", "family", "nodes", "depth")))
+    names, values = feedback.feature_values("d", "family", "nodes", "depth")
     # made before rows are moved, as features are smaller than descriptors
-    vec = F.transform(F.array_sort(F.map_entries("m")), lambda e: e["value"])
-    cur = current_candidates(mapped, {"print": F.col("semantic_fingerprint"), "score": F.nanvl("structural_score", F.lit(None).cast("double")), "vec": vec})
+    mapped = c.withColumn("vec", F.when(F.col("d").isNotNull(), values))
+    cur = current_candidates(mapped, {"print": F.col("semantic_fingerprint"), "score": F.nanvl("structural_score", F.lit(None).cast("double")), "vec": F.col("vec")})
     keys = [F.col("score").desc_nulls_last(), F.col("print").asc_nulls_first(), F.col("candidate_id").asc()]
     parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = cur.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("ord", F.monotonically_increasing_id())
-    return ranged.select("candidate_id", F.col("print").alias("fingerprint"), "ord", "vec"), order
+    return ranged.select("candidate_id", F.col("print").alias("fingerprint"), "ord", "vec"), names
 
 
 def feedback_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,8 +188,8 @@ def feedback_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = {r["dataset_id"]: r["keys"] for r in names.collect()}  # one row a dataset
     candidates, features = _guidable(spark, sf_dir)
     met, by_number = guidance.guided_by_all(candidates, features, rows, guides, keys)
-    # outcomes to nine digits, as sums added up in another order differ in the last; 0 - v, as -v would be a negative zero
-    down = lambda c: F.coalesce(F.lit(0.0) - F.round(c, 9), F.lit(0.0))
+    # outcomes in billionths, as sums added up in another order differ in the last digits; 0 - v, as -v would be a negative zero
+    down = lambda c: F.coalesce(F.lit(0.0) - F.signum(c) * F.floor(F.abs(c) * 1e9 + 0.5), F.lit(0.0))
     order = {"no_outcome": F.col("conservative_outcome").isNull(), "conservative": down("conservative_outcome"), "weighted": down("weighted_outcome"), "ord": F.col("ord")}
     placed = feedback.screened(placed_within(met, "dataset", order, "place"), 0.0)
     name = F.element_at(F.array(*map(F.lit, by_number)), F.col("dataset") + 1) if by_number else F.lit(None).cast("string")

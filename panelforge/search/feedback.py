@@ -77,6 +77,12 @@ def features(d: Descriptor, root_family: str, nodes: int, depth: int) -> dict[st
 
 def feature_map(descriptor: str, root_family: str, nodes: str, depth: str) -> Column:
     """``features`` of every row of a candidates table, within the JVM, as map<string,double>."""
+    names, values = feature_values(descriptor, root_family, nodes, depth)
+    return F.map_from_arrays(F.lit(names), values)
+
+
+def feature_values(descriptor: str, root_family: str, nodes: str, depth: str) -> tuple[list[str], Column]:
+    """The names of ``feature_map`` and its values as an array."""
     d = lambda n: F.col(f"{descriptor}.{n}")
     texts = lambda n: F.array_sort(F.array_distinct(F.filter(F.coalesce(d(n), F.array().cast("array<string>")), lambda v: v.isNotNull())))
     ops = F.coalesce(d("operator_histogram"), F.create_map().cast("map<string,int>"))
@@ -105,7 +111,7 @@ def feature_map(descriptor: str, root_family: str, nodes: str, depth: str) -> Co
     for prefix, n, items in (("field_family_bucket", FAMILY_BUCKETS, ones(texts("field_families"))), (f"field_{FIELD_BUCKETS}_bucket", FIELD_BUCKETS, ones(texts("fields"))), (f"interaction_{INTERACTION_BUCKETS}_bucket", INTERACTION_BUCKETS, tokens)):
         parts.append(_bucket_counts(_placed(items, n), n))
         names += [f"{prefix}_{i}_count" for i in range(n)]
-    return F.map_from_arrays(F.lit(names), F.concat(*parts))
+    return names, F.concat(*parts)
 
 
 def _placed(items: Column, n: int) -> Column:
